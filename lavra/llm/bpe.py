@@ -24,6 +24,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.llm.batches import pieces, texts
 
@@ -196,4 +197,4 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
         for piece in pieces(batches, text_col):
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(tool.encode(texts(piece, text_col)), pa.list_(pa.int32()))], [*piece.schema.names, "token_ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("token_ids", "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))

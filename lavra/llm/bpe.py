@@ -20,6 +20,7 @@ import sys
 import unicodedata
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,45 +68,44 @@ class Replay:
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        self.roots = [ranks[bytes([i])] for i in range(256)]
-        self.joins: dict[tuple[int, int], int | None] = {}
+        self.roots = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.joins: dict[int, int] = {}  # left << 17 | right: the merged symbol, or -1
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # what was known when `known` last grew full
 
-    def _rank(self, pair: tuple[int, int]) -> int | None:
-        if pair not in self.joins:
-            if len(self.joins) > 1_000_000:
-                self.joins.clear()
-            self.joins[pair] = self.ranks.get(self.pieces[pair[0]] + self.pieces[pair[1]])
-        return self.joins[pair]
+    def _rank(self, pair: int) -> int:
+        if len(self.joins) > 1_000_000:
+            self.joins.clear()
+        out = self.joins[pair] = self.ranks.get(self.pieces[pair >> 17] + self.pieces[pair & 0x1FFFF], -1)
+        return out
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word, all words merged together."""
-        row, starts, roots = [-1], [], self.roots
-        for word in words:
-            starts.append(len(row))
-            row += [roots[b] for b in word]
-            row.append(-1)
-        starts.append(len(row))
-        after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1)
+        start = np.full(int(ends[-1]) + 2, -1, np.int64)
+        start[1 : 1 + int(ends[-1])] = self.roots[np.frombuffer(b"\0".join(words) + b"\0", np.uint8)]
+        start[ends] = -1
+        # The inverted index: the positions of each pair, in order.
+        pairs = np.where((start[:-1] >= 0) & (start[1:] >= 0), start[:-1] << 17 | start[1:], -1)
+        order = np.argsort(pairs, kind="stable")
+        keys, at = np.unique(pairs[order], return_index=True)
+        places = np.split(order, at[1:])
         joins, rank = self.joins, self._rank
-        index: dict[tuple[int, int], list[int]] = {}
-        last = -1
-        for at, symbol in enumerate(row):
-            if last >= 0 and symbol >= 0:
-                pair = last, symbol
-                if (held := index.get(pair)) is None:
-                    index[pair] = [at - 1]
-                else:
-                    held.append(at - 1)
-            last = symbol
-        heap = [(r, pair) for pair in index if (r := rank(pair)) is not None]
+        index: dict[int, list[int]] = {}
+        heap: list[tuple[int, int]] = []
+        for pair, held in zip(keys.tolist(), places):
+            if pair >= 0 and (new := joins[pair] if pair in joins else rank(pair)) >= 0:
+                index[pair] = held.tolist()
+                heap.append((new, pair))
         heapq.heapify(heap)
+        row = start.tolist()
+        after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
+        look, push = index.get, heapq.heappush
         while heap:
             new, pair = heapq.heappop(heap)
-            held = index.pop(pair, None)
-            if held is None:
-                continue
-            left, right = pair
+            left, right = pair >> 17, pair & 0x1FFFF
+            held = index.pop(pair)
             held.sort()
             for at in held:
                 if row[at] != left or row[next_ := after[at]] != right:
@@ -113,34 +113,42 @@ class Replay:
                 row[at], row[next_] = new, -2
                 beyond, ahead = after[next_], before[at]
                 after[at], before[beyond] = beyond, at
-                for where, made in ((ahead, (row[ahead], new)), (at, (new, row[beyond]))):
-                    if made[0] < 0 or made[1] < 0:
-                        continue
-                    if (there := index.get(made)) is not None:
-                        there.append(where)
-                    else:
-                        index[made] = [where]
-                        r = joins[made] if made in joins else rank(made)
-                        if r is not None:
-                            heapq.heappush(heap, (r, made))
-        return [tuple(x for x in row[a : b - 1] if x >= 0) for a, b in zip(starts, starts[1:])]
+                if (other := row[ahead]) >= 0:
+                    made = other << 17 | new
+                    if (there := look(made)) is not None:
+                        there.append(ahead)
+                    elif (r := joins[made] if made in joins else rank(made)) >= 0:
+                        index[made] = [ahead]
+                        push(heap, (r, made))
+                if (other := row[beyond]) >= 0:
+                    made = new << 17 | other
+                    if (there := look(made)) is not None:
+                        there.append(at)
+                    elif (r := joins[made] if made in joins else rank(made)) >= 0:
+                        index[made] = [at]
+                        push(heap, (r, made))
+        done = np.array(row, np.int64)
+        bounds = np.concatenate(([0], np.cumsum(done >= 0)[ends])).tolist()
+        flat = done[done >= 0].tolist()
+        return [tuple(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of these words; starts anew where too many are known."""
+        """Remember the ids of these words. Where many are known, those unused since the last such time are forgotten."""
         new = words - self.known.keys()
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
+        if len(self.known) + len(new) > WORDS // 2:
+            self.before, self.known = self.known, {}
             new = words
-        rest, whole = [], self.ranks
+        known, old, rest, whole = self.known, self.before, [], self.ranks
         for word in new:
-            data = word.encode()
-            if (r := whole.get(data)) is not None:
-                self.known[word] = (r,)
+            if (ids := old.get(word)) is not None:
+                known[word] = ids
+            elif (r := whole.get(data := word.encode())) is not None:
+                known[word] = (r,)
             else:
                 rest.append((word, data))
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            self.known.update(zip((w for w, _ in some), self.replay([d for _, d in some])))
+        for at in range(0, len(rest), 50_000):
+            some = rest[at : at + 50_000]
+            known.update(zip((w for w, _ in some), self.replay([d for _, d in some])))
 
     def encode(self, many: list[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -179,7 +187,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def run(batches):
         tool = replayer(path or default_path())
         numeral, sha = _numerals(len(tool.pieces)).__getitem__, lambda x: hashlib.sha256(x).hexdigest()
-        for piece in pieces(batches):
+        for piece in pieces(batches, most=1 << 21):
             ids = tool.encode(texts(piece))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(map(len, ids), pa.int64()), pa.array([sha(" ".join(map(numeral, x)).encode()) for x in ids], pa.string()), pa.array([sha(tool.decode(x)) for x in ids], pa.string())],
@@ -194,7 +202,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
 
     def run(batches):
         tool = replayer(path or default_path())
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text_col, 1 << 21):
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(tool.encode(texts(piece, text_col)), pa.list_(pa.int32()))], [*piece.schema.names, "token_ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))

@@ -47,12 +47,28 @@ def _ranges(first: str) -> str:
     return "".join(out)
 
 
-@functools.lru_cache(1)
-def splitter() -> re.Pattern:
+def _compiled(letter: str, number: str, space: str) -> re.Pattern:
     """public_tokenizers.PATTERN for `re`, which knows no properties: its classes are spelt out as ranges."""
+    pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+    return re.compile(pattern.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+@functools.lru_cache(1)
+def _splitters() -> tuple[re.Pattern, re.Pattern]:
+    """For texts of Latin-1 characters, whose classes `re` looks up in one small table, and for all texts."""
     letter, number = _ranges("L"), _ranges("N")
-    pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACE}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
-    return re.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+    latin = ["".join(f"\\x{ord(c):02x}" for c in map(chr, range(256)) if re.match(f"[{x}]", c)) for x in (letter, number, SPACE)]
+    return _compiled(*latin), _compiled(letter, number, SPACE)
+
+
+def split(text: str) -> list[str]:
+    """The matches of public_tokenizers.PATTERN, in order."""
+    latin, every = _splitters()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return every.findall(text)
+    return latin.findall(text)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +168,6 @@ class Replay:
 
     def encode(self, many: list[str]) -> list[list[int]]:
         """The ids of each text."""
-        split = splitter().findall
         parts = [split(text) for text in many]
         self.learn(set(chain.from_iterable(parts)))
         get = self.known.__getitem__

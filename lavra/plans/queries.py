@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
 from lavra.operators import features, rules, sampling, taxonomy
-from lavra.runtime import table
+from lavra.runtime import spread, table
 from lavra.sources import markup
 from lavra.streaming import incremental
 
@@ -80,7 +80,7 @@ CLASSIFIED = MERGED + """,
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:

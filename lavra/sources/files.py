@@ -12,7 +12,7 @@ MANIFEST = "link string, markdown_path string, status string, titulo_extraido st
 
 def markdown(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(arquivo, text) of *.md below `path`; `most` keeps the first by name."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("arquivo"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("arquivo"), F.col("value").alias("text"))
     return files if most is None else files.orderBy("arquivo").limit(most)
 
 

@@ -6,7 +6,8 @@ which the expected number of tokens is the wanted fraction. A document is kept i
 in [0, 1), is below its probability: copies share their fate, and the choice doesn't hang on partitions.
 
 A null in a margin's column is a value of its own, `(none)`. Null and empty texts have no tokens and go by their cell's
-probability like others. An empty table gives an empty result. Added columns have the prefix `mix_`."""
+probability like others. An empty table gives an empty result. Added columns have the prefix `mix_`; `calibrated` replaces columns of
+these names, `sampled` gives them back as they were."""
 
 from __future__ import annotations
 
@@ -115,5 +116,7 @@ def calibrated(docs: DataFrame, power: float = 0.7, fraction: float = 0.5, sourc
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The kept rows of `docs`, with its own columns."""
-    return calibrated(docs, **options).where("mix_kept").select(*docs.columns)
+    """The kept rows of `docs`, with its own columns, those whose names begin with `mix_` included."""
+    aside = {c: f"aside_{c}" for c in docs.columns if c.lower().startswith("mix_")}
+    kept = calibrated(docs.withColumnsRenamed(aside), **options).where("mix_kept")
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

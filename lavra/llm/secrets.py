@@ -1,7 +1,7 @@
 """Secret scans by a recursive decoding worklist.
 
-A text is scanned for the base kinds. Then every stretch that reads as URL escapes, Unicode escapes, base64 or a
-compressed body is unwrapped into a layer of its own, which is scanned and unwrapped in turn until no new layer comes
+A text is scanned for the base kinds. Then the text without its URL escapes, the text without its Unicode escapes, and
+every stretch that reads as base64 or a compressed body are layers of their own, each scanned and unwrapped in turn until no new layer comes
 (a layer's digest seen on its own path ends a cycle). Every character of a layer keeps the span of the whole text that
 it comes from, so a find in any layer is a span of the text. A compressed body maps to the whole stretch it was in.
 
@@ -30,7 +30,8 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/=&?:-]){4,}")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT_ASCII = re.compile(r"(?:%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|0[9AaDd]))+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
 
@@ -89,42 +90,61 @@ def inflate(data: bytes, most: int = 1 << 26) -> bytes | None:
     return None
 
 
+def _rewritten(layer: Layer, found) -> tuple[str, np.ndarray, np.ndarray] | None:
+    """The whole layer with each (start, end, text, starts, ends) of `found`, in order, put in; None where there is none.
+    A name and its value may stand on both sides of an escape, so what is between the escapes stays."""
+    parts, starts, ends, last = [], [], [], 0
+
+    def keep(stop: int) -> None:
+        if stop > last:
+            parts.append(layer.text[last:stop])
+            starts.append(np.arange(last, stop) if layer.starts is None else layer.starts[last:stop])
+            ends.append(np.arange(last, stop) + 1 if layer.ends is None else layer.ends[last:stop])
+
+    for a, b, text, first, past in found:
+        keep(a)
+        parts.append(text)
+        starts.append(first)
+        ends.append(past)
+        last = b
+    if not last:
+        return None
+    keep(len(layer.text))
+    return "".join(parts), np.concatenate(starts), np.concatenate(ends)
+
+
+def _url(layer: Layer):
+    """Runs of URL escapes as readable UTF-8; where a run isn't, its printable ASCII alone. Others stay as they are."""
+
+    def read(a: int, b: int):
+        spans = [layer.span(i, i + 3) for i in range(a, b, 3)]
+        return _spread(bytes.fromhex(layer.text[a:b].replace("%", "")), np.array([x for x, _ in spans]), np.array([y for _, y in spans]))
+
+    for m in PERCENT.finditer(layer.text):
+        if out := read(*m.span()):
+            yield (*m.span(), *out)
+        else:
+            for part in PERCENT_ASCII.finditer(layer.text, *m.span()):
+                yield (*part.span(), *read(*part.span()))
+
+
+def _unicode(layer: Layer):
+    for m in ESCAPED.finditer(layer.text):
+        value = int(re.sub(r"[^0-9A-Fa-f]", "", m[0][2:]), 16)
+        if 0xD800 <= value < 0xE000 or value > 0x10FFFF:
+            value = 0xFFFD
+        a, b = layer.span(*m.span())
+        yield (*m.span(), chr(value), np.array([a]), np.array([b]))
+
+
 def unwrap(layer: Layer):
-    """(text, starts, ends) of each stretch of the layer that some coding reads; spans are of the whole text."""
+    """(text, starts, ends) of each layer below: the whole text without its URL or Unicode escapes, and each stretch that
+    base64 or a compressed body reads; spans are of the whole text."""
     text = layer.text
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            if "%" not in m[0]:
-                continue
-            data, starts, ends, i = bytearray(), [], [], m.start()
-            while i < m.end():
-                n = 3 if text[i] == "%" else 1
-                data.append(int(text[i + 1 : i + 3], 16) if n == 3 else ord(text[i]))
-                a, b = layer.span(i, i + n)
-                starts.append(a)
-                ends.append(b)
-                i += n
-            if out := _spread(bytes(data), np.array(starts), np.array(ends)):
-                yield out
-    if "\\" in text and (hits := list(ESCAPED.finditer(text))):
-        # One layer of the whole text, as a name and its value may stand on both sides of an escape.
-        parts, starts, ends, last = [], [], [], 0
-        for m in [*hits, None]:
-            stop = m.start() if m else len(text)
-            if stop > last:
-                parts.append(text[last:stop])
-                starts.append(np.arange(last, stop) if layer.starts is None else layer.starts[last:stop])
-                ends.append(np.arange(last, stop) + 1 if layer.ends is None else layer.ends[last:stop])
-            if m:
-                value = int(re.sub(r"[^0-9A-Fa-f]", "", m[0][2:]), 16)
-                a, b = layer.span(*m.span())
-                if 0xD800 <= value < 0xE000 or value > 0x10FFFF:
-                    value = 0xFFFD
-                parts.append(chr(value))
-                starts.append(np.array([a]))
-                ends.append(np.array([b]))
-                last = m.end()
-        yield "".join(parts), np.concatenate(starts), np.concatenate(ends)
+    if "%" in text and (out := _rewritten(layer, _url(layer))):
+        yield out
+    if "\\" in text and (out := _rewritten(layer, _unicode(layer))):
+        yield out
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
         keep = len(run) - (len(run) % 4 == 1)
@@ -154,13 +174,16 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     seen = set(base)
     if not text:
         return [], []
+    done: set[bytes] = set()  # layers by text and spans: escapes of two codings come off in either order
     work = [Layer(text, None, None, frozenset([hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()]))]
     while work:
         layer = work.pop()
         for inner, starts, ends in unwrap(layer):
             mark = hashlib.blake2b(inner.encode(errors="replace"), digest_size=16).digest()
-            if mark in layer.path:
+            whole = hashlib.blake2b(mark + starts.tobytes() + ends.tobytes(), digest_size=16).digest()
+            if mark in layer.path or whole in done:
                 continue
+            done.add(whole)
             below = Layer(inner, starts, ends, layer.path | {mark})
             seen.update((kind, *below.span(a, b)) for kind, a, b in scan(inner))
             work.append(below)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lavra.llm import attribution, bpe, gif, langid, mixing, quality, secrets, simhash, toxicity, vptree
 
@@ -136,6 +137,10 @@ def test_secrets(edge, none):
         assert len(every) > len(base) and any(s[0] == "assign" for s in every)
         assert all(9 <= a and b <= len(text) - 6 for _, a, b in every)
         assert "after" in secrets.redact(text, every)
+    # A name in plain and a value in escapes, escapes of two codings inside each other, and a run that isn't UTF-8.
+    assert ("assign", 0, 26) in secrets.find("password = %61b%63def%67hi")[1]
+    assert ("assign", 3, 40) in secrets.find("%ff" + "".join(f"%5Cu{ord(c):04x}" if c == "p" else c for c in "password=hunter") + "%32%33%34%35%36")[1]
+    assert secrets.find("100%ab %zz \\u12 %" + "%25" * 40 + "41")[1] == []
     assert secrets.find("secret: token:abcdef")[0] == []  # the short match takes the second name with it
     assert secrets.find("API_KEY = 'abcdef' " + "AKIA" + "A" * 16 + " " + "0f" * 12)[0] == [("assign", 0, 17), ("access", 19, 39), ("hex", 40, 64)]
     rows = secrets.digests(edge).collect()
@@ -159,6 +164,8 @@ def test_mixing(spark, docs, edge, none):
     table = mixing._rake_table(spark.createDataFrame(cells.drop(columns="mix_probability")), ["mix_source", "mix_lang", "mix_topic"], 0.7, 0.5, rounds=8).toPandas()
     both = cells.merge(table, on=["mix_source", "mix_lang", "mix_topic"])
     assert np.allclose(both["mix_probability_x"], both["mix_probability_y"], atol=1e-2)
+    clash = docs.withColumns({"mix_tokens": F.lit("own"), "MIX_kept": F.lit(5)})
+    assert mixing.sampled(clash).select("mix_tokens", "MIX_kept").distinct().collect() == [("own", 5)]
     assert mixing.calibrated(edge).count() == len(EDGE) and mixing.sampled(none).count() == 0
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
-from lavra.operators import features, rules, sampling, taxonomy
+from lavra.operators import features, learning, rules, sampling, taxonomy
 from lavra.runtime import spread, table
 from lavra.sources import markup
 from lavra.streaming import incremental
@@ -95,9 +95,9 @@ def fold_text(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.md5(f).alias("folded_md5"), F.length(f).alias("n"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({FOLD.format('substr(text, 1, 80)')}, '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({FOLD.format('text')}, '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug_md5 FROM documents")
 def slug(spark, sf):
-    return docs_of(spark, sf).select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+    return docs_of(spark, sf).select("doc_id", F.md5(tx.slug(F.col("text"))).alias("slug_md5"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string(list_filter({TOKENS.format('text')}, lambda x: NOT list_contains({STOPS}, x) AND NOT regexp_matches(x, '^[0-9]+[a-z]*$')), ' ')) AS tokens_md5 FROM documents")
@@ -388,12 +388,13 @@ def centroid_pairs(spark, sf):
     return pairs.where("id < profile").select(F.col("id").alias("a"), F.col("profile").alias("b"), F.round("cosine", 4).alias("cosine"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey % 997 AS a, o_orderkey % 991 AS b FROM orders WHERE o_orderkey % 40 = 0), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders),
+s AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def components(spark, sf):
-    e = table(spark, sf, "orders").where("o_orderkey % 40 = 0").select(F.expr("o_custkey % 997 as a"), F.expr("o_orderkey % 991 as b"))
-    return features.consolidate(e, e.select(F.col("a").alias("node")).union(e.select("b")).distinct())
+    """Chains of each customer's orders, an edge to the one before."""
+    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b"))
+    return features.consolidate(e.where("b is not null"), e.select(F.col("a").alias("node")))
 
 
 @query()
@@ -462,12 +463,12 @@ def candidate_groups(spark, sf):
     return taxonomy.candidate_groups(e, "label", "user_id", "props", "event_id")
 
 
-GROUPS = "gr AS (SELECT p_type AS label, count(*) AS occurrences, CASE WHEN length(p_type) % 3 = 0 THEN 'pai_' || substr(p_type, 1, 1) END AS parent, CASE WHEN length(p_type) % 2 = 0 THEN 'fam_' || substr(p_type, 1, 2) END AS family FROM part WHERE p_partkey % 20 = 0 GROUP BY 1)"
+GROUPS = "gr AS (SELECT p_brand || ' ' || p_name AS label, count(*) AS occurrences, CASE WHEN length(label) % 3 = 0 THEN 'pai_' || substr(p_name, 1, 1) END AS parent, CASE WHEN length(label) % 2 = 0 THEN 'fam_' || p_brand || substr(p_name, 1, 1) END AS family FROM part GROUP BY p_brand, p_name)"
 
 
 def _decided(spark, sf):
-    g = table(spark, sf, "part").where("p_partkey % 20 = 0").groupBy(F.col("p_type").alias("label")).agg(F.count("*").alias("occurrences"))
-    g = g.withColumns({"parent": F.expr("if(length(label) % 3 = 0, 'pai_' || substr(label, 1, 1), null)"), "family": F.expr("if(length(label) % 2 = 0, 'fam_' || substr(label, 1, 2), null)")})
+    g = table(spark, sf, "part").groupBy(F.expr("p_brand || ' ' || p_name").alias("label"), "p_brand", "p_name").agg(F.count("*").alias("occurrences"))
+    g = g.withColumns({"parent": F.expr("if(length(label) % 3 = 0, 'pai_' || substr(p_name, 1, 1), null)"), "family": F.expr("if(length(label) % 2 = 0, 'fam_' || p_brand || substr(p_name, 1, 1), null)")})
     return taxonomy.tree_policy(g)
 
 
@@ -481,12 +482,119 @@ def tree_policy(spark, sf):
     return _decided(spark, sf).select("label", "occurrences", "decision", "target")
 
 
-@query(f"WITH {POLICY} SELECT coalesce(target, p_type) AS label_final, CASE decision WHEN 'promote_to_canonical' THEN 'candidato_promovido' WHEN 'keep_as_leaf' THEN 'candidato_folha' WHEN 'merge_into_existing' THEN 'candidato_mesclado' ELSE 'classificado_regex' END AS status_final, count(*) AS n FROM part LEFT JOIN po ON p_type = label GROUP BY 1, 2")
+@query(f"WITH {POLICY} SELECT coalesce(target, p_brand || ' ' || p_name) AS label_final, CASE decision WHEN 'promote_to_canonical' THEN 'candidato_promovido' WHEN 'keep_as_leaf' THEN 'candidato_folha' WHEN 'merge_into_existing' THEN 'candidato_mesclado' ELSE 'classificado_regex' END AS status_final, count(*) AS n FROM part LEFT JOIN po ON p_brand || ' ' || p_name = label GROUP BY 1, 2")
 def refined_labels(spark, sf):
-    rows = table(spark, sf, "part").select(F.col("p_type").alias("label"), F.lit("classificado_regex").alias("status"))
+    rows = table(spark, sf, "part").select(F.expr("p_brand || ' ' || p_name").alias("label"), F.lit("classificado_regex").alias("status"))
     return taxonomy.refined(rows, _decided(spark, sf)).groupBy("label_final", "status_final").agg(F.count("*").alias("n"))
 
 
+# Learning from residuals
+
+TERMS = ["tion", "heit", "eau", "ment", "ado", "ing", "der", "que"]
+SENTENCES = "list_filter(list_transform(string_split_regex(t, '[.!?;\\n]+'), lambda x: " + SQUEEZE.format("x") + "), lambda x: x <> '')"
+ANCHORED = "list_transform({0}, lambda x: '\\b' || x || '\\w*\\b')"
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {ANCHORED.format(TOKENS.format('p_name'))} AS w FROM part)
+SELECT p_partkey, array_to_string(w, '\\W+') AS phrase, array_to_string(w, '\\s+') AS term, array_to_string(w, '.{{0,90}}') AS near FROM w""")
+def pattern_build(spark, sf):
+    w = tx.tokens(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", learning.phrase_pattern(w).alias("phrase"), learning.term_pattern(w).alias("term"), learning.gap_pattern(w).alias("near"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), p AS (SELECT doc_id, x AS term, instr(t, x) AS place FROM f, unnest({_list(TERMS)}) AS u(x) WHERE instr(t, x) > 0),
+k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place, term) AS r FROM p), j AS (SELECT doc_id, string_agg('\\b' || term || '\\w*\\b', '.{{0,240}}' ORDER BY r) AS pattern, count(*) AS n FROM k WHERE r <= 4 GROUP BY 1)
+SELECT doc_id, CASE WHEN n >= 2 THEN pattern END AS pattern FROM documents LEFT JOIN j USING (doc_id)""")
+def learned_pattern(spark, sf):
+    f = docs_of(spark, sf).select("doc_id", tx.fold(F.col("text")).alias("t"))
+    return f.select("doc_id", learning.learned_pattern(F.col("t"), TERMS).alias("pattern"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), s AS (SELECT doc_id, unnest(list_transform({SENTENCES}, lambda x: regexp_extract_all(x, '[a-z0-9]{{3,}}'))) AS w FROM f),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM s, range(2, 6) AS a(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i))
+SELECT d.doc_id, count(phrase) AS n, md5(coalesce(string_agg(phrase, ',' ORDER BY phrase), '')) AS phrases_md5 FROM documents d LEFT JOIN g USING (doc_id) GROUP BY 1""")
+def phrase_candidates(spark, sf):
+    p = docs_of(spark, sf).select("doc_id", learning.phrases(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("p"), ",")).alias("phrases_md5"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), s AS (SELECT *, list_filter({SENTENCES}, lambda x: contains(x, 'heit') OR contains(x, 'eau')) AS s FROM f)
+SELECT doc_id, md5(CASE WHEN len(s) > 0 THEN s[1] ELSE substr({SQUEEZE.format('t')}, 1, 600) END) AS window_md5 FROM s""")
+def evidence_window(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.md5(learning.evidence_window(F.col("text"), ["heit", "eau"])).alias("window_md5"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, source, lang, {FOLD.format('text')} AS t FROM documents), s AS (SELECT *, list_filter({SENTENCES}, lambda x: contains(x, 'tion') OR contains(x, 'heit') OR contains(x, 'eau') OR contains(x, 'ado')) AS s FROM f),
+u AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s) GROUP BY 1, 2), v AS (SELECT doc_id, list(x ORDER BY i)[1:4] AS told FROM u GROUP BY 1),
+h AS (SELECT doc_id, list_filter({_list(TERMS)}, lambda x: contains(t, x)) AS h, coalesce(told, []) AS told, source, t FROM f LEFT JOIN v USING (doc_id)),
+p AS (SELECT *, flatten(list_transform(range(8), lambda k: h)) || flatten(list_transform(range(4), lambda k: CASE WHEN source IS NULL THEN []::VARCHAR[] ELSE [source] END)) || told AS p FROM h)
+SELECT doc_id, md5(CASE WHEN len(p) > 0 THEN array_to_string(p, ' ') ELSE 'tema_criminal_indefinido ' || substr({SQUEEZE.format('t')}, 1, 1200) END) AS text_md5 FROM p""")
+def domain_cluster_text(spark, sf):
+    tags = F.filter(F.array("source"), lambda x: x.isNotNull())
+    return docs_of(spark, sf).select("doc_id", F.md5(learning.domain_text(F.col("text"), TERMS, tags, ANCHORS)).alias("text_md5"))
+
+
+@query("""WITH a AS (SELECT n_regionkey, n_name AS a FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 8),
+p AS (SELECT n_regionkey AS label, x.a, y.a AS b FROM a AS x JOIN a AS y USING (n_regionkey) WHERE x.a <> y.a)
+SELECT DISTINCT label, '\\b' || a || '\\w*\\b' || '.{0,90}' || '\\b' || b || '\\w*\\b' AS pattern FROM p""")
+def pair_candidates(spark, sf):
+    n = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    return learning.pair_candidates(n, "n_regionkey", "names", "names")
+
+
+ALLOWED = ["ring gear", "red bolt", "small ring", "blue widget"]
+
+
+@query(f"""WITH l AS (SELECT DISTINCT p_name AS label FROM part), a AS (SELECT generate_subscripts({_list(ALLOWED)}, 1) AS pos, unnest({_list(ALLOWED)}) AS canonical),
+t AS (SELECT label, unnest(regexp_extract_all({FOLD.format('label')}, '[a-z0-9]{{4,}}')) AS t FROM l), b AS (SELECT pos, canonical, unnest(regexp_extract_all(canonical, '[a-z0-9]{{4,}}')) AS t FROM a),
+n AS (SELECT label, min_by(canonical, pos) AS near FROM t JOIN b USING (t) GROUP BY 1)
+SELECT label, coalesce(canonical, near) AS canonical FROM l LEFT JOIN a ON label = canonical LEFT JOIN n USING (label)""")
+def canonical_labels(spark, sf):
+    return learning.canonical_labels(table(spark, sf, "part").select(F.col("p_name").alias("label")), ALLOWED)
+
+
+@query("""SELECT s_nationkey AS cluster_id, string_agg(DISTINCT theme, ', ' ORDER BY theme) AS themes FROM (SELECT s_nationkey, 'tema_' || (s_suppkey % 7) AS theme FROM supplier) GROUP BY 1""")
+def cluster_theme_map(spark, sf):
+    themes = table(spark, sf, "supplier").groupBy(F.concat(F.lit("tema_"), F.col("s_suppkey") % 7).alias("theme")).agg(F.collect_set("s_nationkey").alias("ids"))
+    return learning.theme_map(themes, "theme", "ids")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r FROM {_values(RULES)} AS x), h AS (SELECT label, count(*) AS n_rules, string_agg(pattern, ' || ' ORDER BY r) FILTER (r <= 8) AS sample FROM r GROUP BY 1)
+SELECT label, coalesce(n_rules, 0)::BIGINT AS n_rules, coalesce(sample, '') AS sample FROM (SELECT unnest(['alpha', 'beta', 'unused', 'noticias_raras']) AS label) LEFT JOIN h USING (label)""")
+def active_themes(spark, sf):
+    themes = spark.createDataFrame([("alpha", "accept"), ("beta", "accept"), ("unused", "accept"), ("gamma", "quarantine")], "label string, decision string")
+    return learning.active_themes(themes, rules.bank(spark, RULES))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, props AS title, CASE WHEN user_id % 3 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS date FROM events), k AS (SELECT * FROM e WHERE event_type = 'click')
+SELECT event_id FROM e WHERE event_type <> 'click' AND CASE WHEN date <> '' THEN NOT EXISTS (SELECT 1 FROM k WHERE k.title = e.title AND k.date = e.date) ELSE NOT EXISTS (SELECT 1 FROM k WHERE k.title = e.title) END""")
+def missing_articles(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("props").alias("title"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"))
+    return learning.missing(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), "title", "date").select("event_id")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def payload_unwrap(spark, sf):
+    said = F.concat(F.lit('{"resultado":'), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('{"data":{"output":'), "props", F.lit("}}"))).otherwise(F.col("props")), F.lit("}"))
+    inner = learning.unwrapped(said, ["resultado", "data", "output"])
+    return table(spark, sf, "events").select("event_id", F.get_json_object(inner, "$.k").cast("long").alias("k"))
+
+
+RESCUE = [("rescue_heit", ["heit", "keit"]), ("rescue_eau", ["eau"]), ("rescue_ado", ["ado ", "ados "])]
+
+
+@query(f"""WITH f AS (SELECT role, {FOLD.format('text')} AS t FROM conversations),
+l AS (SELECT role, CASE WHEN contains(t, 'heit') OR contains(t, 'keit') THEN 'rescue_heit' WHEN contains(t, 'eau') THEN 'rescue_eau' WHEN contains(t, 'ado ') OR contains(t, 'ados ') THEN 'rescue_ado' ELSE 'noticias_raras' END AS label FROM f)
+SELECT label, count_if(role = 'user')::BIGINT AS user, count_if(role = 'assistant')::BIGINT AS assistant, count(*) AS total FROM l GROUP BY 1""")
+def rescue_labels(spark, sf):
+    said = table(spark, sf, "conversations").select("role", learning.suggested(F.col("text"), RESCUE).alias("label"))
+    return said.groupBy("label").agg(F.count_if(F.col("role") == "user").alias("user"), F.count_if(F.col("role") == "assistant").alias("assistant"), F.count("*").alias("total"))
+
+
 # Reports and payloads
 
 @query("SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 4) AS mean FROM conversations GROUP BY 1")

@@ -174,6 +174,8 @@ def test_toxicity(docs, labels, edge, none):
     got = toxicity.scores(docs, model).join(labels, "doc_id").toPandas()
     assert (got["predicted"] == got["toxic"]).mean() > 0.85
     assert toxicity.scores(edge, model).count() == len(EDGE) and toxicity.scores(none, model).count() == 0
+    joined = toxicity.fit(docs, labels, labels_most=0)
+    assert np.array_equal(joined.direct, model.direct) and np.array_equal(joined.lower, model.lower) and joined.at == model.at
     blank = toxicity.fit(docs, labels.where("false"))
     assert {r["score"] for r in toxicity.scores(edge, blank).collect()} == {0.15}
 

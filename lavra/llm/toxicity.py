@@ -7,28 +7,30 @@ of the vocabulary back off to their longest known prefix of 7, 6 or 5 letters, s
 of the two log-likelihoods over its windows of `WINDOW` words (the whole text where that is shorter), so that a long
 text with one toxic passage isn't thinned out. The cut is set on learnable rows that the counts leave out (fold 3).
 
-All learnable documents are counted, in Spark; the model that is broadcast has a stated size: `VOCABULARY` words and as
-many prefixes, by how often toxic documents use them, and `BIGRAMS` pairs, by count. Other words share one unknown
-word, other pairs back off. Null, empty and wordless texts have evidence 0; repeated rows get equal scores; without toxic or ordinary
+Counts are made in Spark. The model keeps every word and prefix that toxic documents use `RARE` times or more and every
+bigram with a class count from `RARE` on: those below are wholly discounted, so nothing that bears evidence is left out.
+It grows with the input; workers map it from shipped files (`lavra.llm.shipped`). Null, empty and wordless texts have evidence 0; repeated rows get equal scores; without toxic or ordinary
 learnable rows every score is `cut / 2`. An empty table gives an empty result."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.llm.batches import pieces, texts
 from lavra.llm.labelled import fold, held_out, learnable
+from lavra.llm.shipped import Shipped, Writer, ship_array
 from lavra.runtime import materialise
 
-VOCABULARY = 30_000
-BIGRAMS = 300_000
+CHUNK = 2_000_000  # bigrams that the driver holds at a time
 WINDOW = 3
 WORD = re.compile(r"[^\W\d_]+")
 FLUSH = 200_000
@@ -36,7 +38,7 @@ RARE = 5
 DISCOUNT = 4.0  # of counts from RARE on
 PREFIXES = (7, 6, 5)
 LABELS = 4_000_000  # labelled ids that are broadcast (about 60 bytes each); beyond, the labelled texts are joined by a shuffle, once
-MEMO = 300_000  # words outside the vocabulary whose id a worker remembers
+MEMO = 300_000  # words whose id a worker remembers; those of others are looked up again
 
 
 def words(text: str) -> list[str]:
@@ -44,24 +46,57 @@ def words(text: str) -> list[str]:
 
 
 class Ids(dict):
-    """Word ids, and ids of prefixes behind a hyphen; other words have the id of their longest known prefix, or `size`."""
-
-    def __init__(self, known: list[str]):
-        super().__init__((w, i) for i, w in enumerate(known))
-        self.size = len(known)
+    """Word ids, and ids of prefixes behind a hyphen; other words have the id of their longest known prefix, or `size`.
+    An id is a place in the order of the words' hashes; the words themselves are compared, so equal hashes do no harm."""
+
+    def __init__(self, size: int, hashes: Shipped, ends: Shipped, letters: Shipped):
+        super().__init__()
+        self.size, self.parts = size, (hashes, ends, letters)
+
+    @classmethod
+    def of(cls, spark: SparkSession, known: list[str]) -> Ids:
+        raw = sorted(w.encode() for w in known)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        raw = [raw[i] for i in np.argsort(hashes, kind="stable")]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        return cls(len(raw), ship_array(spark, [np.sort(hashes)], "u8"), ship_array(spark, [ends], "i8"), ship_array(spark, (np.frombuffer(w, np.uint8) for w in raw), "u1"))
+
+    def at(self, word: str) -> int | None:
+        raw = word.encode(errors="replace")
+        hashes, ends, letters = (x.array() for x in self.parts)
+        mark = np.uint64(xxhash.xxh64_intdigest(raw))
+        i = int(np.searchsorted(hashes, mark))
+        while i < self.size and hashes[i] == mark:
+            if letters[ends[i - 1] if i else 0 : ends[i]].tobytes() == raw:
+                return i
+            i += 1
+        return None
 
     def __missing__(self, word: str) -> int:
-        out = self.size
-        for n in PREFIXES:
-            if len(word) >= n and (at := self.get("-" + word[:n])) is not None:
-                out = at
-                break
-        if len(self) < self.size + MEMO:
+        out = self.at(word)
+        if out is None:
+            out = next((i for n in PREFIXES if len(word) >= n and (i := self._prefix("-" + word[:n])) < self.size), self.size)
+        if len(self) < MEMO:
             self[word] = out
         return out
 
+    def _prefix(self, prefix: str) -> int:
+        out = self.get(prefix)
+        if out is None:
+            out = self.at(prefix)
+            out = self.size if out is None else out
+            if len(self) < MEMO:
+                self[prefix] = out
+        return out
+
     def __reduce__(self):
-        return Ids, ([w for w, _ in sorted((x for x in self.items() if x[1] < self.size), key=lambda x: x[1])][: self.size],)
+        return _ids_of, (self.size, *self.parts)
+
+
+@lru_cache(4)
+def _ids_of(*parts) -> Ids:
+    """One object a process, so that what it remembers serves all its tasks."""
+    return Ids(*parts)
 
 
 def _count_words(rows: DataFrame) -> DataFrame:
@@ -98,11 +133,11 @@ def _ids(text: str, known: Ids) -> np.ndarray:
     return out
 
 
-def _count_pairs(rows: DataFrame, known) -> DataFrame:
+def _count_pairs(rows: DataFrame, known: Ids) -> DataFrame:
     """(pair, toxic, ordinary): counts of every bigram, pair = first * (ids) + second."""
 
     def run(batches):
-        vocabulary = known.value
+        vocabulary = known
         size = vocabulary.size + 2
         held, have = ([], []), 0
 
@@ -136,25 +171,27 @@ def _count_pairs(rows: DataFrame, known) -> DataFrame:
 @dataclass(frozen=True)
 class Model:
     known: Ids
-    pairs: np.ndarray  # sorted keys of the kept bigrams
-    direct: np.ndarray  # (class, kept bigram): discounted count over the context's count
-    spare: np.ndarray  # (class, context id): mass that backs off
-    lower: np.ndarray  # (class, word id): Kneser-Ney unigram over the shared one
+    tables: tuple[Shipped, Shipped, Shipped, Shipped]
     at: float = 0.0
     steep: float = 1.0
     cut: float = 0.3
 
+    #: Sorted keys of the bigrams; (bigram, class): discounted count over the context's count; (context id, class): mass
+    #: that backs off; (word id, class): Kneser-Ney unigram over the shared one.
+    pairs, direct, spare, lower = (property(lambda self, i=i: self.tables[i].array()) for i in range(4))
+
     def evidence(self, text: str) -> float:
         ids = _ids(text, self.known)
         if len(ids) == 1:
             return 0.0
         first, second = ids[:-1], ids[1:]
-        p = self.spare[:, first] * self.lower[:, second]
-        if len(self.pairs):
+        pairs = self.pairs
+        p = self.spare[first] * self.lower[second]
+        if len(pairs):
             key = first * (self.known.size + 2) + second
-            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p = p + np.where(self.pairs[place] == key, self.direct[:, place], 0)
-        sums = np.concatenate(([0.0], np.cumsum(np.log(p[0] / p[1]))))
+            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            p = p + np.where((pairs[place] == key)[:, None], self.direct[place], 0)
+        sums = np.concatenate(([0.0], np.cumsum(np.log(p[:, 0] / p[:, 1]))))
         n = min(WINDOW, len(first))
         return float((sums[n:] - sums[:-n]).max() / n)
 
@@ -168,14 +205,16 @@ def _kept(count: np.ndarray) -> np.ndarray:
 
 
 def _model(known: Ids, pairs: DataFrame) -> Model:
-    """Kneser-Ney parameters from all bigram counts; only sums by context or by word come to the driver."""
-    size = known.size + 2
+    """Kneser-Ney parameters from all bigram counts. Sums by context or by word come to the driver whole, bigrams in chunks."""
+    spark, size = pairs.sparkSession, known.size + 2
+    bears = f"greatest(toxic, ordinary) >= {RARE}"
     sums, kind = np.zeros((2, size)), np.zeros((2, size))
-    shared = np.zeros(size)
+    shared, many = np.zeros(size), np.zeros(size, np.int64)
     first, second = (F.expr(f"pair div {size}"), F.expr(f"pair % {size}"))
     has = [F.expr("count_if(toxic > 0)"), F.expr("count_if(ordinary > 0)")]
-    by = pairs.groupBy(first.alias("id")).agg(F.sum("toxic"), F.sum("ordinary")).toArrow()
+    by = pairs.groupBy(first.alias("id")).agg(F.sum("toxic"), F.sum("ordinary"), F.expr(f"count_if({bears})")).toArrow()
     at = by.column(0).to_numpy()
+    many[at] = by.column(3).to_numpy()
     for c in (0, 1):
         sums[c][at] = by.column(1 + c).to_numpy()
     by = pairs.groupBy(second.alias("id")).agg(F.count("*"), *has).toArrow()
@@ -184,29 +223,40 @@ def _model(known: Ids, pairs: DataFrame) -> Model:
     for c in (0, 1):
         kind[c][at] = by.column(2 + c).to_numpy()
     base = (shared + 1) / (shared + 1).sum()
-    lower, spare = np.empty((2, size)), np.ones((2, size))
+    lower, spare = np.empty((size, 2)), np.ones((size, 2))
     for c in (0, 1):
         total = max(1.0, kind[c].sum())
         kept = _kept(kind[c]) / total
-        lower[c] = kept + (1 - kept.sum()) * base
-    weight = sums[1].sum() / max(1.0, sums[0].sum())
-    top = pairs.where(f"greatest(toxic, ordinary) >= {RARE}").orderBy(F.desc(F.col("toxic") * F.lit(float(weight)) + F.col("ordinary")), "pair").limit(BIGRAMS).toArrow()
-    keys = top.column("pair").to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    direct = np.zeros((2, len(keys)))
-    for c, name in enumerate(("toxic", "ordinary")):
-        count, context = top.column(name).to_numpy()[order], keys // size
-        direct[c] = _kept(count) / np.maximum(1.0, sums[c][context])
-        spare[c] = 1 - np.bincount(context, direct[c], size)  # what was discounted backs off
-    return Model(known, keys, direct, spare, lower)
+        lower[:, c] = kept + (1 - kept.sum()) * base
+    before = np.concatenate(([0], np.cumsum(many)))
+
+    def chunks():
+        start = 0
+        while start < size:
+            stop = max(start + 1, int(np.searchsorted(before, before[start] + CHUNK, side="right")) - 1)
+            if before[stop] > before[start]:
+                some = pairs.where(bears).where(f"pair >= {start * size} and pair < {stop * size}").toArrow()
+                keys = some.column("pair").to_numpy().astype(np.int64)
+                order = np.argsort(keys)
+                yield keys[order], *(some.column(c).to_numpy()[order] for c in ("toxic", "ordinary"))
+            start = stop
+
+    kept, direct = Writer("i8"), Writer("f8", 2)
+    for keys, *counts in chunks():
+        context, out = keys // size, np.empty((len(keys), 2))
+        for c, count in enumerate(counts):
+            out[:, c] = _kept(count) / np.maximum(1.0, sums[c][context])
+            spare[:, c] -= np.bincount(context, out[:, c], size)  # what was discounted backs off
+        kept.add(keys)
+        direct.add(out)
+    return Model(known, (kept.ship(spark), direct.ship(spark), ship_array(spark, [spare], "f8", 2), ship_array(spark, [lower], "f8", 2)))
 
 
 def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, cut: float) -> Model:
     """Puts `cut` where toxic and ordinary rows part best by F1, in the middle of the gap there."""
     bad = evidence[toxic == 1]
     if not len(bad) or len(bad) == len(evidence):
-        return Model(model.known, model.pairs, model.direct, model.spare, model.lower, float("inf"), 0.0, cut)
+        return replace(model, at=float("inf"), steep=0.0, cut=cut)
     order = np.argsort(-evidence)
     hits = np.cumsum(toxic[order] == 1)
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + len(bad))
@@ -214,7 +264,7 @@ def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, cut: float
     high = evidence[order[k]]
     under = evidence[evidence < high]
     at = float((high + under.max()) / 2) if len(under) else float(high)
-    return Model(model.known, model.pairs, model.direct, model.spare, model.lower, at, 4.0 / max(1e-6, float(np.median(bad)) - float(np.median(evidence))), cut)
+    return replace(model, at=at, steep=4.0 / max(1e-6, float(np.median(bad)) - float(np.median(evidence))), cut=cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float = 0.3, calibration: int = 10_000, labels_most: int = LABELS) -> Model:
@@ -230,16 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float
     whole = materialise(_count_words(counted), "words")
     part = whole.select(F.explode(F.filter(F.array(*(F.when(F.length("word") >= n, F.concat(F.lit("-"), F.substring("word", 1, n))) for n in PREFIXES)), lambda x: x.isNotNull())).alias("word"), "toxic", "ordinary")
     part = part.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    ranked = (t.where(f"toxic >= {RARE}").orderBy(F.desc("toxic"), F.desc("ordinary"), "word").select("word").limit(VOCABULARY) for t in (whole, part))
-    known = Ids([w for t in ranked for w in t.toArrow().column("word").to_pylist()])
-    shared = spark.sparkContext.broadcast(known)
-    pairs = materialise(_count_pairs(counted, shared), "pairs")
+    known = Ids.of(spark, whole.union(part).where(f"toxic >= {RARE}").select("word").toArrow().column("word").to_pylist())
+    pairs = materialise(_count_pairs(counted, known), "pairs")
     model = _model(known, pairs)
-    held = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([held.value.evidence(t) for t in texts(piece)], pa.float64())], ["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([model.evidence(t) for t in texts(piece)], pa.float64())], ["toxic", "evidence"])
 
     apart = rows.where(fold() == 3).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(calibration)
     got = rows.join(F.broadcast(apart.distinct()), "doc_id", "left_semi").select("toxic", "text").mapInArrow(run, "toxic int, evidence double").limit(2 * calibration).toArrow()
@@ -248,11 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
-    kind, held = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for piece in pieces(batches):
-            model = held.value
             if np.isinf(model.at):
                 s = np.full(piece.num_rows, model.cut / 2)
             else:

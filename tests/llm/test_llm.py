@@ -180,6 +180,18 @@ def test_toxicity(docs, labels, edge, none):
     assert {r["score"] for r in toxicity.scores(edge, blank).collect()} == {0.15}
 
 
+def test_toxicity_keeps_all_evidence(spark):
+    """More words and bigrams than any fixed list would hold, each of which toxic documents use often enough."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:310_000]
+    counted = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 in (0, 1)][:10]
+    rows = [(i, " ".join(many) if n % 2 else "plain words of no note " * 50) for n, i in enumerate(counted)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, n % 2) for n, i in enumerate(counted)], "doc_id long, toxic int"))
+    assert model.known.size == len(many) and len({model.known[w] for w in many}) == len(many) and len(model.pairs) > 300_000
+    assert model.known["nowhere"] == model.known.size
+    assert min(model.evidence(" ".join(many[at : at + 5])) for at in range(0, len(many) - 5, 1000)) > model.evidence("plain words of no note") + 1
+
+
 def test_langid(docs, edge, none):
     model = langid.fit(docs)
     got = langid.predictions(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

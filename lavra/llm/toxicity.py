@@ -5,7 +5,9 @@ level: the continuation counts of both classes together. A rare expression there
 in both and says nothing, unless its own class counts do (class counts under `RARE` are wholly discounted). Words out
 of the vocabulary back off to their longest known prefix of 7, 6 or 5 letters, so that inflected forms share counts. A text's evidence is the largest length-normalised difference
 of the two log-likelihoods over its windows of `WINDOW` words (the whole text where that is shorter), so that a long
-text with one toxic passage isn't thinned out. The cut is set on learnable rows that the counts leave out (fold 3).
+text with one toxic passage isn't thinned out. All learnable documents are counted, by fold. The cut is cross-fitted over
+all of them: each is scored by the model of the other folds' counts, which are had from the same tables. There a word that
+the others don't know well enough is read as its prefix or as unknown; its few counts aren't added to those of these.
 
 Counts are made in Spark. The model keeps every word and prefix that toxic documents use `RARE` times or more and every
 bigram with a class count from `RARE` on: those below are wholly discounted, so nothing that bears evidence is left out.
@@ -37,8 +39,10 @@ FLUSH = 200_000
 RARE = 5
 DISCOUNT = 4.0  # of counts from RARE on
 PREFIXES = (7, 6, 5)
+FOLDS = (0, 1, 3)
+COUNTS = [f"{kind}_{part}" for part in FOLDS for kind in ("ordinary", "toxic")]
 LABELS = 4_000_000  # labelled ids that are broadcast (about 60 bytes each); beyond, the labelled texts are joined by a shuffle, once
-MEMO = 300_000  # words whose id a worker remembers; those of others are looked up again
+MEMO = 300_000  # words, and prefixes, whose id a worker remembers before it begins anew
 
 
 def words(text: str) -> list[str]:
@@ -51,7 +55,7 @@ class Ids(dict):
 
     def __init__(self, size: int, hashes: Shipped, ends: Shipped, letters: Shipped):
         super().__init__()
-        self.size, self.parts = size, (hashes, ends, letters)
+        self.size, self.parts, self.starts = size, (hashes, ends, letters), {}
 
     @classmethod
     def of(cls, spark: SparkSession, known: list[str]) -> Ids:
@@ -76,17 +80,19 @@ class Ids(dict):
         out = self.at(word)
         if out is None:
             out = next((i for n in PREFIXES if len(word) >= n and (i := self._prefix("-" + word[:n])) < self.size), self.size)
-        if len(self) < MEMO:
-            self[word] = out
+        if len(self) >= MEMO:
+            self.clear()  # common words are back at once
+        self[word] = out
         return out
 
     def _prefix(self, prefix: str) -> int:
-        out = self.get(prefix)
+        out = self.starts.get(prefix)
         if out is None:
             out = self.at(prefix)
             out = self.size if out is None else out
-            if len(self) < MEMO:
-                self[prefix] = out
+            if len(self.starts) >= MEMO:
+                self.starts.clear()
+            self.starts[prefix] = out
         return out
 
     def __reduce__(self):
@@ -99,29 +105,37 @@ def _ids_of(*parts) -> Ids:
     return Ids(*parts)
 
 
+def _both(left_out: int | None = None) -> list:
+    """The counts of toxic and of ordinary documents over all folds, or all but one."""
+    return [F.expr(" + ".join(f"{kind}_{part}" for part in FOLDS if part != left_out)).alias(kind) for kind in ("toxic", "ordinary")]
+
+
+def _summed(parts: DataFrame, key: str) -> DataFrame:
+    return parts.groupBy(key).agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
 def _count_words(rows: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): counts of every word of (toxic, text)."""
+    """(word, *COUNTS): counts of every word of (kind, text), kind being a place in COUNTS."""
 
     def run(batches):
-        held = Counter(), Counter()
+        held = [Counter() for _ in COUNTS]
 
         def out():
-            keys = list(held[0].keys() | held[1].keys())
+            keys = list(set().union(*held))
             for at in range(0, len(keys), 50_000):
                 some = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([h[k] for k in some], pa.int64()) for h in (held[1], held[0]))], ["word", "toxic", "ordinary"])
-            held[0].clear()
-            held[1].clear()
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([h[k] for k in some], pa.int64()) for h in held)], ["word", *COUNTS])
+            for h in held:
+                h.clear()
 
         for piece in pieces(batches):
-            for toxic, text in zip(piece.column(0).to_pylist(), texts(piece)):
-                held[toxic].update(words(text))
-            if len(held[0]) + len(held[1]) > FLUSH:
+            for kind, text in zip(piece.column(0).to_pylist(), texts(piece)):
+                held[kind].update(words(text))
+            if sum(map(len, held)) > FLUSH:
                 yield from out()
         yield from out()
 
-    parts = rows.mapInArrow(run, "word string, toxic long, ordinary long")
-    return parts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return _summed(rows.mapInArrow(run, ", ".join(["word string", *(f"{c} long" for c in COUNTS)])), "word")
 
 
 def _ids(text: str, known: Ids) -> np.ndarray:
@@ -134,15 +148,15 @@ def _ids(text: str, known: Ids) -> np.ndarray:
 
 
 def _count_pairs(rows: DataFrame, known: Ids) -> DataFrame:
-    """(pair, toxic, ordinary): counts of every bigram, pair = first * (ids) + second."""
+    """(pair, *COUNTS): counts of every bigram, pair = first * (ids) + second."""
 
     def run(batches):
         vocabulary = known
         size = vocabulary.size + 2
-        held, have = ([], []), 0
+        held, have = [[] for _ in COUNTS], 0
 
         def out():
-            keys = np.unique(np.concatenate([*held[0], *held[1], np.empty(0, np.int64)]))
+            keys = np.unique(np.concatenate([*(x for some in held for x in some), np.empty(0, np.int64)]))
             counts = [np.zeros(len(keys), np.int64) for _ in held]
             for which, some in zip(counts, held):
                 if some:
@@ -150,22 +164,32 @@ def _count_pairs(rows: DataFrame, known: Ids) -> DataFrame:
                     which[np.searchsorted(keys, k)] = n
             for at in range(0, len(keys), 100_000):
                 cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(counts[1][cut]), pa.array(counts[0][cut])], ["pair", "toxic", "ordinary"])
-            held[0].clear()
-            held[1].clear()
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), *(pa.array(n[cut]) for n in counts)], ["pair", *COUNTS])
+            for some in held:
+                some.clear()
 
         for piece in pieces(batches):
-            for toxic, text in zip(piece.column(0).to_pylist(), texts(piece)):
+            for kind, text in zip(piece.column(0).to_pylist(), texts(piece)):
                 ids = _ids(text, vocabulary)
-                held[toxic].append(ids[:-1] * size + ids[1:])
+                held[kind].append(ids[:-1] * size + ids[1:])
                 have += len(ids)
             if have > 4_000_000:
                 yield from out()
                 have = 0
         yield from out()
 
-    parts = rows.mapInArrow(run, "pair long, toxic long, ordinary long")
-    return parts.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return _summed(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["pair", *COUNTS])), "pair")
+
+
+def _moved(known: Ids, toxic: dict[str, int], spark: SparkSession) -> Shipped:
+    """For each id its id where only the words and prefixes of `toxic` (word: count) with `RARE` uses or more are known."""
+    out = np.arange(known.size + 2)
+    for word, count in toxic.items():
+        if count < RARE:
+            bare = word.lstrip("-")
+            shorter = ("-" + bare[:n] for n in PREFIXES if len(bare) >= n)  # a prefix itself isn't known either
+            out[known.at(word)] = next((known.at(p) for p in shorter if toxic.get(p, 0) >= RARE), known.size)
+    return ship_array(spark, [out], "i8")
 
 
 @dataclass(frozen=True)
@@ -175,6 +199,7 @@ class Model:
     at: float = 0.0
     steep: float = 1.0
     cut: float = 0.3
+    moved: Shipped | None = None  # new ids, where some of `known` aren't known to this model
 
     #: Sorted keys of the bigrams; (bigram, class): discounted count over the context's count; (context id, class): mass
     #: that backs off; (word id, class): Kneser-Ney unigram over the shared one.
@@ -184,12 +209,15 @@ class Model:
         ids = _ids(text, self.known)
         if len(ids) == 1:
             return 0.0
+        if self.moved:
+            ids = self.moved.array()[ids]
         first, second = ids[:-1], ids[1:]
         pairs = self.pairs
         p = self.spare[first] * self.lower[second]
         if len(pairs):
             key = first * (self.known.size + 2) + second
-            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            order, place = np.argsort(key), np.empty(len(key), np.int64)  # neighbours are found faster in order
+            place[order] = np.minimum(np.searchsorted(pairs, key[order]), len(pairs) - 1)
             p = p + np.where((pairs[place] == key)[:, None], self.direct[place], 0)
         sums = np.concatenate(([0.0], np.cumsum(np.log(p[:, 0] / p[:, 1]))))
         n = min(WINDOW, len(first))
@@ -204,7 +232,7 @@ def _kept(count: np.ndarray) -> np.ndarray:
     return np.where(count >= RARE, count - DISCOUNT, 0.0)
 
 
-def _model(known: Ids, pairs: DataFrame) -> Model:
+def _model(known: Ids, pairs: DataFrame, moved: Shipped | None = None) -> Model:
     """Kneser-Ney parameters from all bigram counts. Sums by context or by word come to the driver whole, bigrams in chunks."""
     spark, size = pairs.sparkSession, known.size + 2
     bears = f"greatest(toxic, ordinary) >= {RARE}"
@@ -222,7 +250,8 @@ def _model(known: Ids, pairs: DataFrame) -> Model:
     shared[at] = by.column(1).to_numpy()
     for c in (0, 1):
         kind[c][at] = by.column(2 + c).to_numpy()
-    base = (shared + 1) / (shared + 1).sum()
+    base = (shared + 1) * (moved.array() == np.arange(size) if moved else 1)
+    base /= base.sum()
     lower, spare = np.empty((size, 2)), np.ones((size, 2))
     for c in (0, 1):
         total = max(1.0, kind[c].sum())
@@ -249,7 +278,7 @@ def _model(known: Ids, pairs: DataFrame) -> Model:
             spare[:, c] -= np.bincount(context, out[:, c], size)  # what was discounted backs off
         kept.add(keys)
         direct.add(out)
-    return Model(known, (kept.ship(spark), direct.ship(spark), ship_array(spark, [spare], "f8", 2), ship_array(spark, [lower], "f8", 2)))
+    return Model(known, (kept.ship(spark), direct.ship(spark), ship_array(spark, [spare], "f8", 2), ship_array(spark, [lower], "f8", 2)), moved=moved)
 
 
 def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, cut: float) -> Model:
@@ -257,7 +286,7 @@ def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, cut: float
     bad = evidence[toxic == 1]
     if not len(bad) or len(bad) == len(evidence):
         return replace(model, at=float("inf"), steep=0.0, cut=cut)
-    order = np.argsort(-evidence)
+    order = np.lexsort((toxic, -evidence))  # equal evidence in an order that partitions don't change
     hits = np.cumsum(toxic[order] == 1)
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + len(bad))
     k = int(np.argmax(f1))
@@ -267,8 +296,8 @@ def _calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray, cut: float
     return replace(model, at=at, steep=4.0 / max(1e-6, float(np.median(bad)) - float(np.median(evidence))), cut=cut)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float = 0.3, calibration: int = 10_000, labels_most: int = LABELS) -> Model:
-    """Counts all learnable documents of folds 0 and 1; sets the cut on at most `calibration` ones of fold 3.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float = 0.3, labels_most: int = LABELS) -> Model:
+    """Counts all learnable documents and sets the cut on all of them, each by the model of the folds that it isn't in.
     Texts stay where they are read for up to `labels_most` labelled ids."""
     spark = docs.sparkSession
     known = materialise(learnable(labels, label_col), "labels")
@@ -276,21 +305,28 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", cut: float
     rows = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id").select(F.col("label").cast("int").alias("toxic"), "text", "doc_id")
     rows = rows.where("toxic in (0, 1)")
     rows = rows if few else materialise(rows, "labelled")
-    counted = rows.where(fold() != 3).select("toxic", "text")
-    whole = materialise(_count_words(counted), "words")
-    part = whole.select(F.explode(F.filter(F.array(*(F.when(F.length("word") >= n, F.concat(F.lit("-"), F.substring("word", 1, n))) for n in PREFIXES)), lambda x: x.isNotNull())).alias("word"), "toxic", "ordinary")
-    part = part.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    known = Ids.of(spark, whole.union(part).where(f"toxic >= {RARE}").select("word").toArrow().column("word").to_pylist())
-    pairs = materialise(_count_pairs(counted, known), "pairs")
-    model = _model(known, pairs)
+    part = F.array_position(F.array(*map(F.lit, FOLDS)), fold()).cast("int") - 1
+    rows = rows.select((part * 2 + F.col("toxic")).alias("kind"), "text")
+    whole = materialise(_count_words(rows), "words")
+    starts = F.filter(F.array(*(F.when(F.length("word") >= n, F.concat(F.lit("-"), F.substring("word", 1, n))) for n in PREFIXES)), lambda x: x.isNotNull())
+    prefixes = _summed(whole.select(F.explode(starts).alias("word"), *COUNTS), "word")
+    found = whole.union(prefixes).select("word", *_both(), *(_both(f)[0].alias(f"but_{f}") for f in FOLDS)).where(f"toxic >= {RARE}").drop("ordinary").toArrow()
+    names = found.column("word").to_pylist()
+    known = Ids.of(spark, names)
+    pairs = materialise(_count_pairs(rows, known), "pairs")
+    others = []
+    for f in FOLDS:
+        moved = _moved(known, dict(zip(names, found.column(f"but_{f}").to_pylist())), spark)
+        others.append(_model(known, pairs.select("pair", *_both(f)).where("toxic + ordinary > 0"), moved))
 
     def run(batches):
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([model.evidence(t) for t in texts(piece)], pa.float64())], ["toxic", "evidence"])
+            kinds = piece.column(0).to_numpy()
+            got = [others[k // 2].evidence(t) for k, t in zip(kinds, texts(piece))]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds % 2, pa.int32()), pa.array(got, pa.float64())], ["toxic", "evidence"])
 
-    apart = rows.where(fold() == 3).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(calibration)
-    got = rows.join(F.broadcast(apart.distinct()), "doc_id", "left_semi").select("toxic", "text").mapInArrow(run, "toxic int, evidence double").limit(2 * calibration).toArrow()
-    return _calibrate(model, got.column("evidence").to_numpy(), got.column("toxic").to_numpy(), cut)
+    got = rows.mapInArrow(run, "toxic int, evidence double").toArrow()
+    return _calibrate(_model(known, pairs.select("pair", *_both())), got.column("evidence").to_numpy(), got.column("toxic").to_numpy(), cut)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

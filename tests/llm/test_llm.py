@@ -192,6 +192,22 @@ def test_toxicity_keeps_all_evidence(spark):
     assert min(model.evidence(" ".join(many[at : at + 5])) for at in range(0, len(many) - 5, 1000)) > model.evidence("plain words of no note") + 1
 
 
+def test_toxicity_counts_every_fold(spark):
+    """A word whose toxic uses are mostly in fold 3; it is counted, and the model without that fold does not know it."""
+    by = {f: [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == f] for f in (0, 1, 3)}
+    rows = [(i, f"some grolnable{'abc'[n % 3]} thing {'vexlin' if f == 3 else 'murkish'} here {n % 7 * 'more '}" if n % 2 else f"some good thing {'abcd'[n % 4]} here") for f in by for n, i in enumerate(by[f][:14])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for f in by for n, i in enumerate(by[f][:14])], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.known.at("vexlin") is not None and model.evidence("thing vexlin here") > 0.1
+    counted = docs.join(labels, "doc_id").selectExpr("if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 3, 2, cast(crc32(cast(cast(doc_id as string) as binary)) % 4 as int)) * 2 + toxic as kind", "text")
+    assert sum(r[0] for r in toxicity._count_words(counted).selectExpr("toxic_0 + toxic_1 + toxic_3 + ordinary_0 + ordinary_1 + ordinary_3").collect()) == sum(len(toxicity.words(t)) for _, t in rows)
+    # A word that only fold 3 knows is unknown to the model that leaves this fold out, and others keep their ids.
+    but = {r["word"]: r["toxic_0"] + r["toxic_1"] for r in toxicity._count_words(counted).collect() if model.known.at(r["word"]) is not None}
+    moved = toxicity._moved(model.known, but, spark).array()
+    assert moved[model.known.at("vexlin")] == model.known.size and moved[model.known.at("thing")] == model.known.at("thing")
+
+
 def test_langid(docs, edge, none):
     model = langid.fit(docs)
     got = langid.predictions(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

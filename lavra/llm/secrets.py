@@ -35,6 +35,10 @@ PERCENT_ASCII = re.compile(r"(?:%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|0[9AaDd]))+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
 
+BAD = re.compile("[\udc80-\udcff]")
+# What a layer must hold for a base hit or a further encoding: the start of a kind, an escape, a run of base64.
+TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|(?:[A-Za-z0-9+/_-][\r\n]*){16}")
+
 Span = tuple[str, int, int]
 
 
@@ -64,16 +68,15 @@ class Layer:
 
 
 def _spread(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """UTF-8 bytes with a span each, as text with a span a character; None where it isn't readable text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+    """UTF-8 bytes with a span each, as text with a span a character; bytes that aren't UTF-8 read as U+FFFD, one each.
+    None where nothing in it could be found or decoded further."""
+    if not TELLING.search(data):
         return None
-    if not text or sum(c.isprintable() or c in "\n\r\t" for c in text) < len(text):
-        return None
-    lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    tail = np.append(lead[1:], len(data)) - 1
-    return text, starts[lead], ends[tail]
+    # A bad byte becomes one surrogate, so that characters and bytes stay in step.
+    text = data.decode("utf-8", "surrogateescape")
+    sizes = np.fromiter((1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
+    past = np.cumsum(sizes)
+    return BAD.sub("\ufffd", text), starts[past - sizes], ends[past - 1]
 
 
 def inflate(data: bytes, most: int = 1 << 26) -> bytes | None:
@@ -117,8 +120,15 @@ def _url(layer: Layer):
     """Runs of URL escapes as readable UTF-8; where a run isn't, its printable ASCII alone. Others stay as they are."""
 
     def read(a: int, b: int):
+        data = bytes.fromhex(layer.text[a:b].replace("%", ""))
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
         spans = [layer.span(i, i + 3) for i in range(a, b, 3)]
-        return _spread(bytes.fromhex(layer.text[a:b].replace("%", "")), np.array([x for x, _ in spans]), np.array([y for _, y in spans]))
+        lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        tail = np.append(lead[1:], len(data)) - 1
+        return text, np.array([x for x, _ in spans])[lead], np.array([y for _, y in spans])[tail]
 
     for m in PERCENT.finditer(layer.text):
         if out := read(*m.span()):

@@ -148,6 +148,26 @@ def test_secrets(edge, none):
     assert secrets.redacted(edge).columns == edge.columns
 
 
+def found_in(wrapped, kind="assign"):
+    """Whether a secret is found, and masked, in `wrapped` between other words."""
+    text = f"before {wrapped} after"
+    every = secrets.find(text)[1]
+    assert all(7 <= a and b <= len(text) - 6 for _, a, b in every)
+    return any(k == kind for k, _, _ in every)
+
+
+def test_secrets_in_odd_characters():
+    for odd in ("\u00a0", "\u202f", "\u3000", "\u200b", "\ufeff", "\f"):
+        body = f"mot de passe{odd}: {odd} voil\u00e0 password=hunter2hunter2".encode()
+        assert found_in(base64.b64encode(body).decode()) and found_in(base64.b64encode(zlib.compress(body)).decode())
+    for bad in (b"\xff", b"\xe9\xe9", b"\xe2\x82", b"\0"):
+        body = bad + b" text " + bad + b" password=hunter2hunter2 " + bad
+        assert found_in(base64.b64encode(body).decode()) and found_in(base64.b64encode(gzip.compress(base64.b64encode(body))).decode())
+    text = "x " + base64.b64encode(b"\xff\xe9 caf\xc3\xa9 AKIA" + b"A" * 16 + b" \xff").decode()
+    (_, a, b), = secrets.find(text)[1]
+    assert (a, b) == (2 + 9 * 4 // 3, 2 + (29 * 8 + 5) // 6)
+
+
 def test_mixing(spark, docs, edge, none):
     rng = np.random.default_rng(4)
     tokens, a, b = rng.integers(1, 100, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 4, 60)

@@ -33,12 +33,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 PERCENT_ASCII = re.compile(r"(?:%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|0[9AaDd]))+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+# Both alphabets at once, as a run may hold the signs of either; its lines may be wrapped.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n[ \t]*)?[A-Za-z0-9+/_-]){15,}={0,2}")
+STANDARD = bytes.maketrans(b"-_", b"+/")
 
 BAD = re.compile("[\udc80-\udcff]")
 # What a layer must hold for a base hit or a further encoding: the start of a kind, an escape, a run of base64.
 TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|(?:[A-Za-z0-9+/_-][\r\n]*){16}")
 
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+
 Span = tuple[str, int, int]
 
 
@@ -147,6 +151,21 @@ def _unicode(layer: Layer):
         yield (*m.span(), chr(value), np.array([a]), np.array([b]))
 
 
+def _read(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, end: int):
+    """Layers of bytes that come from the layer's characters first .. last: as text, and as compressed bodies, which may
+    begin behind other bytes. A body that uses up the bytes ends at character `end`."""
+    past = 0
+    for m in MAGIC.finditer(data):
+        if m.start() >= past and (body := inflate(data[m.start() :])):
+            past = len(data)
+            a, b = layer.span(int(first[m.start()]), end + 1)
+            if out := _spread(body, np.full(len(body), a), np.full(len(body), b)):
+                yield out
+    out = _spread(data, first, last + 1) if layer.starts is None else _spread(data, layer.starts[first], layer.ends[last])
+    if out:
+        yield out
+
+
 def unwrap(layer: Layer):
     """(text, starts, ends) of each layer below: the whole text without its URL or Unicode escapes, and each stretch that
     base64 or a compressed body reads; spans are of the whole text."""
@@ -156,25 +175,18 @@ def unwrap(layer: Layer):
     if "\\" in text and (out := _rewritten(layer, _unicode(layer))):
         yield out
     for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        keep = len(run) - (len(run) % 4 == 1)
-        try:
-            data = base64.b64decode(run[:keep].replace("-", "+").replace("_", "/") + "=" * (-keep % 4))
-        except ValueError:
-            continue
-        a, b = layer.span(*m.span())
-        if (body := inflate(data)) is not None:
-            out = _spread(body, np.full(len(body), a), np.full(len(body), b))
-        else:
-            # Byte k of the body comes from the characters 4k/3 .. of the run.
+        run = np.frombuffer(m[0].encode().translate(STANDARD).rstrip(b"="), np.uint8)
+        place = np.flatnonzero(run > 32)  # without line breaks and indents
+        run, place = run[place], place + m.start()
+        # The run may begin behind other signs of its alphabet, such as a path, so that each alignment may be its own.
+        for skip in range(4):
+            some = run[skip:].tobytes()
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            data = base64.b64decode(some + b"=" * (-len(some) % 4))
+            # Byte k of the body comes from the signs 4k/3 .. of the run.
             k = np.arange(len(data))
-            first, last = m.start() + k * 4 // 3, np.minimum(m.start() + (k * 8 + 7) // 6, m.end() - 1)
-            if layer.starts is None:
-                out = _spread(data, first, last + 1)
-            else:
-                out = _spread(data, layer.starts[first], layer.ends[last])
-        if out:
-            yield out
+            first, last = place[skip + k * 4 // 3], place[np.minimum(skip + (k * 8 + 7) // 6, len(place) - 1)]
+            yield from _read(layer, data, first, last, m.end() - 1)
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

@@ -168,6 +168,19 @@ def test_secrets_in_odd_characters():
     assert (a, b) == (2 + 9 * 4 // 3, 2 + (29 * 8 + 5) // 6)
 
 
+def test_secrets_in_any_base64():
+    rng = random.Random(3)
+    for n in range(40):
+        body = zlib.compress(rng.randbytes(300) + b" password=hunter2hunter2 " + rng.randbytes(100))
+        assert found_in(base64.urlsafe_b64encode(body).decode().rstrip("="))
+        assert found_in("/x/ab"[: n % 6] + base64.b64encode(body).decode()) and found_in(base64.encodebytes(body).decode().strip())
+    plain = b"some??text~~ with??? signs~~~ password=hunter2hunter2 and more of it, so that lines are wrapped within"
+    for skip in range(3):
+        assert found_in(base64.urlsafe_b64encode(b"~?"[:skip] + plain).decode())
+        wrapped = base64.b64encode(plain).decode()
+        assert found_in("\r\n".join(wrapped[i : i + 43 + skip] for i in range(0, len(wrapped), 43 + skip)))
+
+
 def test_mixing(spark, docs, edge, none):
     rng = np.random.default_rng(4)
     tokens, a, b = rng.integers(1, 100, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 4, 60)

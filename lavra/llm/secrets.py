@@ -16,6 +16,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ BAD = re.compile("[\udc80-\udcff]")
 TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|(?:[A-Za-z0-9+/_-][\r\n]*){16}")
 
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+PIECE, PART, OVERLAP = 1 << 20, 1 << 22, 1 << 16  # bytes of inflated bodies
+# The start of a compressed body in escapes, and runs of such bytes.
+MAGICAL = re.compile(r"(?i:(?:%|\\x|\\u00)(?:8b|01|5e|9c|da|78|42|5a|68|fd))|x\^|BZh[1-9]|7zXZ")
+URL_RUN, URL_BYTE = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+"), re.compile(r"%[0-9A-Fa-f]{2}|[!-~]")
+SHORT = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\\": "\\", "'": "'", '"': '"'}
+X_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrtabfv0\\'"]|[ -~]""")
+X_RUN = re.compile(r"""[ -~]+""")
 
 Span = tuple[str, int, int]
 
@@ -83,18 +91,40 @@ def _spread(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.
     return BAD.sub("\ufffd", text), starts[past - sizes], ends[past - 1]
 
 
-def inflate(data: bytes, most: int = 1 << 26) -> bytes | None:
-    """The body of a gzip, zlib, bzip2 or xz stream; None for other bytes. `most` stops decompression bombs."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return None
+def inflate(data: bytes, used: list[int]) -> Iterator[bytes]:
+    """The output of all gzip, zlib, bzip2 and xz members from the first byte on, in pieces, up to a fault or other bytes.
+    used[0] becomes the end of the last whole member, or of the bytes where the last one isn't whole."""
+    rest = data
+    while m := MAGIC.match(rest):
+        zipped = m[0][:1] in b"\x1f\x78"
+        tool = zlib.decompressobj(47) if zipped else bz2.BZ2Decompressor() if m[0][:1] == b"B" else lzma.LZMADecompressor()
+        used[0], left = len(data), rest
+        try:
+            while not tool.eof:
+                piece = tool.decompress(left, PIECE)
+                left = tool.unconsumed_tail if zipped else b""
+                if piece:
+                    yield piece
+                elif not left and not tool.eof and (zipped or tool.needs_input):
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        rest = tool.unused_data.lstrip(b"\0")
+        used[0] = len(data) - len(rest)
+
+
+def _joined(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces joined to parts of about `PART` bytes that end outside any run of an encoding and overlap by `OVERLAP`, so
+    that memory doesn't grow with a body; one unbroken run stays whole."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) >= PART and (at := max(piece.rfind(x) for x in (b" ", b",", b'"', b"}", b";", b"\0"))) >= 0:
+            at += len(held) - len(piece)
+            yield bytes(held[:at])
+            del held[: max(0, at - OVERLAP)]
+    if held:
+        yield bytes(held)
 
 
 def _rewritten(layer: Layer, found) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -151,21 +181,53 @@ def _unicode(layer: Layer):
         yield (*m.span(), chr(value), np.array([a]), np.array([b]))
 
 
-def _read(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, end: int):
+def _read(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, end: int, text: bool = True):
     """Layers of bytes that come from the layer's characters first .. last: as text, and as compressed bodies, which may
     begin behind other bytes. A body that uses up the bytes ends at character `end`."""
     past = 0
     for m in MAGIC.finditer(data):
-        if m.start() >= past and (body := inflate(data[m.start() :])):
-            past = len(data)
-            a, b = layer.span(int(first[m.start()]), end + 1)
+        if m.start() < past:
+            continue
+        used = [0]
+        # Where a body ends is known only behind its last part, and all parts map to the whole stretch.
+        size = sum(map(len, inflate(data[m.start() :], used)))
+        if not size:
+            continue
+        past = m.start() + used[0]
+        a, b = layer.span(int(first[m.start()]), end + 1 if past == len(data) else int(last[past - 1]) + 1)
+        for body in _joined(inflate(data[m.start() :], used)):
             if out := _spread(body, np.full(len(body), a), np.full(len(body), b)):
                 yield out
+    if not text:
+        return
     out = _spread(data, first, last + 1) if layer.starts is None else _spread(data, layer.starts[first], layer.ends[last])
     if out:
         yield out
 
 
+def _escaped(layer: Layer):
+    """Compressed bodies in URL, \\x or \\u00 escapes, whose other bytes stand as themselves."""
+    for run, token in (URL_RUN, URL_BYTE), (X_RUN, X_BYTE):
+        for m in run.finditer(layer.text):
+            if not MAGICAL.search(m[0]):
+                continue
+            found = [(t.start(), t.end() - 1, _byte(t[0])) for t in token.finditer(layer.text, *m.span())]
+            first, last, values = (np.array(x, np.int64) for x in zip(*found))
+            data = values.astype(np.uint8).tobytes()
+            yield from _read(layer, data, first, last, m.end() - 1, text=False)
+            if token is URL_BYTE and "+" in m[0]:  # a space in forms
+                plus = np.array([layer.text[i] == "+" for i in first])
+                yield from _read(layer, np.where(plus, 32, values).astype(np.uint8).tobytes(), first, last, m.end() - 1, text=False)
+
+
+def _byte(token: str) -> int:
+    if token[0] == "%" and len(token) == 3:
+        return int(token[1:], 16)
+    if token[0] == "\\" and len(token) > 1:
+        return int(token[2:], 16) if token[1] in "xu" else ord(SHORT[token[1]])
+    return ord(token)
+
+
 def unwrap(layer: Layer):
     """(text, starts, ends) of each layer below: the whole text without its URL or Unicode escapes, and each stretch that
     base64 or a compressed body reads; spans are of the whole text."""
@@ -174,6 +236,8 @@ def unwrap(layer: Layer):
         yield out
     if "\\" in text and (out := _rewritten(layer, _unicode(layer))):
         yield out
+    if MAGICAL.search(text):
+        yield from _escaped(layer)
     for m in BASE64.finditer(text):
         run = np.frombuffer(m[0].encode().translate(STANDARD).rstrip(b"="), np.uint8)
         place = np.flatnonzero(run > 32)  # without line breaks and indents
@@ -197,18 +261,22 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     done: set[bytes] = set()  # layers by text and spans: escapes of two codings come off in either order
-    work = [Layer(text, None, None, frozenset([hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()]))]
+    top = Layer(text, None, None, frozenset([hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()]))
+    work = [(top, unwrap(top))]  # depth first, so that one part of a body is held at a time
     while work:
-        layer = work.pop()
-        for inner, starts, ends in unwrap(layer):
-            mark = hashlib.blake2b(inner.encode(errors="replace"), digest_size=16).digest()
-            whole = hashlib.blake2b(mark + starts.tobytes() + ends.tobytes(), digest_size=16).digest()
-            if mark in layer.path or whole in done:
-                continue
-            done.add(whole)
-            below = Layer(inner, starts, ends, layer.path | {mark})
-            seen.update((kind, *below.span(a, b)) for kind, a, b in scan(inner))
-            work.append(below)
+        layer, below = work[-1]
+        if (got := next(below, None)) is None:
+            work.pop()
+            continue
+        inner, starts, ends = got
+        mark = hashlib.blake2b(inner.encode(errors="replace"), digest_size=16).digest()
+        whole = hashlib.blake2b(mark + starts.tobytes() + ends.tobytes(), digest_size=16).digest()
+        if mark in layer.path or whole in done:
+            continue
+        done.add(whole)
+        under = Layer(inner, starts, ends, layer.path | {mark})
+        seen.update((kind, *under.span(a, b)) for kind, a, b in scan(inner))
+        work.append((under, unwrap(under)))
     return sorted(base, key=order), sorted(seen, key=order)
 
 

@@ -181,6 +181,22 @@ def test_secrets_in_any_base64():
         assert found_in("\r\n".join(wrapped[i : i + 43 + skip] for i in range(0, len(wrapped), 43 + skip)))
 
 
+def test_secrets_in_whole_bodies():
+    import bz2
+    import lzma
+    from urllib.parse import quote, quote_plus
+
+    secret = b"password=hunter2hunter2"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for body in (pack(b"nothing here") + pack(secret), pack(secret)):
+            assert found_in(base64.b64encode(body).decode())
+            assert found_in(quote(body)) and found_in("".join(f"%{x:02x}" for x in body)) and found_in(quote_plus(body))
+            assert found_in(str(body)) and found_in("".join(f"\\x{x:02x}" for x in body)) and found_in("".join(f"\\u{x:04x}" for x in body))
+    for fill in (b"\xc3\xa9 " * (23 << 20), b"a" * 1000 + b" " + b"\0" * (68 << 20)):
+        assert found_in(base64.b64encode(zlib.compress(fill + b" " + secret)).decode())
+    assert secrets.find("nothing " + base64.b64encode(zlib.compress(b"still nothing")).decode())[1] == []
+
+
 def test_mixing(spark, docs, edge, none):
     rng = np.random.default_rng(4)
     tokens, a, b = rng.integers(1, 100, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 4, 60)

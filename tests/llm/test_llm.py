@@ -292,3 +292,13 @@ def test_pipeline(spark, docs):
     for r in got.itertuples():
         clean = secrets.redact(text[r.doc_id], secrets.find(text[r.doc_id])[1])
         assert tool.decode(list(r.token_ids)) == clean.encode() and r.n_tokens == len(r.token_ids)
+
+
+def test_pipeline_near_dedup_by_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    one, two, three = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, two), (-3, one), (5, two), (None, two), (None, three), (None, three), (9, one)]
+    got = corpus_pipeline.distinct(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS), SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(-3, one), (5, two), (0, three)])

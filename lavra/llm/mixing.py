@@ -65,7 +65,7 @@ def probabilities(tokens: np.ndarray, w: np.ndarray, fraction: float) -> np.ndar
     return np.minimum(1.0, w * (c[fits[0]] if len(fits) else np.inf)) if fraction < 1 else np.ones(len(w))
 
 
-def _rake_table(cells: DataFrame, keys: list[str], power: float, fraction: float, rounds: int = 40) -> DataFrame:
+def _rake_table(cells: DataFrame, keys: list[str], power: float, fraction: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """`rake` and `probabilities` for more cells than the driver should hold: a join with a margin's sums for each step."""
     now = cells.withColumn("mix_weight", F.lit(1.0))
     total = cells.agg(F.sum("mix_tokens")).first()[0] or 0
@@ -75,18 +75,25 @@ def _rake_table(cells: DataFrame, keys: list[str], power: float, fraction: float
         lifted = sums.agg(F.sum("g")).first()[0] or 1.0
         goal[k] = materialise(sums.select(k, (F.col("g") / lifted * total).alias("goal")), "margin")
     for _ in range(rounds):
+        worst = 0.0
         for k in keys:
-            have = now.groupBy(k).agg(F.sum(F.expr("mix_weight * mix_tokens")).alias("have")).join(goal[k], k)
-            now = now.join(have, k, "left").withColumn("mix_weight", F.expr("mix_weight * if(have > 0, goal / have, 1)")).drop("have", "goal")
+            have = materialise(now.groupBy(k).agg(F.sum(F.expr("mix_weight * mix_tokens")).alias("have")).join(goal[k], k).selectExpr(f"`{k}`", "if(have > 0, goal / have, 1) as ratio"), "ratios")
+            worst = max(worst, have.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
+            now = now.join(have, k, "left").withColumn("mix_weight", F.expr("mix_weight * coalesce(ratio, 1)")).drop("ratio")
         now = materialise(now, "raked")
-    low, high = 0.0, 1.0
-    expected = lambda c: now.agg(F.sum(F.expr(f"mix_tokens * least(1d, {c!r}d * mix_weight)"))).first()[0] or 0
-    while expected(high) < fraction * total * (1 - 1e-9) and high < 1e9:
-        high *= 2
-    for _ in range(30):
-        mid = (low + high) / 2
-        low, high = (mid, high) if expected(mid) < fraction * total else (low, mid)
-    return now.withColumn("mix_probability", F.expr(f"least(1d, {high!r}d * mix_weight)"))
+        if worst < tolerance:
+            break
+    if fraction >= 1:
+        return now.withColumn("mix_probability", F.lit(1.0))
+    # The factor grows until no further cell reaches 1; each step is exact for the cells that are at 1 by then.
+    factor = 0.0
+    while True:
+        capped = f"{factor!r}d * mix_weight >= 1"
+        full, open_ = now.agg(F.sum(F.expr(f"if({capped}, mix_tokens, 0)")), F.sum(F.expr(f"if({capped}, 0, mix_tokens * mix_weight)"))).first()
+        if not open_ or (step := (fraction * total - full) / open_) <= factor * (1 + 1e-12):
+            break
+        factor = float(step)
+    return now.withColumn("mix_probability", F.expr(f"least(1d, {factor!r}d * mix_weight)"))
 
 
 def calibrated(docs: DataFrame, power: float = 0.7, fraction: float = 0.5, source: str = "source", lang: str = "lang", text: str = "text", cells_most: int = CELLS, seed: int = 11) -> DataFrame:

@@ -218,6 +218,25 @@ def test_mixing(spark, docs, edge, none):
     assert mixing.calibrated(edge).count() == len(EDGE) and mixing.sampled(none).count() == 0
 
 
+def test_mixing_is_the_same_by_table(spark):
+    rng = np.random.default_rng(9)
+    # Sparse and uneven cells, so that raking takes many rounds and some cells reach probability 1.
+    rows = [(i, " ".join(["w"] * int(n)), f"l{(i + i // 9) % 4 if i % 5 else i % 4}", f"s{i % 9}", 1) for i, n in enumerate(rng.choice([2, 40, 60, 200, 400, 1600], 60))]
+    docs = spark.createDataFrame(rows, DOCS)
+    for fraction in (0.95,):
+        small, large = (mixing.calibrated(docs, fraction=fraction, cells_most=n).orderBy("doc_id").toPandas() for n in (1000, 0))
+        assert np.allclose(small["mix_weight"], large["mix_weight"], rtol=1e-6) and np.allclose(small["mix_probability"], large["mix_probability"], atol=1e-6)
+        assert small["mix_kept"].equals(large["mix_kept"])
+
+
+def test_mixing_table_stops_when_raked(spark, monkeypatch):
+    calls, write = [], mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: calls.append(name) or write(df, name))
+    docs = spark.createDataFrame([(i, "w " * 60, f"l{i % 2}", f"s{i // 2 % 2}", 1) for i in range(8)], DOCS)
+    assert {r["mix_probability"] for r in mixing.calibrated(docs, cells_most=0).collect()} == {0.5}
+    assert calls.count("raked") <= 2
+
+
 def test_toxicity(docs, labels, edge, none):
     model = toxicity.fit(docs, labels)
     got = toxicity.scores(docs, model).join(labels, "doc_id").toPandas()

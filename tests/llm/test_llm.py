@@ -118,14 +118,98 @@ def test_bpe(docs, edge, none):
     assert bpe.digests(none).count() == 0
 
 
-def test_attribution(edge, none):
-    lengths, starts = np.array([3, 3, 4]), np.array([0, 4, 8])
-    assert attribution.allocate(lengths, starts, "start")[0].tolist() == [2, 1, 0]
-    assert attribution.allocate(lengths, starts, "majority")[0].tolist() == [1, 2, 0]
-    assert attribution.allocate(lengths, starts, "split")[0].sum() == pytest.approx(3)
+def test_attribution(spark, edge, none):
+    first, last, starts = np.array([0, 3, 6]), np.array([2, 5, 9]), np.array([0, 4, 8])
+    assert attribution.allocate(first, last, starts, "start")[0].tolist() == [2, 1, 0]
+    assert attribution.allocate(first, last, starts, "majority")[0].tolist() == [1, 2, 0]
+    assert attribution.allocate(first, last, starts, "split")[0].tolist() == pytest.approx([4 / 3, 2 / 3 + 0.5, 0.5])
     for r in attribution.counts(edge).collect():
         assert sum(map(int, r["section_tokens"].split(","))) == r["n_tokens"]
-    assert attribution.counts(none).count() == 0
+    assert attribution.counts(none).count() == 0 and attribution.sections(none).count() == 0
+    by = {(r["doc_id"], r["section"]): (r["start"], r["end"], r["n_tokens"]) for r in attribution.sections(edge.where("doc_id = 7"), fields=["source", "text"]).collect()}
+    assert by[7, 0][:2] == (0, 2) and by[7, 1][:2] == (2, 20) and by[7, 0][2] + by[7, 1][2] == len(bpe.replayer(bpe.default_path()).encode(["t\nthe same text here"])[0])
+
+
+def brute_sections(text):
+    out, at = [], 0
+    for line in text.split("\n"):
+        out.append((at, at + len(line) + 1))
+        at += len(line) + 1
+    if len(out) > 1 and text.endswith("\n"):
+        out.pop()
+    return [*out[:-1], (out[-1][0], len(text))]
+
+
+def brute_counts(text, real, rule="majority"):
+    """(tokens, crossing tokens, tokens of each line) by one comparison a token and line."""
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]
+    lines, at, crossing = brute_sections(text), 0, 0
+    got = [0] * len(lines)
+    ids = real.encode_ordinary(text)
+    for token in ids:
+        size = len(real.decode_single_token_bytes(token))
+        a, b = owner[at], owner[at + size - 1] + 1
+        at += size
+        shared = [max(0, min(b, y) - max(a, x)) for x, y in lines]
+        crossing += sum(map(bool, shared)) > 1
+        if rule == "split":
+            got = [g + s / (b - a) for g, s in zip(got, shared)]
+        else:
+            got[shared.index(max(shared)) if rule == "majority" else next(i for i, s in enumerate(shared) if s)] += 1
+    return len(ids), crossing, got
+
+
+@pytest.fixture(scope="module")
+def real():
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_path()), special_tokens={})
+
+
+def test_op8_against_brute_force(spark, real):
+    from lavra.llm.queries import op8_token_counts
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = op8_token_counts(spark, tiny).collect()
+    assert len(got) == len(text)
+    for r in got:
+        n, crossing, by = brute_counts(text[r["doc_id"]], real)
+        assert (r["n_tokens"], r["n_crossing"], r["n_sections"], r["section_tokens"]) == (n, crossing, len(by), ",".join(map(str, by)))
+    rng = random.Random(6)
+    odd = ["".join(rng.choices("ab c\n\n\u00e9\U0001f600\r .", k=rng.choice([0, 1, 5, 80]))) for _ in range(200)] + ["x " * 1_200_000, ""]
+    table = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for rule in attribution.RULES:
+        for r in attribution.counts(table, rule).collect():
+            if len(text := odd[r["doc_id"]]) > 1000:
+                assert r["section_tokens"] == str(r["n_tokens"] if rule != "split" else float(r["n_tokens"]))
+                continue
+            n, crossing, by = brute_counts(text, real, rule)
+            assert (r["n_tokens"], r["n_crossing"]) == (n, crossing) and [float(x) for x in r["section_tokens"].split(",")] == pytest.approx(by)
+
+
+def test_op4_against_the_library(spark, real):
+    import hashlib
+
+    from lavra.llm.queries import op4_bpe
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for r in op4_bpe(spark, tiny).collect():
+        ids = real.encode_ordinary(text[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text[r["doc_id"]].encode()))
+    tool = bpe.Replay(bpe.load_ranks(bpe.default_path()))
+    many = [f"word{i} of{i * 7}some thing{'a' * (i % 50)}" for i in range(3000)]
+    held, bpe.WORDS = bpe.WORDS, 2000
+    try:  # what is forgotten, and what is had from the words known before
+        for at in (0, 500, 1000, 600, 0):
+            assert tool.encode(many[at : at + 900]) == real.encode_ordinary_batch(many[at : at + 900])
+    finally:
+        bpe.WORDS = held
+    runs = ["a" * n for n in range(1, 120)] + ["ab" * n + "a" * n for n in range(60)] + [" " * n for n in range(60)] + ["\n" * n for n in range(60)]
+    assert tool.encode(runs) == real.encode_ordinary_batch(runs)
 
 
 def test_secrets(edge, none):

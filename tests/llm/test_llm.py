@@ -323,11 +323,12 @@ def test_mixing_table_stops_when_raked(spark, monkeypatch):
 
 def test_toxicity(docs, labels, edge, none):
     model = toxicity.fit(docs, labels)
-    got = toxicity.scores(docs, model).join(labels, "doc_id").toPandas()
-    assert (got["predicted"] == got["toxic"]).mean() > 0.85
+    got = toxicity.scores(docs, model).join(labels, "doc_id").where("held_out").toPandas()
+    bad, hit = got["toxic"] == 1, got["predicted"] == 1
+    assert (bad & hit).sum() / bad.sum() > 0.6 and (bad & hit).sum() / hit.sum() > 0.6
     assert toxicity.scores(edge, model).count() == len(EDGE) and toxicity.scores(none, model).count() == 0
     joined = toxicity.fit(docs, labels, labels_most=0)
-    assert np.array_equal(joined.direct, model.direct) and np.array_equal(joined.lower, model.lower) and joined.at == model.at
+    assert np.array_equal(joined.counts, model.counts) and np.array_equal(joined.lower, model.lower) and joined.at == model.at
     blank = toxicity.fit(docs, labels.where("false"))
     assert {r["score"] for r in toxicity.scores(edge, blank).collect()} == {0.15}
 
@@ -339,25 +340,74 @@ def test_toxicity_keeps_all_evidence(spark):
     counted = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 in (0, 1)][:10]
     rows = [(i, " ".join(many) if n % 2 else "plain words of no note " * 50) for n, i in enumerate(counted)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, n % 2) for n, i in enumerate(counted)], "doc_id long, toxic int"))
-    assert model.known.size == len(many) and len({model.known[w] for w in many}) == len(many) and len(model.pairs) > 300_000
-    assert model.known["nowhere"] == model.known.size
-    assert min(model.evidence(" ".join(many[at : at + 5])) for at in range(0, len(many) - 5, 1000)) > model.evidence("plain words of no note") + 1
-
-
-def test_toxicity_counts_every_fold(spark):
-    """A word whose toxic uses are mostly in fold 3; it is counted, and the model without that fold does not know it."""
-    by = {f: [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == f] for f in (0, 1, 3)}
-    rows = [(i, f"some grolnable{'abc'[n % 3]} thing {'vexlin' if f == 3 else 'murkish'} here {n % 7 * 'more '}" if n % 2 else f"some good thing {'abcd'[n % 4]} here") for f in by for n, i in enumerate(by[f][:14])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, n % 2) for f in by for n, i in enumerate(by[f][:14])], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels)
-    assert model.known.at("vexlin") is not None and model.evidence("thing vexlin here") > 0.1
-    counted = docs.join(labels, "doc_id").selectExpr("if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 3, 2, cast(crc32(cast(cast(doc_id as string) as binary)) % 4 as int)) * 2 + toxic as kind", "text")
-    assert sum(r[0] for r in toxicity._count_words(counted).selectExpr("toxic_0 + toxic_1 + toxic_3 + ordinary_0 + ordinary_1 + ordinary_3").collect()) == sum(len(toxicity.words(t)) for _, t in rows)
-    # A word that only fold 3 knows is unknown to the model that leaves this fold out, and others keep their ids.
-    but = {r["word"]: r["toxic_0"] + r["toxic_1"] for r in toxicity._count_words(counted).collect() if model.known.at(r["word"]) is not None}
-    moved = toxicity._moved(model.known, but, spark).array()
-    assert moved[model.known.at("vexlin")] == model.known.size and moved[model.known.at("thing")] == model.known.at("thing")
+    assert model.known.size == len(many) and len(set(model.known.resolve(many).tolist())) == len(many) and len(model.pairs) > 300_000
+    assert model.known.resolve(["nowhere"]).tolist() == [model.known.size]
+    assert model.evidence([" ".join(many[at : at + 5]) for at in range(0, len(many) - 5, 1000)])[0].min() > model.evidence(["plain words of no note"])[0][0] + 1
+
+
+class BruteModel:
+    """The two models by dictionaries, from the texts of all documents but one."""
+
+    def __init__(self, rows, skip):
+        from collections import Counter
+
+        use = Counter()
+        for i, (text, toxic) in enumerate(rows):
+            if toxic and i != skip:
+                for w in toxicity.words(text):
+                    use.update(toxicity.forms(w))
+        self.known = {w for w, n in use.items() if n >= toxicity.RARE}
+        self.pairs = [Counter(), Counter()]
+        for i, (text, toxic) in enumerate(rows):
+            if i != skip:
+                ids = ["<s>", *map(self.id, toxicity.words(text))]
+                self.pairs[1 - toxic].update(zip(ids, ids[1:]))
+
+    def id(self, word):
+        return next((f for f in toxicity.forms(word) if f in self.known), "<unk>")
+
+    def evidence(self, text):
+        from math import log
+
+        kept = lambda n: n - toxicity.DISCOUNT if n >= toxicity.RARE else 0.0
+        every = set(self.pairs[0]) | set(self.pairs[1])
+        shared = {w: 1 + sum(b == w for _, b in every) for w in [*self.known, "<unk>", "<s>"]}
+        ids = ["<s>", *map(self.id, toxicity.words(text))]
+        ratios = []
+        for h, w in zip(ids, ids[1:]):
+            p = []
+            for own in self.pairs:
+                kinds = {}
+                for _, b in own:
+                    kinds[b] = kinds.get(b, 0) + 1
+                total = max(1, sum(kinds.values()))
+                low = kept(kinds.get(w, 0)) / total + (1 - sum(map(kept, kinds.values())) / total) * shared[w] / sum(shared.values())
+                begun = max(1, sum(n for (a, _), n in own.items() if a == h))
+                p.append(kept(own[h, w]) / begun + (1 - sum(kept(n) for (a, _), n in own.items() if a == h) / begun) * low)
+            ratios.append(log(p[0] / p[1]))
+        n = min(toxicity.WINDOW, len(ratios))
+        return max(sum(ratios[i : i + n]) / n for i in range(len(ratios) - n + 1))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Evidence of new texts by the whole model, and of counted texts by the model without them."""
+    rng = random.Random(11)
+    common, vile = ["plain", "words", "of", "note", "here", "some", "grolnable"], ["vexlin", "murkish", "murkisha", "murkishly"]
+    counted = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    rows = []
+    for n, i in enumerate(counted):
+        said = rng.choices(common, k=rng.randint(1, 14))
+        rows.append((" ".join([*said, *(rng.choices(vile, k=2) if n % 3 == 0 else []), *rng.choices(common, k=3)]), int(n % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(counted, rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(counted, rows)], "doc_id long, toxic int")
+    model, brute = toxicity.fit(docs, labels), BruteModel(rows, None)
+    fresh = ["vexlin murkish here", "some murkishable vexlin of note", "plain words", "grolnable", "unheard of", "", "of " * 40]
+    got = model.evidence(fresh)[0]
+    for text, value in zip(fresh, got):
+        assert value == pytest.approx(brute.evidence(text) if text else 0.0, abs=1e-9)
+    # Without a text: what is under the cutoff counts as its own, which moves shared continuations by a little.
+    for k in (0, 1, 3, 4, 6):
+        assert model.without(*rows[k]) == pytest.approx(BruteModel(rows, k).evidence(rows[k][0]), abs=0.35)
 
 
 def test_langid(docs, edge, none):

@@ -43,13 +43,13 @@ from lavra.runtime import materialise
 CHUNK = 2_000_000  # bigrams that the driver holds at a time
 WINDOW = 3
 WORD = re.compile(r"[^\W\d_]+")
-FLUSH = 4_000_000  # words whose bigrams a task counts at a time
+FLUSH = 1_000_000  # words whose bigrams a task counts at a time
 RARE = 5
 DISCOUNT = 4.0  # of counts from RARE on
 PREFIXES = (7, 6, 5)
 SAMPLE = 10_000  # labelled documents that the cut is set on
 LABELS = 4_000_000  # labelled ids that are broadcast (about 60 bytes each); beyond, the labelled texts are joined by a shuffle, once
-MEMO = 400_000  # words whose id a worker remembers before it begins anew
+MEMO = 250_000  # words whose id a worker remembers before it begins anew
 
 
 def words(text: str) -> list[str]:
@@ -152,7 +152,7 @@ def _count_words(rows: DataFrame) -> DataFrame:
         for piece in pieces(batches):
             for text in texts(piece):
                 held.update(words(text))
-            if len(held) > 200_000:
+            if len(held) > 100_000:
                 yield from out()
         yield from out()
 

@@ -1,4 +1,4 @@
-"""TF-IDF as a long table, centroids, cosine top-k, components and themes."""
+"""TF-IDF as a long table, centroids, cosine top-k, components, clusters and themes."""
 
 from __future__ import annotations
 
@@ -7,29 +7,45 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import ngrams, tokens
+from lavra.functions.text import delimited_set, ngrams, tokens
+from lavra.operators.graph import components
+from lavra.runtime import materialise
+
+PROFILES = 256  # profiles whose weights are put side by side and broadcast
+CELLS = 4_000_000  # and their weights in all (about 32 MB); beyond, terms are joined
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bigrams: bool = True) -> DataFrame:
-    """(doc_id, term, tf) of words of three or more and their bigrams."""
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
+    """(doc_id, term, tf) of words of three or more and their bigrams, written once. Texts are dealt by id before they are
+    split, so that the many terms of a document are counted where they arise."""
+    words = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("w"))
     terms = F.concat("w", ngrams(F.col("w"), 2)) if bigrams else F.col("w")
-    return words.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return materialise(words.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "terms")
+
+
+def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000) -> DataFrame:
+    """(term, idf): the most frequent terms within the bounds of document frequency."""
+    known = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return known.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighted(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, term, w): raw tf x idf of the known terms (`vocabulary`, bounded), rows at length 1, written once."""
+    rows = counts.join(F.broadcast(known), "term").groupBy("doc_id").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("raw"))).alias("t"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["raw"] * x["raw"])))
+    return materialise(rows.select("doc_id", "norm", F.explode("t").alias("x")).select("doc_id", "x.term", (F.col("x.raw") / F.col("norm")).alias("w")), "weights")
 
 
 def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000) -> DataFrame:
-    """(doc_id, term, w): raw tf x (ln((1 + n) / (1 + df)) + 1), rows at length 1. The vocabulary is the most frequent terms within the df bounds."""
-    vocabulary = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = counts.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    """(doc_id, term, w): raw tf x (ln((1 + n) / (1 + df)) + 1), rows at length 1."""
+    return weighted(counts, vocabulary(counts, n_docs, min_df, max_df, max_features))
 
 
 def centroids(weights: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, term, w): mean vectors of the members (doc_id, cluster)."""
+    """(cluster, term, w): mean vectors of the members (doc_id, cluster), written once."""
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    return weights.join(members, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("s")).join(F.broadcast(size), "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias("w"))
+    sums = weights.join(members, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("s"))
+    return materialise(sums.join(size, "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias("w")), "centroids")
 
 
 def top_terms(centres: DataFrame, n: int = 12, least: int = 4) -> DataFrame:
@@ -37,12 +53,19 @@ def top_terms(centres: DataFrame, n: int = 12, least: int = 4) -> DataFrame:
     return centres.where(F.length("term") >= least).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def cosine_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id, profile, cosine) of sparse rows (id, term, w) with profiles (profile, term, w): only shared terms meet."""
+def cosine_pairs(a: DataFrame, b: DataFrame, where: str = "true") -> DataFrame:
+    """(id, profile, cosine) of sparse rows (id, term, w) with profiles (profile, term, w), of those that share a term; `where` is a
+    condition on id and profile. A few profiles go to the rows side by side; for many, rows and profiles meet by term."""
+    nb = materialise(b.groupBy("profile").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb")), "norms")
+    names = [r[0] for r in nb.select("profile").orderBy("profile").limit(PROFILES + 1).collect()]
+    if names and len(names) <= PROFILES and b.select("term").distinct().count() * len(names) <= CELLS:
+        beside = b.groupBy("term").agg(*(F.sum(F.when(F.col("profile").eqNullSafe(F.lit(n)), F.col("w"))).alias(f"v{i}") for i, n in enumerate(names)))
+        sums = a.join(F.broadcast(beside), "term").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("shared"), *(F.sum(F.col("w") * F.col(f"v{i}")).alias(f"d{i}") for i in range(len(names))))
+        dots = sums.select("id", F.inline(F.array(*(F.struct(F.lit(n).alias("profile"), F.col(f"d{i}").alias("dot")) for i, n in enumerate(names))))).where("dot is not null").where(where)
+    else:
+        dots = a.join(b.withColumnRenamed("w", "v"), "term").where(where).groupBy("id", "profile").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     na = a.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    nb = b.groupBy("profile").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb"))
-    dots = a.join(b.withColumnRenamed("w", "v"), "term").groupBy("id", "profile").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    return dots.join(na, "id").join(F.broadcast(nb), "profile").select("id", "profile", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+    return dots.join(na, "id").join(nb, "profile").select("id", "profile", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
 def top_k(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -50,22 +73,10 @@ def top_k(pairs: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def consolidate(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component): the least node that edges (a, b) lead to. Each round also jumps to the label's label."""
-    from lavra.runtime import materialise
-
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    now = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
-        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "node")
-        step = now.join(near, "node", "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
-        step = materialise(step, "components")
-        now = step.select("node", "component")
-        if step.where("component <> was").isEmpty():
-            break
-    return now
+def consolidate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the least node that edges (a, b) lead to; nodes without edges are their own."""
+    found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def family_vote(terms: DataFrame, families: dict[str, list[str]]) -> DataFrame:
@@ -76,3 +87,121 @@ def family_vote(terms: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     hits = [F.struct(held(needles).alias("n"), F.lit(name).alias("family")) for name, needles in sorted(families.items())]
     best = F.array_max(F.array(*hits))
     return terms.select("id", F.when(best["n"] > 0, best["family"]).otherwise("indefinido").alias("family"))
+
+
+def merge_clusters(members: DataFrame, weights: DataFrame, families: DataFrame, threshold: float = 0.45, noise: int = -1) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, raw_cluster_id, cluster_id) of members (doc_id, cluster), and a record (cluster_id, merged, family, size) of each merged
+    group: clusters of one family other than `indefinido` whose centroids have a cosine of `threshold` or more become one under the
+    least id. Noise stays as it is."""
+    real = members.where(F.col("cluster") != noise)
+    centres = centroids(weights, real)
+    close = cosine_pairs(centres.withColumnRenamed("cluster", "id"), centres.withColumnRenamed("cluster", "profile"), "id < profile").where(F.col("cosine") >= threshold)
+    own = families.where("family <> 'indefinido'").select("cluster", "family")
+    edges = close.join(own.withColumnRenamed("cluster", "id"), "id").join(own.select(F.col("cluster").alias("profile"), F.col("family").alias("other")), "profile").where("family = other")
+    found = consolidate(edges.select(F.col("id").alias("a"), F.col("profile").alias("b")), real.select(F.col("cluster").alias("node")).distinct())
+    rows = members.join(found.withColumnRenamed("node", "cluster"), "cluster", "left").select("doc_id", F.col("cluster").alias("raw_cluster_id"), F.coalesce("component", "cluster").alias("cluster_id"))
+    groups = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array_sort(F.collect_set("raw_cluster_id")).alias("merged")).where("size(merged) > 1")
+    return rows, groups.join(families.withColumnRenamed("cluster", "cluster_id"), "cluster_id", "left").select("cluster_id", "merged", F.coalesce("family", F.lit("indefinido")).alias("family"), "size")
+
+
+def _first_distinct(rows: DataFrame, cluster: str, pos: str, item: str, most: int) -> DataFrame:
+    """(cluster, list): the first distinct items of each cluster by position, cut before they are gathered."""
+    each = rows.groupBy(cluster, item).agg(F.min(pos).alias("_at"))
+    few = each.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy("_at", item))).where(F.col("_r") <= most)
+    return few.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", item))), lambda x: x[item]), " | ").alias("list"))
+
+
+def summarize_clusters(rows: DataFrame, terms: DataFrame, noise: int = -1, titles: int = 8, tags: int = 20, domain: int = 200) -> DataFrame:
+    """One row a cluster of (pos, cluster_id, raw_cluster_id, titulo, tags, domain_terms; the last two delimited by ` | `): raw ids, size,
+    whether it is noise, top terms (cluster_id, term, rank), the first titles, tags and domain terms. Sort by is_noise, -size, cluster_id to show it."""
+    sums = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_set("raw_cluster_id")), " | ").alias("raw_cluster_ids"))
+    shown = rows.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy("pos"))).where(F.col("_r") <= titles)
+    shown = shown.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "titulo"))), lambda x: x["titulo"]), " | ").alias("sample_titles"))
+    best = terms.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: F.replace(x["term"], F.lit("_"), F.lit(" "))), " | ").alias("top_terms"))
+    out = sums.join(best, "cluster_id", "left").join(shown, "cluster_id", "left")
+    for column, name, most in (("tags", "sample_tags", tags), ("domain_terms", "domain_terms", domain)):
+        each = rows.select("cluster_id", F.posexplode(delimited_set(F.col(column))).alias("i", "item"), "pos").select("cluster_id", "item", F.struct("pos", "i").alias("at"))
+        out = out.join(_first_distinct(each, "cluster_id", "at", "item", most).withColumnRenamed("list", name), "cluster_id", "left")
+    return out.withColumn("is_noise", F.col("cluster_id") == noise).na.fill("", ["top_terms", "sample_titles", "sample_tags", "domain_terms"])
+
+
+def cluster_counts(rows: DataFrame, noise: int = -1) -> DataFrame:
+    """One row: clusters and raw clusters without noise, and the share of noise rows, of (cluster_id, raw_cluster_id)."""
+    real = F.col("cluster_id") != noise
+    return rows.agg(F.count_distinct(F.when(real, F.col("cluster_id"))).alias("clusters"), F.count_distinct("raw_cluster_id").alias("raw_clusters"), F.round(F.avg((~real).cast("double")), 6).alias("noise_ratio"))
+
+
+def tree_rows(summary: DataFrame, families: dict[str, list[str]], labels: dict[str, str] | None = None) -> DataFrame:
+    """(theme, cluster_id, raw_cluster_ids, size, leaf_label, leaf_detail): clusters under the theme of their terms' dominant family."""
+    terms = F.when(F.size(delimited_set(F.col("top_terms"))) > 0, delimited_set(F.col("top_terms"))).otherwise(delimited_set(F.col("domain_terms")))
+    voted = family_vote(summary.select(F.col("cluster_id").alias("id"), F.transform(terms, F.lower).alias("terms")), families).withColumnRenamed("id", "cluster_id")
+    name = F.col("family") if not labels else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.col("family")), F.col("family"))
+    leaf = F.concat(F.lit("cluster "), F.col("cluster_id"), F.lit(" ("), F.col("size"), F.lit(")"))
+    return summary.join(voted, "cluster_id").select(name.alias("theme"), "cluster_id", "raw_cluster_ids", "size", leaf.alias("leaf_label"), F.array_join(F.slice(delimited_set(F.col("top_terms")), 1, 3), ", ").alias("leaf_detail"))
+
+
+def singular_values(vectors: DataFrame, k: int, vector_col: str = "embedding") -> list[float]:
+    """The k largest singular values of the rows, by the Gram matrix of their columns (columns are few)."""
+    return [float(x) for x in _svd(vectors, k, vector_col).s]
+
+
+def _svd(vectors: DataFrame, k: int, vector_col: str):
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    return RowMatrix(vectors.select(F.col(vector_col).cast("array<double>")).rdd.map(lambda r: Vectors.dense(r[0]))).computeSVD(k, computeU=False)
+
+
+def reduced(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", unit: bool = True) -> DataFrame:
+    """(id, reduced): the rows along the k strongest directions (U S), at length 1 if `unit`. Each direction's sign is such that its
+    largest component is positive."""
+    import numpy as np
+
+    v = _svd(vectors, k, vector_col).V.toArray()
+    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
+    x = F.col(vector_col).cast("array<double>")
+    along = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, column.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) for column in v.T]
+    rows = vectors.select(F.col(id_col).alias("id"), F.array(*along).alias("r"))
+    if not unit:
+        return rows.withColumnRenamed("r", "reduced")
+    norm = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, y: s + y * y))
+    return rows.withColumn("n", norm).select("id", F.transform("r", lambda y: F.when(F.col("n") > 0, y / F.col("n")).otherwise(0.0)).alias("reduced"))
+
+
+def kmeans(vectors: DataFrame, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, rounds: int = 20) -> DataFrame:
+    """(id, cluster); k is max(12, min(40, floor(sqrt(n)))) unless given."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+    k = k or max(12, min(40, int(rows.count() ** 0.5)))
+    return KMeans(k=k, seed=seed, maxIter=rounds).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
+
+
+def lloyd(vectors: DataFrame, starts: list[list[float]], rounds: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, cluster): k-means from given centres, so that the result can be repeated elsewhere; ties to the earlier centre. Centres are
+    few and go to the rows as literals; a round is one pass with pre-aggregated sums."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+
+    def assigned(centres):
+        far = [F.struct(F.round(F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y), 9).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
+        return rows.withColumn("cluster", F.array_min(F.array(*far))["cluster"])
+
+    centres = [list(map(float, c)) for c in starts]
+    for _ in range(rounds):
+        sums = assigned(centres).groupBy("cluster").agg(F.count("*").alias("n"), *(F.sum(F.get("x", F.lit(d))).alias(f"s{d}") for d in range(len(centres[0]))))
+        for r in sums.collect():  # a row a centre
+            centres[r["cluster"]] = [r[f"s{d}"] / r["n"] for d in range(len(centres[0]))]
+    return assigned(centres).select("id", "cluster")
+
+
+def hdbscan_size(n: int) -> tuple[int, int]:
+    """(least cluster size, neighbours that make a point dense) for a sample of n."""
+    size = max(8, min(60, 2 * int(n**0.5)))
+    return size, max(4, size // 2)
+
+
+def unstable(clusters: DataFrame, noise: int = -1) -> bool:
+    """Whether a density clustering (cluster) is to be rejected: fewer than eight clusters, or more than 35% noise."""
+    n, share = clusters.agg(F.count_distinct(F.when(F.col("cluster") != noise, F.col("cluster"))), F.avg((F.col("cluster") == noise).cast("double"))).first()
+    return n < 8 or (share or 0) > 0.35

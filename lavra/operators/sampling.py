@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.runtime import materialise
+
+BUCKETS = 1 << 16
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Row numbers from 1 in the order of `order` without gathering the table in one task: range partitions are sorted on
-    their own and begin where the counts of those before them end."""
+    """Row numbers from 1 in the order of `order` without gathering the table in one task: the rows are dealt to ranges and
+    written once (a second dealing could draw other bounds); each range begins where the counts of those before it end."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "dealt")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("_part").count()  # a row a partition
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -18,27 +22,48 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     return dealt.withColumn("_n", within).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
-def batches(df: DataFrame, order: list[str], size: int = 500) -> DataFrame:
-    return numbered(df, order, "_row").withColumn("batch_id", (F.floor((F.col("_row") - 1) / size) + 1).cast("long")).drop("_row")
+def batches(df: DataFrame, order: list[str], size: int = 500, most: int | None = None) -> DataFrame:
+    """batch_id from 1 by `size` rows in order; `most` keeps the first batches."""
+    out = numbered(df, order, "_row").withColumn("batch_id", (F.floor((F.col("_row") - 1) / size) + 1).cast("long")).drop("_row")
+    return out if most is None else out.where(F.col("batch_id") <= most)
 
 
 def stratified(df: DataFrame, stratum: Column, key: str, fraction: float = 0.15, seed: int = 42) -> DataFrame:
     """(key, stratum, sampled): one row of each stratum first, quotas by share next, the rest by hash order, max(1, round(n * fraction)) in all.
-    Orders are by a hash of the key, so the sample doesn't hang on partitions."""
-    marked = df.select(F.col(key), stratum.alias("stratum"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("h"))
-    size = marked.groupBy("stratum").agg(F.count("*").alias("of"))
-    total = marked.agg(F.count("*").alias("n")).first()["n"]
+    Orders are by a hash of the key, so the sample doesn't hang on partitions. The hashes are counted in buckets; only the rows
+    of the bucket in which a stratum's quota ends are ranked."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = df.select(F.col(key), stratum.alias("stratum"), hashed.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
+    sizes = materialise(marked.groupBy("stratum", "bucket").agg(F.count("*").alias("n")), "buckets")
+    size = sizes.groupBy("stratum").agg(F.sum("n").alias("of"))
+    total = size.agg(F.sum("of")).first()[0] or 0
     target = max(1, round(total * fraction))
     order = Window.orderBy("stratum")
     quota = size.withColumn("first", (F.row_number().over(order) <= target).cast("int"))  # a row a stratum
-    quota = quota.withColumn("quota", F.greatest(F.col("first"), F.bround(F.col("of") / F.lit(total) * target, 0).cast("int")))
+    quota = quota.withColumn("quota", F.greatest(F.col("first"), F.bround(F.col("of") / F.lit(max(1, total)) * target, 0).cast("int")))
     room = F.greatest(F.lit(0), F.lit(target) - F.coalesce(F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     firsts = F.sum("first").over(order.rowsBetween(1, Window.unboundedFollowing))
-    quota = quota.withColumn("quota", F.least("of", F.greatest("first", F.least("quota", room - F.coalesce(firsts, F.lit(0))))))
-    ranked = marked.join(F.broadcast(quota), "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", key)))
-    short = target - (quota.agg(F.sum("quota")).first()[0] or 0)
-    fill = ranked.where("r > quota").orderBy("h", key).limit(max(0, short)).select(key, F.lit(True).alias("filled"))
-    return ranked.join(fill, key, "left").select(key, "stratum", (F.col("r") <= F.col("quota")).__or__(F.coalesce("filled", F.lit(False))).alias("sampled"))
+    quota = quota.withColumn("quota", F.least("of", F.greatest("first", F.least("quota", room - F.coalesce(firsts, F.lit(0)))))).select("stratum", "quota")
+    run = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket"))  # at most BUCKETS rows a stratum
+    border = sizes.withColumn("upto", run).join(F.broadcast(quota), "stratum").where("upto > quota")
+    border = border.groupBy("stratum").agg(F.min_by(F.struct("bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("b"))
+    cut = quota.join(border, "stratum", "left").select("stratum", "quota", F.coalesce("b.bucket", F.lit(BUCKETS)).alias("border"), F.coalesce("b.room", F.lit(0)).alias("room"))
+    cut = materialise(cut, "quotas")
+    rows = marked.join(F.broadcast(cut), "stratum")
+    ranked = rows.where("bucket = border").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", key)))
+    out = rows.where("bucket <> border").select(key, "stratum", "h", (F.col("bucket") < F.col("border")).alias("sampled"))
+    out = out.unionByName(ranked.select(key, "stratum", "h", (F.col("r") <= F.col("room")).alias("sampled")))
+    short = max(0, target - (cut.agg(F.sum("quota")).first()[0] or 0))
+    if not short:
+        return out.drop("h")
+    fill = out.where("not sampled").orderBy("h", key).limit(short).select(key, F.lit(True).alias("filled"))  # less than a row a stratum
+    return out.join(fill, key, "left").select(key, "stratum", (F.col("sampled") | F.coalesce("filled", F.lit(False))).alias("sampled"))
+
+
+def split(docs: DataFrame, sampled: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in the sample, the others)."""
+    names = sampled.select(key).distinct()
+    return docs.join(names, key, "left_semi"), docs.join(names, key, "left_anti")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -46,6 +71,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def recurrence(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """How often each row's key has come up to and with it, in order; a key that fills many partitions is not gathered."""
+    rows = numbered(df, [key, *order], "_at")
+    first = rows.groupBy(key).agg(F.min("_at").alias("_first"))
+    return rows.join(first.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_key", "_at", "_first")
+
+
 def new_rows(rows: DataFrame, known: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows whose key isn't known, one a key."""
     return first_by(rows.join(known.select(*keys).distinct(), keys, "left_anti"), keys, order)

@@ -11,8 +11,10 @@ MANIFEST = "link string, markdown_path string, status string, titulo_extraido st
 
 
 def markdown(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(arquivo, text) of *.md below `path`; `most` keeps the first by name."""
+    """(arquivo, text) of *.md below `path`; `most` keeps the first by name. A folder without any is an error."""
     files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("arquivo"), F.col("value").alias("text"))
+    if files.isEmpty():
+        raise FileNotFoundError(f"no *.md below {path}")
     return files if most is None else files.orderBy("arquivo").limit(most)
 
 
@@ -22,12 +24,10 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
 
 
 def latest(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """Of each key the last record, at the place of its first one; blank keys go."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    ranked = rows.where(F.trim(key) != "").withColumns({"_last": F.row_number().over(w.orderBy(F.desc(line))), "position": F.min(line).over(w)})
-    return ranked.where("_last = 1").drop("_last", line)
+    """Of each key the last record, at the place of its first one; blank keys go. Records of a key are pre-aggregated, not gathered."""
+    kept = [c for c in rows.columns if c != line]
+    best = rows.where(F.trim(key) != "").groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*kept), line).alias("r"), F.min(line).alias("position"))
+    return best.select("r.*", "position")
 
 
 def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,7 +35,7 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", "true").options(multiLine="true", escape='"', lineSep="\n").csv(path)
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -56,17 +56,86 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     """Nested columns go as JSON text."""
     plain = df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) else F.col(f.name) for f in df.schema))
-    writer = plain.write.mode("overwrite").option("header", "true")
+    writer = plain.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", emptyValue='""')
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    """(Hadoop file system, path): stores that only Spark reads are reached too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions that are complete, in order."""
+    system, at = _fs(spark, root)
+    if not system.exists(at):
+        return []
+    names = [s.getPath() for s in system.listStatus(at) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def publish_bank(rules: DataFrame, root: str, version: int) -> str:
-    """A bank's version in a folder of its own, complete before anything refers to it."""
-    path = f"{root}/v={version}"
-    rules.withColumn("version", F.lit(version)).write.mode("errorifexists").parquet(path)
+    """A bank's version in a folder of its own, complete before anything refers to it; a version that was cut short is written anew."""
+    path, spark = f"{root}/v={version}", rules.sparkSession
+    if version in versions(spark, root):
+        raise FileExistsError(path)
+    rules.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
     return path
 
 
-def learned(rows: DataFrame, field: str = "regex_rules_aprendidas", most: int | None = None) -> DataFrame:
-    out = rows.select("*", F.explode(field).alias("rule")).drop(field)
-    return out if most is None else out.limit(most)
+def load_bank(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version of a bank, the last one by default; version 0 is the snapshot that the run began with."""
+    known = versions(spark, root)
+    at = version if version is not None else known[-1] if known else None
+    if at not in known:
+        raise FileNotFoundError(f"no version {at} in {root}")
+    return spark.read.parquet(f"{root}/v={at}").drop("version")
+
+
+def append_bank(rules: DataFrame, root: str) -> int:
+    """Rules taken into the last version as the next one; its number."""
+    from lavra.operators.rules import compact
+
+    spark = rules.sparkSession
+    last = versions(spark, root)[-1]
+    publish_bank(compact(load_bank(spark, root).unionByName(rules)), root, last + 1)
+    return last + 1
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """One row as one indented JSON document (a result or a report, never a table)."""
+    import json
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a document is one row")
+    text = json.dumps(json.loads(rows[0]["j"]), ensure_ascii=False, indent=2) + "\n"
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_profiles(profiles: DataFrame, metadata: DataFrame, root: str) -> None:
+    """Theme profiles and what is known of them, as tables."""
+    profiles.write.mode("overwrite").parquet(f"{root}/profiles")
+    metadata.write.mode("overwrite").parquet(f"{root}/metadata")
+
+
+def reset(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
+    """Deletes those of the paths that exist; a path that isn't below `root` is an error, and nothing is deleted then."""
+    _, base = _fs(spark, root)
+    inside = f"{base.toUri().getPath().rstrip('/')}/"
+    found = [_fs(spark, p) for p in paths]
+    for (_, at), p in zip(found, paths):
+        parts = at.toUri().getPath()
+        if ".." in parts.split("/") or not f"{parts.rstrip('/')}/".startswith(inside) or parts.rstrip("/") + "/" == inside:
+            raise ValueError(f"{p} isn't below {root}")
+    return [p for (system, at), p in zip(found, paths) if system.exists(at) and system.delete(at, True)]
+
+
+def learned(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """(source_line, arquivo, titulo, fonte_classificacao, rule) of JSON lines (line, value): one row a learned rule (kind, label, pattern);
+    bad lines are left out. `most` keeps the first by line."""
+    form = "arquivo string, fonte_classificacao string, metadata_extraido struct<titulo: string>, regex_rules_aprendidas array<struct<kind: string, label: string, pattern: string>>"
+    rows = lines.select(F.col("line").alias("source_line"), F.from_json("value", form).alias("r")).where("r is not null")
+    rows = rows.select("source_line", F.coalesce("r.arquivo", F.lit("")).alias("arquivo"), F.trim(F.coalesce("r.metadata_extraido.titulo", F.lit(""))).alias("titulo"), F.coalesce("r.fonte_classificacao", F.lit("")).alias("fonte_classificacao"), F.posexplode("r.regex_rules_aprendidas").alias("i", "rule"))
+    return rows.drop("i") if most is None else rows.orderBy("source_line", "i").limit(most).drop("i")

@@ -1,46 +1,65 @@
 """The incremental loop as a stream: each micro-batch is classified by the bank's current version, rows are written under
 the batch's own id (a batch that is repeated after a failure overwrites itself), and residuals go to a reviewer whose
-rules join the bank from the next batch on."""
+rules are published as the bank's next version. The version of a batch's number is the one that it is classified by, so
+that a restart goes on with all that was learned. What must outlast a batch is in written tables: banks, rows, counts of
+rare signatures."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lavra.operators.rules import classify
+from lavra.operators import rules as R
 from lavra.runtime import materialise
+from lavra.sources import files
 
-Reviewer = Callable[[DataFrame, int], list]
+#: (residual rows, batch id) -> learned (kind, label, pattern, source, title).
+Reviewer = Callable[[DataFrame, int], DataFrame]
 
 
-def run_batch(batch: DataFrame, batch_id: int, rules: list, out: str, review: Reviewer | None = None, threshold: float = 0.85, budget: int | None = None) -> list:
-    """Classifies one batch into `out`/batch_id=N; returns the rules for the next one."""
-    rows = materialise(classify(batch, rules, threshold), "batch")
-    rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    if review is None:
-        return rules
-    residual = rows.where("status = 'regex_below_threshold'")
+def _bank(spark: SparkSession, root: str, version: int) -> tuple[DataFrame, int]:
+    """The bank's newest version up to `version`."""
+    at = max(v for v in files.versions(spark, root) if v <= version)
+    return files.load_bank(spark, root, at), at
+
+
+def run_batch(batch: DataFrame, batch_id: int, root: str, review: Reviewer | None = None, threshold: float = 0.85, budget: int | None = None) -> None:
+    """Classifies one batch into root/rows/batch_id=N; publishes what its reviewer learned as version batch_id + 1. `budget` residuals
+    of a batch are reviewed; the rest stays `residual_pending`."""
+    spark = batch.sparkSession
+    bank, _ = _bank(spark, f"{root}/bank", batch_id)
+    rules = [tuple(r[c] for c in ("kind", "label", "pattern", "weight", "source", "uses", "examples", "pos")) for r in bank.orderBy("pos").collect()]
+    rows = R.classify(batch, rules, threshold)
+    left = F.col("status") == "regex_below_threshold"
+    out = f"{root}/rows/batch_id={batch_id}"
+    rows.withColumn("status", F.when(left & F.lit(review is not None and budget == 0), "residual_pending").otherwise(F.col("status"))).write.mode("overwrite").parquet(out)
+    if review is None or budget == 0 or batch_id + 1 in files.versions(spark, f"{root}/bank"):
+        return
+    residual = spark.read.parquet(out).where(left).select("doc_id")
     if budget is not None:
         residual = residual.orderBy("doc_id").limit(budget)
-    learned = review(batch.join(residual.select("doc_id"), "doc_id", "left_semi"), batch_id)
-    known = {(r[0], r[1], r[2]) for r in rules}
-    new = [r for r in learned if (r[0], r[1], r[2]) not in known]
-    first = max((r[7] for r in rules), default=0) + 1
-    return rules + [(*r[:7], first + i) for i, r in enumerate(new)]
+    learned = materialise(review(batch.join(residual, "doc_id", "left_semi"), batch_id), "learned")
+    if not learned.isEmpty():
+        files.publish_bank(R.upsert(bank, learned), f"{root}/bank", batch_id + 1)
 
 
-def stream(source: DataFrame, rules: list, out: str, checkpoint: str, review: Reviewer | None = None, **options):
-    """Runs all that is available; returns (query, final rules)."""
-    held = {"rules": rules}
+def stream(source: DataFrame, rules: list, root: str, review: Reviewer | None = None, **options):
+    """Runs all that is available and returns the query. Batch 0 begins with `rules`, unless an earlier run left a bank."""
+    spark = source.sparkSession
+    if not files.versions(spark, f"{root}/bank"):
+        files.publish_bank(R.bank(spark, rules), f"{root}/bank", 0)
+    query = source.writeStream.foreachBatch(lambda batch, n: run_batch(batch, n, root, review, **options)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        held["rules"] = run_batch(batch, batch_id, held["rules"], out, review, **options)
 
-    query = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query, held["rules"]
+def unseen(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key hasn't been processed."""
+    return batch.join(done.select(key).distinct(), key, "left_anti")
 
 
 def metrics(rows: DataFrame) -> DataFrame:
@@ -49,6 +68,27 @@ def metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch_id").agg(F.count("*").alias("docs"), accepted.alias("accepted"), F.round(accepted / F.count("*"), 6).alias("rate"))
 
 
+def recurrences(observed: DataFrame, signature: str = "signature", order: str = "pos", never: str = "operacao_sem_contexto", at: int = 2) -> DataFrame:
+    """(signature, pos, signature_count, promoted) of a stream of observations, their count of recurrences kept as state by signature."""
+    kind = observed.schema[order].dataType.simpleString()
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        places = sorted(p for f in frames for p in f["pos"])
+        state.update((seen + len(places),))
+        n = [seen + i for i in range(1, len(places) + 1)]
+        yield pd.DataFrame({"signature": key[0], "pos": places, "signature_count": n, "promoted": [i >= at and key[0] != never for i in n]})
+
+    rows = observed.select(F.col(signature).alias("signature"), F.col(order).alias("pos"))
+    return rows.groupBy("signature").applyInPandasWithState(count, f"signature string, pos {kind}, signature_count int, promoted boolean", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def running_totals(rows: DataFrame) -> DataFrame:
+    """Documents, accepted ones and their rate of all that a stream has brought, for output mode `complete`."""
+    accepted = F.count_if(F.col("status") != "regex_below_threshold")
+    return rows.groupBy().agg(F.count("*").alias("docs"), accepted.alias("accepted"), F.round(accepted / F.count("*"), 6).alias("rate"))
+
+
 def windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event-time window and type; on a stream the watermark bounds the state."""
     held = events.withWatermark("ts", late) if events.isStreaming else events

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
-from lavra.operators import features, learning, rules, sampling, taxonomy
+from lavra.operators import features, learning, reports, rules, sampling, taxonomy
 from lavra.runtime import spread, table
 from lavra.sources import markup
 from lavra.streaming import incremental
@@ -37,7 +37,7 @@ RULES = [
     ("crime", "beta", r"\bdie\w*\b.{0,40}\bver\w*\b", 1.4, "learned", 3, ["x", "y"], 4),
     ("crime", "gamma", r"\blas\w*\b\s+\bcio\w*\b", 1.2, "seed", 1, [], 5),
     ("crime", "gamma", r"\bque\w*\b.{0,40}\bmen\w*\b", 1.6, "learned", 1, ["w"], 6),
-    ("crime", "delta", r"\bles\w*\b\s+\beau\w*\b", 1.4, "seed", 4, [], 7),
+    ("crime", "delta", r"\bLES\w*\b\s+\bEau\w*\b", 1.4, "seed", 4, [], 7),
     ("modus", "omega", r"\band\w*\b\s+\bing\w*\b", 1.4, "seed", 1, [], 8),
     ("modus", "sigma", r"\bund\w*\b\s+\bgeb\w*\b", 1.4, "seed", 1, [], 9),
 ]
@@ -49,6 +49,11 @@ RAW = [
     ("crime", "delta", r"\bles\w*\b", 1.4, "seed", 1, [], 12),
     ("other", "delta", r"\bles\w*\b\s+\bune\w*\b", 1.4, "seed", 1, [], 13),
     ("modus", "omega", r"\band\w*\b\s+\bing\w*\b", 1.4, "learned", 0, ["k"], 14),
+    ("crime", "Épsilon Um", r"\bThe\w*\b\s+\bher\w*\b", 0.0, " ", 2, [" e ", "", "e"], 15),
+    ("crime", "beta", r"\bder\w*\b\s+\bg20\w*\b", 1.4, "seed", 1, [], 16),
+    ("crime", "beta", r"\bder\w*\b\s+\boperacao\w*\b", 1.4, "seed", 1, [], 17),
+    ("crime", "beta", r"\bder\w*\b\s+\bein\w*\b\s+\bhttp\w*\b", 1.4, "seed", 1, [], 18),
+    ("crime", "beta", r"\bder\w*\b\s+(\bein\w*\b", 1.4, "seed", 1, [], 19),
 ]
 
 
@@ -58,6 +63,10 @@ def _values(rows) -> str:
     return f"(SELECT * FROM (VALUES {items}) AS r(kind, label, pattern, weight, source, uses, examples, pos))"
 
 
+def _list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
 FOLD = "lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g'))"
 SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 TOKENS = "regexp_extract_all(" + FOLD + ", '[a-z0-9]{{3,}}')"
@@ -65,7 +74,7 @@ STOPS = "[" + ", ".join(f"'{s}'" for s in STOP) + "]"
 
 HITS = f"""
   f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents),
-  h AS (SELECT doc_id, pos, kind, label, weight, list_distinct(list_transform(regexp_extract_all(t, pattern), lambda x: {SQUEEZE.format('x')})) AS hits FROM f CROSS JOIN {_values(RULES)} AS r),
+  h AS (SELECT doc_id, pos, kind, label, weight, list_distinct(list_transform(regexp_extract_all(t, pattern, 0, 'i'), lambda x: {SQUEEZE.format('x')})) AS hits FROM f CROSS JOIN {_values(RULES)} AS r),
   m AS (SELECT doc_id, pos, kind, label, len(hits)::INTEGER AS hit_count, round(weight * len(hits), 3) AS score FROM h WHERE len(hits) > 0)"""
 MERGED = HITS + """,
   g AS (SELECT doc_id, kind, label, sum(hit_count)::INTEGER AS hit_count, round(sum(score), 3) AS score, min(struct_pack(s := -score, p := pos)) AS f FROM m GROUP BY 1, 2, 3),
@@ -126,7 +135,7 @@ def truncate_text(spark, sf):
 
 
 @query("""SELECT doc_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN trim(source) <> '' THEN 'titulo:' || chr(10) || trim(source) END, CASE WHEN trim(lang) <> '' THEN 'subtitulo:' || chr(10) || trim(lang) END,
-'tags:' || chr(10) || source || ' | ' || lang, CASE WHEN trim(text) <> '' THEN 'corpo:' || chr(10) || trim(text) END)) AS context_md5 FROM documents""")
+'tags:' || chr(10) || source || ', ' || lang, CASE WHEN trim(text) <> '' THEN 'corpo:' || chr(10) || trim(text) END)) AS context_md5 FROM documents""")
 def context_blocks(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.md5(tx.context(F.col("source"), F.col("lang"), F.array("source", "lang"), F.col("text"))).alias("context_md5"))
 
@@ -138,9 +147,9 @@ def date_buckets(spark, sf):
     return d.select("o_orderkey", tx.bucket(at).alias("year"), tx.bucket(at, "month").alias("month"))
 
 
-@query(f"""WITH u AS (SELECT page_id, url, regexp_replace({FOLD.format("string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '/+$', ''), '/')[-1]")}, '[^a-z0-9]+', '-', 'g') AS s FROM pages),
-v AS (SELECT page_id, url, regexp_replace(s, '^-+|-+$', '', 'g') AS s FROM u)
-SELECT page_id, CASE WHEN s = '' THEN substr(md5(url), 1, 10) ELSE s END || '-' || substr(md5(url), 1, 8) || '.md' AS name FROM v""")
+@query("""WITH u AS (SELECT page_id, url, string_split(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')[-1] AS s FROM pages),
+v AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM u)
+SELECT page_id, CASE WHEN s = '' THEN 'noticia-' || substr(md5(url), 1, 10) ELSE s END || '-' || substr(md5(url), 1, 8) || '.md' AS name FROM v""")
 def url_slug_filename(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.markdown_name(F.col("url")).alias("name"))
 
@@ -151,18 +160,6 @@ def html_title_links(spark, sf):
     return p.select("page_id", "p.title", "p.n_links")
 
 
-@query()
-def article_core(spark, sf):
-    return table(spark, sf, "pages").select("page_id", markup.page(F.col("html")).alias("p")).select("page_id", "p.*")
-
-
-@query("""SELECT doc_id, doc_id AS n, 'titulo ' || doc_id AS titulo, source || ',' || lang AS tags FROM documents""")
-def markdown_news(spark, sf):
-    made = F.concat(F.lit("# titulo "), F.col("doc_id"), F.lit("\nsub\nPublicado em 31/12/2023 10h30\nTags: "), F.col("source"), F.lit(", "), F.col("lang"), F.lit("\n**Brasilia** -\n"), F.col("text"))
-    got = docs_of(spark, sf).select("doc_id", markup.news(made).alias("p"))
-    return got.select("doc_id", F.col("doc_id").alias("n"), "p.titulo", F.array_join("p.tags", ",").alias("tags"))
-
-
 # Rules
 
 @query(f"WITH {HITS} SELECT * FROM m")
@@ -171,9 +168,10 @@ def rule_hits(spark, sf):
 
 
 @query(f"WITH {HITS} SELECT * FROM m")
-def rule_hits_anchored(spark, sf):
-    """The same by the anchor join that large banks take."""
-    filler = [("crime", f"none{i}", rf"\bzzz{chr(97 + i % 26)}{chr(97 + i // 26)}\w*\b\s+\bqqq\w*\b", 1.4, "seed", 1, [], 100 + i) for i in range(rules.LITERAL)]
+def rule_hits_many(spark, sf):
+    """The same in a bank of 5,000 rules, few of which match anything."""
+    letters = [chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(5000)]
+    filler = [("crime", f"none{x}", rf"\b{x}qz\w*\b\s+\bthe\w*\b", 1.4, "seed", 1, [], 100 + i) for i, x in enumerate(letters)]
     return rules.match(docs_of(spark, sf), RULES + filler).drop("hits")
 
 
@@ -221,10 +219,14 @@ def rule_flatten(spark, sf):
     return rules.flatten(rules.group(rules.compact(rules.bank(spark, RAW)))).select("kind", "label", "pattern", "weight", "source", "uses")
 
 
-@query(f"""WITH a AS (SELECT *, regexp_extract_all(pattern, '\\\\b([a-z0-9]{{3,}})', 1) AS t FROM {_values(RAW)} AS r)
-SELECT pos, kind, label, pattern, greatest(uses, 1) AS uses FROM a WHERE kind IN ('crime', 'modus') AND len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]+$') AND x NOT IN ('com', 'das', 'dos', 'para', 'por', 'que', 'uma'))) >= 2 AND len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$'))) = 0""")
+TELLING = f"len(list_filter(t, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains({_list(rules.STOP + rules.BAD)}, x)))"
+
+
+@query(f"""WITH a AS (SELECT *, regexp_extract_all(lower(pattern), '\\\\b([a-z0-9]{{3,}})', 1) AS t FROM {_values(RAW)} AS r)
+SELECT pos, kind, CASE label WHEN 'Épsilon Um' THEN 'epsilon_um' ELSE label END AS label, pattern, CASE WHEN weight = 0 THEN 1.4::DOUBLE ELSE weight END AS weight, CASE WHEN trim(source) = '' THEN 'llm_feedback' ELSE source END AS source, greatest(uses, 1) AS uses, CASE WHEN pos = 15 THEN 'e' ELSE array_to_string(examples, ',') END AS examples
+FROM a WHERE kind IN ('crime', 'modus') AND {TELLING} >= 2 AND len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$') OR list_contains({_list(rules.BAD)}, x))) = 0 AND pos <> 19""")
 def rule_gate(spark, sf):
-    return rules.gate(rules.bank(spark, RAW)).select("pos", "kind", "label", "pattern", "uses")
+    return rules.gate(rules.bank(spark, RAW)).select("pos", "kind", "label", "pattern", "weight", "source", "uses", F.array_join("examples", ",").alias("examples"))
 
 
 @query(f"""WITH t AS (SELECT * REPLACE (CASE label WHEN 'gamma' THEN 'beta' WHEN 'delta' THEN 'noticias_raras' ELSE label END AS label) FROM {_values(RULES)} AS r)
@@ -239,7 +241,7 @@ c AS (SELECT pos, count_if(side = 1) AS p, count_if(side = 0) AS n FROM m JOIN s
 SELECT r.pos, coalesce(p, 0)::BIGINT AS positive_hits, coalesce(n, 0)::BIGINT AS negative_hits, coalesce(p, 0) >= 1 AND coalesce(n, 0) <= most AS accepted FROM {_values(RULES)} AS r LEFT JOIN c USING (pos) CROSS JOIN l""")
 def validate_rules(spark, sf):
     known = table(spark, sf, "labels")
-    return rules.validate(docs_of(spark, sf), RULES, known.where("quality = 1"), known.where("toxic = 1"))
+    return rules.validate(docs_of(spark, sf), RULES, known.where("quality = 1"), known.where("toxic = 1")).drop("reason")
 
 
 # Samples, batches, metrics
@@ -277,9 +279,9 @@ def sample_reserve_split(spark, sf):
 BATCHED = "ba AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) + 1 AS BIGINT) AS batch_id FROM documents)"
 
 
-@query(f"WITH {BATCHED} SELECT * FROM ba")
+@query(f"WITH {BATCHED} SELECT doc_id, batch_id, md5(text) AS k FROM ba JOIN documents USING (doc_id)")
 def batch_assign(spark, sf):
-    return sampling.batches(docs_of(spark, sf).select("doc_id"), ["doc_id"], 100)
+    return sampling.batches(docs_of(spark, sf).select("doc_id", F.md5("text").alias("k")), ["doc_id"], 100)
 
 
 def _batched(spark, sf):
@@ -384,8 +386,8 @@ def cosine_topk(spark, sf):
 SELECT a.cluster AS a, b.cluster AS b, round(round(sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)), 6), 4) AS cosine FROM ce a JOIN ce b ON a.term = b.term AND a.cluster < b.cluster JOIN no x ON x.cluster = a.cluster JOIN no y ON y.cluster = b.cluster GROUP BY 1, 2""")
 def centroid_pairs(spark, sf):
     centres = features.centroids(_tfidf(spark, sf), docs_of(spark, sf).select("doc_id", F.col("source").alias("cluster")))
-    pairs = features.cosine_pairs(centres.withColumnRenamed("cluster", "id"), centres.withColumnRenamed("cluster", "profile"))
-    return pairs.where("id < profile").select(F.col("id").alias("a"), F.col("profile").alias("b"), F.round("cosine", 4).alias("cosine"))
+    pairs = features.cosine_pairs(centres.withColumnRenamed("cluster", "id"), centres.withColumnRenamed("cluster", "profile"), "id < profile")
+    return pairs.select(F.col("id").alias("a"), F.col("profile").alias("b"), F.round("cosine", 4).alias("cosine"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders),
@@ -397,25 +399,45 @@ def components(spark, sf):
     return features.consolidate(e.where("b is not null"), e.select(F.col("a").alias("node")))
 
 
-@query()
-def kmeans_sizes(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+DISTANCE = "round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - m[i]) * (e[i] - m[i]))), 9)"
+
 
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    k = max(12, min(40, int(rows.count() ** 0.5)))
-    fitted = KMeans(k=k, seed=42, maxIter=20).fit(rows)
-    return fitted.transform(rows).groupBy(F.col("prediction").alias("cluster_id")).agg(F.count("*").alias("size"))
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT vec_id AS k, e AS m FROM v WHERE vec_id < 4),
+a AS (SELECT vec_id, e, arg_min(k, ({DISTANCE}, k)) AS k FROM v, s GROUP BY 1, 2), c AS (SELECT k, list(x ORDER BY i) AS m FROM (SELECT k, i, avg(e[i]) AS x FROM a, range(1, 1 + (SELECT max(len(e)) FROM v)) AS r(i) GROUP BY 1, 2) GROUP BY 1)
+SELECT vec_id AS id, arg_min(k, ({DISTANCE}, k))::INTEGER AS cluster FROM v, c GROUP BY 1""")
+def kmeans_round(spark, sf):
+    """One round of k-means from the first four vectors."""
+    v = table(spark, sf, "embeddings")
+    starts = [r[0] for r in v.where("vec_id < 4").orderBy("vec_id").select("embedding").collect()]
+    return features.lloyd(v, starts, 1)
+
+
+@query("SELECT 40 > 0 AS fitted, count(*) AS rows FROM embeddings")
+def kmeans_sizes(spark, sf):
+    """k-means with its usual number of clusters: all rows have one."""
+    got = features.kmeans(table(spark, sf, "embeddings"))
+    return got.agg((F.count_distinct("cluster") > 3).alias("fitted"), F.count("*").alias("rows"))
 
 
-@query()
+@query("""WITH v AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), i AS (SELECT unnest(range(1, 1 + (SELECT max(len(e)) FROM v))) AS i),
+g AS (SELECT a.i AS i, b.i AS j, sum(e[a.i] * e[b.i]) AS g FROM v, i AS a, i AS b GROUP BY 1, 2)
+SELECT 2 AS power, round(sum(g), 3) AS total FROM g WHERE i = j UNION ALL SELECT 4, round(sum(g * g), 3) FROM g""")
 def svd_components(spark, sf):
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    """Sums of powers of all singular values: the trace of the Gram matrix of the columns and the sum of its squares."""
+    v = table(spark, sf, "embeddings")
+    s = features.singular_values(v, len(v.first()["embedding"]))
+    return spark.createDataFrame([(n, round(sum(x**n for x in s), 3)) for n in (2, 4)], "power int, total double")
 
-    rows = table(spark, sf, "embeddings").select("embedding").rdd.map(lambda r: Vectors.dense(r[0]))
-    found = RowMatrix(rows).computeSVD(8, computeU=False)
-    return spark.createDataFrame([(i, round(float(s), 3)) for i, s in enumerate(found.s)], "component int, singular_value double")
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT a.vec_id AS id, round(list_inner_product(a.e, b.e), 4) AS product FROM v AS a, v AS b WHERE b.vec_id = 0""")
+def svd_reduced(spark, sf):
+    """Rows along all directions: their inner products with one of them stay as they were."""
+    v = table(spark, sf, "embeddings")
+    r = features.reduced(v, len(v.first()["embedding"]), unit=False)
+    one = F.broadcast(r.where("id = 0").select(F.col("reduced").alias("other")))  # one row
+    dot = F.aggregate(F.zip_with("reduced", "other", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return r.join(one).select("id", F.round(dot, 4).alias("product"))
 
 
 FAMILIES = {"nominal": ["tion", "heit", "keit"], "verbal": ["ing", "ado", "ent"], "vocalic": ["eau", "aux", "oui"]}
@@ -439,7 +461,7 @@ def theme_from_terms(spark, sf):
 # Rare cases and the tree
 
 SIGNS = [("sinal_tion", ["tion "]), ("sinal_heit", ["heit "])]
-SIGNED = f"""si AS (SELECT conv_id, turn, t, CASE WHEN contains(t, 'tion ') THEN 'sinal_tion' WHEN contains(t, 'heit ') THEN 'sinal_heit' WHEN len(x) > 0 THEN 'rara_' || array_to_string(x[1:3], '_') ELSE 'rara_sem_assinatura' END AS signature FROM (SELECT *, (SELECT list(v ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(ws) AS v, generate_subscripts(ws, 1) AS i) GROUP BY v)) AS x FROM (SELECT conv_id, turn, {FOLD.format('text')} AS t, list_filter(regexp_extract_all({FOLD.format('text')}, '[a-z0-9]{{4,}}'), lambda y: NOT list_contains({STOPS}, y)) AS ws FROM conversations)))"""
+SIGNED = f"""si AS (SELECT conv_id, turn, t, CASE WHEN contains(t, 'tion ') THEN 'sinal_tion' WHEN contains(t, 'heit ') THEN 'sinal_heit' WHEN len(ws) > 0 THEN 'rara_' || array_to_string(ws[1:3], '_') ELSE 'rara_sem_assinatura' END AS signature FROM (SELECT conv_id, turn, {FOLD.format('text')} AS t, list_filter(regexp_extract_all({FOLD.format('text')}, '[a-z0-9]{{4,}}'), lambda y: NOT list_contains({STOPS}, y)) AS ws FROM conversations))"""
 
 
 def _signed(spark, sf):
@@ -495,10 +517,6 @@ SENTENCES = "list_filter(list_transform(string_split_regex(t, '[.!?;\\n]+'), lam
 ANCHORED = "list_transform({0}, lambda x: '\\b' || x || '\\w*\\b')"
 
 
-def _list(items) -> str:
-    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
-
-
 @query(f"""WITH w AS (SELECT p_partkey, {ANCHORED.format(TOKENS.format('p_name'))} AS w FROM part)
 SELECT p_partkey, array_to_string(w, '\\W+') AS phrase, array_to_string(w, '\\s+') AS term, array_to_string(w, '.{{0,90}}') AS near FROM w""")
 def pattern_build(spark, sf):
@@ -506,36 +524,61 @@ def pattern_build(spark, sf):
     return table(spark, sf, "part").select("p_partkey", learning.phrase_pattern(w).alias("phrase"), learning.term_pattern(w).alias("term"), learning.gap_pattern(w).alias("near"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), p AS (SELECT doc_id, x AS term, instr(t, x) AS place FROM f, unnest({_list(TERMS)}) AS u(x) WHERE instr(t, x) > 0),
-k AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place, term) AS r FROM p), j AS (SELECT doc_id, string_agg('\\b' || term || '\\w*\\b', '.{{0,240}}' ORDER BY r) AS pattern, count(*) AS n FROM k WHERE r <= 4 GROUP BY 1)
-SELECT doc_id, CASE WHEN n >= 2 THEN pattern END AS pattern FROM documents LEFT JOIN j USING (doc_id)""")
+WORDS = "regexp_extract_all({0}, '[a-z0-9_]+')"
+PARTS = "list_filter(list_transform(string_split_regex(t, '{0}'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+#: The evidence of the label `einu_tation` in a text: the first sentence with a word that begins like one of its words.
+WINDOW = f"w AS (SELECT doc_id, substr(coalesce(list_filter({PARTS.format('[.!?;\\n]+')}, lambda s: regexp_matches(s, '\\beinu\\w*|\\btation\\w*'))[1], t), 1, 600) AS e FROM (SELECT doc_id, {FOLD.format('text')} AS t FROM documents))"
+
+
+@query(f"WITH {WINDOW} SELECT doc_id, md5(e) AS window_md5 FROM w")
+def evidence_window(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.md5(learning.evidence_window(F.col("text"), F.lit("einu_tation"))).alias("window_md5"))
+
+
+@query(f"""WITH {WINDOW}, x AS (SELECT doc_id, e, list_filter(['einu', 'tation'], lambda t: regexp_matches(e, '\\b' || t || '\\w*')) AS own FROM w),
+q AS (SELECT doc_id, e, own, unnest(list_filter(regexp_extract_all(e, '\\b[a-z0-9]{{4,}}\\b'), lambda y: NOT regexp_matches(y, '^[0-9]+$') AND NOT list_contains({_list(rules.STOP + rules.BAD)}, y))) AS t FROM x),
+n AS (SELECT doc_id, t, count(*) AS n, any_value(instr(e, t)) AS pl FROM q GROUP BY 1, 2), o AS (SELECT doc_id, list(t ORDER BY n DESC, pl, t) AS ts FROM n GROUP BY 1),
+c AS (SELECT doc_id, e, (own || list_filter(coalesce(ts, []), lambda y: NOT list_contains(own, y)))[1:4] AS ts, own FROM x LEFT JOIN o USING (doc_id)),
+p AS (SELECT doc_id, own, ts, u.t AS t, u.i AS i, instr(e, u.t) AS pl FROM c, LATERAL (SELECT unnest(ts) AS t, generate_subscripts(ts, 1) AS i) AS u),
+j AS (SELECT doc_id, string_agg('\\b' || t || '\\w*\\b', '.{{0,240}}' ORDER BY pl, i) AS pattern FROM p GROUP BY 1)
+SELECT doc_id, array_to_string(ts, ' ') AS terms, CASE WHEN len(own) >= 2 AND len(ts) >= 2 THEN pattern END AS pattern FROM c LEFT JOIN j USING (doc_id)""")
 def learned_pattern(spark, sf):
-    f = docs_of(spark, sf).select("doc_id", tx.fold(F.col("text")).alias("t"))
-    return f.select("doc_id", learning.learned_pattern(F.col("t"), TERMS).alias("pattern"))
+    label = F.lit("einu_tation")
+    terms = learning.candidate_terms(label, learning.evidence_window(F.col("text"), label))
+    return docs_of(spark, sf).select("doc_id", F.array_join(terms, " ").alias("terms"), learning.learned_pattern(F.col("text"), label).alias("pattern"))
+
+
+TELL = "list_filter(regexp_extract_all({0}, '\\b[a-z0-9]{{4,}}\\b'), lambda y: NOT list_contains({1}, y))"
 
 
-@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), s AS (SELECT doc_id, unnest(list_transform({SENTENCES}, lambda x: regexp_extract_all(x, '[a-z0-9]{{3,}}'))) AS w FROM f),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM s, range(2, 6) AS a(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i))
-SELECT d.doc_id, count(phrase) AS n, md5(coalesce(string_agg(phrase, ',' ORDER BY phrase), '')) AS phrases_md5 FROM documents d LEFT JOIN g USING (doc_id) GROUP BY 1""")
+@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\r\\n|\\r|\\n'), lambda x: {TELL.format('x', STOPS)}), lambda w: len(w) BETWEEN 2 AND 8) AS ls FROM f),
+ln AS (SELECT doc_id, len(ls) AS lines, u.i AS i, array_to_string(u.w, ' ') AS phrase FROM l, LATERAL (SELECT unnest(ls) AS w, generate_subscripts(ls, 1) AS i) AS u),
+s AS (SELECT doc_id, u.i AS si, u.w AS w FROM (SELECT doc_id, list_transform({PARTS.format('[.!?;\\n|:]+')}, lambda x: {TELL.format('x', STOPS)}) AS ws FROM f), LATERAL (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) AS u),
+g AS (SELECT doc_id, si, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM s, range(2, 6) AS a(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+r AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY si, n DESC, i) AS r FROM g), c AS (SELECT doc_id, len(ls) AS lines FROM l),
+k AS (SELECT doc_id, 0 AS part, i AS pl, phrase FROM ln UNION ALL SELECT doc_id, 1, r, phrase FROM r JOIN c USING (doc_id) WHERE r <= greatest(80 - lines, 1)),
+d AS (SELECT doc_id, phrase, min((part, pl)) AS pl FROM k GROUP BY 1, 2)
+SELECT doc_id, count(phrase) AS n, md5(coalesce(string_agg(phrase, ',' ORDER BY pl), '')) AS phrases_md5 FROM documents LEFT JOIN d USING (doc_id) GROUP BY 1""")
 def phrase_candidates(spark, sf):
-    p = docs_of(spark, sf).select("doc_id", learning.phrases(F.col("text")).alias("p"))
-    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("p"), ",")).alias("phrases_md5"))
+    p = docs_of(spark, sf).select("doc_id", learning.phrases(F.col("text"), tuple(STOP)).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", ",")).alias("phrases_md5"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, {FOLD.format('text')} AS t FROM documents), s AS (SELECT *, list_filter({SENTENCES}, lambda x: contains(x, 'heit') OR contains(x, 'eau')) AS s FROM f)
-SELECT doc_id, md5(CASE WHEN len(s) > 0 THEN s[1] ELSE substr({SQUEEZE.format('t')}, 1, 600) END) AS window_md5 FROM s""")
-def evidence_window(spark, sf):
-    return docs_of(spark, sf).select("doc_id", F.md5(learning.evidence_window(F.col("text"), ["heit", "eau"])).alias("window_md5"))
+CLEAN = "array_to_string(list_filter(regexp_extract_all({0}, '[a-z0-9]{{3,}}'), lambda y: NOT list_contains({1}, y) AND NOT regexp_matches(y, '^[0-9]+[a-z]*$')), ' ')"
 
 
-@query(f"""WITH f AS (SELECT doc_id, source, lang, {FOLD.format('text')} AS t FROM documents), s AS (SELECT *, list_filter({SENTENCES}, lambda x: contains(x, 'tion') OR contains(x, 'heit') OR contains(x, 'eau') OR contains(x, 'ado')) AS s FROM f),
+@query(f"""WITH f AS (SELECT doc_id, source, {FOLD.format('text')} AS t FROM documents),
+s AS (SELECT *, list_filter(list_transform(list_filter({SENTENCES}, lambda x: contains(x, 'tion') OR contains(x, 'heit') OR contains(x, 'eau') OR contains(x, 'ado')), lambda x: {CLEAN.format('x', "['der', 'the']")}), lambda x: x <> '') AS s FROM f),
 u AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s) GROUP BY 1, 2), v AS (SELECT doc_id, list(x ORDER BY i)[1:4] AS told FROM u GROUP BY 1),
-h AS (SELECT doc_id, list_filter({_list(TERMS)}, lambda x: contains(t, x)) AS h, coalesce(told, []) AS told, source, t FROM f LEFT JOIN v USING (doc_id)),
-p AS (SELECT *, flatten(list_transform(range(8), lambda k: h)) || flatten(list_transform(range(4), lambda k: CASE WHEN source IS NULL THEN []::VARCHAR[] ELSE [source] END)) || told AS p FROM h)
-SELECT doc_id, md5(CASE WHEN len(p) > 0 THEN array_to_string(p, ' ') ELSE 'tema_criminal_indefinido ' || substr({SQUEEZE.format('t')}, 1, 1200) END) AS text_md5 FROM p""")
+h AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, '\\bthe\\w*\\W+and\\w*\\b') THEN 'the_and' END, CASE WHEN regexp_matches(t, '\\bder\\w*\\b') THEN 'der' END, CASE WHEN contains(t, 'ment') THEN 'ment' END], lambda x: x IS NOT NULL) AS h, coalesce(told, []) AS told, t FROM f LEFT JOIN v USING (doc_id)),
+p AS (SELECT *, flatten(list_transform(range(8), lambda k: h)) || flatten(list_transform(range(4), lambda k: ['une_tion'])) || told AS p FROM h)
+SELECT doc_id, md5(array_to_string(p, ' ')) AS text_md5 FROM p""")
 def domain_cluster_text(spark, sf):
-    tags = F.filter(F.array("source"), lambda x: x.isNotNull())
-    return docs_of(spark, sf).select("doc_id", F.md5(learning.domain_text(F.col("text"), TERMS, tags, ANCHORS)).alias("text_md5"))
+    """Terms by phrases and stems; of the tags one is telling, one is a stop word and one says nothing."""
+    tags = F.array(F.lit("Uné: tion 12"), F.lit("der"), F.lit("xyz"))
+    made = learning.domain_text(F.col("text"), ["the and", "der"], tags, ANCHORS, {"ment": "ment"}, ["der", "the"])
+    return docs_of(spark, sf).select("doc_id", F.md5(made).alias("text_md5"))
 
 
 @query("""WITH a AS (SELECT n_regionkey, n_name AS a FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 8),
@@ -546,15 +589,16 @@ def pair_candidates(spark, sf):
     return learning.pair_candidates(n, "n_regionkey", "names", "names")
 
 
-ALLOWED = ["ring gear", "red bolt", "small ring", "blue widget"]
+ALLOWED = ["ring_gear", "Red_Bolt", "small_ring", "blue_widget"]
 
 
-@query(f"""WITH l AS (SELECT DISTINCT p_name AS label FROM part), a AS (SELECT generate_subscripts({_list(ALLOWED)}, 1) AS pos, unnest({_list(ALLOWED)}) AS canonical),
-t AS (SELECT label, unnest(regexp_extract_all({FOLD.format('label')}, '[a-z0-9]{{4,}}')) AS t FROM l), b AS (SELECT pos, canonical, unnest(regexp_extract_all(canonical, '[a-z0-9]{{4,}}')) AS t FROM a),
+@query(f"""WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS label FROM part), a AS (SELECT generate_subscripts({_list(ALLOWED)}, 1) AS pos, unnest({_list(ALLOWED)}) AS canonical),
+t AS (SELECT label, unnest(list_filter(string_split(replace(lower(label), ' ', '_'), '_'), lambda x: length(x) >= 4)) AS t FROM l), b AS (SELECT pos, canonical, unnest(list_filter(string_split(lower(canonical), '_'), lambda x: length(x) >= 4)) AS t FROM a),
 n AS (SELECT label, min_by(canonical, pos) AS near FROM t JOIN b USING (t) GROUP BY 1)
-SELECT label, coalesce(canonical, near) AS canonical FROM l LEFT JOIN a ON label = canonical LEFT JOIN n USING (label)""")
+SELECT label, coalesce(canonical, near) AS canonical FROM l LEFT JOIN a ON replace(lower(label), ' ', '_') = lower(canonical) LEFT JOIN n USING (label)""")
 def canonical_labels(spark, sf):
-    return learning.canonical_labels(table(spark, sf, "part").select(F.col("p_name").alias("label")), ALLOWED)
+    said = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return learning.canonical_labels(table(spark, sf, "part").select(said.alias("label")), ALLOWED)
 
 
 @query("""SELECT s_nationkey AS cluster_id, string_agg(DISTINCT theme, ', ' ORDER BY theme) AS themes FROM (SELECT s_nationkey, 'tema_' || (s_suppkey % 7) AS theme FROM supplier) GROUP BY 1""")
@@ -591,16 +635,19 @@ RESCUE = [("rescue_heit", ["heit", "keit"]), ("rescue_eau", ["eau"]), ("rescue_a
 l AS (SELECT role, CASE WHEN contains(t, 'heit') OR contains(t, 'keit') THEN 'rescue_heit' WHEN contains(t, 'eau') THEN 'rescue_eau' WHEN contains(t, 'ado ') OR contains(t, 'ados ') THEN 'rescue_ado' ELSE 'noticias_raras' END AS label FROM f)
 SELECT label, count_if(role = 'user')::BIGINT AS user, count_if(role = 'assistant')::BIGINT AS assistant, count(*) AS total FROM l GROUP BY 1""")
 def rescue_labels(spark, sf):
-    said = table(spark, sf, "conversations").select("role", learning.suggested(F.col("text"), RESCUE).alias("label"))
+    said = table(spark, sf, "conversations").select("role", taxonomy.suggested(tx.fold(F.col("text")), RESCUE)["label"].alias("label"))
     return said.groupBy("label").agg(F.count_if(F.col("role") == "user").alias("user"), F.count_if(F.col("role") == "assistant").alias("assistant"), F.count("*").alias("total"))
 
 
 # Reports and payloads
 
-@query("SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 4) AS mean FROM conversations GROUP BY 1")
+@query("SELECT count_if(role <> 'assistant')::BIGINT AS calls, sum(length(text))::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, sum(length(text) + turn)::BIGINT AS tokens, round(sum(length(text) + turn) / count_if(role <> 'assistant'), 4) AS mean FROM conversations")
 def token_cost(spark, sf):
-    n = F.length("text")
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("calls"), F.sum(n).alias("chars"), F.round(F.avg(n), 4).alias("mean"))
+    """Metrics without tokens, so that the events' count; one role stands for failed calls."""
+    c = table(spark, sf, "conversations")
+    events = c.select(F.when(F.col("role") == "assistant", "error").alias("status"), F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"), (F.length("text") + F.col("turn")).alias("total_tokens"))
+    metrics = c.select(F.lit(1).alias("llm_processed"), *(F.lit(0).alias(n) for n in ("prompt_tokens", "completion_tokens", "tokens")))
+    return reports.token_cost(metrics, events)
 
 
 @query(f"WITH {CLASSIFIED} SELECT coalesce(label, '-') AS label, count_if(status = 'classificado_regex')::BIGINT AS accepted, count_if(status <> 'classificado_regex')::BIGINT AS residual, count(*) AS total FROM cl GROUP BY 1")
@@ -609,10 +656,16 @@ def status_pivot(spark, sf):
     return p.select("label", F.col("classificado_regex").alias("accepted"), F.col("regex_below_threshold").alias("residual"), F.expr("classificado_regex + regex_below_threshold").alias("total"))
 
 
-@query(f"WITH {CLASSIFIED} SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM cl JOIN documents USING (doc_id) WHERE status = 'regex_below_threshold' GROUP BY 1 ORDER BY n DESC, source LIMIT 30")
+@query(f"""WITH {CLASSIFIED}, e AS (SELECT doc_id, substr(text, 1, 20) AS title, unnest(CASE WHEN doc_id % 3 = 0 THEN ['Id ' || source] ELSE list_distinct([lower(source), lang]) END) AS l FROM cl JOIN documents USING (doc_id) WHERE status = 'regex_below_threshold'),
+kk AS (SELECT doc_id, trim(title) AS title, trim(regexp_replace({FOLD.format('l')}, '[^a-z0-9_]+', '_', 'g'), '_') AS label FROM e WHERE l IS NOT NULL), cc AS (SELECT label, count(*) AS n, min(doc_id) AS f FROM kk GROUP BY 1 ORDER BY n DESC, f, label LIMIT 10),
+t AS (SELECT label, title, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS r FROM kk WHERE title <> '')
+SELECT label, any_value(n) AS count, md5(string_agg(title, '|' ORDER BY r)) AS examples_md5 FROM cc LEFT JOIN (SELECT * FROM t WHERE r <= 5) AS t USING (label) GROUP BY 1""")
 def incremental_report(spark, sf):
-    rows = classified(spark, sf).where("status = 'regex_below_threshold'").join(docs_of(spark, sf).select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "source").limit(30)
+    rows = classified(spark, sf).join(docs_of(spark, sf), "doc_id").select(
+        F.col("doc_id").alias("pos"), (F.col("status") != "regex_below_threshold").alias("accepted"), F.substring("text", 1, 20).alias("title"),
+        F.when(F.col("doc_id") % 3 != 0, F.array_compact(F.array(F.upper("source"), F.col("lang")))).alias("labels"), F.concat(F.lit("Id "), "source").alias("identity"),
+    )
+    return reports.residual_labels(rows, 10).select("label", "count", F.md5(F.array_join("examples", "|")).alias("examples_md5"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, regexp_extract('answer: ' || props || ' end', '(?s)\\{.*\\}') AS payload FROM events")
@@ -622,7 +675,7 @@ def json_payload_coerce(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json(got, "k bigint")["k"].alias("k"), got.alias("payload"))
 
 
-@query("SELECT event_id, event_type IN ('click', 'view') AS flag, CASE WHEN event_type = event_type THEN event_type || '|' || user_id END AS list FROM events")
+@query("SELECT event_id, event_type IN ('click', 'view') AS flag, CASE WHEN event_type = event_type THEN event_type || '|' || user_id || '|' || event_type END AS list FROM events")
 def bool_list_coerce(spark, sf):
     said = F.when(F.col("event_type").isin("click", "view"), " Sim ").otherwise("nao")
     raw = F.concat("event_type", F.lit(" ; "), "user_id", F.lit(";;"), "event_type")
@@ -643,5 +696,8 @@ def stream_foreach_batch(spark, sf):
 
     root = f"{shared_dir(spark)}/lavra/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(docs_of(spark, sf).schema).parquet(f"{sf}/documents.parquet*")
-    incremental.stream(source, RULES, f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").select("doc_id", "label", "confidence", "status")
+    incremental.stream(source, RULES, root)
+    return spark.read.parquet(f"{root}/rows").select("doc_id", "label", "confidence", "status")
+
+
+from lavra.plans import intake, more  # noqa: E402, F401  (they register further queries)

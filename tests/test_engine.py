@@ -46,8 +46,8 @@ def test_text_cases(spark):
     assert one(spark, lambda c: tx.bucket(tx.parse_date(c)), "31/12/2023 10h30") == "2023"
     assert one(spark, lambda c: tx.bucket(tx.parse_date(c)), "x") == "sem_data"
     assert one(spark, tx.operation_name, "A Operação Mar Aberto da PF") == "mar aberto"
-    assert one(spark, tx.list_value, '["a", "b", "a"]') == ["a", "b"]
-    assert one(spark, tx.url_slug, "https://x.org/a/B-c?q=1") == "b-c"
+    assert one(spark, tx.list_value, '["a", "b", "a"]') == ["a", "b", "a"]
+    assert one(spark, tx.url_slug, "https://x.org/a/B_c d/?q=1") == "b_c-d"
 
 
 def classified(spark, text, bank):
@@ -79,6 +79,29 @@ def test_samples_and_ranks(spark):
     assert n["n"].tolist() == list(range(1, 101))
 
 
+def test_numbers_are_dense_with_a_payload(spark):
+    """More rows than bounds are sampled from, many ties, and a column beside the key."""
+    df = spark.range(400_000, numPartitions=8).select((F.col("id") % 1000).alias("k"), "id", F.md5(F.col("id").cast("string")).alias("payload"))
+    got = sampling.numbered(df, ["k"]).agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (400_000, 400_000, 1, 400_000)
+    assert sampling.numbered(df, ["k"]).groupBy("k").agg((F.max("n") - F.min("n") + 1 == F.count("*")).alias("run")).where("not run").isEmpty()
+    one = spark.range(30_000).withColumn("s", F.lit("same"))
+    assert sampling.recurrence(one, "s", ["id"], "c").where("c <> id + 1").isEmpty()
+    assert sampling.recurrence(one.limit(0), "s", ["id"], "c").isEmpty()
+
+
+def test_rules_by_their_own_texts(spark):
+    """Rows with one id, null texts, upper-case patterns."""
+    bank = [rule("a", r"\bFOO\w*\b"), rule("b", r"\bfoo\w*\b\s+\bbar\w*\b", pos=2), rule("c", r"zap|foo b", pos=3)]
+    docs = spark.createDataFrame([(1, "foo bar"), (1, "Food"), (2, None), (None, "foo  bar foo bar")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["label"], r["hit_count"]) for r in rules.match(docs, bank).collect())
+    assert got == [(0, "a", 1), (0, "b", 1), (0, "c", 1), (1, "a", 1), (1, "a", 1), (1, "b", 1), (1, "c", 1)]
+    assert rules.classify(docs, []).where("label is not null").isEmpty() and rules.classify(docs.limit(0), bank).isEmpty()
+    tagged = docs.withColumn("tags", F.array(F.lit("Foo"), F.lit("PF")))
+    r = rules.record(tagged.where("doc_id = 2"), bank, tags_col="tags").first()
+    assert r["confidence"] == 0.8505 and r["accepted"] and r["matched_rules"][0]["hits"] == ["tag:foo"]
+
+
 def test_components_and_promotion(spark):
     e = spark.createDataFrame([(3, 7), (7, 9)], "a long, b long")
     nodes = spark.createDataFrame([(3,), (7,), (9,), (11,)], "node long")
@@ -93,6 +116,36 @@ def test_sources(spark, tmp_path):
     assert (got["titulo"], got["tags"], got["dateline"], got["corpo"]) == ("T", ["x", "y"], "Rio", "body")
     records = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, line int, v string")
     assert {(r["k"], r["position"], r["v"]) for r in files.latest(records, "k", "line").collect()} == {("a", 1, "z"), ("b", 2, "y")}
-    page = lambda offset: f'<article><a href="/n{offset}">N {offset}</a> 01/02/2023</article><article><a href="/n0">again</a></article>'
-    assert listing.recent(spark, page, pages=3).count() == 3
+    site = lambda offset: f'<article class="tileItem"><h2 class="tileHeadline"><a href="/n{offset}">N {offset}</a></h2></article><article class="tileItem"><h2 class="tileHeadline"><a href="/n0">again</a></h2></article>'
+    assert [r["link"] for r in listing.recent(spark, site, pages=3).collect()] == ["/n0", "/n15", "/n30"]
     assert files.empty(spark, files.MANIFEST).count() == 0
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.markdown(spark, str(tmp_path / "empty"))
+
+
+def test_paths_are_guarded(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    root = f"file://{tmp_path}/in"
+    for bad in (f"file://{tmp_path}", root, f"{root}/../x", f"file://{tmp_path}/inside"):
+        with pytest.raises(ValueError):
+            files.reset(spark, root, [f"{root}/a", bad])
+    assert files.reset(spark, root, [f"{root}/a", f"{root}/none"]) == [f"{root}/a"] and not (tmp_path / "in" / "a").exists()
+
+
+def test_documents_and_reports(spark, tmp_path):
+    import json
+
+    from lavra.operators import reports
+
+    files.write_document(spark.createDataFrame([(1, None, ["é"])], "a int, b string, c array<string>"), f"file://{tmp_path}/d")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "d").glob("part-*"))) == {"a": 1, "b": None, "c": ["é"]}
+    cost = {"calls": 2, "prompt_tokens": 3, "completion_tokens": 4, "tokens": 7, "mean": 3.5}
+    assert "| Tokens totais | 7 |" in reports.cost_markdown(cost)
+    total = {"batches": 1, **{k: 1 for k in reports.SUMS}, "rate": 0.5}
+    assert "- Taxa regex acumulada: 50.00%" in reports.totals_markdown(total, [{"batch_id": 1, "docs": 2, "regex_accepted": 1, "regex_residual": 1, "rate": 0.5}])
+
+
+def test_density_clusters_are_judged(spark):
+    assert features.hdbscan_size(1216) == (60, 30) and features.hdbscan_size(9) == (8, 4)
+    assert features.unstable(spark.range(100).selectExpr("id % 5 as cluster")) and not features.unstable(spark.range(100).selectExpr("id % 9 as cluster"))

@@ -45,6 +45,13 @@ def fold(c: Column, lower: bool = True) -> Column:
     return F.lower(out) if lower else out
 
 
+def folded(text: str) -> str:
+    """`fold` for a text in a worker."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    return text.lower()
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with `value` evaluated once: inside a lambda an expression would be evaluated for each element."""
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
@@ -184,8 +191,14 @@ def usage_line(prompt: Column, completion: Column, total: Column) -> Column:
 
 def ngrams(words: Column, n: int, sep: str = " ") -> Column:
     """All runs of n neighbours of an array of words."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), sep))
-    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
+    def runs(w: Column) -> Column:
+        many = F.greatest(F.size(w) - n + 1, F.lit(0))
+        out = F.slice(w, 1, many)
+        for k in range(2, n + 1):
+            out = F.zip_with(out, F.slice(w, k, many), lambda a, b: F.concat(a, F.lit(sep), b))
+        return out
+
+    return let(words, runs)
 
 
 def context(title: Column, subtitle: Column, tags: Column, body: Column) -> Column:

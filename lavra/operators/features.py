@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import functools
+import math
+import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lavra.functions.text import delimited_set, ngrams, tokens
+from lavra.functions.text import delimited_set, folded
 from lavra.operators.graph import components
 from lavra.runtime import materialise
 
@@ -15,36 +20,83 @@ PROFILES = 256  # profiles whose weights are put side by side and broadcast
 CELLS = 4_000_000  # and their weights in all (about 32 MB); beyond, terms are joined
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bigrams: bool = True) -> DataFrame:
-    """(doc_id, term, tf) of words of three or more and their bigrams, written once. Texts are dealt by id before they are
-    split, so that the many terms of a document are counted where they arise."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("w"))
-    terms = F.concat("w", ngrams(F.col("w"), 2)) if bigrams else F.col("w")
-    return materialise(words.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "terms")
+def _terms(text: str, least: int, bigrams: bool) -> Counter:
+    """Words of `least` characters or more of a folded text, and their bigrams, with their counts."""
+    words = re.findall(f"[a-z0-9_]{{{least},}}", folded(text))
+    out = Counter(words)
+    if bigrams:
+        out.update(map(" ".join, zip(words, words[1:])))
+    return out
 
 
-def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000) -> DataFrame:
-    """(term, idf): the most frequent terms within the bounds of document frequency."""
-    known = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return known.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+def term_statistics(docs: DataFrame, text_col: str = "text", least: int = 3, bigrams: bool = True) -> DataFrame:
+    """(term, df, total): how many texts hold each term, and how often all do; counted where the texts are, summed by term."""
+
+    def run(batches):
+        df, total = Counter(), Counter()
 
+        def out():
+            keys = list(df)
+            for at in range(0, len(keys), 50_000):
+                some = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([df[k] for k in some], pa.int64()), pa.array([total[k] for k in some], pa.int64())], ["term", "df", "total"])
+            df.clear()
+            total.clear()
 
-def weighted(counts: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, term, w): raw tf x idf of the known terms (`vocabulary`, bounded), rows at length 1, written once."""
-    rows = counts.join(F.broadcast(known), "term").groupBy("doc_id").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("raw"))).alias("t"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["raw"] * x["raw"])))
-    return materialise(rows.select("doc_id", "norm", F.explode("t").alias("x")).select("doc_id", "x.term", (F.col("x.raw") / F.col("norm")).alias("w")), "weights")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = _terms(text or "", least, bigrams)
+                df.update(own.keys())
+                total.update(own)
+                if len(df) > 300_000:
+                    yield from out()
+        yield from out()
 
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, df long, total long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000) -> DataFrame:
-    """(doc_id, term, w): raw tf x (ln((1 + n) / (1 + df)) + 1), rows at length 1."""
-    return weighted(counts, vocabulary(counts, n_docs, min_df, max_df, max_features))
+
+def vocabulary(statistics: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000) -> DataFrame:
+    """(term, idf): the most frequent terms within the bounds of document frequency, with ln((1 + n) / (1 + df)) + 1."""
+    known = statistics.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return known.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def centroids(weights: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, term, w): mean vectors of the members (doc_id, cluster), written once."""
-    size = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    sums = weights.join(members, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("s"))
+def weighted(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: int = 3, bigrams: bool = True) -> DataFrame:
+    """(doc_id, *keep, term, w): raw tf x idf of the known terms (`vocabulary`, bounded by its `max_features`), rows at length 1. A text is weighted
+    where it is read; the rows are written once."""
+    held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["idf"] for r in known.collect()})
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    names = ["doc_id", *keep]
+    schema = T.StructType([*(T.StructField(n, rows.schema[n].dataType) for n in names), T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())])
+
+    def run(batches):
+        idf = held.value
+        for batch in batches:
+            at, terms, weights = [], [], []
+            for i, text in enumerate(batch.column(len(names)).to_pylist()):
+                own = {t: n * idf[t] for t, n in _terms(text or "", least, bigrams).items() if t in idf}
+                norm = math.sqrt(sum(x * x for x in own.values()))
+                at += [i] * len(own)
+                terms += own
+                weights += [x / norm for x in own.values()]
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(place) for i in range(len(names))), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], schema.names)
+
+    return materialise(rows.mapInArrow(run, schema), "weights")
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_df: int = 2, max_df: float = 0.75, max_features: int = 20_000, **terms) -> DataFrame:
+    """`weighted` by the documents' own vocabulary."""
+    known = vocabulary(term_statistics(docs, text_col, **terms), docs.count(), min_df, max_df, max_features)
+    return weighted(docs, known, id_col, text_col, keep, **terms)
+
+
+def centroids(weights: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(cluster, term, w): mean vectors of the members (doc_id, cluster), or of weights that have their cluster with them; written once."""
+    rows = weights if members is None else weights.join(members, "doc_id")
+    size = (rows if members is None else members).groupBy("cluster").agg((F.count_distinct("doc_id") if members is None else F.count("*")).alias("n"))
+    sums = rows.groupBy("cluster", "term").agg(F.sum("w").alias("s"))
     return materialise(sums.join(size, "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias("w")), "centroids")
 
 
@@ -57,15 +109,17 @@ def cosine_pairs(a: DataFrame, b: DataFrame, where: str = "true") -> DataFrame:
     """(id, profile, cosine) of sparse rows (id, term, w) with profiles (profile, term, w), of those that share a term; `where` is a
     condition on id and profile. A few profiles go to the rows side by side; for many, rows and profiles meet by term."""
     nb = materialise(b.groupBy("profile").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb")), "norms")
-    names = [r[0] for r in nb.select("profile").orderBy("profile").limit(PROFILES + 1).collect()]
-    if names and len(names) <= PROFILES and b.select("term").distinct().count() * len(names) <= CELLS:
+    norms = {r["profile"]: r["nb"] for r in nb.limit(PROFILES + 1).collect()}
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    if norms and len(norms) <= PROFILES and b.select("term").distinct().count() * len(norms) <= CELLS:
+        names = list(norms)
         beside = b.groupBy("term").agg(*(F.sum(F.when(F.col("profile").eqNullSafe(F.lit(n)), F.col("w"))).alias(f"v{i}") for i, n in enumerate(names)))
-        sums = a.join(F.broadcast(beside), "term").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("shared"), *(F.sum(F.col("w") * F.col(f"v{i}")).alias(f"d{i}") for i in range(len(names))))
-        dots = sums.select("id", F.inline(F.array(*(F.struct(F.lit(n).alias("profile"), F.col(f"d{i}").alias("dot")) for i, n in enumerate(names))))).where("dot is not null").where(where)
-    else:
-        dots = a.join(b.withColumnRenamed("w", "v"), "term").where(where).groupBy("id", "profile").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    na = a.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na"))
-    return dots.join(na, "id").join(nb, "profile").select("id", "profile", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+        sums = a.join(F.broadcast(beside), "term", "left").groupBy("id").agg(length.alias("na"), *(F.sum(F.col("w") * F.col(f"v{i}")).alias(f"d{i}") for i in range(len(names))))
+        each = F.array(*(F.struct(F.lit(n).alias("profile"), (F.col(f"d{i}") / F.lit(norms[n])).alias("dot")) for i, n in enumerate(names)))
+        return sums.select("id", "na", F.inline(each)).where("dot is not null").where(where).select("id", "profile", F.round(F.col("dot") / F.col("na"), 6).alias("cosine"))
+    dots = a.join(b.withColumnRenamed("w", "v"), "term").where(where).groupBy("id", "profile").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    rows = dots.join(a.groupBy("id").agg(length.alias("na")), "id").join(nb, "profile")
+    return rows.select("id", "profile", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
 
 
 def top_k(pairs: DataFrame, k: int = 5) -> DataFrame:

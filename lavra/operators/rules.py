@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import canonical, crime_identity, folded_tags, let, operation_name, slug
+from lavra.functions.text import canonical, crime_identity, folded, folded_tags, let, operation_name, slug
 
 BANK = "kind string, label string, pattern string, weight double, source string, uses int, examples array<string>, pos int"
 WEIGHT = 1.4
@@ -185,13 +184,6 @@ def remap_counts(rules: DataFrame, labels: DataFrame, rare: str = "noticias_rara
     return own.agg(F.count_if(~gone & (F.col("target") != F.col("label"))).alias("remapped"), F.count_if(gone).alias("removed"), (kept - F.count_distinct(F.when(~gone, F.col("target")))).alias("merged"))
 
 
-def fold(text: str) -> str:
-    """`functions.text.fold` for a text in a worker."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    return text.lower()
-
-
 WORD = re.compile(r"[a-z0-9_]{3,}")
 
 
@@ -245,7 +237,7 @@ def matched(docs: DataFrame, rules: list, id_col: str = "doc_id", text_col: str
     def run(batches):
         tool = _matcher(held.value)
         for batch in batches:
-            texts = [fold(x or "") for x in batch.column(1).to_pylist()]
+            texts = [folded(x or "") for x in batch.column(1).to_pylist()]
             labels = [tool.hits(x) if x else [] for x in batch.column(2).to_pylist()]
             columns = [pa.array([x[:1800] for x in texts], pa.string()), pa.array([tool.hits(x) for x in texts], _ARROW), pa.array(labels, _ARROW)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "head", "body", "tag"])

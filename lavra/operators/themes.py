@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.text import delimited_set, fold, phrase_of, plain_slug, slug
-from lavra.operators.features import centroids, term_counts, top_terms, vocabulary, weighted
+from lavra.operators.features import centroids, tfidf, top_terms
 from lavra.operators.learning import canonical_labels
 from lavra.runtime import materialise
 
@@ -79,8 +79,7 @@ def theme_profiles(docs: DataFrame, accepted: DataFrame, preferred: dict[str, li
     seeds = [(r["label"], " ".join([r["label"].replace("_", " "), *preferred.get(r["label"], []) * 2])) for r in accepted.select("label").collect()]  # a row a theme
     seeded = spark.createDataFrame([(f"seed:{n}", t) for n, t in seeds], "doc_id string, text string")
     every = docs.select(F.concat(F.lit("doc:"), F.col("doc_id")).alias("doc_id"), "text").unionByName(seeded)
-    counts = term_counts(every)
-    w = weighted(counts, vocabulary(counts, every.count(), 2, 0.9, 30_000))
+    w = tfidf(every, max_df=0.9, max_features=30_000)
     of = accepted.select("label", F.explode("cluster_ids").alias("cluster_id"))
     folded = fold(F.col("text"))
     hit = functools.reduce(lambda a, b: a | b, ((F.col("label") == name) & (holds(folded, terms) if terms else F.lit(True)) for name, terms in preferred.items()), ~F.col("label").isin("", *preferred))

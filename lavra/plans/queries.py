@@ -339,7 +339,7 @@ def index_append(spark, sf):
 # Features and clusters
 
 TFIDF = f"""
-  w AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
+  w AS (SELECT doc_id, {TOKENS.format('text').replace('a-z0-9', 'a-z0-9_')} AS w FROM documents),
   e AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY 1, 2),
   nd AS (SELECT count(*) AS n FROM documents),
@@ -348,9 +348,9 @@ TFIDF = f"""
   ti AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM ra)"""
 
 
-def _tfidf(spark, sf):
+def _tfidf(spark, sf, cluster: str | None = None):
     d = docs_of(spark, sf)
-    return features.tfidf(features.term_counts(d), d.count())
+    return features.tfidf(d.withColumn("cluster", F.col(cluster)), keep=("cluster",)) if cluster else features.tfidf(d)
 
 
 @query(f"WITH {TFIDF} SELECT doc_id, count(*) AS terms, round(sum(w), 4) AS total FROM ti GROUP BY 1")
@@ -369,23 +369,22 @@ def centres_of(column: str) -> str:
 
 @query(f"WITH {centres_of('lang')} SELECT cluster, term, rank FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(w, 9) DESC, term)::INTEGER AS rank FROM ce WHERE length(term) >= 4) WHERE rank <= 12")
 def top_terms(spark, sf):
-    members = docs_of(spark, sf).select("doc_id", F.col("lang").alias("cluster"))
-    return features.top_terms(features.centroids(_tfidf(spark, sf), members)).select("cluster", "term", "rank")
+    return features.top_terms(features.centroids(_tfidf(spark, sf, "lang"))).select("cluster", "term", "rank")
 
 
 @query(f"""WITH {centres_of('source')}, p AS (SELECT doc_id AS id, cluster AS profile, round(sum(ti.w * ce.w) / (any_value(na) * any_value(nb)), 6) AS cosine FROM ti JOIN ce USING (term)
 JOIN (SELECT doc_id, sqrt(sum(w * w)) AS na FROM ti GROUP BY 1) USING (doc_id) JOIN (SELECT cluster, sqrt(sum(w * w)) AS nb FROM ce GROUP BY 1) USING (cluster) GROUP BY 1, 2)
 SELECT id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, profile)::INTEGER AS rank FROM p) WHERE rank <= 5""")
 def cosine_topk(spark, sf):
-    w = _tfidf(spark, sf)
-    centres = features.centroids(w, docs_of(spark, sf).select("doc_id", F.col("source").alias("cluster")))
+    w = _tfidf(spark, sf, "source")
+    centres = features.centroids(w)
     return features.top_k(features.cosine_pairs(w.withColumnRenamed("doc_id", "id"), centres.withColumnRenamed("cluster", "profile"))).select("id", "cosine", "rank")
 
 
 @query(f"""WITH {centres_of('source')}, no AS (SELECT cluster, sqrt(sum(w * w)) AS n FROM ce GROUP BY 1)
 SELECT a.cluster AS a, b.cluster AS b, round(round(sum(a.w * b.w) / (any_value(x.n) * any_value(y.n)), 6), 4) AS cosine FROM ce a JOIN ce b ON a.term = b.term AND a.cluster < b.cluster JOIN no x ON x.cluster = a.cluster JOIN no y ON y.cluster = b.cluster GROUP BY 1, 2""")
 def centroid_pairs(spark, sf):
-    centres = features.centroids(_tfidf(spark, sf), docs_of(spark, sf).select("doc_id", F.col("source").alias("cluster")))
+    centres = features.centroids(_tfidf(spark, sf, "source"))
     pairs = features.cosine_pairs(centres.withColumnRenamed("cluster", "id"), centres.withColumnRenamed("cluster", "profile"), "id < profile")
     return pairs.select(F.col("id").alias("a"), F.col("profile").alias("b"), F.round("cosine", 4).alias("cosine"))
 

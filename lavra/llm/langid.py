@@ -8,7 +8,8 @@ language is still told.
 
 A text that is null or has no letter is `und` with score 0 and rejected; very short ones are scored by what they have.
 Where nothing could be learned every text is `und`. Ties go to the language first in order. Repeated rows get equal
-results; an empty table gives an empty result."""
+results; very long texts are read whole; an empty table gives an empty result. Ids, texts and languages alone are read, so
+other columns may have any name."""
 
 from __future__ import annotations
 
@@ -61,14 +62,18 @@ class Model:
         return self.languages[k], float(share[k] / share.sum()), bool(1 - best[k] > self.reject)
 
 
-def fit_vectors(texts: list[str], langs: list[str], clusters: int = 3, rounds: int = 15, reject: float = 0.9, seed: int = 5) -> Model:
-    tf = np.array([np.log1p(counts(t)) for t in texts]).reshape(-1, BUCKETS)
+def fit_vectors(texts: list[str], langs: list[str], clusters: int = 3, rounds: int = 15, reject: float | None = None, seed: int = 5) -> Model:
+    """`reject` is the distance beyond which a text is rejected; by default half as far again as all but one in a hundred of the
+    sample's own texts are from their nearest centroid, 1 at most."""
+    tf = np.array([np.log1p(counts(t)) for t in texts], np.float32).reshape(-1, BUCKETS)
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1
-    x, rng = _unit(tf * idf), np.random.default_rng(seed)
+    tf *= idf.astype(np.float32)
+    tf /= np.maximum(1e-12, np.sqrt(np.einsum("ij,ij->i", tf, tf)))[:, None]
+    rng = np.random.default_rng(seed)
     languages, of, centroids = sorted(set(langs)), [], []
     lang = np.array(langs)
     for n, name in enumerate(languages):
-        own = x[lang == name]
+        own = tf[lang == name]
         k = min(clusters, len(own))
         c = own[rng.choice(len(own), k, replace=False)]
         for _ in range(rounds):
@@ -76,18 +81,27 @@ def fit_vectors(texts: list[str], langs: list[str], clusters: int = 3, rounds: i
             c = _unit(np.array([own[near == j].sum(0) if (near == j).any() else c[j] for j in range(k)]))
         of += [n] * k
         centroids.append(c)
-    return Model(languages, np.array(of, int), np.concatenate(centroids) if centroids else np.empty((0, BUCKETS)), idf, reject)
+    held = np.concatenate(centroids).astype(float) if centroids else np.empty((0, BUCKETS))
+    if reject is None:
+        far = 1 - (tf @ held.T.astype(np.float32)).max(1) if len(tf) else np.ones(1)
+        reject = min(1.0, 1.5 * float(np.quantile(far, 0.99)))
+    return Model(languages, np.array(of, int), held, idf, reject)
 
 
-def fit(docs: DataFrame, most: int = 3_000, each: int = 600, **options) -> Model:
-    """Learns from at most `most` documents outside the held-out fold, about `each` of a language (of the 1,000 commonest)."""
+def fit(docs: DataFrame, most: int = 3_000, least: int = 5, **options) -> Model:
+    """Learns from about `most` documents outside the held-out fold, an even share of each language and `least` at least, chosen by
+    the order of a hash."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() != 2).select("doc_id", "lang")
-    # An even share of each language by a hash threshold: no language is gathered anywhere.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = known.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < 1000000.0 * {each} / n"))
-    ids = materialise(share.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").limit(2 * most).toArrow()
-    return fit_vectors(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), **options)
+    # The share of a language by a hash threshold, so that no language is gathered anywhere.
+    sizes = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(least, most // max(1, sizes.count()))
+    share = known.join(sizes, "lang").where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < 1200000.0 * {each} / n or n <= {4 * least}"))
+    ids = materialise(share.select("doc_id", "lang").distinct(), "sample")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").toArrow()
+    texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))  # whatever the partitions
+    texts, langs = [texts[i] for i in order], [langs[i] for i in order]
+    return fit_vectors(texts, langs, **options)
 
 
 def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

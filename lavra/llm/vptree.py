@@ -7,9 +7,10 @@ point to each child; a child is left out where the triangle inequality shows it
 bound is divided by `factor`: 1 is an exact search, more visits less. Queries go in blocks to every lane of shards, a
 stated set against all rows; scores that are returned are summed in double precision, component by component.
 
-Vectors that are null, zero, of another length than the longest, or hold null or non-finite components take no part, nor do null
+Vectors that are null, zero, of another length than the commonest (the longer of equally common ones), or hold null or non-finite components take no part, nor do null
 ids. Repeated rows count once; of rows with one id and several vectors the best score counts. Ties go to the smaller
-id. Fewer candidates than k are all returned. An empty table gives an empty result."""
+id. Fewer candidates than k are all returned. An empty table gives an empty result. The id and vector columns alone are
+read, so others may have any name."""
 
 from __future__ import annotations
 
@@ -27,6 +28,7 @@ from lavra.runtime import materialise
 SHARD = 4096
 LEAF = 128
 BLOCK = 1024
+LANE = 8  # shards a lane, on average
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -80,10 +82,11 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's k best rows but those of its own id: -inf and the largest long where there are fewer."""
+def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of each query's k best rows but those of its own id: -inf and the largest long where there are fewer. `found`:
+    the result over other trees, which this one adds to."""
     n = len(ids)
-    best, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    best, who = found or (np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max))
     if not len(tree.ids) or not n:
         return best, who
     norm2 = (queries * queries).sum(1)
@@ -101,6 +104,14 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
         own = act[hit]
         scores = np.concatenate([best[own], sure[hit]], 1)
         names = np.concatenate([who[own], np.where(np.isinf(sure[hit]), np.iinfo(np.int64).max, tree.ids[a:b])], 1)
+        if found:  # an id may stand in several trees; its best score counts
+            order = np.lexsort((-scores, names))
+            again = np.take_along_axis(names, order, 1)
+            seen = np.zeros_like(again, bool)
+            seen[:, 1:] = (again[:, 1:] == again[:, :-1]) & (again[:, 1:] != np.iinfo(np.int64).max)
+            drop = np.zeros_like(seen)
+            np.put_along_axis(drop, order, seen, 1)
+            scores, names = np.where(drop, -np.inf, scores), np.where(drop, np.iinfo(np.int64).max, names)
         pick = np.lexsort((names, -scores))[:, :k]
         best[own], who[own] = np.take_along_axis(scores, pick, 1), np.take_along_axis(names, pick, 1)
 
@@ -158,25 +169,37 @@ def _packed(rows: DataFrame, size: int, pack) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest inner products with each row of `queries`."""
-    spark = vectors.sparkSession
     rows, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
-    facts = rows.agg(F.max(F.size("v")).alias("d"), F.max(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")).alias("top2"), F.count("*").alias("n")).first()
-    d, top2 = facts["d"] or 0, (facts["top2"] or 0.0) * (1 + 1e-12)
+    facts = rows.groupBy(F.size("v").alias("d")).agg(F.max(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")).alias("top2"), F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    d, top2, n = (facts["d"], facts["top2"] * (1 + 1e-12), facts["n"]) if facts else (0, 0.0, 0)
     trees = materialise(_packed(rows.where(F.size("v") == d), SHARD, lambda i, p: build(i, p, top2)), "trees")
     blocks = _packed(asked.where(F.size("v") == d), BLOCK, lambda i, p: (i, p))
-    lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // SHARD) * 4))
-    dealt = trees.select(F.expr(f"pmod(xxhash64(key), {lanes})").alias("lane"), F.col("blob").alias("tree"))
-    sent = blocks.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), F.col("blob").alias("block"))
+    lanes = max(1, -(-n // (SHARD * LANE)))
+    dealt = trees.select(F.expr(f"pmod(xxhash64(key), {lanes})").alias("lane"), F.lit(0).alias("kind"), "blob")
+    sent = blocks.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), F.lit(1).alias("kind"), "blob")
 
     def run(batches):
+        lane, held = None, []
         for batch in batches:
-            for tree, block in zip(batch.column(0), batch.column(1)):
-                ids, points = pickle.loads(block.as_buffer())
-                best, who = search(pickle.loads(tree.as_buffer()), ids, points, k, factor)
-                at, col = np.nonzero(~np.isinf(best))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(who[at, col]), pa.array(best[at, col])], ["query_id", "vec_id", "score"])
-
-    found = dealt.join(sent, "lane").select("tree", "block").mapInArrow(run, "query_id long, vec_id long, score double")
+            for at, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at != lane:
+                    lane, held = at, []
+                if kind == 0:
+                    held.append(pickle.loads(blob.as_buffer()))
+                    continue
+                # What the trees before found prunes the next one; a lane gives k rows a query.
+                ids, points = pickle.loads(blob.as_buffer())
+                found = None
+                for tree in held:
+                    found = search(tree, ids, points, k, factor, found)
+                if found is None:
+                    continue
+                best, who = found
+                at_, col = np.nonzero(~np.isinf(best))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at_]), pa.array(who[at_, col]), pa.array(best[at_, col])], ["query_id", "vec_id", "score"])
+
+    met = dealt.union(sent).repartition(lanes, "lane").sortWithinPartitions("lane", "kind").select("lane", "kind", "blob")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

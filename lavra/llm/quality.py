@@ -6,7 +6,10 @@ rows, and the weights minimise logistic loss on feature differences. The thresho
 sample, chosen there by balanced accuracy; the score is a logistic curve on which that quantile lies at `cut`.
 
 Null and empty texts have the features of an empty text and a score; repeated rows get equal scores. Where one of the
-classes has no learnable row every score is `cut`. An empty table gives an empty result."""
+classes has no learnable row every score is `cut`. Features take time and memory in proportion to a text, so very long ones
+are scored whole. Ties of strength share a threshold's side; ties in the sample's order are broken by a hash of the text. An
+empty table gives an empty result. `keep_good` keeps all columns whatever their names; the others read ids, texts and
+labels alone."""
 
 from __future__ import annotations
 
@@ -98,14 +101,15 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, cut: float = 0.7, pairs: int = 6
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cut: float = 0.7, most: int = 12_000) -> Model:
     """Learns from at most `most` labelled documents outside the held-out fold."""
-    chosen = sample(learnable(labels, label_col), most)
+    chosen = sample(learnable(labels, label_col).where("label in (0, 1)"), most)
 
     def run(batches):
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([features(t) for t in raw(piece)], pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([features(t) for t in raw(piece)], pa.list_(pa.float64()))], ["label", "h", "t", "x"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    got = rows.mapInArrow(run, "label int, x array<double>").limit(2 * most).toArrow()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    # Ids may repeat: of more rows than `most` the first in this order stay, whatever the partitions.
+    got = rows.mapInArrow(run, "label int, h long, t long, x array<double>").orderBy("h", "t").limit(most).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit_pairs(x, np.array(got.column("label").to_pylist(), int), cut)
 

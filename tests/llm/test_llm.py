@@ -417,6 +417,25 @@ def test_langid(docs, edge, none):
     odd = {r["doc_id"]: r["lang_pred"] for r in langid.predictions(edge, model).collect()}
     assert odd[1] == odd[2] == odd[3] == "und" and odd[6] == "en"
     assert langid.predictions(none, langid.fit(none)).count() == 0
+    # Rejection by the sample's own distances: few known texts, all in another alphabet.
+    own = langid.predictions(docs.where("length(text) > 200"), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    rng = random.Random(12)
+    foreign = [(i, " ".join("".join(rng.choices("абвгдежзиклмнопрст", k=6)) for _ in range(60))) for i in range(40)]
+    got = langid.predictions(docs.sparkSession.createDataFrame(foreign, "doc_id long, text string"), model).toPandas()
+    assert own < 0.05 and got["rejected"].all()
+
+
+def test_langid_tells_many_languages(spark):
+    """More languages than the sample's even share would hold at a few texts each."""
+    rng = random.Random(13)
+    rows = []
+    for n in range(700):
+        alphabet = [chr(0x4E00 + n * 12 + i) for i in range(12)]
+        rows += [(n * 4 + i, "".join(rng.choices(alphabet, k=60)), f"l{n}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predictions(docs, langid.fit(docs, clusters=1)).join(docs, "doc_id").toPandas()
+    learned = set(got.loc[~got["held_out"], "lang"])
+    assert (got.loc[got["lang"].isin(learned), "lang"] == got.loc[got["lang"].isin(learned), "lang_pred"]).mean() > 0.95
 
 
 def test_vptree(spark):
@@ -433,6 +452,29 @@ def test_vptree(spark):
     got = vptree.nearest(df, df.where("vec_id % 20 = 0"), k=100).toPandas()
     assert set(got["query_id"]) == {0, 20, 40} and (got.groupby("query_id").size() == 59).all()
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
+    odd = df.union(spark.createDataFrame([(200, [9.0] * 9), (220, [1.0] * 2)], df.schema))
+    assert vptree.nearest(odd, odd.where("vec_id % 20 = 0"), k=100).count() == 3 * 59
+
+
+def test_vptree_over_shards(spark, monkeypatch):
+    """Many small trees in several lanes, ids that repeat in several of them, and a factor above 1."""
+    monkeypatch.setattr(vptree, "SHARD", 64)
+    monkeypatch.setattr(vptree, "LANE", 3)
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(700, 6))
+    rows = [(i % 650, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = vptree.nearest(df, df.where("vec_id % 50 = 0 and vec_id > 60"), k=7).toPandas()
+    for q, own in got.groupby("query_id"):
+        best = {}
+        for i, p in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(vptree.exact_scores(points[[q]], np.array([p]))[0]))
+        want = sorted((-s, i) for i, s in best.items())[:7]
+        assert own.sort_values("rank")["vec_id"].tolist() == [i for _, i in want]
+    near = vptree.nearest(df, df.where("vec_id % 50 = 0 and vec_id > 60"), k=7, factor=1.5).toPandas()
+    both = got.merge(near, on=["query_id", "vec_id"])
+    assert len(both) / len(got) >= 0.9
 
 
 def test_pipeline(spark, docs):

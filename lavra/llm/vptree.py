@@ -174,7 +174,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     d, top2, n = (facts["d"], facts["top2"] * (1 + 1e-12), facts["n"]) if facts else (0, 0.0, 0)
     trees = materialise(_packed(rows.where(F.size("v") == d), SHARD, lambda i, p: build(i, p, top2)), "trees")
     blocks = _packed(asked.where(F.size("v") == d), BLOCK, lambda i, p: (i, p))
-    lanes = max(1, -(-n // (SHARD * LANE)))
+    # As many lanes as run side by side while there are shards for them; beyond, `LANE` shards share one.
+    beside = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, -(-n // (SHARD * LANE)), min(-(-n // SHARD), beside))
     dealt = trees.select(F.expr(f"pmod(xxhash64(key), {lanes})").alias("lane"), F.lit(0).alias("kind"), "blob")
     sent = blocks.select(F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")).alias("lane"), F.lit(1).alias("kind"), "blob")
 

@@ -7,8 +7,9 @@ further frames. The widths of LZW codes follow from their place after a clear co
 and unpacks the bits and only the string table itself is kept by Python.
 
 Null texts read as empty; a payload is padded with zero bytes to a positive multiple of 64. Equal texts give equal
-bytes; repeated rows give repeated results. In `frames_of` null media gives no rows, and undecodable media one row with its `error`. An
-empty table gives an empty result. Only the id and the payload column are read, so other columns may have any name."""
+bytes; repeated rows give repeated results; very long texts are one piece each, in frames of 4 MB. In `frames_of` null media
+gives no rows; of media with a fault the sound frames before it are rows, and the fault is one with its `error`. An empty
+table gives an empty result. Only the id and the payload column are read, so other columns may have any name."""
 
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ from lavra.llm.batches import pieces, raw
 
 WIDTH = 64
 MAX_ROWS = 65535
+PIXELS = 1 << 26  # of a canvas, 256 MB of memory; larger media are reported, not decoded
 GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
@@ -203,7 +205,8 @@ def _rows_of(height: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> Iterator[Frame]:
-    """The frames as shown, in order. The canvas starts transparent; each yielded canvas is the reader's own copy."""
+    """The frames as shown, in order. The canvas starts transparent; each yielded canvas is the reader's own copy. A canvas of more than
+    `PIXELS`, a code stream that ends before its image is full, and any other fault are a ValueError, IndexError or struct.error."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
@@ -212,7 +215,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         size = 3 << (flags & 7) + 1
         shared = _colours(data[at : at + size])
         at += size
-    canvas = np.zeros((high, wide), np.uint32)
+    canvas = None  # made for the first image, so that a screen's stated size alone costs nothing
     delay, disposal, clear_index, index, clock = 0, 0, -1, 0, 0
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
@@ -234,7 +237,16 @@ def decode(data: bytes) -> Iterator[Frame]:
             at += size
         bits = data[at]
         codes, at = _sub_blocks(data, at + 1)
-        samples = np.frombuffer(lzw_decode(codes, bits, w * h).ljust(w * h, b"\0"), np.uint8)
+        grown = (max(wide, left + w), max(high, top + h))
+        if grown[0] * grown[1] > PIXELS:
+            raise ValueError(f"{grown[0]} x {grown[1]} pixels are more than {PIXELS}")
+        if canvas is None:
+            canvas = np.zeros((high, wide), np.uint32)
+        if not 2 <= bits <= 8:
+            raise ValueError(f"code size {bits}")
+        samples = np.frombuffer(lzw_decode(codes, bits, w * h), np.uint8)
+        if len(samples) < w * h:
+            raise ValueError(f"cut code stream: {len(samples)} of {w * h} samples")
         grid = samples.reshape(h, w)
         if local & 0x40 and h:
             plain = np.empty_like(grid)
@@ -318,11 +330,11 @@ def frames_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
         try:
             for f in decode(data):
                 yield (f.index, f.at_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, sparse(histogram(f.canvas)), hashlib.sha256(f.canvas.astype("<u4").tobytes()).hexdigest(), None)
-        except (ValueError, IndexError, struct.error) as error:
+        except (ValueError, IndexError, struct.error) as error:  # a fault of the media; others are faults of the program
             yield (*[None] * 11, f"{type(error).__name__}: {error}")
 
     def run(batches):
-        for frame in batches:
+        for frame in pieces(batches, "media"):
             for key, data in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
                 if data is not None:
                     table = pa.Table.from_pylist([dict(zip(("id", *names), (key, *r))) for r in rows(data)], schema=arrow(frame.schema.field(0).type))

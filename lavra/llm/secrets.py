@@ -31,6 +31,8 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+# Escapes of a percent sign inside each other: deep ones come off at once, so that their layers don't add up to the square.
+NEST = re.compile(r"%(?:25){16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 PERCENT_ASCII = re.compile(r"(?:%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|0[9AaDd]))+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})")
@@ -164,6 +166,11 @@ def _url(layer: Layer):
         tail = np.append(lead[1:], len(data)) - 1
         return text, np.array([x for x, _ in spans])[lead], np.array([y for _, y in spans])[tail]
 
+    if NEST.search(layer.text):
+        for m in NEST.finditer(layer.text):
+            a, b = layer.span(*m.span())
+            yield (*m.span(), "%", np.array([a]), np.array([b]))
+        return
     for m in PERCENT.finditer(layer.text):
         if out := read(*m.span()):
             yield (*m.span(), *out)

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. Cell weights are raked until the weighted token sums have the
-target shares of each margin; inclusion probabilities are proportional to the weights, capped at 1, with the factor at
-which the expected number of tokens is the wanted fraction. A document is kept if a hash of its id and text, as a number
+target shares of each margin: those that the caller states, or else the data's own shares lifted by a power. Inclusion
+probabilities start from the weights, in proportion, and are raked again under the bound of 1, so that the expected
+tokens of each margin are the wanted fraction of its target where the bound allows it; a value whose own tokens don't
+suffice stays at what it has, and the others share the rest. A document is kept if a hash of its id and text, as a number
 in [0, 1), is below its probability: copies share their fate, and the choice doesn't hang on partitions.
 
-A null in a margin's column is a value of its own, `(none)`. Null and empty texts have no tokens and go by their cell's
-probability like others. An empty table gives an empty result. Added columns have the prefix `mix_`; `calibrated` replaces columns of
-these names, `sampled` gives them back as they were."""
+A null in a margin's column is a value of its own, `(none)`; a value that a stated target doesn't name has target 0. Null
+and empty texts have no tokens and go by their cell's probability like others; very long texts are counted whole. Ties
+can't arise: cells are distinct. An empty table gives an empty result. Added columns have the prefix `mix_`; `calibrated`
+replaces columns of these names, `sampled` gives them back as they were."""
 
 from __future__ import annotations
 
@@ -32,94 +35,95 @@ def topic(tokens: Column) -> Column:
     return F.when(tokens < 50, "note").when(tokens < 300, "brief").when(tokens < 1500, "article").otherwise("long read")
 
 
-def tempered(sums: Mapping[str, float], power: float) -> dict[str, float]:
-    """Shares in proportion to `sums` ** power: a power under 1 lifts what is small."""
-    lifted = {k: v**power for k, v in sums.items() if v > 0}
-    return {k: v / sum(lifted.values()) for k, v in lifted.items()}
-
-
-def rake(tokens: np.ndarray, margins: Sequence[np.ndarray], targets: Sequence[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
-    """Cell weights w with bincount(margin, w * tokens) in proportion to each target; sum(w * tokens) = sum(tokens)."""
-    w, total = np.ones(len(tokens)), tokens.sum()
+def rake(tokens: np.ndarray, margins: Sequence[np.ndarray], goals: Sequence[np.ndarray], start: np.ndarray | None = None, bound: float = np.inf, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """Cell weights w, `bound` at most, from `start` (1) on, with bincount(margin, w * tokens) equal to each goal, as far as the bound
+    and the cells that are there allow; rounds end where no weight changes by more than `tolerance` of itself."""
+    w = np.ones(len(tokens)) if start is None else np.minimum(start, bound)
     for _ in range(rounds):
-        worst = 0.0
-        for m, t in zip(margins, targets):
-            have = np.bincount(m, w * tokens, len(t))
-            wanted = t / max(1e-300, t[have > 0].sum()) * total
-            ratio = np.divide(wanted, have, out=np.ones(len(t)), where=have > 0)
-            worst = max(worst, float(np.abs(ratio - 1).max(initial=0)))
-            w = w * ratio[m]
-        if worst < tolerance:
+        was = w
+        for m, g in zip(margins, goals):
+            have = np.bincount(m, w * tokens, len(g))
+            w = np.minimum(bound, w * np.divide(g, have, out=np.ones(len(g)), where=have > 0)[m])
+        if np.abs(w - was).max(initial=0) <= tolerance * max(1.0, w.max(initial=0)):
             break
     return w
 
 
-def probabilities(tokens: np.ndarray, w: np.ndarray, fraction: float) -> np.ndarray:
-    """min(1, c * w) with expected tokens of `fraction` of all."""
-    order = np.argsort(-w)
-    t, v = tokens[order].astype(float), w[order]
-    capped = np.concatenate(([0.0], np.cumsum(t)[:-1]))
-    open_ = np.cumsum((t * v)[::-1])[::-1]
-    c = np.divide(fraction * t.sum() - capped, open_, out=np.full(len(v), np.inf), where=open_ > 0)
-    fits = np.flatnonzero((c * v <= 1 + 1e-12) & (c >= 0))
-    return np.minimum(1.0, w * (c[fits[0]] if len(fits) else np.inf)) if fraction < 1 else np.ones(len(w))
-
-
-def _rake_table(cells: DataFrame, keys: list[str], power: float, fraction: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """`rake` and `probabilities` for more cells than the driver should hold: a join with a margin's sums for each step."""
-    now = cells.withColumn("mix_weight", F.lit(1.0))
-    total = cells.agg(F.sum("mix_tokens")).first()[0] or 0
-    goal = {}
-    for k in keys:
-        sums = cells.groupBy(k).agg(F.sum("mix_tokens").alias("s")).where("s > 0").withColumn("g", F.pow("s", F.lit(power)))
-        lifted = sums.agg(F.sum("g")).first()[0] or 1.0
-        goal[k] = materialise(sums.select(k, (F.col("g") / lifted * total).alias("goal")), "margin")
+def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], column: str, bound: float | None, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """`rake` of the weights in `column` for more cells than the driver should hold: a join with a margin's sums for each step."""
+    now, limit = cells, "" if bound is None else f"{bound!r}d, "
     for _ in range(rounds):
-        worst = 0.0
-        for k in keys:
-            have = materialise(now.groupBy(k).agg(F.sum(F.expr("mix_weight * mix_tokens")).alias("have")).join(goal[k], k).selectExpr(f"`{k}`", "if(have > 0, goal / have, 1) as ratio"), "ratios")
-            worst = max(worst, have.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
-            now = now.join(have, k, "left").withColumn("mix_weight", F.expr("mix_weight * coalesce(ratio, 1)")).drop("ratio")
+        now = now.withColumn("was", F.col(column))
+        for k, goal in goals.items():
+            have = now.groupBy(k).agg(F.sum(F.expr(f"{column} * mix_tokens")).alias("have")).join(goal, k)
+            now = now.join(materialise(have.selectExpr(f"`{k}`", "if(have > 0, goal / have, 1) as ratio"), "ratios"), k, "left")
+            now = now.withColumn(column, F.expr(f"least({limit}{column} * coalesce(ratio, 1))" if limit else f"{column} * coalesce(ratio, 1)")).drop("ratio")
         now = materialise(now, "raked")
-        if worst < tolerance:
+        change, most = now.agg(F.max(F.abs(F.col(column) - F.col("was"))), F.max(column)).first()
+        now = now.drop("was")
+        if (change or 0.0) <= tolerance * max(1.0, most or 0.0):
             break
-    if fraction >= 1:
-        return now.withColumn("mix_probability", F.lit(1.0))
-    # The factor grows until no further cell reaches 1; each step is exact for the cells that are at 1 by then.
+    return now
+
+
+def _goals(sums: DataFrame, key: str, total: float, power: float, target: Mapping[str, float] | None, fraction: float) -> DataFrame:
+    """(key, goal, bounded): tokens wanted of each value; the stated shares among the values that are there, or the tempered ones. `bounded`
+    adds up to the fraction of all tokens with no value beyond what it has."""
+    if target is None:
+        wanted = sums.withColumn("g", F.when(F.col("s") > 0, F.pow("s", F.lit(power))).otherwise(0.0))
+    else:
+        table = sums.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "k string, g double")
+        wanted = sums.join(table, F.col(key) == F.col("k"), "left").withColumn("g", F.when(F.col("s") > 0, F.coalesce("g", F.lit(0.0))).otherwise(0.0)).drop("k")
+    wanted = materialise(wanted, "wanted")
+    lifted = wanted.agg(F.sum("g")).first()[0] or 1.0
+    # The factor grows until no further value runs out of tokens; each step is exact for those that have by then.
     factor = 0.0
     while True:
-        capped = f"{factor!r}d * mix_weight >= 1"
-        full, open_ = now.agg(F.sum(F.expr(f"if({capped}, mix_tokens, 0)")), F.sum(F.expr(f"if({capped}, 0, mix_tokens * mix_weight)"))).first()
+        out = f"{factor!r}d * g >= s"
+        full, open_ = wanted.agg(F.sum(F.expr(f"if({out}, s, 0)")), F.sum(F.expr(f"if({out}, 0, g)"))).first()
         if not open_ or (step := (fraction * total - full) / open_) <= factor * (1 + 1e-12):
             break
         factor = float(step)
-    return now.withColumn("mix_probability", F.expr(f"least(1d, {factor!r}d * mix_weight)"))
+    return wanted.select(key, (F.col("g") / lifted * total).alias("goal"), F.expr(f"least(double(s), {factor!r}d * g)").alias("bounded"))
 
 
-def calibrated(docs: DataFrame, power: float = 0.7, fraction: float = 0.5, source: str = "source", lang: str = "lang", text: str = "text", cells_most: int = CELLS, seed: int = 11) -> DataFrame:
-    """`docs` with mix_tokens, mix_topic, mix_weight, mix_probability and mix_kept; the margins' targets are their tempered token shares."""
+def calibrated(
+    docs: DataFrame, power: float = 0.7, fraction: float = 0.5, source: str = "source", lang: str = "lang", text: str = "text", cells_most: int = CELLS, seed: int = 11,
+    targets: Mapping[str, Mapping[str, float]] | None = None, topic_of: Column | None = None, tolerance: float = 1e-9,
+) -> DataFrame:
+    """`docs` with mix_tokens, mix_topic, mix_weight, mix_probability and mix_kept. `targets` has the shares wanted by `source`, `lang` and
+    `topic` (value: share; they needn't sum to 1); margins that it doesn't name have their own tempered token shares. `topic_of` is the
+    topic, by default the form by length; raking ends where no weight changes by more than `tolerance` of the largest."""
     spark = docs.sparkSession
-    keys = ["mix_source", "mix_lang", "mix_topic"]
+    keys = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic"}
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
     marked = docs.withColumn("mix_tokens", n_tokens(text))
-    marked = marked.withColumns({"mix_source": F.coalesce(F.col(source).cast("string"), F.lit("(none)")), "mix_lang": F.coalesce(F.col(lang).cast("string"), F.lit("(none)")), "mix_topic": topic(F.col("mix_tokens"))})
+    marked = marked.withColumns({"mix_source": none(F.col(source)), "mix_lang": none(F.col(lang)), "mix_topic": topic(F.col("mix_tokens")) if topic_of is None else none(topic_of)})
     cells = materialise(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("mix_tokens")), "cells")
+    total = float(cells.agg(F.sum("mix_tokens")).first()[0] or 0)
+    goals = {k: materialise(_goals(cells.groupBy(k).agg(F.sum("mix_tokens").alias("s")), k, total, power, (targets or {}).get(name), fraction), "goals") for k, name in keys.items()}
     if cells.count() <= cells_most:
-        got = cells.toPandas()
-        codes, targets = [], []
+        got = cells.orderBy(*keys).toPandas()
         tokens = got["mix_tokens"].to_numpy(float)
-        for k in keys:
+        codes, wanted, bounded = [], [], []
+        for k, goal in goals.items():
             code, names = got[k].factorize()
-            sums = np.bincount(code, tokens, len(names))
-            share = tempered(dict(zip(names, sums)), power)
+            share = {r[k]: (r["goal"], r["bounded"]) for r in goal.collect()}
             codes.append(code)
-            targets.append(np.array([share.get(n, 0.0) for n in names]))
-        w = rake(tokens, codes, targets)
-        table = pa.table({**{k: pa.array(got[k], pa.string()) for k in keys}, "mix_weight": pa.array(w, pa.float64()), "mix_probability": pa.array(probabilities(tokens, w, fraction), pa.float64())})
+            wanted.append(np.array([share[n][0] for n in names]))
+            bounded.append(np.array([share[n][1] for n in names]))
+        w = rake(tokens, codes, wanted, tolerance=tolerance)
+        p = rake(tokens, codes, bounded, fraction * w, 1.0, tolerance=tolerance) if fraction < 1 else np.ones(len(w))
+        table = pa.table({**{k: pa.array(got[k], pa.string()) for k in keys}, "mix_weight": pa.array(w, pa.float64()), "mix_probability": pa.array(p, pa.float64())})
         known = F.broadcast(spark.createDataFrame(table))
     else:
-        known = _rake_table(cells, keys, power, fraction).drop("mix_tokens")
+        known = _rake_table(cells.withColumn("mix_weight", F.lit(1.0)), {k: g.select(k, "goal") for k, g in goals.items()}, "mix_weight", None, tolerance=tolerance)
+        known = known.withColumn("mix_probability", F.expr(f"least(1d, {fraction!r}d * mix_weight)") if fraction < 1 else F.lit(1.0))
+        if fraction < 1:
+            known = _rake_table(known, {k: g.select(k, F.col("bounded").alias("goal")) for k, g in goals.items()}, "mix_probability", 1.0, tolerance=tolerance)
+        known = known.drop("mix_tokens")
     uniform = F.expr(f"shiftrightunsigned(xxhash64({seed}, doc_id, `{text}`), 11) / {float(1 << 53)!r}d")
-    return marked.join(known, keys).withColumn("mix_kept", uniform < F.col("mix_probability"))
+    return marked.join(known, list(keys)).withColumn("mix_kept", uniform < F.col("mix_probability"))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:

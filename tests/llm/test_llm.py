@@ -93,6 +93,47 @@ def test_gif_rules():
     assert [f.canvas.ravel().tolist() for f in gif.decode(data)] == [[red, green], [blue, green], [0, red]]
 
 
+def test_op2_against_hashes(spark):
+    """The payload fields of every text, by hashlib and zlib alone; and the frames of the stored form."""
+    import hashlib
+
+    from lavra.llm.queries import op2_gif
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = op2_gif(spark, tiny).collect()
+    assert len(got) == len(text)
+    for r in got:
+        raw = text[r["doc_id"]]
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = gif.encode_samples(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert sum(int(x.split(":")[1]) for x in r["feature"].split(",")) == len(payload)
+    big = spark.createDataFrame([(1, "x\u00e9" * 1_000_000), (2, ""), (3, None)], "doc_id long, text string")
+    assert [(r["n_bytes"], r["payload_bytes"]) for r in gif.digests(big).orderBy("doc_id").collect()] == [(3_000_000, 3_000_000 // 64 * 64 + 64 * (3_000_000 % 64 > 0)), (0, 64), (0, 64)]
+
+
+def test_gif_frames_as_rows(spark):
+    """Timed frames with their histograms; damaged media give one row with an error each, and never a whole screen in memory."""
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    image = lambda indices, control: control + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0, 2]) + gif._blocks(gif.lzw_encode(bytes(indices), 2))
+    control = lambda disposal, clear, delay: b"\x21\xf9\x04" + bytes([disposal << 2 | (clear >= 0), delay, 0, max(clear, 0)]) + b"\0"
+    head = b"GIF89a" + bytes([2, 0, 1, 0, 0x81, 0, 0]) + palette
+    sound = head + image([0, 1], control(1, -1, 5)) + image([2, 3], control(2, 3, 7)) + image([3, 0], control(0, 3, 1)) + b"\x3b"
+    huge = b"GIF89a" + b"\xff\xff\xff\xff" + bytes([0x81, 0, 0]) + palette + image([0, 1], b"") + b"\x3b"
+    cut = head + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0, 2]) + gif._blocks(gif.lzw_encode(bytes([0]), 2)) + b"\x3b"
+    rows = spark.createDataFrame([(1, sound), (2, huge), (3, cut), (4, b"no gif"), (5, None), (6, sound[:40])], "k int, media binary")
+    got = gif.frames_of(rows, "k", "media").orderBy("id", "frame").collect()
+    good = [(r["at_ms"], r["delay_ms"], r["disposal"], r["transparent"]) for r in got if r["id"] == 1]
+    assert good == [(0, 50, 1, -1), (50, 70, 2, 3), (120, 10, 0, 3)]
+    red, green, blue = 7 << 6, 7 << 3, 7
+    said = [dict(tuple(map(int, x.split(":"))) for x in r["histogram"].split(",")) for r in got if r["id"] == 1]
+    assert said == [{red: 1, green: 1}, {blue: 1, green: 1}, {512: 1, red: 1}]
+    faults = {r["id"]: r["error"] for r in got if r["error"]}
+    assert set(faults) == {2, 3, 4, 6} and "pixels" in faults[2] and "cut" in faults[3]
+
+
 def test_quality(docs, labels, edge, none):
     model = quality.fit(docs, labels)
     got = quality.scores(docs, model).join(labels, "doc_id").where("held_out").toPandas()
@@ -240,6 +281,37 @@ def found_in(wrapped, kind="assign"):
     return any(k == kind for k, _, _ in every)
 
 
+def test_secrets_nested_deep_are_linear():
+    import time
+
+    text = "x " + "%" + "25" * 60_000 + "70assword=hunter2hunter2 " + " y"
+    start = time.perf_counter()
+    assert found_in_spans(text) and time.perf_counter() - start < 5
+    assert found_in_spans("%" + "25" * 10 + "70assword=hunter2hunter2")
+
+
+def found_in_spans(text):
+    return any(k == "assign" and a <= 2 for k, a, _ in secrets.find(text)[1])
+
+
+def test_op5_base_spans_against_a_plain_scan(spark):
+    """The base columns of every text by the patterns as they are stated, one after the other."""
+    import hashlib
+    import re
+
+    from lavra.llm.queries import op5_secrets
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    stated = [("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "(AKIA[A-Z0-9]+)", 20), ("hex", "([0-9a-f]+)", 24)]
+    for r in op5_secrets(spark, tiny).collect():
+        found = [(m.start(), n, kind, m.end()) for n, (kind, form, least) in enumerate(stated) for m in re.finditer(form, text[r["doc_id"]]) if len(m[1]) >= least]
+        said = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, k, _ in found) for x in ("assign", "access", "hex"))
+        assert set(filter(None, said.split(","))) <= set(r["spans"].split(","))
+
+
 def test_secrets_in_odd_characters():
     for odd in ("\u00a0", "\u202f", "\u3000", "\u200b", "\ufeff", "\f"):
         body = f"mot de passe{odd}: {odd} voil\u00e0 password=hunter2hunter2".encode()
@@ -281,22 +353,33 @@ def test_secrets_in_whole_bodies():
     assert secrets.find("nothing " + base64.b64encode(zlib.compress(b"still nothing")).decode())[1] == []
 
 
+def margins_of(mixed, column, weight="mix_probability"):
+    own = (mixed[weight] * mixed["mix_tokens"]).groupby(mixed[column]).sum()
+    return own / own.sum()
+
+
 def test_mixing(spark, docs, edge, none):
     rng = np.random.default_rng(4)
     tokens, a, b = rng.integers(1, 100, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 4, 60)
-    ta, tb = np.array([0.2, 0.3, 0.5]), np.array([0.4, 0.3, 0.2, 0.1])
+    ta, tb = np.array([0.2, 0.3, 0.5]) * tokens.sum(), np.array([0.4, 0.3, 0.2, 0.1]) * tokens.sum()
     w = mixing.rake(tokens, [a, b], [ta, tb])
-    assert np.bincount(a, w * tokens) / tokens.sum() == pytest.approx(ta, abs=1e-6)
-    assert np.bincount(b, w * tokens) / tokens.sum() == pytest.approx(tb, abs=1e-6)
-    p = mixing.probabilities(tokens, w, 0.5)
-    assert (p * tokens).sum() == pytest.approx(tokens.sum() / 2) and p.max() <= 1
-    mixed = mixing.calibrated(docs).toPandas()
-    kept = mixed.loc[mixed["mix_kept"], "mix_tokens"].sum() / mixed["mix_tokens"].sum()
-    assert 0.4 < kept < 0.6
-    cells = mixed.groupby(["mix_source", "mix_lang", "mix_topic"], as_index=False).agg({"mix_tokens": "sum", "mix_probability": "first"})
-    table = mixing._rake_table(spark.createDataFrame(cells.drop(columns="mix_probability")), ["mix_source", "mix_lang", "mix_topic"], 0.7, 0.5, rounds=8).toPandas()
-    both = cells.merge(table, on=["mix_source", "mix_lang", "mix_topic"])
-    assert np.allclose(both["mix_probability_x"], both["mix_probability_y"], atol=1e-2)
+    assert np.bincount(a, w * tokens) == pytest.approx(ta, rel=1e-6) and np.bincount(b, w * tokens) == pytest.approx(tb, rel=1e-6)
+    p = mixing.rake(tokens, [a, b], [ta / 2, tb / 2], w / 2, 1.0)
+    assert p.max() <= 1 and np.bincount(a, p * tokens) == pytest.approx(ta / 2, rel=1e-5) and np.bincount(b, p * tokens) == pytest.approx(tb / 2, rel=1e-5)
+    # Stated targets, and tempered shares of the margins that have none; the expected tokens are half of all.
+    goal = {"lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+    mixed = mixing.calibrated(docs, targets=goal).toPandas()
+    assert {k: pytest.approx(v / 10, abs=0.01) for k, v in goal["lang"].items()} == margins_of(mixed, "mix_lang").to_dict()
+    own = mixed.groupby("mix_source")["mix_tokens"].sum() ** 0.7
+    assert margins_of(mixed, "mix_source", "mix_weight").to_dict() == pytest.approx((own / own.sum()).to_dict(), abs=1e-4)
+    assert margins_of(mixed, "mix_source").to_dict() == pytest.approx((own / own.sum()).to_dict(), abs=0.01)
+    assert (mixed["mix_probability"] * mixed["mix_tokens"]).sum() / mixed["mix_tokens"].sum() == pytest.approx(0.5, abs=0.01)
+    kept = mixed[mixed["mix_kept"]]
+    assert kept["mix_tokens"].sum() / mixed["mix_tokens"].sum() == pytest.approx(0.5, abs=0.06)
+    assert (kept["mix_tokens"].groupby(kept["mix_lang"]).sum() / kept["mix_tokens"].sum()).to_dict() == pytest.approx({k: v / 10 for k, v in goal["lang"].items()}, abs=0.06)
+    # A target that a source's own tokens can't fill: it is kept whole, and the fraction is of what the others can give.
+    few = mixing.calibrated(docs, targets={"source": {"src1": 1}}, topic_of=F.lit("t")).toPandas()
+    assert few.loc[few["mix_source"] == "src1", "mix_probability"].min() == pytest.approx(1) and few.loc[few["mix_source"] != "src1", "mix_kept"].sum() == 0
     clash = docs.withColumns({"mix_tokens": F.lit("own"), "MIX_kept": F.lit(5)})
     assert mixing.sampled(clash).select("mix_tokens", "MIX_kept").distinct().collect() == [("own", 5)]
     assert mixing.calibrated(edge).count() == len(EDGE) and mixing.sampled(none).count() == 0
@@ -304,13 +387,12 @@ def test_mixing(spark, docs, edge, none):
 
 def test_mixing_is_the_same_by_table(spark):
     rng = np.random.default_rng(9)
-    # Sparse and uneven cells, so that raking takes many rounds and some cells reach probability 1.
-    rows = [(i, " ".join(["w"] * int(n)), f"l{(i + i // 9) % 4 if i % 5 else i % 4}", f"s{i % 9}", 1) for i, n in enumerate(rng.choice([2, 40, 60, 200, 400, 1600], 60))]
+    # Uneven cells, so that some of them reach probability 1.
+    rows = [(i, " ".join(["w"] * int(n)), f"l{i % 3}", f"s{i // 3 % 4}", 1) for i, n in enumerate(rng.choice([60, 70, 90, 200], 72))]
     docs = spark.createDataFrame(rows, DOCS)
-    for fraction in (0.95,):
-        small, large = (mixing.calibrated(docs, fraction=fraction, cells_most=n).orderBy("doc_id").toPandas() for n in (1000, 0))
-        assert np.allclose(small["mix_weight"], large["mix_weight"], rtol=1e-6) and np.allclose(small["mix_probability"], large["mix_probability"], atol=1e-6)
-        assert small["mix_kept"].equals(large["mix_kept"])
+    small, large = (mixing.calibrated(docs, fraction=0.8, power=0.2, targets={"lang": {"l0": 2, "l1": 1, "l2": 1}}, cells_most=n, tolerance=1e-4).orderBy("doc_id").toPandas() for n in (1000, 0))
+    assert np.allclose(small["mix_weight"], large["mix_weight"], rtol=1e-6) and np.allclose(small["mix_probability"], large["mix_probability"], atol=1e-6)
+    assert small["mix_kept"].equals(large["mix_kept"]) and (small["mix_probability"] > 0.999).any()
 
 
 def test_mixing_table_stops_when_raked(spark, monkeypatch):

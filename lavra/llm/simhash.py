@@ -9,7 +9,13 @@ that meets is verified exactly by the popcount of the XOR inside the join.
 
 Nulls and empty texts have fingerprint zero and link like any other. Repeated rows share a fingerprint, and only
 distinct fingerprints are joined, so copies never form pairs. A null doc_id keeps its row; component_id is the
-smallest non-null doc_id reachable (null if there is none). An empty table gives an empty result."""
+smallest non-null doc_id reachable (null if there is none). Very long texts are hashed in steps. An empty table gives an
+empty result. Only the id and text columns are read, so others may have any name.
+
+`similar` is for texts that are alike rather than almost the same. A pair that shares 0.8 of its shingles differs by some
+ten bits of 64, a radius within which cells select little. There fingerprints meet where a band of min-wise shingles agrees;
+the embedding's lower bound and the popcount of the XOR are held against a wide radius, and what is left is verified by
+the sets of shingles themselves."""
 
 from __future__ import annotations
 
@@ -24,6 +30,8 @@ from lavra.operators.graph import components
 from lavra.runtime import materialise
 
 ODD = 0x5555555555555555
+BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
+FAR = 22  # bits between fingerprints of texts that share 0.8 of their shingles, and four deviations more
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
 
@@ -105,5 +113,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of all shingles of a UTF-8 text, in order, as `fingerprint` takes them."""
+    parts = text.lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n = max(1, len(parts) - words + 1)
+    starts, ends = [0, *(gaps[: n - 1] + 1).tolist()], [*gaps[words - 1 :].tolist(), len(joined)]
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """(hash of the set of shingles, fingerprint, size of the set, a key for each band). The set's least hash in each of `BANDS` x `ROWS`
+    ranges is taken; a range without any takes that of the next one that has, told apart by how far it is."""
+    own = np.unique(hashes)
+    if not len(own):
+        return 0, 0, 0, []
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        counts += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    ranges = BANDS * ROWS
+    of = ((own >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    first = np.searchsorted(of, np.arange(ranges))
+    at = first % len(own)  # behind the last range comes the first one
+    least = own[at] + ((of[at] - np.arange(ranges)) % ranges).astype(np.uint64)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = [signed(xxhash.xxh64_intdigest(least[j * ROWS : (j + 1) * ROWS].tobytes(), j)) for j in range(BANDS)]
+    return signed(xxhash.xxh64_intdigest(own.tobytes(), 0)), fp, len(own), keys
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for piece in pieces(batches):
+            sig, fp, n, keys = zip(*(sketch(shingles(x, words, seed)) for x in raw(piece)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sig, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["row", "sig", "fp", "n", "keys"])
+
+    return docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, sig long, fp long, n int, keys array<long>")
+
+
+def _sets(texts_: DataFrame, words: int, seed: int) -> DataFrame:
+    """(sig, shingles) of (sig, text): the sorted set of hashes as bytes."""
+
+    def run(batches):
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([np.unique(shingles(x, words, seed)).tobytes() for x in raw(piece)], pa.binary())], ["sig", "shingles"])
+
+    return texts_.mapInArrow(run, "sig long, shingles binary")
+
+
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs (src, dst, a, b) whose sets share `similarity` of their union."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["src", "dst"])
+
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def _apart(a: str, b: str) -> str:
+    """SQL for the Manhattan distance of the counts in the 32 segments of two fingerprints, in halves that don't reach the sign."""
+    def half(at: int) -> str:
+        part = lambda c, k: f"(shiftrightunsigned({c}, {at + k}) & {ODD & 0xFFFFFFFF}L)"
+        counts = lambda c: f"({part(c, 0)} + {part(c, 1)})"
+        return f"aggregate(sequence(0, 15), 0L, (s, i) -> s + abs((shiftrightunsigned({counts(a)}, 2 * i) & 3) - (shiftrightunsigned({counts(b)}, 2 * i) & 3)))"
+
+    return f"({half(0)} + {half(32)})"
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`, `id_col` being its identity; components of the graph of texts that share
+    `similarity` of their distinct shingles or more. Texts of equal sets are one node and never form pairs. In each band's bucket all
+    texts are held against its least and its greatest one, so that a bucket of any size gives two pairs a text."""
+    marked = materialise(_sketches(docs, id_col, text_col, words, seed), "sketches")
+    nodes = materialise(marked.groupBy("sig").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    entries = marked.select("sig", F.explode("keys").alias("key")).distinct()
+    ends = entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi")
+    met = entries.join(ends, "key").select(F.explode(F.expr("array(struct(sig as a, lo as b), struct(sig as a, hi as b))")).alias("p"))
+    edges = met.where("p.a <> p.b").select(F.least("p.a", "p.b").alias("src"), F.greatest("p.a", "p.b").alias("dst")).distinct()
+    a, b = (nodes.select(F.col("sig").alias(e), F.col("fp").alias(f"fp_{e}"), F.col("n").alias(f"n_{e}")) for e in ("src", "dst"))
+    near = edges.join(a, "src").join(b, "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
+    near = near.where(f"{_apart('fp_src', 'fp_dst')} <= {FAR} and bit_count(fp_src ^ fp_dst) <= {FAR}")
+    near = materialise(near.select("src", "dst"), "near")
+    used = near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig")
+    rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
+    sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
+    pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")), "dst")
+    label = components(_verified(pairs, similarity))
+    named = nodes.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    known = materialise(named.select("sig", "label").join(least, "label").select("sig", "component_id"), "components")
+    return marked.select(F.col("row").alias("doc_id"), "sig").join(known, "sig", "left").select("doc_id", "component_id")
+
+
 def hex_of(fp: str = "fp"):
     return F.expr(f"lpad(lower(hex({fp})), 16, '0')")

@@ -65,6 +65,71 @@ def test_simhash(spark, docs, edge, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def components_of(items, links):
+    """Smallest item reachable, by plain search."""
+    near, out = {i: set() for i in items}, {}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    for i in sorted(items):
+        if i not in out:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = i
+                    todo += near[x]
+    return out
+
+
+def test_op1_against_brute_force(spark):
+    """Fingerprints and components of all documents by comparing all pairs."""
+    from lavra.llm.queries import op1_simhash
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    want = components_of(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op1_simhash(spark, tiny).collect()} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
+
+
+def brute_set(text, words=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_similar_texts_against_brute_force(spark, docs, edge, none):
+    """Components at 0.8 of the five-word shingles, against all pairs of the documents and of planted variants."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    planted = []
+    for _ in range(30):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        for change in (0, 1, 2, 3, 5, 8, 40):
+            own = list(base)
+            for at in rng.sample(range(len(own)), min(change, len(own))):
+                own[at] = rng.choice(vocabulary)
+            planted.append(" ".join(own))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()} | {10_000 + i: t for i, t in enumerate(planted)}
+    table = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    sets = {i: brute_set(t) for i, t in text.items()}
+    at = {}
+    for i, s in sets.items():
+        for x in s or {b""}:
+            at.setdefault(x, []).append(i)
+    links = set()
+    for i, s in sets.items():
+        for j in {j for x in s or {b""} for j in at[x] if j > i}:
+            if not s or len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                links.add((i, j))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
+    caught = sum(got[a] == got[b] for a, b in links)
+    assert len(got) == len(text) and len(links) > 200 and caught >= 0.98 * len(links)
+    want = components_of(text, links)
+    assert all(want[i] == want[c] for i, c in got.items())  # no link that isn't one
+    odd = {(r["doc_id"], r["component_id"]) for r in simhash.similar(edge).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (None, None)} <= odd and simhash.similar(none).count() == 0
+
+
 def test_gif(edge, none):
     rng = random.Random(2)
     for bits in (2, 3, 5, 8):

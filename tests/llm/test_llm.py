@@ -624,16 +624,58 @@ def test_vptree_over_shards(spark, monkeypatch):
     assert len(both) / len(got) >= 0.9
 
 
-def test_pipeline(spark, docs):
+def test_pipeline_stages_against_brute_force(spark, real):
+    """Each stage on its own input, row by row, and run() as the stages one after the other."""
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    assert got["doc_id"].is_unique and 300 < len(got) < docs.count()
-    tool = bpe.replayer(bpe.default_path())
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in got.itertuples():
-        clean = secrets.redact(text[r.doc_id], secrets.find(text[r.doc_id])[1])
-        assert tool.decode(list(r.token_ids)) == clean.encode() and r.n_tokens == len(r.token_ids)
+    tiny = SF.replace("sf0.01", "sf0.001")
+    now = spark.read.parquet(f"{tiny}/documents.parquet")
+    columns, labels = now.columns, spark.read.parquet(f"{tiny}/labels.parquet")
+    seen = {r["doc_id"]: r for r in now.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialise(stage(spark, now, tiny), "test")
+        rows = {r["doc_id"]: r for r in out.collect()}
+        assert len(rows) == out.count() and set(rows) <= set(seen)
+        if name != "bpe":
+            assert out.columns == columns
+        if name == "quality":
+            model = quality.fit(now, labels)
+            good = {i for i, r in seen.items() if model.score(np.array([quality.features((r["text"] or "").encode())]))[0] >= 0.7}
+            assert set(rows) == good and all(rows[i] == seen[i] for i in rows)
+        elif name == "near-dedup":
+            sets = {i: brute_set(r["text"]) for i, r in seen.items()}
+            links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            group = components_of(sets, links)
+            assert set(rows) == {i for i in sets if group[i] == i} and all(rows[i] == seen[i] for i in rows)
+        elif name == "secrets":
+            for i, r in seen.items():
+                clean = secrets.redact(r["text"], secrets.find(r["text"])[1])
+                assert (rows[i]["text"], rows[i]["n_chars"], rows[i]["source"]) == (clean, len(clean), r["source"])
+        elif name == "mixing":
+            kept = {r["doc_id"] for r in mixing.calibrated(now, fraction=0.8).where("mix_kept").collect()}
+            have, of = (sum(len((x[i]["text"] or "").split()) for i in x) for x in (rows, seen))
+            assert set(rows) == kept and all(rows[i] == seen[i] for i in rows) and 0.6 < have / of < 0.95
+        else:
+            for i, r in rows.items():
+                assert list(r["token_ids"]) == real.encode_ordinary(seen[i]["text"]) and r["n_tokens"] == len(r["token_ids"])
+        now, seen = out, rows
+    got = {r["doc_id"]: list(r["token_ids"]) for r in corpus_pipeline.run(spark, tiny).collect()}
+    assert got == {i: list(r["token_ids"]) for i, r in seen.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, edge, none):
+    """Null, empty and long texts, repeated rows, null ids, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, edge, tiny), stage(spark, none, tiny)
+        assert empty.count() == 0 and (name == "bpe" or (out.columns == edge.columns and empty.columns == none.columns))
+        got = sorted((r["doc_id"] or 0) for r in out.collect())
+        if name in ("secrets", "bpe"):
+            assert got == [0, 1, 2, 3, 4, 5, 6, 6, 7]
+        if name == "near-dedup":
+            assert got == [0, 1, 4, 5, 6]
 
 
 def test_pipeline_near_dedup_by_rows(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -38,7 +39,7 @@ def fold(c: Column, lower: bool = True) -> Column:
     """NFKD with what isn't ASCII dropped, lower case. Texts of ASCII alone, and characters that fold to one or none, take
     one pass; a text with one that folds to several goes through a map character by character."""
     one, plain, several = _folds()
-    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one node of the plan, folded to a constant
     spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
     wide = F.when(c.rlike(_class_of_several()), spelt).otherwise(c)
     out = F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(wide, one, plain), "[^\\x00-\\x7F]", "")).otherwise(c)

@@ -179,6 +179,15 @@ def summarize_clusters(rows: DataFrame, terms: DataFrame, noise: int = -1, title
     return out.withColumn("is_noise", F.col("cluster_id") == noise).na.fill("", ["top_terms", "sample_titles", "sample_tags", "domain_terms"])
 
 
+def cluster_view(summary: DataFrame, rows: DataFrame, cluster_id: int, size: int = 8) -> DataFrame:
+    """One cluster's summary with its first rows (pos, titulo), 1 to 30 of them; no row where there is no such cluster."""
+    if not 1 <= size <= 30:
+        raise ValueError("size is from 1 to 30")
+    own = rows.where(F.col("cluster_id") == cluster_id).orderBy("pos").limit(size)
+    shown = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "titulo"))), lambda x: x["titulo"]).alias("samples"))
+    return summary.where(F.col("cluster_id") == cluster_id).join(shown)  # one row each
+
+
 def cluster_counts(rows: DataFrame, noise: int = -1) -> DataFrame:
     """One row: clusters and raw clusters without noise, and the share of noise rows, of (cluster_id, raw_cluster_id)."""
     real = F.col("cluster_id") != noise

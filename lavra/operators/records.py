@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.functions.text import canonical, case_class, crime_identity, fold, identity_label, json_object, label_list, let, list_value, object_key, slug, squeeze, truncate_line, truthy
+from lavra.functions.text import canonical, case_class, context, crime_identity, fold, identity_label, json_object, label_list, let, list_value, object_key, slug, squeeze, truncate_line, truthy
 from lavra.operators import rules as R
+from lavra.runtime import materialise
+from lavra.sources import markup
 
 # Wrapper keys, and the spellings of each field, best first.
 WRAPPERS = ("resultado", "response", "output", "data", "json", "answer")
@@ -57,12 +61,16 @@ def coerced(rows: DataFrame, payload: str, allowed: list[str], sectors: list[str
     """`rows` with a struct `inference` of the ten fields, each under the first of its spellings that is there; null where the payload isn't
     a JSON object. Crimes are only allowed ones; without any, an allowed identity is one, and else the case is of another class."""
     rows = unwrapped(rows, payload).withColumn("_e", _entries(F.col(payload)))
-    get = lambda name: F.coalesce(*(_last(F.col("_e"), k) for k in KEYS[name]))
+    # Each field's raw value is a column of its own, so that the plan doesn't repeat how it is found wherever it is used.
+    rows = rows.withColumns({f"_g_{name}": F.coalesce(*(_last(F.col("_e"), k) for k in KEYS[name])) for name in KEYS})
+    get = lambda name: F.col(f"_g_{name}")
     text = lambda name: F.coalesce(squeeze(get(name)), F.lit(""))
     nested = F.coalesce(*(let(_last(F.col("_e"), k), lambda v: F.when(F.trim(v).startswith("{"), v)) for k in KEYS["resumo_estruturado"]))
     rows = rows.withColumns({"_c": label_list(get("crimes_mais_presentes"), allowed or [""], aliases), "_k": case_class(get("classificacao")), "_s": object_key(F.coalesce(get("setor_afetado"), F.lit("")))})
-    rows = rows.withColumn("_i", _identity(object_key(F.coalesce(get("identidade_canonica"), F.lit(""))), F.col("_c"), allowed or [""], aliases))
-    named = identity_label(F.col("_i"), aliases)
+    rows = rows.withColumn("_o", object_key(F.coalesce(get("identidade_canonica"), F.lit(""))))
+    rows = rows.withColumn("_i", _identity(F.col("_o"), F.col("_c"), allowed or [""], aliases))
+    rows = rows.withColumn("_n", identity_label(F.col("_i"), aliases))
+    named = F.col("_n")
     rows = rows.withColumn("_c", F.when((F.size("_c") == 0) & named.isin("", *allowed) & (named != ""), F.array(named)).otherwise(F.col("_c")))
     other = (F.size("_c") == 0) & ((F.col("_i") == "noticia_sem_crime_especifico") | (F.col("_k") == "Por crime"))
     made = F.struct(
@@ -70,7 +78,7 @@ def coerced(rows: DataFrame, payload: str, allowed: list[str], sectors: list[str
         text("resumo_curto").alias("resumo_curto"), F.coalesce(F.from_json(nested, "map<string,string>"), F.create_map().cast("map<string,string>")).alias("resumo_estruturado"), text("evidencia_textual").alias("evidencia_textual"),
         list_value(get("atores_mencionados")).alias("atores_mencionados"), F.when(F.col("_s").isin("", *sectors) & (F.col("_s") != ""), F.col("_s")).otherwise("nao_identificado").alias("setor_afetado"), truthy(get("precisa_reprocessamento")).alias("precisa_reprocessamento"),
     )
-    return rows.withColumn("inference", F.when(F.col("_e").isNotNull(), made)).drop("_e", "_c", "_k", "_s", "_i")
+    return rows.withColumn("inference", F.when(F.col("_e").isNotNull(), made)).drop("_e", "_c", "_k", "_s", "_i", "_o", "_n", *(f"_g_{name}" for name in KEYS))
 
 
 def validated(inference: Column) -> Column:
@@ -178,3 +186,31 @@ def readable(meta: Column, inference: Column) -> Column:
         ("Crimes mais presentes", some(inference["crimes_mais_presentes"], "sem_crime_explicitado")), ("Modus operandi", some(inference["modus_operandi"], "sem_modus_explicitado")), ("Resumo curto", said(inference["resumo_curto"], "sem_resumo")),
     ]
     return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in lines))
+
+
+def enriched(docs: DataFrame, rules: list, provider: Callable[[DataFrame], DataFrame], allowed: list[str], sectors: list[str], patterns: dict[str, list[str]], threshold: float = 0.85, done: DataFrame | None = None) -> DataFrame:
+    """The records (`nested`) of docs (arquivo, text in Markdown), one pass: rules first; documents that they don't classify go to the
+    provider ((arquivo, context) -> (arquivo, answer)), whose answers are parsed; those that fall short are rescued by rules at the
+    threshold, and an answer that can't be read has no record. Documents of `done` (arquivo) are left out."""
+    if done is not None:
+        docs = docs.join(done.select("arquivo").distinct(), "arquivo", "left_anti")
+    parts = docs.select("arquivo", markup.news(F.col("text")).alias("p"), markup.metadata(F.col("text")).alias("metadata"))
+    rows = materialise(parts.select("arquivo", "metadata", context(F.col("p.titulo"), F.col("p.subtitulo"), F.col("p.tags"), F.col("p.corpo")).alias("context"), F.col("p.tags").alias("tags")), "parsed")
+    ruled = materialise(R.record(rows, rules, threshold, "arquivo", "context", "tags"), "ruled").withColumnRenamed("doc_id", "arquivo")
+    none = F.array().cast("array<string>")
+    by_rule = F.struct(
+        F.col("identity").alias("identidade_canonica"), F.col("classification").alias("classificacao"), F.col("crimes").alias("crimes_mais_presentes"), F.col("modus").alias("modus_operandi"), F.lit("").alias("resumo_curto"),
+        F.create_map().cast("map<string,string>").alias("resumo_estruturado"), F.lit("").alias("evidencia_textual"), none.alias("atores_mencionados"), F.lit("").alias("setor_afetado"), F.lit(False).alias("precisa_reprocessamento"),
+    )
+    facts = [F.col("source").alias("regex_source"), "confidence", "operation_name", "matched_rules"]
+    first = ruled.where("accepted").select("arquivo", F.lit("regex").alias("source"), by_rule.alias("inference"), *facts)
+    left = rows.join(ruled.where("not accepted").select("arquivo"), "arquivo", "left_semi")
+    answers = materialise(provider(left.select("arquivo", "context")), "answers")
+    read = materialise(parsed(answers, "answer", allowed, sectors), "read").where("error is null").join(left, "arquivo")
+    short = needs_rescue(F.col("inference"), F.col("context"), patterns)
+    again = R.record(left, rules, min(threshold, 0.6), "arquivo", "context", "tags").where("accepted").select(F.col("doc_id").alias("arquivo"), by_rule.alias("by_rule"))
+    read = read.withColumn("short", short).join(again, "arquivo", "left")
+    second = read.select("arquivo", F.when(F.col("short") & F.col("by_rule").isNotNull(), "regex_rescue").otherwise("llm").alias("source"), F.when(F.col("short"), F.coalesce("by_rule", "inference")).otherwise(F.col("inference")).alias("inference"))
+    second = second.join(ruled.select("arquivo", *facts), "arquivo")
+    learned = F.lit(None).cast("array<struct<kind: string, label: string, pattern: string>>")
+    return nested(first.unionByName(second).join(rows.select("arquivo", "metadata"), "arquivo").withColumn("learned", learned))

@@ -3,13 +3,14 @@ spellings, rows of a table take turns through stated cases and the SQL states ea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
-from lavra.operators import features, learning, records, reports, rules, sampling, taxonomy, themes
+from lavra.operators import density, features, learning, records, reports, rules, sampling, taxonomy, themes
 from lavra.plans.queries import ANCHORS, CLEAN, FOLD, HITS, RAW, RULES, SENTENCES, SQUEEZE, STOPS, TFIDF, TOKENS, _list, _tfidf, _values, classified, docs_of, query
-from lavra.runtime import materialise, table
+from lavra.runtime import shared_dir, table
+from lavra.streaming import incremental
 
 
 def turns(key: str, cases: list, spark_type: str = "string") -> Column:
@@ -535,3 +536,49 @@ def split_docs(spark, sf):
     a, b = sampling.split(d, d.where("doc_id % 7 = 0").select("doc_id"), "doc_id")
     one = a.agg(F.count("*").alias("n"), F.sum("doc_id").alias("checksum")).join(b.agg(F.count("*").alias("m")))  # two tables of one row
     return one.select(F.concat(F.lit("keyed:"), "n").alias("sample"), F.concat(F.lit("rest:"), "m").alias("reserve"), "checksum")
+
+
+@query(f"""WITH e AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT count(*) AS rows, true AS separated FROM e""")
+def density_clusters(spark, sf):
+    """Density clusters of all vectors, each drawn to one of four far places with a little of its own: every place is one cluster."""
+    place = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(F.col("vec_id") % 4 == i - 1, 50.0).otherwise(0.0))
+    own = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 4) * 0.01)
+    v = table(spark, sf, "embeddings").select("vec_id", F.zip_with(place, own, lambda a, b: a + b).alias("embedding"))
+    got = density.clusters(v, 8, 4)
+    by = got.where("cluster >= 0").groupBy("cluster").agg(F.count_distinct(F.col("id") % 4).alias("places"))
+    return got.agg(F.count("*").alias("rows")).join(by.agg((F.max("places") == 1).alias("separated")))
+
+
+@query(f"WITH {CLUSTERED} SELECT cluster_id, count(*) AS size, (SELECT string_agg(titulo, ',' ORDER BY pos) FROM (SELECT * FROM cr WHERE cluster_id = 2 ORDER BY pos LIMIT 5)) AS samples FROM cr WHERE cluster_id = 2 GROUP BY 1")
+def cluster_sample(spark, sf):
+    rows = _clustered(spark, sf)
+    return features.cluster_view(rows.groupBy("cluster_id").agg(F.count("*").alias("size")), rows, 2, 5).withColumn("samples", F.array_join("samples", ","))
+
+
+@query("""SELECT event_type AS label, count(*) AS occurrences, count(DISTINCT event_id % 3) AS iterations FROM events GROUP BY 1""")
+def candidates_over_batches(spark, sf):
+    """Candidates of three batches, one of which is run twice."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/lavra/candidates-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    for n in (0, 1, 2, 1):
+        incremental.append_candidates(e.where(f"event_id % 3 = {n}").select("event_type", "event_id", "props"), root, n)
+    got = taxonomy.candidate_groups(spark.read.parquet(root).withColumnRenamed("event_type", "label"), "label", "batch_id", "props", "event_id")
+    return got.select("label", "occurrences", "iterations")
+
+
+@query("""SELECT doc_id || '.md' AS arquivo, CASE doc_id % 4 WHEN 0 THEN 'regex' ELSE 'llm' END AS source, CASE doc_id % 4 WHEN 0 THEN 'crime_alpha' WHEN 1 THEN 'crime_beta' ELSE 'x_y' END AS identity, CASE doc_id % 4 WHEN 0 THEN 'Por crime' WHEN 1 THEN 'Por crime' ELSE 'Outras' END AS class, 'T' AS titulo FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 5 <> 0""")
+def enriched_records(spark, sf):
+    """Rules take one document in four, a provider the others, one of whose answers can't be read; some are done already."""
+    d = docs_of(spark, sf)
+    said = turns("doc_id", ["the one", "nada", "nada", "nada"])
+    docs = d.select(F.concat("doc_id", F.lit(".md")).alias("arquivo"), F.concat(F.lit("# T\nsub\nTags: a\n**Rio** "), said).alias("text"))
+
+    def provider(rows):
+        n = F.substring_index("arquivo", ".", 1).cast("long")
+        return rows.select("arquivo", F.when(n % 4 == 1, F.lit('{"identity": "beta", "tipo": "crime", "crimes": ["beta"]}')).when(n % 4 == 2, F.lit('{"identity": "x y", "tipo": "outras"}')).otherwise("?").alias("answer"))
+
+    done = d.where("doc_id % 5 = 0").select(F.concat("doc_id", F.lit(".md")).alias("arquivo"))
+    got = records.enriched(docs, RULES, provider, ["alpha", "beta"], [], {}, done=done)
+    return got.select("arquivo", F.col("fonte_classificacao").alias("source"), F.col("inferencia_llm.identidade_canonica").alias("identity"), F.col("inferencia_llm.classificacao").alias("class"), "metadata_extraido.titulo")

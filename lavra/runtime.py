@@ -49,21 +49,35 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or where unset (local tests) a temporary one."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or the context's checkpoint folder. A temporary folder
+    stands for it in local runs alone; on a cluster its absence is an error, as executors don't see the driver's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="lavra-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="lavra-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: the plan behind it never runs again,
-    and a lost executor costs no recomputation."""
+    and a lost executor costs no recomputation. `discard` deletes what a session has written so."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lavra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_lavra_written", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `materialise` has written in this session, once no result is to be read any more; how many there were."""
+    written = spark.sparkContext.__dict__.pop("_lavra_written", [])
+    for path in written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(written)

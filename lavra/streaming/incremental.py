@@ -33,20 +33,25 @@ def run_batch(batch: DataFrame, batch_id: int, root: str, review: Reviewer | Non
     spark = batch.sparkSession
     bank, _ = _bank(spark, f"{root}/bank", batch_id)
     rules = [tuple(r[c] for c in ("kind", "label", "pattern", "weight", "source", "uses", "examples", "pos")) for r in bank.orderBy("pos").collect()]
-    rows = R.classify(batch, rules, threshold)
-    left = F.col("status") == "regex_below_threshold"
-    out = f"{root}/rows/batch_id={batch_id}"
-    rows.withColumn("status", F.when(left & F.lit(review is not None and budget == 0), "residual_pending").otherwise(F.col("status"))).write.mode("overwrite").parquet(out)
-    if review is None or budget == 0 or batch_id + 1 in files.versions(spark, f"{root}/bank"):
+    rows = materialise(R.classify(batch, rules, threshold), "batch")
+    left = rows.where("status = 'regex_below_threshold'").select("doc_id")
+    seen = left if budget is None else left.orderBy("doc_id").limit(budget)  # a budget of one batch
+    if review is not None and budget is not None:
+        rows = rows.join(seen.withColumn("_seen", F.lit(True)), "doc_id", "left")
+        rows = rows.withColumn("status", F.when((F.col("status") == "regex_below_threshold") & F.col("_seen").isNull(), "residual_pending").otherwise(F.col("status"))).drop("_seen")
+    rows.write.mode("overwrite").parquet(f"{root}/rows/batch_id={batch_id}")
+    if review is None or batch_id + 1 in files.versions(spark, f"{root}/bank"):
         return
-    residual = spark.read.parquet(out).where(left).select("doc_id")
-    if budget is not None:
-        residual = residual.orderBy("doc_id").limit(budget)
-    learned = materialise(review(batch.join(residual, "doc_id", "left_semi"), batch_id), "learned")
+    learned = materialise(review(batch.join(seen, "doc_id", "left_semi"), batch_id), "learned")
     if not learned.isEmpty():
         files.publish_bank(R.upsert(bank, learned), f"{root}/bank", batch_id + 1)
 
 
+def append_candidates(rows: DataFrame, root: str, batch_id: int) -> None:
+    """A batch's theme candidates, added to those of the batches before; a repeated batch takes the place of its first run."""
+    rows.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+
+
 def stream(source: DataFrame, rules: list, root: str, review: Reviewer | None = None, **options):
     """Runs all that is available and returns the query. Batch 0 begins with `rules`, unless an earlier run left a bank."""
     spark = source.sparkSession

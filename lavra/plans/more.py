@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions import table as table_functions
 from lavra.functions import text as tx
 from lavra.operators import density, features, learning, records, reports, rules, sampling, taxonomy, themes
 from lavra.plans.queries import ANCHORS, CLEAN, FOLD, HITS, RAW, RULES, SENTENCES, SQUEEZE, STOPS, TFIDF, TOKENS, _list, _tfidf, _values, classified, docs_of, query
@@ -582,3 +583,13 @@ def enriched_records(spark, sf):
     done = d.where("doc_id % 5 = 0").select(F.concat("doc_id", F.lit(".md")).alias("arquivo"))
     got = records.enriched(docs, RULES, provider, ["alpha", "beta"], [], {}, done=done)
     return got.select("arquivo", F.col("fonte_classificacao").alias("source"), F.col("inferencia_llm.identidade_canonica").alias("identity"), F.col("inferencia_llm.classificacao").alias("class"), "metadata_extraido.titulo")
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, {FOLD.format('text')} AS t FROM conversations), s AS ({SHINGLES}),
+k AS (SELECT *, list_filter(regexp_extract_all(p, '[a-z0-9]{{4,}}'), lambda x: NOT list_contains({_list(learning.RESIDUAL_STOP)}, x)) AS w FROM s), d AS (SELECT conv_id, turn, p, any_value(w) AS w, min((part, i)) AS pl FROM k WHERE len(w) >= 2 GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pl) AS r FROM d) SELECT conv_id, turn, r::INTEGER AS n, p AS phrase, array_to_string(list_transform(w[1:5], lambda x: '\\b' || x || '\\w*\\b'), '.{{0,80}}') AS pattern FROM r WHERE r <= 3""")
+def residual_rules_sql(spark, sf):
+    """The table function in SQL."""
+    table_functions.register(spark)
+    table(spark, sf, "conversations").createOrReplaceTempView("lavra_conversations")
+    return spark.sql("SELECT conv_id, turn, r.n, r.phrase, r.pattern FROM lavra_conversations, LATERAL residual_rules(text) AS r")

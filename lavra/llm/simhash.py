@@ -31,6 +31,7 @@ from lavra.runtime import materialise
 
 ODD = 0x5555555555555555
 BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
+MET = 2_000_000  # rows in pairs to verify that are broadcast (about 60 bytes each), so that texts stay in place; beyond, a shuffle joins them
 FAR = 22  # bits between fingerprints of texts that share 0.8 of their shingles, and four deviations more
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
@@ -205,7 +206,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     near = edges.join(a, "src").join(b, "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
     near = near.where(f"{_apart('fp_src', 'fp_dst')} <= {FAR} and bit_count(fp_src ^ fp_dst) <= {FAR}")
     near = materialise(near.select("src", "dst"), "near")
-    used = near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig")
+    used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
+    used = F.broadcast(used) if used.count() <= MET else used
     rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
     sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
     pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")), "dst")

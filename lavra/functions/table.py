@@ -7,10 +7,9 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from lavra.functions.text import folded
+from lavra.functions.text import RESIDUAL_STOP, folded
 
-# Words that don't make a residual's phrase telling, and what no phrase begins with.
-STOP = frozenset("policia federal operacao contra para com houve meio uso documentos falsos".split())
+# What no phrase begins with.
 NOT_FIRST = ("policia federal", "operacao")
 RUNS = [re.compile(rf"\b[a-z0-9]{{4,}}(?:\s+[a-z0-9]{{2,}}){{{n - 1}}}\b") for n in (6, 5, 4, 3, 2)]
 
@@ -22,7 +21,7 @@ class ResidualRules:
     def eval(self, text: str):
         said = folded(text or "")
         found = dict.fromkeys(m[0] for run in RUNS for m in run.finditer(said) if not m[0].startswith(NOT_FIRST))
-        telling = ((p, [w for w in re.findall("[a-z0-9]{4,}", p) if w not in STOP]) for p in found)
+        telling = ((p, [w for w in re.findall("[a-z0-9]{4,}", p) if w not in RESIDUAL_STOP]) for p in found)
         for n, (phrase, words) in enumerate(((p, w) for p, w in telling if len(w) >= 2), 1):
             if n > 3:
                 return

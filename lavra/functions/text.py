@@ -155,6 +155,8 @@ def compact_terms(c: Column, limit: int = 3) -> Column:
     return F.array_join(F.slice(delimited_set(c), 1, limit), ", ")
 
 
+#: Words that don't make a residual's phrase telling.
+RESIDUAL_STOP = ("policia", "federal", "operacao", "contra", "para", "com", "houve", "meio", "uso", "documentos", "falsos")
 #: Tags that say nothing about a case.
 IGNORED_TAGS = ("destaque", "operacao_pf", "pf", "policia_federal")
 

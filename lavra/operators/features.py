@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lavra.functions.text import delimited_set, folded
+from lavra.functions.text import compact_terms, delimited_set, folded
 from lavra.operators.graph import components
 from lavra.runtime import materialise
 
@@ -200,7 +200,7 @@ def tree_rows(summary: DataFrame, families: dict[str, list[str]], labels: dict[s
     voted = family_vote(summary.select(F.col("cluster_id").alias("id"), F.transform(terms, F.lower).alias("terms")), families).withColumnRenamed("id", "cluster_id")
     name = F.col("family") if not labels else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.col("family")), F.col("family"))
     leaf = F.concat(F.lit("cluster "), F.col("cluster_id"), F.lit(" ("), F.col("size"), F.lit(")"))
-    return summary.join(voted, "cluster_id").select(name.alias("theme"), "cluster_id", "raw_cluster_ids", "size", leaf.alias("leaf_label"), F.array_join(F.slice(delimited_set(F.col("top_terms")), 1, 3), ", ").alias("leaf_detail"))
+    return summary.join(voted, "cluster_id").select(name.alias("theme"), "cluster_id", "raw_cluster_ids", "size", leaf.alias("leaf_label"), compact_terms(F.col("top_terms")).alias("leaf_detail"))
 
 
 def singular_values(vectors: DataFrame, k: int, vector_col: str = "embedding") -> list[float]:

@@ -10,14 +10,10 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import canonical, domain_sentences, domain_terms, fold, informative_tags, let, ngrams, phrase_of, slug, squeeze, token_slug, tokens
+from lavra.functions.text import RESIDUAL_STOP, canonical, domain_sentences, domain_terms, fold, informative_tags, let, ngrams, phrase_of, slug, squeeze, token_slug, tokens
 from lavra.operators import rules as R
-from lavra.operators.features import top_k  # noqa: F401  (part of this module's interface)
 
 NONE = "array<string>"
-# Words that don't make a residual's phrase telling.
-RESIDUAL_STOP = ("policia", "federal", "operacao", "contra", "para", "com", "houve", "meio", "uso", "documentos", "falsos")
-
 
 def _anchored(words: Column) -> Column:
     return F.transform(words, lambda t: F.concat(F.lit(r"\b"), t, F.lit(r"\w*\b")))

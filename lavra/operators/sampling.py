@@ -45,11 +45,11 @@ def stratified(df: DataFrame, stratum: Column, key: str, fraction: float = 0.15,
     firsts = F.sum("first").over(order.rowsBetween(1, Window.unboundedFollowing))
     quota = quota.withColumn("quota", F.least("of", F.greatest("first", F.least("quota", room - F.coalesce(firsts, F.lit(0)))))).select("stratum", "quota")
     run = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket"))  # at most BUCKETS rows a stratum
-    border = sizes.withColumn("upto", run).join(F.broadcast(quota), "stratum").where("upto > quota")
+    border = sizes.withColumn("upto", run).join(quota, "stratum").where("upto > quota")
     border = border.groupBy("stratum").agg(F.min_by(F.struct("bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("b"))
     cut = quota.join(border, "stratum", "left").select("stratum", "quota", F.coalesce("b.bucket", F.lit(BUCKETS)).alias("border"), F.coalesce("b.room", F.lit(0)).alias("room"))
     cut = materialise(cut, "quotas")
-    rows = marked.join(F.broadcast(cut), "stratum")
+    rows = marked.join(cut, "stratum")
     ranked = rows.where("bucket = border").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", key)))
     out = rows.where("bucket <> border").select(key, "stratum", "h", (F.col("bucket") < F.col("border")).alias("sampled"))
     out = out.unionByName(ranked.select(key, "stratum", "h", (F.col("r") <= F.col("room")).alias("sampled")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +68,7 @@ def themes(summary: DataFrame, rules: Needles, provider: Callable[[DataFrame], D
             if not got.where("decision = 'accept'").isEmpty():
                 return got
         except Exception as error:  # a provider is an outside service: any fault of it means the fallback
-            print(f"themes: fallback, {type(error).__name__}: {error}")
+            logging.getLogger(__name__).warning("fallback themes, %s: %s", type(error).__name__, error)
     return fallback_themes(summary, rules, **options)[0]
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lavra.functions import text as tx
 from lavra.operators import rules
 from lavra.plans.more import told, turns
-from lavra.plans.queries import RAW, RULES, _values, classified, docs_of, query
-from lavra.runtime import materialise, shared_dir, table
+from lavra.plans.queries import RULES, _values, docs_of, query
+from lavra.runtime import shared_dir, table
 from lavra.sources import files, listing, markup
 from lavra.streaming import incremental
 
@@ -150,6 +150,17 @@ def local_index_rows(spark, sf):
     return d.select("r.titulo", "r.subtitulo", "r.data_publicacao", "r.hora_publicacao", "r.tipo_conteudo", "r.tags", "r.total_tags", "r.link")
 
 
+@query(f"""WITH t AS (SELECT doc_id, {_said('title @', 'title @', '', 'title @')} AS title, {told('doc_id', ['31/12/2023', '31/12/2023', '31/12/2023', ''])} AS day FROM documents)
+SELECT 'name' AS kind, doc_id || '.md' AS key FROM t UNION SELECT 'title', title FROM t WHERE title <> '' UNION SELECT 'dated', title || '|' || day FROM t WHERE title <> '' AND day <> '' UNION SELECT 'link', 'l' || doc_id FROM t WHERE doc_id % 6 = 0""")
+def inventory_keys(spark, sf):
+    """Every other document is in the manifest, a third of these with status ok; some of its files aren't stored."""
+    d = docs_of(spark, sf)
+    stored = d.select(F.concat("doc_id", F.lit(".md")).alias("name"), _stored("doc_id").alias("text"))
+    rows = d.where("doc_id % 2 = 0").select(F.concat(F.lit(" l"), "doc_id").alias("link"), F.concat(F.lit("a/"), "doc_id", F.lit(".md")).alias("markdown_path"), F.when(F.col("doc_id") % 3 == 0, "ok").otherwise("erro").alias("status"))
+    gone = spark.createDataFrame([("x", "a/none.md", "ok")], rows.schema)
+    return listing.inventory(stored, files.with_columns(rows.unionByName(gone), files.MANIFEST))
+
+
 NEWS = [
     "# T {0}\nsub\nPublicado em 31/12/2023 10h30\nAtualizado em 01/01/2024\nTags: a|b, c ,\nlead **Rio/RJ** - body **Rio/RJ** end", "no title {0}\nTags: x\nbody {0}", "# only {0}", "# T {0}\n\nsub\nfoo Tags: p, q\n x", "intro **D {0}** b **E**",
 ]

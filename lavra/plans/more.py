@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lavra.functions import table as table_functions
 from lavra.functions import text as tx
 from lavra.operators import density, features, learning, records, reports, rules, sampling, taxonomy, themes
-from lavra.plans.queries import ANCHORS, CLEAN, FOLD, HITS, RAW, RULES, SENTENCES, SQUEEZE, STOPS, TFIDF, TOKENS, _list, _tfidf, _values, classified, docs_of, query
+from lavra.plans.queries import ANCHORS, CLEAN, FOLD, HITS, RAW, RULES, SENTENCES, SQUEEZE, STOPS, TFIDF, TOKENS, _list, _tfidf, _values, docs_of, query
 from lavra.runtime import shared_dir, table
 from lavra.streaming import incremental
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lavra.functions.text import markdown_name
-from lavra.operators.learning import missing
+from lavra.operators.learning import key, missing, title_key
 from lavra.operators.sampling import first_by
 from lavra.sources.files import INDEX, MANIFEST, with_columns
 from lavra.sources.html import Node, markdown, tree
+from lavra.sources.markup import local_record
 
 # The lines that dates stand in, and the offset in a link of the pager.
 PUBLISHED = re.compile(r"publicado\s+(\d{2}/\d{2}/\d{4})\s+(\d{2}h\d{2})\s+(\S+)", re.I)
@@ -99,6 +100,18 @@ def recent(spark: SparkSession, fetch: Callable[[int], str], pages: int, step: i
     return with_columns(collect(spark, fetch, pages, step), INDEX)
 
 
+def inventory(stored: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(kind, key) of what is held: the names of stored files (name, text), the folded titles in them, alone and with their dates, and the links
+    that the manifest has with status `ok` and a stored file."""
+    read = stored.select("name", local_record(F.col("text")).alias("r"))
+    day = F.substring_index("r.published_at", " ", 1)
+    kinds = {"name": F.col("name"), "title": title_key(F.col("r.title")), "dated": key(F.col("r.title"), day)}
+    own = read.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds.items()))).alias("x")).select("x.*")
+    named = manifest.where("status = 'ok'").select(F.element_at(F.split("markdown_path", "/"), -1).alias("name"), F.trim("link").alias("key"))
+    links = named.join(stored.select("name"), "name", "left_semi").select(F.lit("link").alias("kind"), "key")
+    return own.unionByName(links).where("key <> ''").distinct()
+
+
 def absent(rows: DataFrame, known: DataFrame, manifest: DataFrame, paths: DataFrame) -> DataFrame:
     """Rows of a listing that aren't held: neither their file is among `paths` (name), nor their link in the manifest with status `ok`
     and a file that is, nor their title and date (or title, where they have no date) in `known` (titulo, data_publicacao)."""

@@ -149,3 +149,19 @@ def test_documents_and_reports(spark, tmp_path):
 def test_density_clusters_are_judged(spark):
     assert features.hdbscan_size(1216) == (60, 30) and features.hdbscan_size(9) == (8, 4)
     assert features.unstable(spark.range(100).selectExpr("id % 5 as cluster")) and not features.unstable(spark.range(100).selectExpr("id % 9 as cluster"))
+
+
+def test_clusters_and_profiles_are_kept(spark, tmp_path):
+    from lavra.operators import density, records
+
+    far = spark.createDataFrame([(i, [float(i % 9 * 30), float(i % 7) / 10]) for i in range(180)], "vec_id int, embedding array<double>")
+    got, how = density.semantic_clusters(far)
+    assert how == "density" and got.groupBy("cluster").agg(F.count_distinct(F.col("id") % 9).alias("n")).where("n > 1").isEmpty()
+    got, how = density.semantic_clusters(far.limit(60).withColumn("embedding", F.array(F.col("vec_id").cast("double"))))
+    assert how == "kmeans" and got.count() == 60
+    assert density.clusters(far.limit(3)).where("cluster <> -1").isEmpty() and density.clusters(far.limit(0)).isEmpty()
+    with pytest.raises(ValueError):
+        density.clusters(far, most=100)
+    files.save_profiles(got, far, f"file://{tmp_path}/p")
+    assert spark.read.parquet(f"file://{tmp_path}/p/profiles").count() == 60
+    assert [r[0] for r in spark.createDataFrame([("",), ("31/12/2023",), ("31/12/23",)], "d string").select(records.valid_date(F.col("d"))).collect()] == [True, True, False]

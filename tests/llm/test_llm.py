@@ -686,3 +686,33 @@ def test_pipeline_near_dedup_by_rows(spark):
     rows = [(5, one), (5, two), (-3, one), (5, two), (None, two), (None, three), (None, three), (9, one)]
     got = corpus_pipeline.distinct(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS), SF)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(-3, one), (5, two), (0, three)])
+
+
+def test_scored_queries_keep_their_contract(spark):
+    """op3, op7 and op9 over all documents: the held-out fold by zlib, predictions by their cuts, scores text by text, and no text of the
+    held-out fold, nor another column, moves a score."""
+    from lavra.llm import queries
+
+    tiny = SF.replace("sf0.01", "sf0.001")
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in text}
+    moved = docs.withColumns({"lang": F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit("xx")).otherwise(F.col("lang")), "source": F.lit("s")})
+    other = labels.withColumns({c: F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    good, vile, spoken = quality.fit(docs, labels), toxicity.fit(docs, labels), langid.fit(docs)
+    plain = {
+        "op3_quality": (lambda t: float(good.score(np.array([quality.features(t.encode())]))[0]), 0.7, lambda: quality.scores(moved, quality.fit(moved, other))),
+        "op7_toxicity": (lambda t: float(vile.score(vile.evidence([t])[0])[0]), 0.3, lambda: toxicity.scores(moved, toxicity.fit(moved, other))),
+    }
+    for name, (score, cut, again) in plain.items():
+        got = {r["doc_id"]: r for r in queries.queries()[name](spark, tiny).collect()}
+        assert set(got) == set(text)
+        for i, r in got.items():
+            assert r["held_out"] == held[i] and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut)
+            assert r["score"] == pytest.approx(score(text[i]), abs=1e-9)
+        assert {r["doc_id"]: r["score"] for r in again().collect()} == pytest.approx({i: r["score"] for i, r in got.items()}, abs=1e-9)
+    got = {r["doc_id"]: r for r in queries.op9_langid(spark, tiny).collect()}
+    known = {r["lang"] for r in docs.collect() if not held[r["doc_id"]]}
+    assert set(got) == set(text) and all(r["held_out"] == held[i] and r["lang_pred"] in known | {"und"} and 0 <= r["score"] <= 1 for i, r in got.items())
+    assert all((got[i]["lang_pred"], got[i]["score"]) == (spoken.predict(t)[0], pytest.approx(spoken.predict(t)[1])) for i, t in text.items())
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predictions(moved, langid.fit(moved)).collect()} == {i: r["lang_pred"] for i, r in got.items()}

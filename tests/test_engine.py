@@ -154,7 +154,7 @@ def test_density_clusters_are_judged(spark):
 def test_clusters_and_profiles_are_kept(spark, tmp_path):
     from lavra.operators import density, records
 
-    far = spark.createDataFrame([(i, [float(i % 9 * 30), float(i % 7) / 10]) for i in range(180)], "vec_id int, embedding array<double>")
+    far = spark.createDataFrame([(i, [float(i % 9 * 30), float(i % 7) / 10]) for i in range(360)], "vec_id int, embedding array<double>")
     got, how = density.semantic_clusters(far)
     assert how == "density" and got.groupBy("cluster").agg(F.count_distinct(F.col("id") % 9).alias("n")).where("n > 1").isEmpty()
     got, how = density.semantic_clusters(far.limit(60).withColumn("embedding", F.array(F.col("vec_id").cast("double"))))

@@ -2,12 +2,12 @@
 
 Decoding walks the blocks of the format, replays each image's LZW code stream, applies its palette, and draws it on
 the canvas under the disposal and transparency rules. The payload form (`encode_samples`) keeps bytes losslessly: one
-byte is one palette index of a 64-pixel-wide grey image; a payload of more rows than an image can have goes on in
-further frames. The widths of LZW codes follow from their place after a clear code alone, so that NumPy packs
+byte is one palette index of a 64-pixel-wide grey image; a payload of more rows than a frame has goes on in further
+frames, each shown for a tenth of a second. The widths of LZW codes follow from their place after a clear code alone, so that NumPy packs
 and unpacks the bits and only the string table itself is kept by Python.
 
 Null texts read as empty; a payload is padded with zero bytes to a positive multiple of 64. Equal texts give equal
-bytes; repeated rows give repeated results; very long texts are one piece each, in frames of 4 MB. In `frames_of` null media
+bytes; repeated rows give repeated results; very long texts are one piece each, in frames of 32 KB. In `frames_of` null media
 gives no rows; of media with a fault the sound frames before it are rows, and the fault is one with its `error`. An empty
 table gives an empty result. Only the id and the payload column are read, so other columns may have any name."""
 
@@ -29,6 +29,7 @@ from lavra.llm.batches import pieces, raw
 
 WIDTH = 64
 MAX_ROWS = 65535
+FRAME_ROWS = 512  # of a stored payload: frames of 32 KB, shown one after the other
 PIXELS = 1 << 26  # of a canvas, 256 MB of memory; larger media are reported, not decoded
 GREY = bytes(x for i in range(256) for x in (i, i, i))
 
@@ -289,26 +290,30 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, frame_features string"
 
 
 def digest(text: bytes) -> tuple:
-    """Stores the payload of a text as a GIF, reads the stored bytes back and describes what came back."""
-    media = encode_samples(payload_of(text))
-    back, counts = [], np.zeros(513, np.int64)
+    """Stores the payload of a text as a GIF of timed frames, reads the stored bytes back and describes what came back: the payload, the
+    colour histogram of all frames, how many there are and how long they last, and each one's time and commonest colour."""
+    media = encode_samples(payload_of(text), rows=FRAME_ROWS)
+    back, counts, shows, ends = [], np.zeros(513, np.int64), [], 0
     for frame in decode(media):
         shown = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width]
         back.append((shown & 255).astype(np.uint8).tobytes())  # of a grey palette any channel is the sample
-        counts += histogram(shown)
+        own = histogram(shown)
+        counts += own
+        shows.append(f"{frame.at_ms}:{int(own.argmax())}")
+        ends = frame.at_ms + frame.delay_ms
     payload = b"".join(back)
-    return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), sparse(counts))
+    return (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), sparse(counts), len(back), ends, ",".join(shows))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, ..., feature): `digest` of every whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, {DIGEST}"
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     names = ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))]
 
     def run(batches):

@@ -172,7 +172,10 @@ def test_op2_against_hashes(spark):
         raw = text[r["doc_id"]]
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        media = gif.encode_samples(payload)
+        media = gif.encode_samples(payload, rows=gif.FRAME_ROWS)
+        frames = -(-len(payload) // (64 * gif.FRAME_ROWS))
+        shows = [max(range(512), key=lambda c, p=payload[i * 64 * gif.FRAME_ROWS : (i + 1) * 64 * gif.FRAME_ROWS]: (sum(n for b, n in zip(*np.unique(np.frombuffer(p, np.uint8), return_counts=True)) if (b >> 5) * 73 == c), -c)) for i in range(frames)]
+        assert (r["n_frames"], r["duration_ms"], r["frame_features"]) == (frames, 100 * frames, ",".join(f"{100 * i}:{c}" for i, c in enumerate(shows)))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         assert sum(int(x.split(":")[1]) for x in r["feature"].split(",")) == len(payload)
     big = spark.createDataFrame([(1, "x\u00e9" * 1_000_000), (2, ""), (3, None)], "doc_id long, text string")

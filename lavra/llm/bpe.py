@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from lavra.llm.batches import pieces, texts
 
-WORDS = 800_000  # words a worker remembers
-GROUP = 100_000  # words that are merged together
-PIECE = 4 << 20  # bytes of text whose words are gathered at a time
+WORDS = 500_000  # words a worker remembers
+GROUP = 50_000  # words that are merged together
+PIECE = 2 << 20  # bytes of text whose words are gathered at a time
 COMMON = 10_000  # ranks whose merges go by arrays
 # The characters of the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -138,7 +138,7 @@ class Replay:
         self.known, self.before = Store(), Store()  # `before`: what was known when `known` last grew full
 
     def _rank(self, pair: int) -> int:
-        if len(self.joins) > 1_000_000:
+        if len(self.joins) > 500_000:
             self.joins.clear()
         out = self.joins[pair] = self.ranks.get(self.pieces[pair >> 17] + self.pieces[pair & 0x1FFFF], -1)
         return out

@@ -90,6 +90,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
     if not len(tree.ids) or not n:
         return best, who
     norm2 = (queries * queries).sum(1)
+    shared = found is not None or len(np.unique(tree.ids)) < len(tree.ids)
     slack = 1e-9 * (1 + np.sqrt(norm2.max() * tree.top2) + tree.top2)
 
     def leaf(a: int, b: int, act: np.ndarray) -> None:
@@ -104,7 +105,7 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
         own = act[hit]
         scores = np.concatenate([best[own], sure[hit]], 1)
         names = np.concatenate([who[own], np.where(np.isinf(sure[hit]), np.iinfo(np.int64).max, tree.ids[a:b])], 1)
-        if found:  # an id may stand in several trees; its best score counts
+        if shared:  # an id may stand in several trees, or in one with several vectors; its best score counts
             order = np.lexsort((-scores, names))
             again = np.take_along_axis(names, order, 1)
             seen = np.zeros_like(again, bool)

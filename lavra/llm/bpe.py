@@ -322,7 +322,8 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
 
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and `token_ids` (array<int>, empty for null texts)."""
+    """All columns of `docs` and `token_ids` (array<int>, empty for null texts); a column of that name is replaced."""
+    docs = docs.drop("token_ids")
 
     def run(batches):
         tool = replayer(path or default_path())

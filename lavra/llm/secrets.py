@@ -3,7 +3,15 @@
 A text is scanned for the base kinds. Then the text without its URL escapes, the text without its Unicode escapes, and
 every stretch that reads as base64 or a compressed body are layers of their own, each scanned and unwrapped in turn until no new layer comes
 (a layer's digest seen on its own path ends a cycle). Every character of a layer keeps the span of the whole text that
-it comes from, so a find in any layer is a span of the text. A compressed body maps to the whole stretch it was in.
+it comes from, so a find in any layer is a span of the text. A compressed body maps to the whole stretch it was in, and what is
+in it needs no span a character.
+
+Escapes of an escape's own sign inside each other (`NEST` deep or more) come off in one step, so that layers don't add up to the
+square; the hex runs that the layers between would show, of the nest's digits and the text as it stands behind it, are found on
+the way. Nothing else can begin in them: the other kinds hold no sign of an escape, and a run of base64 is read in all four
+alignments from the layer before. Bodies are read in
+parts of about `PART` bytes that end outside any run of an encoding; a run that doesn't end within `HOLD` bytes is cut there, and
+what follows begins `LAP` bytes before.
 
 Nulls read as empty texts. Repeated rows give repeated results, very long texts are scanned whole, and an empty table
 gives an empty result. Only the id and text columns are read, so other columns may have any name."""
@@ -17,6 +25,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +40,32 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-# Escapes of a percent sign inside each other: deep ones come off at once, so that their layers don't add up to the square.
-NEST = re.compile(r"%(?:25){16,}")
+NEST = 16
+# Where a deep nest may stand, and what an escape's sign needs behind it to stand for such a sign again.
+NESTED = re.compile(r"[%\\](?:25|5[cC]|[uxU]\{?0*(?:25|5[cC])\}?){16}")
+AGAIN = {"%": re.compile(r"25|5[cC]"), "\\": re.compile(r"(?:u00|x|U000000)(?:25|5[cC])|u\{0{0,4}(?:25|5[cC])\}")}
+DIGITS = re.compile(r"[0-9a-f]+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 PERCENT_ASCII = re.compile(r"(?:%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]|0[9AaDd]))+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})")
 # Both alphabets at once, as a run may hold the signs of either; its lines may be wrapped.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n[ \t]*)?[A-Za-z0-9+/_-]){15,}={0,2}")
+# Behind the first 16 signs nothing is given back, so that a run of any length costs no memory.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-](?:(?:\r?\n[ \t]*)?[A-Za-z0-9+/_-]){15}(?:[A-Za-z0-9+/_-]++|\r?\n[ \t]*[A-Za-z0-9+/_-])*+={0,2}")
 STANDARD = bytes.maketrans(b"-_", b"+/")
 
 BAD = re.compile("[\udc80-\udcff]")
 # What a layer must hold for a base hit or a further encoding: the start of a kind, an escape, a run of base64.
-TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|(?:[A-Za-z0-9+/_-][\r\n]*){16}")
+TELLING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|(?:[A-Za-z0-9+/_-][\r\n]*+){16}")
 
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
 PIECE, PART, OVERLAP = 1 << 20, 1 << 22, 1 << 16  # bytes of inflated bodies
+HOLD, LAP = 1 << 23, 1 << 19
 # The start of a compressed body in escapes, and runs of such bytes.
 MAGICAL = re.compile(r"(?i:(?:%|\\x|\\u00)(?:8b|01|5e|9c|da|78|42|5a|68|fd))|x\^|BZh[1-9]|7zXZ")
 URL_RUN, URL_BYTE = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+"), re.compile(r"%[0-9A-Fa-f]{2}|[!-~]")
 SHORT = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\\": "\\", "'": "'", '"': '"'}
 X_BYTE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrtabfv0\\'"]|[ -~]""")
+X_ESCAPE = re.compile(r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrtabfv0\\'"]""")
 X_RUN = re.compile(r"""[ -~]+""")
 
 Span = tuple[str, int, int]
@@ -67,30 +82,41 @@ def scan(text: str) -> list[Span]:
     return found
 
 
+Where = tuple  # of a layer's characters: arrays (starts, ends), or two numbers where all have one span
+
+
 class Layer:
-    """A text and, for each of its characters, the span of the whole text behind it."""
+    """A text and, for each of its characters, the span of the whole text behind it; without `where` it is that text."""
 
-    __slots__ = ("text", "starts", "ends", "path")
+    __slots__ = ("text", "where", "path")
 
-    def __init__(self, text: str, starts: np.ndarray | None, ends: np.ndarray | None, path: frozenset[bytes]):
-        self.text, self.starts, self.ends, self.path = text, starts, ends, path
+    def __init__(self, text: str, where: Where | None, path: frozenset[bytes]):
+        self.text, self.where, self.path = text, where, path
+
+    @property
+    def flat(self) -> bool:
+        return self.where is not None and isinstance(self.where[0], int)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
+        if self.where is None:
             return start, end
-        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
+        if self.flat:
+            return self.where
+        return int(self.where[0][start:end].min()), int(self.where[1][start:end].max())
 
 
-def _spread(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
+def _spread(data: bytes, where: Where) -> tuple[str, Where] | None:
     """UTF-8 bytes with a span each, as text with a span a character; bytes that aren't UTF-8 read as U+FFFD, one each.
     None where nothing in it could be found or decoded further."""
     if not TELLING.search(data):
         return None
     # A bad byte becomes one surrogate, so that characters and bytes stay in step.
     text = data.decode("utf-8", "surrogateescape")
-    sizes = np.fromiter((1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-    past = np.cumsum(sizes)
-    return BAD.sub("\ufffd", text), starts[past - sizes], ends[past - 1]
+    if not isinstance(where[0], int) and not text.isascii():
+        sizes = np.fromiter((1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text), np.int64, len(text))
+        past = np.cumsum(sizes)
+        where = where[0][past - sizes], where[1][past - 1]
+    return BAD.sub("\ufffd", text), where
 
 
 def inflate(data: bytes, used: list[int]) -> Iterator[bytes]:
@@ -116,29 +142,34 @@ def inflate(data: bytes, used: list[int]) -> Iterator[bytes]:
 
 
 def _joined(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Pieces joined to parts of about `PART` bytes that end outside any run of an encoding and overlap by `OVERLAP`, so
-    that memory doesn't grow with a body; one unbroken run stays whole."""
+    """Pieces joined to parts that end outside any run of an encoding, and overlap by `OVERLAP`; a run beyond `HOLD` is cut."""
     held = bytearray()
     for piece in pieces:
         held += piece
-        if len(held) >= PART and (at := max(piece.rfind(x) for x in (b" ", b",", b'"', b"}", b";", b"\0"))) >= 0:
+        if len(held) < PART:
+            continue
+        if (at := max(piece.rfind(x) for x in (b" ", b",", b'"', b"}", b";", b"\0"))) >= 0:
             at += len(held) - len(piece)
             yield bytes(held[:at])
             del held[: max(0, at - OVERLAP)]
+        elif len(held) >= HOLD:
+            yield bytes(held)
+            del held[:-LAP]
     if held:
         yield bytes(held)
 
 
-def _rewritten(layer: Layer, found) -> tuple[str, np.ndarray, np.ndarray] | None:
+def _rewritten(layer: Layer, found) -> tuple[str, Where] | None:
     """The whole layer with each (start, end, text, starts, ends) of `found`, in order, put in; None where there is none.
     A name and its value may stand on both sides of an escape, so what is between the escapes stays."""
-    parts, starts, ends, last = [], [], [], 0
+    parts, starts, ends, last, flat = [], [], [], 0, layer.flat
 
     def keep(stop: int) -> None:
         if stop > last:
             parts.append(layer.text[last:stop])
-            starts.append(np.arange(last, stop) if layer.starts is None else layer.starts[last:stop])
-            ends.append(np.arange(last, stop) + 1 if layer.ends is None else layer.ends[last:stop])
+            if not flat:
+                starts.append(np.arange(last, stop) if layer.where is None else layer.where[0][last:stop])
+                ends.append(np.arange(last, stop) + 1 if layer.where is None else layer.where[1][last:stop])
 
     for a, b, text, first, past in found:
         keep(a)
@@ -149,7 +180,27 @@ def _rewritten(layer: Layer, found) -> tuple[str, np.ndarray, np.ndarray] | None
     if not last:
         return None
     keep(len(layer.text))
-    return "".join(parts), np.concatenate(starts), np.concatenate(ends)
+    return "".join(parts), layer.where if flat else (np.concatenate(starts), np.concatenate(ends))
+
+
+def _peeled(layer: Layer, seen: set[Span]):
+    """Deep nests with one sign left of each; the hex runs that its layers would show go to `seen`."""
+    text, at = layer.text, 0
+    while m := NESTED.search(text, at):
+        sign, place, deep, end, runs = m[0][0], m.start() + 1, 0, 0, []
+        while step := AGAIN[sign].match(text, place):
+            sign = "%" if "25" in step[0] else "\\"
+            place, deep = step.end(), deep + 1
+            end = end if place < end else d.end() if (d := DIGITS.match(text, place)) else 0
+            if end - place >= 24:
+                runs.append(("hex", place, end))
+        if deep < NEST:
+            at = m.start() + 1
+            continue
+        seen.update((kind, *layer.span(x, y)) for kind, x, y in runs)
+        a, b = layer.span(m.start(), place)
+        yield m.start(), place, sign, np.array([a]), np.array([b])
+        at = place
 
 
 def _url(layer: Layer):
@@ -161,16 +212,13 @@ def _url(layer: Layer):
             text = data.decode("utf-8")
         except UnicodeDecodeError:
             return None
+        if layer.flat:
+            return text, None, None
         spans = [layer.span(i, i + 3) for i in range(a, b, 3)]
         lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         tail = np.append(lead[1:], len(data)) - 1
         return text, np.array([x for x, _ in spans])[lead], np.array([y for _, y in spans])[tail]
 
-    if NEST.search(layer.text):
-        for m in NEST.finditer(layer.text):
-            a, b = layer.span(*m.span())
-            yield (*m.span(), "%", np.array([a]), np.array([b]))
-        return
     for m in PERCENT.finditer(layer.text):
         if out := read(*m.span()):
             yield (*m.span(), *out)
@@ -188,9 +236,9 @@ def _unicode(layer: Layer):
         yield (*m.span(), chr(value), np.array([a]), np.array([b]))
 
 
-def _read(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, end: int, text: bool = True):
+def _read(layer: Layer, data: bytes, first: np.ndarray | None, last: np.ndarray | None, end: int, text: bool = True):
     """Layers of bytes that come from the layer's characters first .. last: as text, and as compressed bodies, which may
-    begin behind other bytes. A body that uses up the bytes ends at character `end`."""
+    begin behind other bytes. A body that uses up the bytes ends at character `end`. Flat layers need no places."""
     past = 0
     for m in MAGIC.finditer(data):
         if m.start() < past:
@@ -201,14 +249,14 @@ def _read(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, end: i
         if not size:
             continue
         past = m.start() + used[0]
-        a, b = layer.span(int(first[m.start()]), end + 1 if past == len(data) else int(last[past - 1]) + 1)
+        where = layer.where if layer.flat else layer.span(int(first[m.start()]), end + 1 if past == len(data) else int(last[past - 1]) + 1)
         for body in _joined(inflate(data[m.start() :], used)):
-            if out := _spread(body, np.full(len(body), a), np.full(len(body), b)):
+            if out := _spread(body, where):
                 yield out
     if not text:
         return
-    out = _spread(data, first, last + 1) if layer.starts is None else _spread(data, layer.starts[first], layer.ends[last])
-    if out:
+    where = layer.where if layer.flat else (first, last + 1) if layer.where is None else (layer.where[0][first], layer.where[1][last])
+    if out := _spread(data, where):
         yield out
 
 
@@ -218,6 +266,12 @@ def _escaped(layer: Layer):
         for m in run.finditer(layer.text):
             if not MAGICAL.search(m[0]):
                 continue
+            if layer.flat:
+                data = unquote_to_bytes(m[0]) if token is URL_BYTE else X_ESCAPE.sub(lambda t: chr(_byte(t[0])), m[0]).encode("latin-1")
+                yield from _read(layer, data, None, None, 0, text=False)
+                if token is URL_BYTE and "+" in m[0]:
+                    yield from _read(layer, unquote_to_bytes(m[0].replace("+", " ")), None, None, 0, text=False)
+                continue
             found = [(t.start(), t.end() - 1, _byte(t[0])) for t in token.finditer(layer.text, *m.span())]
             first, last, values = (np.array(x, np.int64) for x in zip(*found))
             data = values.astype(np.uint8).tobytes()
@@ -235,25 +289,31 @@ def _byte(token: str) -> int:
     return ord(token)
 
 
-def unwrap(layer: Layer):
-    """(text, starts, ends) of each layer below: the whole text without its URL or Unicode escapes, and each stretch that
-    base64 or a compressed body reads; spans are of the whole text."""
+def unwrap(layer: Layer, seen: set[Span]):
+    """(text, where) of each layer below: the whole text without its URL or Unicode escapes, and each stretch that
+    base64 or a compressed body reads; spans are of the whole text. Deep nests of escapes come off first."""
     text = layer.text
-    if "%" in text and (out := _rewritten(layer, _url(layer))):
-        yield out
-    if "\\" in text and (out := _rewritten(layer, _unicode(layer))):
+    if NESTED.search(text) and (out := _rewritten(layer, _peeled(layer, seen))):
         yield out
+    else:
+        if "%" in text and (out := _rewritten(layer, _url(layer))):
+            yield out
+        if "\\" in text and (out := _rewritten(layer, _unicode(layer))):
+            yield out
     if MAGICAL.search(text):
         yield from _escaped(layer)
     for m in BASE64.finditer(text):
         run = np.frombuffer(m[0].encode().translate(STANDARD).rstrip(b"="), np.uint8)
         place = np.flatnonzero(run > 32)  # without line breaks and indents
-        run, place = run[place], place + m.start()
+        run, place = (run[place], place + m.start()) if len(place) < len(run) or not layer.flat else (run, None)
         # The run may begin behind other signs of its alphabet, such as a path, so that each alignment may be its own.
         for skip in range(4):
             some = run[skip:].tobytes()
             some = some[: len(some) - (len(some) % 4 == 1)]
             data = base64.b64decode(some + b"=" * (-len(some) % 4))
+            if layer.flat:
+                yield from _read(layer, data, None, None, 0)
+                continue
             # Byte k of the body comes from the signs 4k/3 .. of the run.
             k = np.arange(len(data))
             first, last = place[skip + k * 4 // 3], place[np.minimum(skip + (k * 8 + 7) // 6, len(place) - 1)]
@@ -268,22 +328,23 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     done: set[bytes] = set()  # layers by text and spans: escapes of two codings come off in either order
-    top = Layer(text, None, None, frozenset([hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()]))
-    work = [(top, unwrap(top))]  # depth first, so that one part of a body is held at a time
+    top = Layer(text, None, frozenset([hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()]))
+    work = [(top, unwrap(top, seen))]  # depth first, so that one part of a body is held at a time
     while work:
         layer, below = work[-1]
         if (got := next(below, None)) is None:
             work.pop()
             continue
-        inner, starts, ends = got
+        inner, where = got
         mark = hashlib.blake2b(inner.encode(errors="replace"), digest_size=16).digest()
-        whole = hashlib.blake2b(mark + starts.tobytes() + ends.tobytes(), digest_size=16).digest()
+        spans = repr(where).encode() if isinstance(where[0], int) else where[0].tobytes() + where[1].tobytes()
+        whole = hashlib.blake2b(mark + spans, digest_size=16).digest()
         if mark in layer.path or whole in done:
             continue
         done.add(whole)
-        under = Layer(inner, starts, ends, layer.path | {mark})
+        under = Layer(inner, where, layer.path | {mark})
         seen.update((kind, *under.span(a, b)) for kind, a, b in scan(inner))
-        work.append((under, unwrap(under)))
+        work.append((under, unwrap(under, seen)))
     return sorted(base, key=order), sorted(seen, key=order)
 
 

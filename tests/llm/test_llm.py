@@ -358,6 +358,67 @@ def test_secrets_nested_deep_are_linear():
     assert found_in_spans("%" + "25" * 10 + "70assword=hunter2hunter2")
 
 
+@pytest.mark.parametrize("sign", ["%" + "25" * 90_000 + "70assword", "\\" + "u005c" * 36_000 + "u0070assword", "%" + "5Cu0025" * 26_000 + "70assword", "\\" + "x5c" * 60_000 + "x70assword", "\\" + "u{5c}" * 30_000 + "u{70}assword"])
+def test_secrets_nests_of_any_escape_are_linear(sign):
+    import time
+
+    start = time.perf_counter()
+    assert found_in_spans(sign + "=hunter2hunter2") and time.perf_counter() - start < 5
+
+
+def test_secrets_show_every_layer_of_a_deep_nest(monkeypatch):
+    """What comes off in one step is what layer by layer shows; only hex runs stand in the layers between."""
+    texts = ["%" + "25" * n + tail for n in (17, 30) for tail in ("70assword=hunter2hunter2 x", "deadbeefdeadbeefdeadbeef", "41 AKIA" + "B" * 20)]
+    texts += ["\\" + "u005c" * n + "u0070assword: hunter2hunter2 %" + "25" * 20 + "41" for n in (17, 40)] + ["%" + "5Cu0025" * 12 + "70assword=hunter2hunter2"]
+    at_once = [secrets.find(t)[1] for t in texts]
+    monkeypatch.setattr(secrets, "NEST", 1 << 30)
+    monkeypatch.setattr(secrets, "NESTED", __import__("re").compile(r"(?!)"))
+    for text, found in zip(texts, at_once):
+        by_layer = secrets.find(text)[1]
+        assert set(by_layer) <= set(found) and {s for s in found if s[0] != "hex"} == {s for s in by_layer if s[0] != "hex"}
+
+
+def test_secrets_inflate_within_bounds():
+    """A short text that inflates to 100 MB without a break: whole, and in bounded memory."""
+    import subprocess
+    import sys
+
+    code = """
+import base64, resource, sys, zlib
+from lavra.llm import secrets
+tool = zlib.compressobj()
+body = b"".join(tool.compress(b"a" * (1 << 20)) for _ in range(100)) + tool.compress(b" password=hunter2hunter2") + tool.flush()
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = secrets.find(base64.b64encode(body).decode())[1]
+assert {k for k, _, _ in found} == {"assign", "hex"}, found
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1000)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=__file__.split("/tests/")[0])
+    assert int(out.stdout) < 500, out.stderr
+
+
+def wrap(rng, text):
+    """`text` in up to four codings at random."""
+    for _ in range(rng.randint(1, 4)):
+        data = text.encode()
+        text = [
+            lambda: base64.b64encode(data).decode(), lambda: base64.urlsafe_b64encode(gzip.compress(data)).decode(), lambda: "".join(f"%{c:02X}" for c in data),
+            lambda: "".join(f"\\u{c:04x}" for c in data), lambda: str(zlib.compress(data)), lambda: text.replace("%", "%25").replace("\\", "\\u005c"),
+        ][rng.randrange(6)]()
+    return text
+
+
+def test_secrets_planted_in_layers():
+    """Every planted secret is found at the place of its wrapped form, and texts without one stay clean."""
+    rng = random.Random(12)
+    for n in range(300):
+        secret = rng.choice(["password=hunter2hunter%02d" % (n % 100), "AKIA" + "ABCDEFGH" * 3, "0123456789abcdef" * 2])
+        wrapped = wrap(rng, secret)
+        kind = "assign" if secret[0] == "p" else "access" if secret[0] == "A" else "hex"
+        assert found_in(wrapped, kind), (secret, wrapped)
+        assert not [s for s in secrets.find("word " + wrap(rng, "nothing of note here, no") + " word")[1] if s[0] != "hex"]
+
+
 def found_in_spans(text):
     return any(k == "assign" and a <= 2 for k, a, _ in secrets.find(text)[1])
 

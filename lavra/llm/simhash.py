@@ -12,10 +12,10 @@ distinct fingerprints are joined, so copies never form pairs. A null doc_id keep
 smallest non-null doc_id reachable (null if there is none). Very long texts are hashed in steps. An empty table gives an
 empty result. Only the id and text columns are read, so others may have any name.
 
-`similar` is for texts that are alike rather than almost the same. A pair that shares 0.8 of its shingles differs by some
-ten bits of 64, a radius within which cells select little. There fingerprints meet where a band of min-wise shingles agrees;
-the embedding's lower bound and the popcount of the XOR are held against a wide radius, and what is left is verified by
-the sets of shingles themselves."""
+`similar` is for texts that are alike rather than almost the same. All pairs of fingerprints within four bits come from the
+same grid range-join. A pair that shares 0.8 of its shingles may differ by ten bits of 64 and more, a radius within which cells
+select little; those pairs meet where a band of min-wise shingles agrees, and the popcount of the XOR is held against a wide
+radius. All pairs are verified by the sets of shingles themselves."""
 
 from __future__ import annotations
 
@@ -182,16 +182,6 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def _apart(a: str, b: str) -> str:
-    """SQL for the Manhattan distance of the counts in the 32 segments of two fingerprints, in halves that don't reach the sign."""
-    def half(at: int) -> str:
-        part = lambda c, k: f"(shiftrightunsigned({c}, {at + k}) & {ODD & 0xFFFFFFFF}L)"
-        counts = lambda c: f"({part(c, 0)} + {part(c, 1)})"
-        return f"aggregate(sequence(0, 15), 0L, (s, i) -> s + abs((shiftrightunsigned({counts(a)}, 2 * i) & 3) - (shiftrightunsigned({counts(b)}, 2 * i) & 3)))"
-
-    return f"({half(0)} + {half(32)})"
-
-
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) for every row of `docs`, `id_col` being its identity; components of the graph of texts that share
     `similarity` of their distinct shingles or more. Texts of equal sets are one node and never form pairs. In each band's bucket all
@@ -203,8 +193,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     met = entries.join(ends, "key").select(F.explode(F.expr("array(struct(sig as a, lo as b), struct(sig as a, hi as b))")).alias("p"))
     edges = met.where("p.a <> p.b").select(F.least("p.a", "p.b").alias("src"), F.greatest("p.a", "p.b").alias("dst")).distinct()
     a, b = (nodes.select(F.col("sig").alias(e), F.col("fp").alias(f"fp_{e}"), F.col("n").alias(f"n_{e}")) for e in ("src", "dst"))
+    # Of texts with one fingerprint each meets the least; of fingerprints within four bits the least texts meet.
+    least = nodes.groupBy("fp").agg(F.min("sig").alias("least"))
+    same = nodes.join(least, "fp").where("sig <> least").select(F.col("least").alias("src"), F.col("sig").alias("dst"))
+    cells = links(least.select("fp")).join(least.select(F.col("fp").alias("src"), F.col("least").alias("x")), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("y")), "dst")
+    cells = cells.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    edges = edges.unionByName(same).unionByName(cells).distinct()
     near = edges.join(a, "src").join(b, "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
-    near = near.where(f"{_apart('fp_src', 'fp_dst')} <= {FAR} and bit_count(fp_src ^ fp_dst) <= {FAR}")
+    near = near.where(f"bit_count(fp_src ^ fp_dst) <= {FAR}")
     near = materialise(near.select("src", "dst"), "near")
     used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
     used = F.broadcast(used) if used.count() <= MET else used

@@ -45,7 +45,7 @@ FILES = 8  # a file holds this part of a shard's bytes, compressed, at most
 HEADERS = 500  # bytes by which a record weighs more than its payload
 SALT = 32
 FEW = 200_000  # repeated digests that are broadcast (about 100 bytes each)
-FIRST_DIGITS, NEXT_DIGITS = 4, 3  # hexadecimal digits by which a key's prefix grows: a round gives up to 65,536 rows, or 4,096 a shard that is split
+FIRST_DIGITS, NEXT_DIGITS = 3, 3  # hexadecimal digits by which a key's prefix grows: a round gives up to 4,096 rows, and as many a prefix that is split
 
 
 # --- records as bytes ---

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from lavra.functions.text import RESIDUAL_STOP, canonical, domain_sentences, domain_terms, fold, informative_tags, let, ngrams, phrase_of, slug, squeeze, token_slug, tokens
 from lavra.operators import rules as R
+from lavra.runtime import materialise
 
 NONE = "array<string>"
 
+
 def _anchored(words: Column) -> Column:
     return F.transform(words, lambda t: F.concat(F.lit(r"\b"), t, F.lit(r"\w*\b")))
 
@@ -257,14 +259,19 @@ def suggestions(reviews: DataFrame, fixed: dict[str, list[str]] | None = None, k
 
 def learned_rules(reviews: DataFrame, negatives: DataFrame, required: dict[str, list[str]], domain: tuple[str, ...] = (), places: tuple[str, ...] = (), noisy: tuple[str, ...] = (), stop: tuple[str, ...] = (), **options) -> DataFrame:
     """(doc_id, label, pattern, title, accepted, reason) of the suggestions of reviews, each checked for its anchors, on its own text and on
-    the negatives (doc_id, text; a few), of which it may match max(2, 15%)."""
+    the negatives (doc_id, text), of which it may match max(2, 15%). The patterns that a batch suggests go to the negatives as a
+    bank does, so that both checks read a pattern as a rule is read."""
+    spark = reviews.sparkSession
     found = suggestions(reviews, **options).withColumn("anchored", has_anchor(F.col("label"), F.col("pattern"), required, domain, places, noisy, stop))
-    held = negatives.select(fold(F.col("text")).alias("t")).collect()  # a batch's first few
-    texts = F.array(*(F.lit(r["t"]) for r in held)).cast(NONE)
     rows = found.join(reviews.select("doc_id", "title", fold(F.col("text")).alias("t")), "doc_id")
-    hits = F.size(F.filter(texts, lambda x: F.call_function("rlike", x, F.concat(F.lit("(?is)"), F.col("pattern")))))
-    most = max(2, int(0.15 * len(held)))
-    reason = F.when(~F.col("anchored"), "no_anchor").when(~F.call_function("rlike", F.col("t"), F.concat(F.lit("(?i)"), F.col("pattern"))), "no_positive").when(hits > most, "negatives").otherwise("ok")
+    rows = materialise(R.holds_pattern(rows, "pattern", "t", "own").drop("t"), "suggested")
+    patterns = sorted(r["pattern"] for r in rows.where("anchored and own").select("pattern").distinct().collect())  # what one batch suggests
+    bank = [("crime", "", p, R.WEIGHT, "suggested", 1, [], i) for i, p in enumerate(patterns)]
+    hits = R.match(negatives, bank).groupBy("pos").agg(F.count("*").alias("hits"))
+    named = spark.createDataFrame(list(enumerate(patterns)), "pos int, pattern string").join(hits, "pos").select("pattern", "hits")
+    rows = rows.join(named, "pattern", "left")
+    most = max(2, int(0.15 * negatives.count()))
+    reason = F.when(~F.col("anchored"), "no_anchor").when(~F.col("own"), "no_positive").when(F.col("hits") > most, "negatives").otherwise("ok")
     return rows.select("doc_id", "label", "pattern", "title", (reason == "ok").alias("accepted"), reason.alias("reason"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.text import canonical, case_class, context, crime_identity, fold, identity_label, json_object, label_list, let, list_value, object_key, slug, squeeze, truncate_line, truthy
 from lavra.operators import rules as R
+from lavra.operators.learning import learned_pattern
 from lavra.runtime import materialise
 from lavra.sources import markup
 
@@ -188,10 +189,12 @@ def readable(meta: Column, inference: Column) -> Column:
     return F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in lines))
 
 
-def enriched(docs: DataFrame, rules: list, provider: Callable[[DataFrame], DataFrame], allowed: list[str], sectors: list[str], patterns: dict[str, list[str]], threshold: float = 0.85, done: DataFrame | None = None) -> DataFrame:
-    """The records (`nested`) of docs (arquivo, text in Markdown), one pass: rules first; documents that they don't classify go to the
-    provider ((arquivo, context) -> (arquivo, answer)), whose answers are parsed; those that fall short are rescued by rules at the
-    threshold, and an answer that can't be read has no record. Documents of `done` (arquivo) are left out."""
+def enriched(docs: DataFrame, rules: list, provider: Callable[[DataFrame], DataFrame], allowed: list[str], sectors: list[str], patterns: dict[str, list[str]], threshold: float = 0.85, done: DataFrame | None = None, rescue: float = 0.85) -> DataFrame:
+    """The records (`nested`) of docs (arquivo, text in Markdown), one pass: rules first, at `threshold`; documents that they don't
+    classify go to the provider ((arquivo, context) -> (arquivo, answer)), whose answers are parsed; those that fall short are
+    rescued by rules at `rescue`, whatever the threshold, and an answer that can't be read has no record. A record that rules
+    didn't take holds the rules that its labels and text suggest; `learned` in `files` reads them back. Documents of `done` (arquivo)
+    are left out."""
     if done is not None:
         docs = docs.join(done.select("arquivo").distinct(), "arquivo", "left_anti")
     parts = docs.select("arquivo", markup.news(F.col("text")).alias("p"), markup.metadata(F.col("text")).alias("metadata"))
@@ -208,9 +211,21 @@ def enriched(docs: DataFrame, rules: list, provider: Callable[[DataFrame], DataF
     answers = materialise(provider(left.select("arquivo", "context")), "answers")
     read = materialise(parsed(answers, "answer", allowed, sectors), "read").where("error is null").join(left, "arquivo")
     short = needs_rescue(F.col("inference"), F.col("context"), patterns)
-    again = R.record(left, rules, min(threshold, 0.6), "arquivo", "context", "tags").where("accepted").select(F.col("doc_id").alias("arquivo"), by_rule.alias("by_rule"))
+    again = R.record(left, rules, rescue, "arquivo", "context", "tags").where("accepted").select(F.col("doc_id").alias("arquivo"), by_rule.alias("by_rule"))
     read = read.withColumn("short", short).join(again, "arquivo", "left")
     second = read.select("arquivo", F.when(F.col("short") & F.col("by_rule").isNotNull(), "regex_rescue").otherwise("llm").alias("source"), F.when(F.col("short"), F.coalesce("by_rule", "inference")).otherwise(F.col("inference")).alias("inference"))
-    second = second.join(ruled.select("arquivo", *facts), "arquivo")
-    learned = F.lit(None).cast("array<struct<kind: string, label: string, pattern: string>>")
-    return nested(first.unionByName(second).join(rows.select("arquivo", "metadata"), "arquivo").withColumn("learned", learned))
+    second = materialise(second.join(ruled.select("arquivo", *facts), "arquivo"), "inferred")
+    learned = suggested(second.join(rows.select("arquivo", "context"), "arquivo"))
+    every = first.unionByName(second).join(rows.select("arquivo", "metadata"), "arquivo")
+    return nested(every.join(learned, "arquivo", "left"))
+
+
+def suggested(rows: DataFrame) -> DataFrame:
+    """(arquivo, learned): the rules that the labels and the text of rows (arquivo, context, inference) suggest, crimes first; labels
+    without enough evidence in the text suggest none. A document has up to twenty labels."""
+    named = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), canonical(x).alias("label"), x.alias("said")))
+    labels = F.concat(named("crime", F.col("inference.crimes_mais_presentes")), named("modus", F.col("inference.modus_operandi")))
+    each = rows.select("arquivo", "context", F.posexplode(labels).alias("i", "l"))
+    each = each.select("arquivo", "i", "l.kind", "l.label", learned_pattern(F.col("context"), F.col("l.said")).alias("pattern")).where("pattern is not null and label <> ''")
+    rules = F.array_sort(F.collect_list(F.struct("i", F.struct("kind", "label", "pattern").alias("rule"))))
+    return each.groupBy("arquivo").agg(F.transform(rules, lambda x: x["rule"]).alias("learned"))

@@ -15,6 +15,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.functions.text import canonical, crime_identity, folded, folded_tags, let, operation_name, slug
 
@@ -256,6 +257,20 @@ def match(docs: DataFrame, rules: list, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", "m.pos", "m.kind", "m.label", "m.hit_count", _score(F.col("m")).alias("score"), "m.hits")
 
 
+def holds_pattern(rows: DataFrame, pattern: str, folded_text: str, name: str) -> DataFrame:
+    """`rows` with `name`: whether the folded text has the row's own pattern, by the same expressions as `matched`; false where the
+    pattern doesn't compile."""
+    at = [rows.columns.index(c) for c in (pattern, folded_text)]
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(*(batch.column(i).to_pylist() for i in at))
+            found = [bool(p and compiles(p) and re.search(p, t or "", re.IGNORECASE)) for p, t in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], [*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())]))
+
+
 def merge(body: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, label, hit_count, score, body, tag, pos): sums by label, tag scores at 0.55; pos keeps the order of first hits."""
     rows = body.select("*", F.lit(1.0).alias("factor"))
@@ -310,7 +325,12 @@ def prioritized(crimes: Column, generic: tuple[str, ...] = GENERIC, priority: di
 def record(docs: DataFrame, rules: list, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text", tags_col: str | None = None, non_crime: tuple[str, ...] = (), priority: dict[str, int] | None = None) -> DataFrame:
     """The whole classification of each row: (doc_id, accepted, confidence, source, operation_name, identity, classification, crimes,
     modus, matched_rules); identity, classification, crimes and modus are null below the threshold."""
-    rows = matched(docs, rules, id_col, text_col, tags_col).select("doc_id", operation_name(F.col("head")).alias("operation_name"), _merged("crime").alias("all_crimes"), _merged("modus").alias("modus_matches"))
+    return judged(matched(docs, rules, id_col, text_col, tags_col), threshold, non_crime, priority)
+
+
+def judged(rows: DataFrame, threshold: float = 0.85, non_crime: tuple[str, ...] = (), priority: dict[str, int] | None = None) -> DataFrame:
+    """The records of rows (doc_id, head, body, tag) as `matched` gives them."""
+    rows = rows.select("doc_id", operation_name(F.col("head")).alias("operation_name"), _merged("crime").alias("all_crimes"), _merged("modus").alias("modus_matches"))
     rows = rows.withColumn("all_crimes", F.filter("all_crimes", lambda m: ~m["label"].isin(*non_crime)))
     top = F.coalesce(F.get("all_crimes", F.lit(0))["score"], F.lit(0.0))
     rows = rows.withColumn("top", top).withColumn("crimes_kept", F.filter("all_crimes", lambda m, i: (i == 0) | (F.col("top") > 0) & (m["score"] >= F.greatest(F.lit(2.0), 0.35 * F.col("top")))))

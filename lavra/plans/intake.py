@@ -203,8 +203,9 @@ def jsonl_skips_bad_lines(spark, sf):
     root = scratch(spark)
     e = table(spark, sf, "events").select("event_id", "event_type", "props")
     line = F.to_json(F.struct("event_id", "event_type", "props"))
-    e.select(F.when(F.col("event_id") % 10 == 3, F.concat(line, F.lit("}{"))).otherwise(line).alias("value")).write.text(root)
-    return files.jsonl(spark, root, "event_id long, event_type string, props string", strict=False).where("event_id is not null and event_id % 10 <> 3")
+    bad = turns("event_id", ["{0}}{", "{0} trailing", "{0}{0}", "[{0}]", "x{0}", "", "{0},", "{0}] x"])
+    e.select(F.when(F.col("event_id") % 10 == 3, F.replace(bad, F.lit("{0}"), line)).otherwise(line).alias("value")).write.text(root)
+    return files.jsonl(spark, root, "event_id long, event_type string, props string", strict=False)
 
 
 @query("SELECT doc_id, md5(text) AS k, '[\"' || source || '\",\"' || lang || '\"]' AS tags FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,28 @@ def markdown(spark: SparkSession, path: str, most: int | None = None) -> DataFra
     return files if most is None else files.orderBy("arquivo").limit(most)
 
 
+def one_object(line: Column) -> Column:
+    """Whether a line is one JSON object and nothing else. A reader stops behind the first value, so the line is read within an array
+    and within an object: what stands behind a value can't fit both."""
+    plain = {"allowSingleQuotes": "false"}
+    inside = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>", plain)
+    under = F.from_json(F.concat(F.lit('{"w":'), line, F.lit("}")), "map<string,map<string,string>>", plain)
+    return F.coalesce((F.size(inside) == 1) & F.get(inside, F.lit(0)).isNotNull() & F.element_at(under, F.lit("w")).isNotNull(), F.lit(False))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Strict reading fails at a bad line; otherwise bad lines are left out."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """The objects of a file of lines, blank lines left out. Strict reading fails at a line that isn't one object of this schema, text
+    behind the object included; otherwise such lines are left out."""
+    fields = T._parse_datatype_string(schema)
+    form = T.StructType([*fields.fields, T.StructField("_line", T.StringType())])
+    options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_line"}
+    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("r", F.when(one_object(F.col("value")), F.from_json("value", form, options)))
+    sound = F.col("r").isNotNull() & F.col("r._line").isNull()
+    if strict:
+        rows = rows.withColumn("r", F.when(sound, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))).cast(form)))
+    else:
+        rows = rows.where(sound)
+    return rows.select(*(F.col("r").getField(f.name).alias(f.name) for f in fields.fields))
 
 
 def latest(rows: DataFrame, key: str, line: str) -> DataFrame:

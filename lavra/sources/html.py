@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
@@ -50,12 +50,36 @@ class Node:
         return " ".join(" ".join(out).split())
 
     def without(self, fits) -> Node:
-        return Node(self.tag, self.attrs, [c if isinstance(c, str) else c.without(fits) for c in self.children if isinstance(c, str) or not fits(c)])
+        """A copy without the elements below that fit. Pages nest to any depth, so no method here calls itself."""
+        out = Node(self.tag, self.attrs)
+        todo = [(self, out)]
+        while todo:
+            old, new = todo.pop()
+            for c in old.children:
+                if isinstance(c, str):
+                    new.children.append(c)
+                elif not fits(c):
+                    new.children.append(Node(c.tag, c.attrs))
+                    todo.append((c, new.children[-1]))
+        return out
 
     def html(self) -> str:
-        inner = "".join(escape(c, quote=False) if isinstance(c, str) else c.html() for c in self.children)
-        own = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{own}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+        out, todo = [], [self]
+        while todo:
+            part = todo.pop()
+            if isinstance(part, Node):
+                own = "".join(f' {k}="{escape(v)}"' for k, v in part.attrs.items())
+                out.append(f"<{part.tag}{own}>")
+                if part.tag not in VOID:
+                    todo.append(_End(part.tag))
+                    todo += reversed(part.children)
+            else:
+                out.append(f"</{part}>" if isinstance(part, _End) else escape(part, quote=False))
+        return "".join(out)
+
+
+class _End(str):
+    """An element's end, among the parts that are still to be written."""
 
 
 class _Builder(HTMLParser):
@@ -92,10 +116,24 @@ def tree(html: str) -> Node:
 
 def markdown(node: Node) -> str:
     """Headings, paragraphs, lists, links and emphasis of a page as Markdown; other elements by their text."""
-    return "\n\n".join(x for x in _blocks(node) if x)
+    return "\n\n".join(x for x in _told(_blocks(node)) if x)
 
 
-def _blocks(node: Node) -> list[str]:
+def _told(first: Generator):
+    """What a generator returns that yields others and is sent what these return: calls without Python's stack, for pages of any depth."""
+    open_, value = [first], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(value))
+            value = None
+        except StopIteration as done:
+            open_.pop()
+            value = done.value
+    return value
+
+
+def _blocks(node: Node) -> Generator:
+    """Returns a list of blocks."""
     out, line = [], []
 
     def flush() -> None:
@@ -110,25 +148,29 @@ def _blocks(node: Node) -> list[str]:
             continue
         elif c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             flush()
-            if said := _inline(c):
+            if said := (yield _inline(c)):
                 out.append(f"{'#' * int(c.tag[1])} {said}")
         elif c.tag in ("ul", "ol"):
             flush()
-            items = [_inline(i) for i in c.children if isinstance(i, Node) and i.tag == "li"]
+            items = []
+            for i in c.children:
+                if isinstance(i, Node) and i.tag == "li":
+                    items.append((yield _inline(i)))
             out.append("\n".join(f"{f'{n}.' if c.tag == 'ol' else '-'} {i}" for n, i in enumerate(items, 1) if i))
         elif c.tag == "br":
             line.append(" ")
         elif c.tag in ("a", "b", "strong", "i", "em", "span", "u", "code", "small", "sub", "sup"):
-            line.append(_marked(c))
+            line.append((yield _marked(c)))
         else:
             flush()
-            out += _blocks(c)
+            out += yield _blocks(c)
     flush()
     return out
 
 
-def _marked(node: Node) -> str:
-    said = _inline(node)
+def _marked(node: Node) -> Generator:
+    """Returns a run of text."""
+    said = yield _inline(node)
     if not said:
         return " "
     if node.tag == "a" and node.attrs.get("href"):
@@ -136,6 +178,12 @@ def _marked(node: Node) -> str:
     return {"b": f"**{said}**", "strong": f"**{said}**", "i": f"*{said}*", "em": f"*{said}*", "code": f"`{said}`"}.get(node.tag, said)
 
 
-def _inline(node: Node) -> str:
-    parts = [c if isinstance(c, str) else "" if c.tag in QUIET else " " if c.tag == "br" else _marked(c) for c in node.children]
+def _inline(node: Node) -> Generator:
+    """Returns a run of text."""
+    parts = []
+    for c in node.children:
+        if isinstance(c, str):
+            parts.append(c)
+        elif c.tag not in QUIET:
+            parts.append(" " if c.tag == "br" else (yield _marked(c)))
     return " ".join("".join(parts).split())

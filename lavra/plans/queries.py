@@ -699,4 +699,4 @@ def stream_foreach_batch(spark, sf):
     return spark.read.parquet(f"{root}/rows").select("doc_id", "label", "confidence", "status")
 
 
-from lavra.plans import intake, more  # noqa: E402, F401  (they register further queries)
+from lavra.plans import intake, loops, more  # noqa: E402, F401  (they register further queries)

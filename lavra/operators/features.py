@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from lavra.functions.text import compact_terms, delimited_set, folded
 from lavra.operators.graph import components
+from lavra.operators.reduce import along, dense_rows, directions, kmeans  # noqa: F401  (part of what this module offers)
 from lavra.runtime import materialise
 
 PROFILES = 256  # profiles whose weights are put side by side and broadcast
@@ -204,41 +205,16 @@ def tree_rows(summary: DataFrame, families: dict[str, list[str]], labels: dict[s
 
 
 def singular_values(vectors: DataFrame, k: int, vector_col: str = "embedding") -> list[float]:
-    """The k largest singular values of the rows, by the Gram matrix of their columns (columns are few)."""
-    return [float(x) for x in _svd(vectors, k, vector_col).s]
-
-
-def _svd(vectors: DataFrame, k: int, vector_col: str):
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    return RowMatrix(vectors.select(F.col(vector_col).cast("array<double>")).rdd.map(lambda r: Vectors.dense(r[0]))).computeSVD(k, computeU=False)
+    """The k largest singular values of the rows."""
+    rows, width = dense_rows(vectors.withColumn("_row", F.lit(0)), "_row", vector_col)
+    return directions(rows, width, k)[0].tolist()
 
 
 def reduced(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", unit: bool = True) -> DataFrame:
     """(id, reduced): the rows along the k strongest directions (U S), at length 1 if `unit`. Each direction's sign is such that its
     largest component is positive."""
-    import numpy as np
-
-    v = _svd(vectors, k, vector_col).V.toArray()
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
-    x = F.col(vector_col).cast("array<double>")
-    along = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, column.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) for column in v.T]
-    rows = vectors.select(F.col(id_col).alias("id"), F.array(*along).alias("r"))
-    if not unit:
-        return rows.withColumnRenamed("r", "reduced")
-    norm = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, y: s + y * y))
-    return rows.withColumn("n", norm).select("id", F.transform("r", lambda y: F.when(F.col("n") > 0, y / F.col("n")).otherwise(0.0)).alias("reduced"))
-
-
-def kmeans(vectors: DataFrame, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, rounds: int = 20) -> DataFrame:
-    """(id, cluster); k is max(12, min(40, floor(sqrt(n)))) unless given."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    k = k or max(12, min(40, int(rows.count() ** 0.5)))
-    return KMeans(k=k, seed=seed, maxIter=rounds).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
+    rows, width = dense_rows(vectors, id_col, vector_col)
+    return along(rows, directions(rows, width, k)[1], unit)
 
 
 def lloyd(vectors: DataFrame, starts: list[list[float]], rounds: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

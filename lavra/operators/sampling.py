@@ -81,3 +81,23 @@ def recurrence(df: DataFrame, key: str, order: list[str], name: str) -> DataFram
 def new_rows(rows: DataFrame, known: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows whose key isn't known, one a key."""
     return first_by(rows.join(known.select(*keys).distinct(), keys, "left_anti"), keys, order)
+
+
+def consume(rows: DataFrame, inventory: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`rows` with occurrence (of its key, in order, from 1), held (rows of the key in the inventory), matched (an item of the inventory is
+    left for it: each is taken once) and known (the inventory has the key at all). Null keys match null keys. The inventory is
+    counted, not gathered, and a key of any size is numbered over many tasks."""
+    own = recurrence(rows, key, order, "occurrence")
+    counts = inventory.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_held"))
+    held = F.coalesce("_held", F.lit(0)).cast("long")
+    out = own.join(counts, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("held", held).drop("_key", "_held")
+    return out.withColumns({"matched": F.col("occurrence") <= F.col("held"), "known": F.col("held") > 0})
+
+
+def balance(rows: DataFrame, inventory: DataFrame, key: str) -> DataFrame:
+    """(key, matched, surplus, missing): how many items of each key both sides share, and how many only the inventory or only the rows
+    have; counts of both sides are summed before they meet."""
+    sides = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("held", F.lit(0).cast("long"))
+    sides = sides.unionByName(inventory.groupBy(key).agg(F.count("*").alias("held")).withColumn("n", F.lit(0).cast("long")))
+    sums = sides.groupBy(key).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return sums.select(key, F.least("n", "held").alias("matched"), F.greatest(F.col("held") - F.col("n"), F.lit(0)).alias("surplus"), F.greatest(F.col("n") - F.col("held"), F.lit(0)).alias("missing"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.operators import rules
-from lavra.plans.queries import FOLD, RULES, SQUEEZE, _values, docs_of, query
-from lavra.runtime import shared_dir
-from lavra.streaming import loop
+from lavra.functions import providers
+from lavra.functions import table as table_functions
+from lavra.operators import rules, sampling
+from lavra.plans.queries import FOLD, RULES, SQUEEZE, _values, docs_of, query  # isort: skip  (first: it imports the others)
+from lavra.plans.more import MEASURED, _measured
+from lavra.runtime import shared_dir, table
+from lavra.streaming import incremental, loop
 from lavra.streaming.ledger import Ledger
 
 BANK = [r for r in RULES if r[-1] != 6]  # all but one are valid
@@ -131,3 +136,123 @@ def loop_tables(spark, sf):
         part = rows.select(F.lit(name).alias("tbl"), has("batch_id", "int"), has("doc_id", "long"), (F.col(k) if isinstance(k, str) else k).alias("k"), v.alias("v"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Table functions
+
+CHECKED = f"""WITH docs AS (SELECT doc_id, lang, doc_id % {BATCHES} AS b, {FOLD.format('text')} AS t FROM documents), added AS (SELECT * FROM {_values(ADDED)} AS r),
+  first AS (SELECT doc_id, b FROM docs QUALIFY row_number() OVER (PARTITION BY b ORDER BY doc_id) <= 40),
+  neg AS (SELECT d.b, r.pos, count_if(regexp_matches(d.t, r.pattern, 'i')) AS hits, count(*) AS n FROM docs AS d JOIN first USING (doc_id) CROSS JOIN added AS r GROUP BY ALL)
+SELECT d.b AS batch_id, d.doc_id, r.label, r.pattern, reason = 'ok' AS accepted, reason FROM (
+  SELECT d.*, r.label, r.pattern, CASE WHEN NOT regexp_matches(d.t, r.pattern, 'i') THEN 'no_positive' WHEN neg.hits > greatest(2, floor(0.15 * neg.n)) THEN 'negatives' ELSE 'ok' END AS reason
+  FROM docs AS d JOIN added AS r ON r.label = 'qxzvtema_' || d.lang JOIN neg ON neg.b = d.b AND neg.pos = r.pos) AS d JOIN added AS r ON r.label = d.label"""
+
+
+@query(CHECKED.replace("d.b AS batch_id, d.doc_id, r.label, r.pattern, reason", "d.b AS batch_id, d.doc_id, d.label, d.pattern, reason"))
+def checked_rules_sql(spark, sf):
+    """The rules that a review of each document brings, by a table function over documents, reviews and negatives in SQL."""
+    table_functions.register(spark)
+    docs_of(spark, sf).createOrReplaceTempView("lavra_documents")
+    options = json.dumps({k: SETUP[k] for k in ("required", "fixed")})
+    return spark.sql(f"""
+        WITH d AS (SELECT doc_id % {BATCHES} AS batch_id, doc_id, lang, text FROM lavra_documents),
+          n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) AS n FROM d) WHERE n <= 40)
+        SELECT r.* FROM checked_rules(TABLE(
+            SELECT batch_id, 'negative' AS side, doc_id, '' AS label, '' AS title, text, '' AS evidence, '' AS summary, '' AS pattern FROM n
+            UNION ALL SELECT batch_id, 'review', doc_id, 'qxzvtema_' || lang, 'T', text, '', '', '' FROM d), r'{options}') AS r""")
+
+
+# Providers
+
+def _local(session, model: str, prompt: str, timeout: float) -> tuple[str, dict]:
+    """A slow model: it fails for every third conversation; what it was out of patience for it answers in 300 seconds."""
+    conv, turn = map(int, prompt.split(":", 2)[:2])
+    if model == "small" and conv % 3 == 0:
+        raise ConnectionError("refused")
+    if turn % 4 == 1 and timeout < 300:
+        raise TimeoutError("too slow")
+    return f'said {{"label": "l{conv % 5}"}} thus', {"prompt_eval_count": len(prompt), "eval_count": 2}
+
+
+def _remote(session, model: str, prompt: str, timeout: float) -> tuple[str, dict]:
+    """A service that counts its session's prompts; it is out of its rate for some turns, and answers others without an object."""
+    conv, turn = map(int, prompt.split(":", 2)[:2])
+    if turn % 4 == 1 and conv % 2:
+        raise providers.Limited("429")
+    if conv % 10 == 4:
+        return "nothing", {}
+    return '{"label": "remote"}', {"prompt_tokens": 7, "completion_tokens": 1, "total_tokens": 0}
+
+
+def _chain() -> list[providers.Provider]:
+    return [providers.Provider("local", _local, ("small", "large"), retries=0), providers.Provider("remote", _remote, ("r",), retries=0, when_limited="local")]
+
+
+@query("""WITH c AS (SELECT conv_id, turn, length(conv_id || ':' || turn || ':' || text) AS n, turn % 4 = 1 AS slow, turn % 4 = 1 AND conv_id % 2 = 1 AS limited, conv_id % 10 = 4 AS empty, conv_id % 3 = 0 AS refused FROM conversations)
+SELECT conv_id, turn, CASE WHEN NOT slow OR limited THEN 'local' WHEN NOT empty THEN 'remote' END AS provider, CASE WHEN (NOT slow OR limited) AND refused THEN 'large' WHEN NOT slow OR limited THEN 'small' WHEN NOT empty THEN 'r' END AS model,
+  CASE WHEN NOT slow OR limited THEN n WHEN NOT empty THEN 7 ELSE 0 END AS prompt_tokens, CASE WHEN NOT slow OR limited THEN n + 2 WHEN NOT empty THEN 8 ELSE 0 END AS total_tokens,
+  CASE WHEN NOT slow OR limited THEN 'l' || conv_id % 5 WHEN NOT empty THEN 'remote' END AS label,
+  (CASE WHEN NOT slow THEN refused::INTEGER WHEN limited THEN 3 + refused::INTEGER WHEN empty THEN 3 ELSE 2 END)::INTEGER AS faults, slow AND NOT limited AND empty AS unanswered FROM c""")
+def provider_chain(spark, sf):
+    """Each turn of the conversations asked of a chain of two providers: who answered, with which tokens and after how many faults."""
+    c = table(spark, sf, "conversations").withColumn("prompt", F.concat_ws(":", "conv_id", "turn", "text"))
+    got = providers.answered(c, _chain())
+    return got.select(
+        "conv_id", "turn", "provider", "model", "prompt_tokens", "total_tokens", F.get_json_object("answer", "$.label").alias("label"), F.size("faults").alias("faults"), F.col("error").isNotNull().alias("unanswered")
+    )
+
+
+# Keys that are used up, and keys of a time
+
+@query("""WITH e AS (SELECT event_id, event_type || user_id % 50 AS k, event_id % 3 = 0 AS held FROM events), i AS (SELECT k, count(*) AS n FROM e WHERE held GROUP BY 1),
+r AS (SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY event_id) AS o FROM e WHERE NOT held AND NOT starts_with(k, 'view1'))
+SELECT 'row' AS what, event_id, k, o AS a, coalesce(n, 0) AS b, o <= coalesce(n, 0) AS matched FROM r LEFT JOIN i USING (k)
+UNION ALL SELECT 'key', NULL, k, least(coalesce(n, 0), coalesce(m, 0)), greatest(coalesce(n, 0) - coalesce(m, 0), 0) - greatest(coalesce(m, 0) - coalesce(n, 0), 0), NULL FROM i FULL JOIN (SELECT k, count(*) AS m FROM r GROUP BY 1) USING (k)""")
+def consuming_match(spark, sf):
+    """Events matched with an inventory of others of their kind, each item once; and what either side has left."""
+    e = table(spark, sf, "events").select("event_id", F.concat("event_type", F.col("user_id") % 50).alias("k"))
+    inventory, rows = e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0 and not startswith(k, 'view1')")
+    each = sampling.consume(rows, inventory, "k", ["event_id"])
+    left = sampling.balance(rows, inventory, "k")
+    keys = left.select(F.lit("key").alias("what"), F.lit(None).cast("long").alias("event_id"), "k", F.col("matched").alias("a"), (F.col("surplus") - F.col("missing")).alias("b"), F.lit(None).cast("boolean").alias("matched"))
+    return each.select(F.lit("row").alias("what"), "event_id", "k", F.col("occurrence").cast("long").alias("a"), F.col("held").alias("b"), "matched").unionByName(keys)
+
+
+LATE = 4 * 86400 + 1  # seconds
+PARTS = [("2024-01-01", "2024-01-09"), ("2024-01-09", "2024-01-12"), ("2024-01-12", "2024-02-01")]
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, ts, CASE {' '.join(f"WHEN ts < TIMESTAMP '{b}' THEN {i}" for i, (_, b) in enumerate(PARTS))} END AS f FROM events),
+  p0 AS (SELECT user_id, min(ts) AS ts FROM e WHERE f = 0 GROUP BY 1), w0 AS (SELECT max(ts) - INTERVAL {LATE} SECOND AS w FROM e WHERE f = 0),
+  p1 AS (SELECT user_id, min(ts) AS ts FROM e WHERE f = 1 AND user_id NOT IN (SELECT user_id FROM p0, w0 WHERE p0.ts + INTERVAL {LATE} SECOND > w) GROUP BY 1),
+  w1 AS (SELECT max(ts) - INTERVAL {LATE} SECOND AS w FROM e WHERE f <= 1),
+  s1 AS (SELECT user_id, max(ts) AS ts FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1) GROUP BY 1),
+  p2 AS (SELECT user_id, min(ts) AS ts FROM e WHERE f = 2 AND user_id NOT IN (SELECT user_id FROM s1, w1 WHERE s1.ts + INTERVAL {LATE} SECOND > w) GROUP BY 1)
+SELECT user_id, ts FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2""")
+def stream_first_seen(spark, sf):
+    """Users of an event stream over three runs; who comes again within the watermark's time is left out, later ones count anew."""
+    root = f"{shared_dir(spark)}/lavra/seen-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for n, (a, b) in enumerate(PARTS):  # a run takes what has come by then
+        day = lambda x: F.lit(datetime.datetime.fromisoformat(x))
+        e.where((F.col("ts") >= day(a)) & (F.col("ts") < day(b))).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(e.schema).parquet(f"{root}/in")
+        out = incremental.first_seen(source, "user_id", late=f"{LATE} seconds").writeStream.format("parquet").option("path", f"{root}/out")
+        out.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+SUMS = ", ".join(f"({'1000 + ' if m == 'docs' else '7 + ' if m == 'tokens' else ''}sum({m}))::BIGINT AS {m}" for m in incremental.MEASURES)
+
+
+@query(f"""WITH {MEASURED}, t AS (SELECT {SUMS} FROM me)
+SELECT *, CASE WHEN llm_processed > 0 THEN round(tokens / llm_processed, 4) ELSE 0 END AS avg_tokens, round(regex_accepted / docs, 6) AS rate FROM t""")
+def stream_measures(spark, sf):
+    """All measures of a stream over two runs, on top of those of an earlier run."""
+    root = f"{shared_dir(spark)}/lavra/measures-{uuid.uuid4().hex}"
+    rows = _measured(spark, sf)
+    before = spark.createDataFrame([tuple(1000 if m == "docs" else 7 if m == "tokens" else 0 for m in incremental.MEASURES)], ", ".join(f"{m} long" for m in incremental.MEASURES))
+    for side in ("batch_id <= 3", "batch_id > 3"):
+        rows.where(side).write.mode("append").parquet(f"{root}/in")
+        incremental.total_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/run", before)
+    return incremental.totals(spark, f"{root}/run")

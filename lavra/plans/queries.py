@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
-from lavra.operators import features, learning, reports, rules, sampling, taxonomy
-from lavra.runtime import spread, table
+from lavra.operators import features, learning, reduce, reports, rules, sampling, taxonomy
+from lavra.runtime import materialise, spread, table
 from lavra.sources import markup
 from lavra.streaming import incremental
 
@@ -411,11 +411,45 @@ def kmeans_round(spark, sf):
     return features.lloyd(v, starts, 1)
 
 
-@query("SELECT 40 > 0 AS fitted, count(*) AS rows FROM embeddings")
+# Mini-batch k-means: two sets of three starts, three batches by a hash of the id, a rate a centre; the set of least inertia is kept.
+FAR = "round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - m[i]) * (e[i] - m[i]))), 9)"
+STARTS = [(0, 1, 2), (3, 4, 5)]
+
+
+def _minibatch(n: int) -> str:
+    """SQL of one mini-batch: the centres (s, k, m, had) that it moves."""
+    return f"""
+  a{n} AS (SELECT s, vec_id, e, arg_min(k, ({FAR}, k)) AS k FROM v JOIN c{n} ON v.b = {n} GROUP BY ALL),
+  u{n} AS (SELECT s, k, i, sum(e[i]) AS x, count(*) AS n FROM a{n}, range(1, 1 + (SELECT max(len(e)) FROM v)) AS r(i) GROUP BY ALL),
+  y{n} AS (SELECT s, k, list(x ORDER BY i) AS x, any_value(n) AS n FROM u{n} GROUP BY ALL),
+  c{n + 1} AS (
+    SELECT c.s, c.k, c.had + coalesce(n, 0) AS had, CASE WHEN n IS NULL THEN m ELSE list_transform(range(1, len(m) + 1), lambda i: m[i] + (x[i] - n * m[i]) / (c.had + n)) END AS m
+    FROM c{n} AS c LEFT JOIN y{n} AS y ON y.s = c.s AND y.k = c.k)"""
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, ('0x' || substr(md5(vec_id::VARCHAR), 1, 6))::BIGINT % 3 AS b FROM embeddings),
+  c0 AS (SELECT (vec_id // 3)::INTEGER AS s, (vec_id % 3)::INTEGER AS k, 0 AS had, e AS m FROM v WHERE vec_id < 6), {', '.join(map(_minibatch, range(3)))},
+  f AS (SELECT s, vec_id, min({FAR}) AS far, arg_min(k, ({FAR}, k)) AS k FROM v, c3 GROUP BY ALL),
+  best AS (SELECT arg_min(s, total) AS s FROM (SELECT s, sum(far) AS total FROM f GROUP BY 1))
+SELECT vec_id AS id, k AS cluster FROM f WHERE s = (SELECT s FROM best)""")
+def kmeans_minibatch(spark, sf):
+    """Clusters after three mini-batches from stated starts."""
+    v = table(spark, sf, "embeddings")
+    held = {r["vec_id"]: r["embedding"] for r in v.where("vec_id < 6").select("vec_id", "embedding").collect()}
+    centres, _ = reduce.minibatches(v, [[held[i] for i in own] for own in STARTS], 3)
+    return reduce.assigned(v, centres)
+
+
+@query("SELECT vec_id AS id, true AS nearer FROM embeddings")
 def kmeans_sizes(spark, sf):
-    """k-means with its usual number of clusters: all rows have one."""
-    got = features.kmeans(table(spark, sf, "embeddings"))
-    return got.agg((F.count_distinct("cluster") > 3).alias("fitted"), F.count("*").alias("rows"))
+    """k-means with its usual number of clusters: each row has one, and the mean of its own cluster isn't further than that of the others' on the whole."""
+    v = table(spark, sf, "embeddings")
+    got = features.kmeans(v)
+    sums = v.join(got, v.vec_id == got.id).select("id", "cluster", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    own = sums.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
+    whole = sums.groupBy("i").agg(F.avg("x").alias("all"))
+    far = sums.join(own, ["cluster", "i"]).join(F.broadcast(whole), "i").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("within"), F.sum((F.col("x") - F.col("all")) ** 2).alias("around"))
+    return got.join(F.broadcast(far)).select("id", (F.col("cluster").isNotNull() & (F.col("within") < 0.97 * F.col("around"))).alias("nearer"))  # one row of sums
 
 
 @query("""WITH v AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), i AS (SELECT unnest(range(1, 1 + (SELECT max(len(e)) FROM v))) AS i),
@@ -439,6 +473,16 @@ def svd_reduced(spark, sf):
     return r.join(one).select("id", F.round(dot, 4).alias("product"))
 
 
+@query(f"""WITH {TFIDF.replace('LIMIT 20000', 'LIMIT 60')}, one AS (SELECT term, w FROM ti WHERE doc_id = (SELECT min(doc_id) FROM ti))
+SELECT doc_id AS id, round(coalesce(sum(ti.w * one.w), 0), 5) AS product FROM ti LEFT JOIN one USING (term) GROUP BY 1""")
+def svd_terms(spark, sf):
+    """TF-IDF rows of the 60 commonest terms along all directions: inner products with one of them stay as they were."""
+    r = materialise(reduce.reduced_terms(features.tfidf(docs_of(spark, sf), max_features=60), 60, unit=False), "reduced")
+    one = F.broadcast(r.orderBy("id").limit(1).select(F.col("reduced").alias("other")))
+    dot = F.aggregate(F.zip_with("reduced", "other", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return r.join(one).select("id", F.round(dot, 5).alias("product"))  # one row beside each
+
+
 FAMILIES = {"nominal": ["tion", "heit", "keit"], "verbal": ["ing", "ado", "ent"], "vocalic": ["eau", "aux", "oui"]}
 
 

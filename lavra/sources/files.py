@@ -27,7 +27,7 @@ def one_object(line: Column) -> Column:
     return F.coalesce((F.size(inside) == 1) & F.get(inside, F.lit(0)).isNotNull() & F.element_at(under, F.lit("w")).isNotNull(), F.lit(False))
 
 
-def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+def jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
     """The objects of a file of lines, blank lines left out. Strict reading fails at a line that isn't one object of this schema, text
     behind the object included; otherwise such lines are left out."""
     fields = T._parse_datatype_string(schema)

@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lavra.functions.text import markdown_name
 from lavra.operators.learning import key, missing, title_key
 from lavra.operators.sampling import first_by
+from lavra.runtime import materialise
 from lavra.sources.files import INDEX, MANIFEST, with_columns
 from lavra.sources.html import Node, markdown, tree
 from lavra.sources.markup import local_record
@@ -72,6 +73,33 @@ def source(fetch: Callable[[int], str], name: str = "listing") -> type[DataSourc
         def read(self, partition):
             yield from parse(partition.value, fetch(partition.value), self.step)
 
+    class StreamReader(DataSourceStreamReader):
+        """A listing that grows at its end: offsets count items, so that a run begins where the last one ended, within a page too.
+        A run reads up to the last item that the listing has when it begins; each page is a partition."""
+
+        def __init__(self, options):
+            self.step, self.start = int(options.get("step", 15)), int(options.get("start", 0))
+
+        def initialOffset(self):
+            return {"items": self.start}
+
+        def latestOffset(self):
+            return {"items": max(self.start, site_count(fetch, self.step))}
+
+        def partitions(self, start, end):
+            first, last = start["items"], end["items"]
+            pages = range(first // self.step * self.step, last, self.step)
+            return [InputPartition((page, max(first - page, 0), min(last - page, self.step))) for page in pages]
+
+        def read(self, partition):
+            page, after, before = partition.value
+            for i, row in enumerate(parse(page, fetch(page), self.step)):
+                if after <= i < before:
+                    yield row
+
+        def commit(self, end):
+            pass
+
     class Listing(DataSource):
         @classmethod
         def name(cls):
@@ -83,9 +111,25 @@ def source(fetch: Callable[[int], str], name: str = "listing") -> type[DataSourc
         def reader(self, schema):
             return Reader(self.options)
 
+        def streamReader(self, schema):
+            return StreamReader(self.options)
+
     return Listing
 
 
+def crawl(spark: SparkSession, fetch: Callable[[int], str], root: str, step: int = 15, known: DataFrame | None = None) -> DataFrame:
+    """All rows of a listing that crawls below `root` have found so far, each link once, in the order of the listing, after one more
+    crawl: it goes on behind the items that were read before. Rows go to a table as they are read and never to the driver; rows
+    whose link `known` (link) holds are left out."""
+    spark.dataSource.register(source(fetch))
+    rows = spark.readStream.format("listing").option("step", step).load().where("trim(link) <> ''").withColumn("link", F.trim("link"))
+    query = rows.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = first_by(spark.read.schema(rows.schema).parquet(f"{root}/rows"), ["link"], [F.col("offset"), F.col("item_index")])
+    found = found if known is None else found.join(known.select(F.trim("link").alias("link")).distinct(), "link", "left_anti")
+    return with_columns(found, INDEX)
+
+
 def collect(spark: SparkSession, fetch: Callable[[int], str], pages: int, step: int = 15, start: int = 0) -> DataFrame:
     """The rows of up to `pages` pages before the first empty one, each link once, by offset and place."""
     spark.dataSource.register(source(fetch))
@@ -141,7 +185,7 @@ def progressively(spark: SparkSession, fetch: Callable[[int], str], target: int,
             if have >= target or size[offset] < step:
                 done = True
                 break
-        kept = spark.createDataFrame(new.where(F.col("offset") < end).collect(), new.schema)  # a few pages
+        kept = materialise(new.where(F.col("offset") < end), "listed")
         out = kept if out is None else out.unionByName(kept)
         if done:
             break

@@ -223,16 +223,6 @@ def latest_records(spark, sf):
     return files.latest(e, "k", "event_id").select(F.col("k").cast("long").alias("user_id"), "props", "event_type", "position")
 
 
-@query(f"SELECT v, kind, label, pattern, uses FROM (SELECT 0 AS v, * FROM {_values(RULES[:4])} AS a UNION ALL SELECT 1, * FROM {_values(RULES)} AS b) WHERE NOT (v = 1 AND pos = 1) UNION ALL SELECT 1, 'crime', 'alpha', '{RULES[0][2]}', 2")
-def bank_versions(spark, sf):
-    """The bank that a run began with, and the next version, which takes in one rule again and new ones."""
-    root = scratch(spark)
-    files.publish_bank(rules.bank(spark, RULES[:4]), root, 0)
-    files.append_bank(rules.bank(spark, [RULES[0], *RULES[4:]]), root)
-    both = [files.load_bank(spark, root, v).select(F.lit(v).alias("v"), "kind", "label", "pattern", "uses") for v in files.versions(spark, root)]
-    return both[0].unionByName(both[1])
-
-
 @query("SELECT doc_id AS source_line, doc_id || '.md' AS arquivo, 'T ' || doc_id AS titulo, 'llm' AS fonte_classificacao, 'l' || i AS label FROM documents, (SELECT unnest([0, 1]) AS i) WHERE doc_id % 3 = 0")
 def learned_lines(spark, sf):
     """Lines with two learned rules, with none, and bad ones."""

@@ -99,55 +99,12 @@ def evidence_phrases(spark, sf):
 
 # Rules
 
-@query(f"""WITH b AS (SELECT * FROM {_values(RULES)} AS r) SELECT kind, label, pattern, weight, source, uses + (CASE WHEN pos = 1 THEN 2 ELSE 0 END) AS uses, CASE WHEN pos = 1 THEN 'x|new|other' ELSE array_to_string(examples, '|') END AS examples, pos FROM b
-UNION ALL SELECT 'crime', 'zeta', '\\bnew\\w*\\b\\s+\\bone\\w*\\b', 1.4, 'agent', 1, '', 12""")
-def rule_upsert(spark, sf):
-    """A known rule is found twice, a new one once, one without a pattern never."""
-    found = spark.createDataFrame([("crime", "alpha", RULES[0][2], "agent", "new"), ("crime", "alpha", RULES[0][2], "agent", "other"), ("crime", "zeta", r"\bnew\w*\b\s+\bone\w*\b", "agent", ""), ("crime", "zeta", "", "agent", "t")], "kind string, label string, pattern string, source string, title string")
-    out = rules.upsert(rules.bank(spark, RULES), found)
-    return out.select("kind", "label", "pattern", "weight", "source", "uses", F.array_join("examples", "|").alias("examples"), "pos")
-
-
-@query("SELECT 19 AS before_patterns, 8 AS before, 10 AS after_patterns, 7 AS after, 1 AS removed, 9 AS removed_patterns")
-def bank_clean_stats(spark, sf):
-    stats = rules.cleaned(rules.bank(spark, RAW))[1]
-    return stats.select(*(F.col(c).cast("int").alias(c) for c in ("before_patterns", "before", "after_patterns", "after", "removed", "removed_patterns")))
-
-
-@query(f"""WITH t AS (SELECT * FROM {_values(RAW)} AS r WHERE pos < 15 UNION ALL SELECT 'modus', 'beta', 'p', 1.4, 's', 1, []::VARCHAR[], 99)
-SELECT k AS asked, t.kind, label, pattern FROM t, (SELECT unnest(['crime', 'modus']) AS k) WHERE label IN (SELECT label FROM t AS u WHERE u.kind = k)""")
-def rules_of_kind(spark, sf):
-    """A label under both kinds brings all its rules to both."""
-    bank = rules.bank(spark, [r for r in RAW if r[7] < 15] + [("modus", "beta", "p", 1.4, "s", 1, [], 99)])
-    both = [rules.of_kind(bank, k).select(F.lit(k).alias("asked"), "kind", "label", "pattern") for k in ("crime", "modus")]
-    return both[0].unionByName(both[1])
-
-
-@query(f"SELECT kind, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM {_values(RAW)} AS r WHERE label <> 'gamma' GROUP BY 1")
-def known_labels(spark, sf):
-    return rules.known_labels(rules.bank(spark, RAW), ("gamma",)).select("kind", F.array_join("labels", ",").alias("labels"))
-
-
 STORED = [
     '{"kind":"crime","label":"a","pattern":"p1","uses":3}', '{"kind":"crime","classificador":"b","pattern_do_classificador":"p2","weight":2.0,"source":"s","examples":["x"]}',
     '{"kind":"modus","classificador":"c","source":"g","examples":["y"],"patterns_do_classificador":[{"pattern_do_classificador":"p3","weight":1.1,"uses":4},{"pattern":"p4","source":"own","examples":["z"]}]}', '{"kind":"modus","label":"d","uses":7,"weight":1.2,"patterns":["p5","p6"]}',
 ]
 
 
-@query("""SELECT * FROM (VALUES ('crime', 'a', 'p1', 1.4::DOUBLE, 'llm_feedback', 3, '', 1), ('crime', 'b', 'p2', 2.0, 's', 0, 'x', 2), ('modus', 'c', 'p3', 1.1, 'g', 4, 'y', 1), ('modus', 'c', 'p4', 1.4, 'own', 1, 'z', 2), ('modus', 'd', 'p5', 1.2, 'llm_feedback', 7, '', 3), ('modus', 'd', 'p6', 1.2, 'llm_feedback', 7, '', 4)) AS t(kind, label, pattern, weight, source, uses, examples, pos)""")
-def stored_bank(spark, sf):
-    """A bank's records in all their spellings."""
-    raw = spark.createDataFrame([(s,) for s in STORED], "s string").select(F.from_json("s", rules.STORED).alias("r")).select("r.*")
-    return rules.from_stored(raw).withColumn("examples", F.array_join("examples", ","))
-
-
-@query("SELECT 1 AS remapped, 2 AS removed, 1 AS merged")
-def remap_counts(spark, sf):
-    """One label moves onto another, one becomes rare, one goes."""
-    names = spark.createDataFrame([("gamma", "beta"), ("delta", "noticias_raras"), ("omega", "")], "label string, new_label string")
-    return rules.remap_counts(rules.bank(spark, RULES), names).select(*(F.col(c).cast("int").alias(c) for c in ("remapped", "removed", "merged")))
-
-
 SIDES = "s AS (SELECT doc_id, 1 AS side FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id % 10 IN (2, 3))"
 
 
@@ -190,14 +147,6 @@ def best_match(spark, sf):
     return r.select("doc_id", "m.label", "m.score", "m.hit_count", F.array_join("m.sources", ",").alias("sources"))
 
 
-@query("SELECT * FROM (VALUES (1, 'b,c,a,crime_organizado'), (2, 'crime_organizado'), (3, 'x,crime_organizado'), (4, '')) AS t(n, labels)")
-def prioritized_crimes(spark, sf):
-    """By score, then priority; generic ones last."""
-    rows = [(1, [(1.4, "a"), (9.0, "crime_organizado"), (3.0, "b"), (1.4, "c")]), (2, [(1.4, "crime_organizado")]), (3, [(5.0, "crime_organizado"), (1.0, "x")]), (4, [])]
-    df = spark.createDataFrame(rows, "n int, m array<struct<score: double, label: string>>")
-    return df.select("n", F.array_join(rules.prioritized(F.col("m"), priority={"c": 2}), ",").alias("labels"))
-
-
 REQUIRED = {"garimpo_ilegal": ["garimpo", "ilegal", "ouro"], "moeda_falsa": ["moeda", "cedulas", "falsas"]}
 CHECKED = [
     ("garimpo_ilegal", r"\bgarimpo\w*\b\s+\bilegal\w*\b", True, True), ("garimpo_ilegal", r"\bgarimpo\w*\b", False, False), ("garimpo_ilegal", r"\bouro\w*\b.{0,80}\bbahia\w*\b", True, False), ("garimpo_ilegal", r"\bouro\w*\b.{0,80}\bfraude\w*\b", True, True),
@@ -205,13 +154,6 @@ CHECKED = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}, {a})" for i, (_, _, c, a) in enumerate(CHECKED)) + ") AS t(n, candidate, anchored)")
-def rule_checks(spark, sf):
-    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(CHECKED)], "n int, label string, pattern string")
-    words = dict(required=REQUIRED, places=("rio", "bahia"), stop=("apura",))
-    return df.select("n", learning.domain_candidate(F.col("label"), F.col("pattern"), **words).alias("candidate"), learning.has_anchor(F.col("label"), F.col("pattern"), domain=("fraude",), **words).alias("anchored"))
-
-
 PREFERRED = {"garimpo_ilegal": ["garimpo ilegal", "extracao ouro"]}
 THEMES = [("garimpo_ilegal", [0, 1], ["Ouro ilegal em terra", "garimpo ilegal", "rio bahia"]), ("moeda_falsa", [2], ["moeda falsas"])]
 
@@ -228,18 +170,6 @@ CANDIDATES = [("garimpo_ilegal", p) for p in dict.fromkeys([_w("garimpo", "ilega
 CANDIDATES += [("moeda_falsa", p) for p in dict.fromkeys([_w("moeda", "falsas"), *_pairs(["moeda", "falsa"], [["moeda", "falsas"]])])]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {[x for x in CANDIDATES if x[0] == a].index((a, p)) + 1}, '{p}')" for a, p in CANDIDATES) + ") AS t(label, pos, pattern) WHERE pos <= 20")
-def rule_candidates(spark, sf):
-    t = spark.createDataFrame([(a, e) for a, _, e in THEMES], "label string, terms array<string>")
-    return learning.rule_candidates(t, PREFERRED, REQUIRED, ("rio", "bahia"), ("em",), target=5)
-
-
-@query("SELECT * FROM (VALUES ('garimpo_ilegal', '" + _w("garimpo", "ilegal") + "'), ('garimpo_ilegal', '" + _w("extracao", "ouro") + "'), ('garimpo_ilegal', '" + _w("ouro", "ilegal", "terra") + "'), ('moeda_falsa', '" + _w("moeda", "falsas") + "')) AS t(label, pattern)")
-def fallback_rules(spark, sf):
-    t = spark.createDataFrame([(a, e) for a, _, e in THEMES], "label string, terms array<string>")
-    return learning.fallback_rules(t, PREFERRED, REQUIRED, ("rio", "bahia"), ("em",))
-
-
 #: Patterns that the documents of this query can match.
 MADE = ["garimpo ilegal de ouro", "ouro ilegal terra adentro", "garimpo do ilegal", "moeda falsas aqui", "nada", "extracao de ouro", "moeda e falsas"]
 
@@ -269,19 +199,6 @@ def _reviews(spark):
     return spark.createDataFrame(REVIEWS, "doc_id int, label string, title string, text string, evidence string, summary string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{a}', '{p}')" for n, a, p in SUGGESTED) + ") AS t(doc_id, label, pattern)")
-def learning_suggestions(spark, sf):
-    return learning.suggestions(_reviews(spark), {"radio_clandestina": [_w("anatel", "radio", gap=".{0,120}")]}, {"armas_municoes": ["municao", "fogo"]})
-
-
-@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'no_positive'), (3, 'no_anchor'), (3, 'no_anchor'), (3, 'no_positive')) AS t(doc_id, reason)")
-def learned_rules(spark, sf):
-    need = {**REQUIRED, "armas_municoes": ["municao", "fuzil", "pesada"], "radio_clandestina": ["radio", "anatel"]}
-    negatives = spark.createDataFrame([(9, "nada aqui"), (10, "garimpo ilegal na terra sem ouro")], "doc_id int, text string")
-    got = learning.learned_rules(_reviews(spark), negatives, need, fixed={"radio_clandestina": [_w("anatel", "radio", gap=".{0,120}")]}, keywords={"armas_municoes": ["municao", "fogo"]})
-    return got.select("doc_id", "reason")
-
-
 # Themes and clusters
 
 NEEDLES = [("en", ["the and", "thou"]), ("de", ["und"]), ("es", ["que los"]), ("fr", ["les", "eau"])]
@@ -295,24 +212,10 @@ def theme_needles(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.nullif(F.array_join(named, ","), F.lit("")).alias("themes"))
 
 
-@query("SELECT * FROM (VALUES (0, 'de,fr'), (1, 'grand_canal'), (2, 'tema_operacional'), (3, 'en')) AS t(n, themes)")
-def theme_fallback_slug(spark, sf):
-    rows = [(0, ["und so", "l'eau"]), (1, ["abcd", "geral", "Grand Canal", "other"]), (2, ["ab", "geral"]), (3, ["the, andes", "thousand"])]
-    df = spark.createDataFrame(rows, "n int, terms array<string>")
-    return df.select("n", F.array_join(themes.canonical_themes(F.col("terms"), NEEDLES, ("geral",)), ",").alias("themes"))
-
-
 SUMMARY = [(0, "garimpo | ouro ilegal", "", "t"), (1, "moeda falsa | cedulas", "garimpo ilegal", "t"), (2, "nada dito", "bahia", "t"), (-1, "garimpo", "", "t")]
 RULED = [("garimpo_ilegal", ["garimpo", "ouro ilegal"]), ("moeda_falsa", ["moeda falsa", "cedulas"])]
 
 
-@query("SELECT * FROM (VALUES ('garimpo_ilegal', '0,1', 'cluster_1_folha', 'garimpo|ouro ilegal|garimpo ilegal', 0.62::DOUBLE, 'accept'), ('moeda_falsa', '1', 'cluster_1_folha', 'moeda falsa|cedulas', 0.62, 'accept'), ('nada_dito', '2', '', '', 0.62, 'accept')) AS t(label, cluster_ids, subthemes, evidence_terms, confidence, decision)")
-def fallback_themes(spark, sf):
-    s = spark.createDataFrame(SUMMARY, "cluster_id int, top_terms string, sample_tags string, sample_titles string")
-    t = themes.themes(s, RULED, provider=lambda df: df.select(F.lit(1 / 0)), generic=("bahia",))
-    return t.select("label", *(F.array_join(c, by).alias(c) for c, by in (("cluster_ids", ","), ("subthemes", ","), ("evidence_terms", "|"))), "confidence", "decision")
-
-
 PROFILED = TFIDF.replace("w AS (SELECT doc_id, ", "dd AS (SELECT 'doc:' || doc_id AS doc_id, text FROM documents UNION ALL SELECT 'seed:' || l, l || ' ' || l2 FROM (VALUES ('en', 'the and the and'), ('de', 'und und'), ('es', '')) AS s(l, l2)),\n  w AS (SELECT doc_id, ", 1).replace("AS w FROM documents)", "AS w FROM dd)").replace("count(*) AS n FROM documents)", "count(*) AS n FROM dd)").replace("0.75 * n", "0.9 * n").replace("LIMIT 20000", "LIMIT 30000")
 
 
@@ -441,13 +344,6 @@ def quarantine_review(spark, sf):
 
 # Reviews and records
 
-@query("""SELECT * FROM (VALUES (1, 'novo_tema_candidato', 'novo_tema', 'r'), (2, 'classificar', 'noticias_raras', 'Classificado como noticia rara: Novo tema candidato sem label valida.'), (3, 'classificar', 'moeda_falsa', 'r'), (4, 'classificar', 'garimpo_ilegal', 'r'),
-(5, 'classificar', 'noticias_raras', 'Classificado como noticia rara: Label retornada fora da lista canonica permitida.'), (6, 'classificar', 'noticias_raras', 'Classificado como noticia rara: r')) AS t(n, decision, label, rationale)""")
-def reviewed_residuals(spark, sf):
-    rows = [(1, "novo_tema_candidato", "Novo Tema", "r"), (2, "novo_tema_candidato", "--", "r"), (3, "classificar", "Moeda Falsa", "r"), (4, "classificar", "ouro_ilegal", "r"), (5, "classificar", "xyz", "r"), (6, "quarentena", "x", "r")]
-    return themes.reviewed(spark.createDataFrame(rows, "n int, decision string, label string, rationale string"), ["garimpo_ilegal", "moeda_falsa"]).select("n", "decision", "label", "rationale")
-
-
 @query(f"SELECT doc_id, CASE WHEN regexp_matches({FOLD.format('text')}, '\\b(und|der)\\w*\\b') THEN 'german' WHEN regexp_matches({FOLD.format('text')}, '\\bles\\w*\\b') THEN 'french' END AS new_theme FROM documents")
 def new_themes(spark, sf):
     found = themes.new_themes(docs_of(spark, sf), F.col("text"), ["english"], [("english", r"\bthe\b"), ("german", r"\b(und|der)\w*\b"), ("french", r"\bles\w*\b")])

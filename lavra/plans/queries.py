@@ -203,39 +203,9 @@ def label_counts(spark, sf):
 COMPACT = f"""b AS (SELECT kind, label, pattern, min_by(weight, pos) AS weight, min_by(source, pos) AS source, sum(uses)::INTEGER AS uses, min(pos) AS pos FROM {_values(RAW)} AS r GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {COMPACT} SELECT * FROM b")
-def rule_compact(spark, sf):
-    return rules.compact(rules.bank(spark, RAW)).drop("examples")
-
-
-@query(f"WITH {COMPACT} SELECT kind, label AS classifier, CASE WHEN count(DISTINCT source) > 1 THEN 'mixed' ELSE min(source) END AS source, sum(uses)::INTEGER AS uses, count(*) AS n FROM b GROUP BY 1, 2")
-def rule_group(spark, sf):
-    g = rules.group(rules.compact(rules.bank(spark, RAW)))
-    return g.select("kind", "classifier", "source", "uses", F.size("patterns").cast("long").alias("n"))
-
-
-@query(f"WITH {COMPACT} SELECT kind, label, pattern, weight, source, uses FROM b")
-def rule_flatten(spark, sf):
-    return rules.flatten(rules.group(rules.compact(rules.bank(spark, RAW)))).select("kind", "label", "pattern", "weight", "source", "uses")
-
-
 TELLING = f"len(list_filter(t, lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains({_list(rules.STOP + rules.BAD)}, x)))"
 
 
-@query(f"""WITH a AS (SELECT *, regexp_extract_all(lower(pattern), '\\\\b([a-z0-9]{{3,}})', 1) AS t FROM {_values(RAW)} AS r)
-SELECT pos, kind, CASE label WHEN 'Épsilon Um' THEN 'epsilon_um' ELSE label END AS label, pattern, CASE WHEN weight = 0 THEN 1.4::DOUBLE ELSE weight END AS weight, CASE WHEN trim(source) = '' THEN 'llm_feedback' ELSE source END AS source, greatest(uses, 1) AS uses, CASE WHEN pos = 15 THEN 'e' ELSE array_to_string(examples, ',') END AS examples
-FROM a WHERE kind IN ('crime', 'modus') AND {TELLING} >= 2 AND len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$') OR list_contains({_list(rules.BAD)}, x))) = 0 AND pos <> 19""")
-def rule_gate(spark, sf):
-    return rules.gate(rules.bank(spark, RAW)).select("pos", "kind", "label", "pattern", "weight", "source", "uses", F.array_join("examples", ",").alias("examples"))
-
-
-@query(f"""WITH t AS (SELECT * REPLACE (CASE label WHEN 'gamma' THEN 'beta' WHEN 'delta' THEN 'noticias_raras' ELSE label END AS label) FROM {_values(RULES)} AS r)
-SELECT first_kind AS kind, label, pattern, sum(uses)::INTEGER AS uses FROM (SELECT *, first_value(kind) OVER (PARTITION BY label ORDER BY pos) AS first_kind FROM t WHERE label NOT IN ('', 'noticias_raras')) GROUP BY 1, 2, 3""")
-def rule_remap(spark, sf):
-    names = spark.createDataFrame([("gamma", "beta"), ("delta", "noticias_raras")], "label string, new_label string")
-    return rules.remap(rules.bank(spark, RULES), names).select("kind", "label", "pattern", "uses")
-
-
 @query(f"""WITH {HITS}, s AS (SELECT DISTINCT doc_id, 1 AS side FROM labels WHERE quality = 1 UNION SELECT DISTINCT doc_id, 0 FROM labels WHERE toxic = 1),
 c AS (SELECT pos, count_if(side = 1) AS p, count_if(side = 0) AS n FROM m JOIN s USING (doc_id) GROUP BY 1), l AS (SELECT greatest(2, floor(0.15 * count_if(side = 0))) AS most FROM s)
 SELECT r.pos, coalesce(p, 0)::BIGINT AS positive_hits, coalesce(n, 0)::BIGINT AS negative_hits, coalesce(p, 0) >= 1 AND coalesce(n, 0) <= most AS accepted FROM {_values(RULES)} AS r LEFT JOIN c USING (pos) CROSS JOIN l""")
@@ -650,13 +620,6 @@ def cluster_theme_map(spark, sf):
     return learning.theme_map(themes, "theme", "ids")
 
 
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS r FROM {_values(RULES)} AS x), h AS (SELECT label, count(*) AS n_rules, string_agg(pattern, ' || ' ORDER BY r) FILTER (r <= 8) AS sample FROM r GROUP BY 1)
-SELECT label, coalesce(n_rules, 0)::BIGINT AS n_rules, coalesce(sample, '') AS sample FROM (SELECT unnest(['alpha', 'beta', 'unused', 'noticias_raras']) AS label) LEFT JOIN h USING (label)""")
-def active_themes(spark, sf):
-    themes = spark.createDataFrame([("alpha", "accept"), ("beta", "accept"), ("unused", "accept"), ("gamma", "quarantine")], "label string, decision string")
-    return learning.active_themes(themes, rules.bank(spark, RULES))
-
-
 @query("""WITH e AS (SELECT event_id, event_type, props AS title, CASE WHEN user_id % 3 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS date FROM events), k AS (SELECT * FROM e WHERE event_type = 'click')
 SELECT event_id FROM e WHERE event_type <> 'click' AND CASE WHEN date <> '' THEN NOT EXISTS (SELECT 1 FROM k WHERE k.title = e.title AND k.date = e.date) ELSE NOT EXISTS (SELECT 1 FROM k WHERE k.title = e.title) END""")
 def missing_articles(spark, sf):
@@ -743,4 +706,4 @@ def stream_foreach_batch(spark, sf):
     return spark.read.parquet(f"{root}/rows").select("doc_id", "label", "confidence", "status")
 
 
-from lavra.plans import intake, loops, more  # noqa: E402, F401  (they register further queries)
+from lavra.plans import banks, intake, loops, more  # noqa: E402, F401  (they register further queries)

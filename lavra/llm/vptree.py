@@ -82,15 +82,14 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0, found: tuple[np.ndarray, np.ndarray] | None = None, shared: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids) of each query's k best rows but those of its own id: -inf and the largest long where there are fewer. `found`:
-    the result over other trees, which this one adds to."""
+    the result over other trees, which this one adds to. `shared`: whether an id may stand in several rows."""
     n = len(ids)
     best, who = found or (np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max))
     if not len(tree.ids) or not n:
         return best, who
     norm2 = (queries * queries).sum(1)
-    shared = found is not None or len(np.unique(tree.ids)) < len(tree.ids)
     slack = 1e-9 * (1 + np.sqrt(norm2.max() * tree.top2) + tree.top2)
 
     def leaf(a: int, b: int, act: np.ndarray) -> None:
@@ -99,22 +98,20 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, factor: flo
         rows, cols = np.nonzero(rough >= np.maximum(best[act, -1] - slack, -1e300)[:, None])
         if not len(rows):
             return
-        sure = np.full(rough.shape, -np.inf)
-        sure[rows, cols] = exact_scores(queries[act[rows]], tree.points[a + cols])
-        hit = np.unique(rows)
+        # Old and new rows of the queries that got any, one flat table sorted by query, score and id; the first k of each stay.
+        hit, at = np.unique(rows, return_inverse=True)
         own = act[hit]
-        scores = np.concatenate([best[own], sure[hit]], 1)
-        names = np.concatenate([who[own], np.where(np.isinf(sure[hit]), np.iinfo(np.int64).max, tree.ids[a:b])], 1)
+        of = np.concatenate([np.repeat(np.arange(len(hit)), k), at])
+        scores = np.concatenate([best[own].ravel(), exact_scores(queries[act[rows]], tree.points[a + cols])])
+        names = np.concatenate([who[own].ravel(), tree.ids[a + cols]])
         if shared:  # an id may stand in several trees, or in one with several vectors; its best score counts
-            order = np.lexsort((-scores, names))
-            again = np.take_along_axis(names, order, 1)
-            seen = np.zeros_like(again, bool)
-            seen[:, 1:] = (again[:, 1:] == again[:, :-1]) & (again[:, 1:] != np.iinfo(np.int64).max)
-            drop = np.zeros_like(seen)
-            np.put_along_axis(drop, order, seen, 1)
-            scores, names = np.where(drop, -np.inf, scores), np.where(drop, np.iinfo(np.int64).max, names)
-        pick = np.lexsort((names, -scores))[:, :k]
-        best[own], who[own] = np.take_along_axis(scores, pick, 1), np.take_along_axis(names, pick, 1)
+            order = np.lexsort((-scores, names, of))
+            again = np.zeros(len(of), bool)
+            again[order[1:]] = (of[order[1:]] == of[order[:-1]]) & (names[order[1:]] == names[order[:-1]]) & (names[order[1:]] != np.iinfo(np.int64).max)
+            scores, names = np.where(again, -np.inf, scores), np.where(again, np.iinfo(np.int64).max, names)
+        order = np.lexsort((names, -scores, of))
+        pick = order[np.searchsorted(of[order], np.arange(len(hit)))[:, None] + np.arange(k)]
+        best[own], who[own] = scores[pick], names[pick]
 
     def visit(node: int, act: np.ndarray) -> None:
         a, b, rim, left, right, near, far = tree.nodes[node]
@@ -173,6 +170,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     rows, asked = valid(vectors, id_col, vector_col), valid(queries, id_col, vector_col)
     facts = rows.groupBy(F.size("v").alias("d")).agg(F.max(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)")).alias("top2"), F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     d, top2, n = (facts["d"], facts["top2"] * (1 + 1e-12), facts["n"]) if facts else (0, 0.0, 0)
+    # Only where ids repeat at all need those of a list be told apart.
+    shared = not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     trees = materialise(_packed(rows.where(F.size("v") == d), SHARD, lambda i, p: build(i, p, top2)), "trees")
     blocks = _packed(asked.where(F.size("v") == d), BLOCK, lambda i, p: (i, p))
     # As many lanes as run side by side while there are shards for them; beyond, `LANE` shards share one.
@@ -194,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                 ids, points = pickle.loads(blob.as_buffer())
                 found = None
                 for tree in held:
-                    found = search(tree, ids, points, k, factor, found)
+                    found = search(tree, ids, points, k, factor, found, shared)
                 if found is None:
                     continue
                 best, who = found
@@ -203,6 +202,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     met = dealt.union(sent).repartition(lanes, "lane").sortWithinPartitions("lane", "kind").select("lane", "kind", "blob")
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if shared:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+import zlib
 
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import text as tx
-from lavra.operators import rules
+from lavra.operators import sampling
 from lavra.plans.more import told, turns
-from lavra.plans.queries import RULES, _values, docs_of, query
+from lavra.plans.queries import RULES, docs_of, query
 from lavra.runtime import shared_dir, table
 from lavra.sources import files, listing, markup
+from lavra.sources.staged import folder
 from lavra.streaming import incremental
 
 
@@ -23,29 +28,55 @@ def scratch(spark: SparkSession) -> str:
 # Listings. The pages are made from a table's rows, so that SQL can state what is read from them.
 
 STEP = 15
+NOTHING = "<html></html>"
 
 
-def _tiles(spark, sf) -> dict[int, str]:
-    """Pages of a listing of the parts, 15 a page; every eleventh has no date."""
-    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand").orderBy("p_partkey").collect()  # what a site shows
-    tile = lambda r: (
-        f'<article class="tileItem x"><span class="subtitle"> {r[2]} </span><h2 class="tileHeadline"><a href="https://x.org/n/{r[0]}">{r[1]} &amp; <b>co</b></a></h2><p class="tileBody">body<br> {r[0]}</p>'
-        + (f'<span class="documentByLine">publicado  {r[0] % 28 + 1:02d}/05/2020 10h30 Noticia</span>' if r[0] % 11 else '<span class="documentByLine">sem data Artigo</span>')
-        + '<div class="keywords"><a>um</a><a> dois </a></div></article>'
-    )
-    pages = [rows[i : i + STEP] for i in range(0, len(rows), STEP)]
-    last = (len(pages) - 1) * STEP
-    return {i * STEP: f'<html><body>{"".join(map(tile, p))}<a href="?b_start:int={last}">last</a></body></html>' for i, p in enumerate(pages)}
+class Site:
+    """A site that executors read from a table of its pages (key, html), one part of it at a time; `missing` keys aren't there."""
 
+    def __init__(self, root: str, missing: tuple = (), none: str | None = None):
+        self.root, self.missing, self.none = root, missing, none
 
-class Canned:
-    """A site that can be pickled."""
+    def __call__(self, key) -> str:
+        name = str(key)
+        found = self.none if key in self.missing else _part(self.root, zlib.crc32(name.encode()) % PARTS).get(name, self.none)
+        if found is None:
+            raise KeyError(name)
+        return found
 
-    def __init__(self, pages: dict[int, str]):
-        self.pages = pages
 
-    def __call__(self, offset: int) -> str:
-        return self.pages.get(offset, "<html></html>")
+PARTS = 16
+
+
+@functools.lru_cache(2)
+def _part(root: str, n: int) -> dict[str, str]:
+    system, path = folder(f"{root}/part={n}")
+    found = system.get_file_info(path)
+    return {} if found.type == fs.FileType.NotFound else dict(zip(*pq.read_table(path, filesystem=system, columns=["key", "html"]).to_pydict().values()))
+
+
+def published(pages: DataFrame) -> str:
+    """The folder of a site's pages (key, html)."""
+    root = scratch(pages.sparkSession)
+    key = F.col("key").cast("string")
+    pages.select(key.alias("key"), "html", (F.crc32(key.cast("binary")) % PARTS).alias("part")).repartition("part").write.partitionBy("part").parquet(root)
+    return root
+
+
+def _listing(spark, sf) -> tuple[str, int]:
+    """(a site of the parts, 15 a page; how many pages); every eleventh part has no date."""
+    part = sampling.numbered(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), ["p_partkey"], "n")
+    k, day = F.col("p_partkey").cast("string"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0")
+    line = F.when(F.col("p_partkey") % 11 == 0, "sem data Artigo").otherwise(F.concat(F.lit("publicado  "), day, F.lit("/05/2020 10h30 Noticia")))
+    tile = F.concat(
+        F.lit('<article class="tileItem x"><span class="subtitle"> '), "p_brand", F.lit(' </span><h2 class="tileHeadline"><a href="https://x.org/n/'), k, F.lit('">'), "p_name",
+        F.lit(' &amp; <b>co</b></a></h2><p class="tileBody">body<br> '), k, F.lit('</p><span class="documentByLine">'), line, F.lit('</span><div class="keywords"><a>um</a><a> dois </a></div></article>'),
+    )
+    pages = part.groupBy((F.floor((F.col("n") - 1) / STEP) * STEP).cast("long").alias("key")).agg(F.array_sort(F.collect_list(F.struct("n", tile.alias("t")))).alias("tiles"))
+    last = part.agg(F.max("n")).first()[0]
+    last = (last - 1) // STEP * STEP
+    html = F.concat(F.lit("<html><body>"), F.array_join(F.transform("tiles", lambda x: x["t"]), ""), F.lit(f'<a href="?b_start:int={last}">last</a></body></html>'))
+    return published(pages.select("key", html.alias("html"))), last // STEP + 1
 
 
 NUMBERED = "nu AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)"
@@ -56,34 +87,46 @@ CASE WHEN p_partkey % 11 <> 0 THEN '10h30' END AS hora_publicacao, CASE WHEN p_p
 @query(f"WITH {NUMBERED} SELECT {TILE} FROM nu")
 def listing_rows(spark, sf):
     """All pages, and some behind the last one."""
-    pages = _tiles(spark, sf)
-    return listing.recent(spark, Canned(pages), len(pages) + 3, STEP)
+    root, pages = _listing(spark, sf)
+    return listing.recent(spark, Site(root, none=NOTHING), pages + 3, STEP)
 
 
 @query(f"WITH {NUMBERED} SELECT {TILE} FROM nu WHERE n < 45")
 def listing_stops(spark, sf):
     """The fourth page is empty: rows behind it don't count."""
-    pages = _tiles(spark, sf)
-    return listing.recent(spark, Canned({k: v for k, v in pages.items() if k != 45}), len(pages), STEP)
+    root, pages = _listing(spark, sf)
+    return listing.recent(spark, Site(root, none=NOTHING, missing=(45,)) if pages > 3 else Site(root, none=NOTHING), pages, STEP)
+
+
+@query(f"WITH {NUMBERED} SELECT {TILE} FROM nu")
+def listing_crawl(spark, sf):
+    """A listing that grows between two crawls: the second goes on where the first ended."""
+    root, pages = _listing(spark, sf)
+    out, half = scratch(spark), pages // 2 * STEP
+    first = spark.read.parquet(root).where(F.col("key").cast("long") < half).select("key", F.regexp_replace("html", r"b_start:int=\d+", f"b_start:int={half - STEP}").alias("html"))
+    listing.crawl(spark, Site(published(first), none=NOTHING), out, STEP)
+    return listing.crawl(spark, Site(root, none=NOTHING), out, STEP)
 
 
 @query("SELECT count(*) AS items FROM part")
 def listing_count(spark, sf):
-    return spark.createDataFrame([(listing.site_count(Canned(_tiles(spark, sf)), STEP),)], "items long")
+    return spark.createDataFrame([(listing.site_count(Site(_listing(spark, sf)[0], none=NOTHING), STEP),)], "items long")
 
 
-@query(f"WITH {NUMBERED}, m AS (SELECT {TILE}, n, p_partkey FROM nu WHERE p_partkey % 4 <> 0), c AS (SELECT *, sum(1) OVER (ORDER BY n) AS have FROM m), e AS (SELECT min(n // 15) AS page FROM c WHERE have >= 20) SELECT * EXCLUDE (n, p_partkey, have, page) FROM c, e WHERE n // 15 <= page")
+@query(f"""WITH {NUMBERED}, t AS (SELECT {TILE}, n, p_partkey, p_partkey % 4 = 0 AND p_partkey % 8 <> 0 AND p_partkey % 3 <> 0 AS own, p_partkey % 4 = 0 AND NOT (p_partkey % 8 <> 0 AND p_partkey % 3 <> 0) AS filed FROM nu),
+m AS (SELECT * EXCLUDE (own, filed) FROM t WHERE NOT filed AND NOT EXISTS (SELECT 1 FROM t AS o WHERE o.own AND o.titulo = t.titulo AND (t.data_publicacao IS NULL OR o.data_publicacao = t.data_publicacao))), c AS (SELECT *, sum(1) OVER (ORDER BY n) AS have FROM m), e AS (SELECT min(n // 15) AS page FROM c WHERE have >= 20) SELECT * EXCLUDE (n, p_partkey, have, page) FROM c, e WHERE n // 15 <= page""")
 def listing_missing(spark, sf):
-    """Every fourth article is held, by its file, its link, its title and date, or its title; pages end where 20 are found."""
+    """Every fourth article is held, by its file, its link, or its title and date (alone, where it has none), as are others of a held title and date; pages
+    end where 20 are found."""
     keys = table(spark, sf, "part").where("p_partkey % 4 = 0")
     link, title = F.concat(F.lit("https://x.org/n/"), "p_partkey"), F.concat("p_name", F.lit(" & co"))
     name = tx.markdown_name(link)
     paths = keys.where("p_partkey % 8 = 0 or p_partkey % 3 = 0").select(name.alias("name"))
     manifest = files.with_columns(keys.where("p_partkey % 3 = 0").select(link.alias("link"), name.alias("markdown_path"), F.lit("ok").alias("status")), files.MANIFEST)
     day = F.when(F.col("p_partkey") % 11 != 0, F.concat(F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), F.lit("/05/2020")))
-    # Titles repeat in the table, so that here they are told apart by their date.
-    own = keys.where("p_partkey % 8 <> 0 and p_partkey % 3 <> 0").select(title.alias("titulo"), day.alias("data_publicacao"), name.alias("name"))
-    return listing.progressively(spark, Canned(_tiles(spark, sf)), 20, own.select("titulo", "data_publicacao").where("false"), manifest, paths.unionByName(own.select("name")), STEP, 4)
+    own = keys.where("p_partkey % 8 <> 0 and p_partkey % 3 <> 0").select(title.alias("titulo"), day.alias("data_publicacao"), link.alias("link"))
+    site = Site(_listing(spark, sf)[0], none=NOTHING)
+    return listing.progressively(spark, site, 20, own.select("titulo", "data_publicacao"), manifest, paths, STEP, 4)
 
 
 ARTICLE = (
@@ -116,10 +159,11 @@ def article_markdown(spark, sf):
 CASE page_id % 3 WHEN 0 THEN 'KeyError: ''https://x.org/n/' || page_id || '''' WHEN 2 THEN 'ValueError: no title' END AS erro FROM pages UNION ALL SELECT 'https://x.org/old', 'ok', NULL, NULL, NULL""")
 def downloads(spark, sf):
     """One page in three isn't there, one has no title; an earlier row stays unless its link comes anew."""
-    site = {f"https://x.org/n/{r[0]}": r[1] for r in _pages(spark, sf).where("page_id % 3 <> 0").collect()}  # what a site holds
+    held = _pages(spark, sf).where("page_id % 3 <> 0").select(F.concat(F.lit("https://x.org/n/"), "page_id").alias("key"), "html")
+    site = Site(published(held))
     rows = table(spark, sf, "pages").select(F.concat(F.lit(" https://x.org/n/"), "page_id").alias("link"))
     old = files.with_columns(spark.createDataFrame([("https://x.org/old", "ok"), ("https://x.org/n/1", "erro")], "link string, status string"), files.MANIFEST)
-    return listing.downloaded(rows, site.__getitem__, old).select("link", "status", "titulo_extraido", "tags_extraidas", "erro")
+    return listing.downloaded(rows, site, old).select("link", "status", "titulo_extraido", "tags_extraidas", "erro")
 
 
 # Stored files

@@ -35,13 +35,21 @@ def _class_of_several() -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in parts) + "]"
 
 
+@functools.lru_cache(1)
+def _unusual() -> str:
+    """A short character class that holds all of `_class_of_several`, and of Latin letters hardly any more."""
+    near = "".join(f"\\x{{{ord(x):x}}}" for x in _folds()[2] if ord(x) < 0x250)
+    return f"[{near}\\x{{250}}-\\x{{10ffff}}]"
+
+
 def fold(c: Column, lower: bool = True) -> Column:
     """NFKD with what isn't ASCII dropped, lower case. Texts of ASCII alone, and characters that fold to one or none, take
     one pass; a text with one that folds to several goes through a map character by character."""
     one, plain, several = _folds()
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one node of the plan, folded to a constant
     spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    wide = F.when(c.rlike(_class_of_several()), spelt).otherwise(c)
+    # The long class is tried on texts with unusual characters alone.
+    wide = F.when(F.when(c.rlike(_unusual()), c.rlike(_class_of_several())).otherwise(False), spelt).otherwise(c)
     out = F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(wide, one, plain), "[^\\x00-\\x7F]", "")).otherwise(c)
     return F.lower(out) if lower else out
 

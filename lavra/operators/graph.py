@@ -2,18 +2,19 @@
 
 Each round keeps at most the edges it got, a node's edges are never gathered in one task (a minimum per
 node is pre-aggregated, then joined back, so that adaptive execution can split a hot node), and every
-round ends in a written table."""
+round ends in a written table, which is counted and hashed as it is written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lavra.runtime import materialise
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (src, dst), src > dst. Large star ties every larger neighbour to a node's least one; small star the smaller ones."""
+    """edges: (src, dst), src > dst. Large star ties every larger neighbour to a node's least one; small star the smaller ones. Edges may
+    repeat in what comes out."""
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges
     least = both.groupBy("src").agg(F.min("dst").alias("least"))
     least = least.select("src", F.least("src", "least").alias("least"))
@@ -22,7 +23,7 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
         out = tied.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     else:
         out = tied.select(F.col("dst").alias("src"), F.col("least").alias("dst")).union(least.select("src", F.col("least").alias("dst")))
-    return out.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    return out.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,11 +33,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialise(now, "edges")
     mark = None
     for _ in range(rounds):
-        now = materialise(_round(_round(now, True), False), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-        if tuple(seen) == mark:
+        seen = Observation()
+        rows = _round(_round(now, True).distinct(), False).distinct()
+        now = materialise(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)")).alias("hash")), "edges")
+        if seen.get == mark:
             break
-        mark = tuple(seen)
+        mark = seen.get
     else:
         raise RuntimeError(f"components: no fixpoint within {rounds} rounds")
     stars = now.select(F.col("src").alias("node"), F.col("dst").alias("label"))

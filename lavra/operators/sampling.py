@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.runtime import materialise
 
@@ -35,25 +36,31 @@ def stratified(df: DataFrame, stratum: Column, key: str, fraction: float = 0.15,
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     marked = df.select(F.col(key), stratum.alias("stratum"), hashed.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
     sizes = materialise(marked.groupBy("stratum", "bucket").agg(F.count("*").alias("n")), "buckets")
-    size = sizes.groupBy("stratum").agg(F.sum("n").alias("of"))
-    total = size.agg(F.sum("of")).first()[0] or 0
+    # A row a stratum, in order; null is the first.
+    known = sizes.groupBy("stratum").agg(F.sum("n").alias("of")).orderBy("stratum").collect()
+    total = sum(r["of"] for r in known)
     target = max(1, round(total * fraction))
-    order = Window.orderBy("stratum")
-    quota = size.withColumn("first", (F.row_number().over(order) <= target).cast("int"))  # a row a stratum
-    quota = quota.withColumn("quota", F.greatest(F.col("first"), F.bround(F.col("of") / F.lit(max(1, total)) * target, 0).cast("int")))
-    room = F.greatest(F.lit(0), F.lit(target) - F.coalesce(F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    firsts = F.sum("first").over(order.rowsBetween(1, Window.unboundedFollowing))
-    quota = quota.withColumn("quota", F.least("of", F.greatest("first", F.least("quota", room - F.coalesce(firsts, F.lit(0)))))).select("stratum", "quota")
+    firsts = [int(i < target) for i in range(len(known))]
+    quotas, taken = [], 0
+    for i, r in enumerate(known):
+        # What the share asks for, but no more than is left when each stratum behind has its first.
+        asked = max(firsts[i], round(r["of"] / max(1, total) * target))
+        quotas.append(min(r["of"], max(firsts[i], min(asked, max(0, target - taken) - sum(firsts[i + 1 :])))))
+        taken += asked
+    kind = marked.schema["stratum"].dataType
+    spark, form = df.sparkSession, T.StructType([T.StructField("stratum", kind), T.StructField("quota", T.LongType()), T.StructField("border", T.IntegerType()), T.StructField("room", T.LongType())])
+    quota = F.broadcast(spark.createDataFrame([(r["stratum"], q, 0, 0) for r, q in zip(known, quotas)], form).select("stratum", "quota"))
     run = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket"))  # at most BUCKETS rows a stratum
-    border = sizes.withColumn("upto", run).join(quota, "stratum").where("upto > quota")
-    border = border.groupBy("stratum").agg(F.min_by(F.struct("bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("b"))
-    cut = quota.join(border, "stratum", "left").select("stratum", "quota", F.coalesce("b.bucket", F.lit(BUCKETS)).alias("border"), F.coalesce("b.room", F.lit(0)).alias("room"))
-    cut = materialise(cut, "quotas")
-    rows = marked.join(cut, "stratum")
+    upto = sizes.withColumn("upto", run).withColumnRenamed("stratum", "_s").join(quota, F.col("_s").eqNullSafe(F.col("stratum"))).where("upto > quota")
+    ends = upto.groupBy("stratum").agg(F.min_by(F.struct("bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("room")), "bucket").alias("b"))
+    held = {r["stratum"]: r["b"] for r in ends.collect()}  # a row a stratum
+    bounds = [(r["stratum"], q, *(held[r["stratum"]] if r["stratum"] in held else (BUCKETS, 0))) for r, q in zip(known, quotas)]
+    cut = F.broadcast(spark.createDataFrame(bounds, form).withColumnRenamed("stratum", "_s"))
+    rows = marked.join(cut, F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s")
     ranked = rows.where("bucket = border").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", key)))
     out = rows.where("bucket <> border").select(key, "stratum", "h", (F.col("bucket") < F.col("border")).alias("sampled"))
     out = out.unionByName(ranked.select(key, "stratum", "h", (F.col("r") <= F.col("room")).alias("sampled")))
-    short = max(0, target - (cut.agg(F.sum("quota")).first()[0] or 0))
+    short = max(0, target - sum(quotas))
     if not short:
         return out.drop("h")
     fill = out.where("not sampled").orderBy("h", key).limit(short).select(key, F.lit(True).alias("filled"))  # less than a row a stratum

@@ -34,8 +34,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+#: Shares of tokens wanted by language and by form; sources have their own shares, tempered.
+TARGETS = {
+    "lang": {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.13, "(none)": 0.02},
+    "topic": {"note": 0.05, "brief": 0.15, "article": 0.4, "long read": 0.4},
+}
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.calibrated(table(spark, sf_dir, "documents"))
+    mixed = mixing.calibrated(table(spark, sf_dir, "documents"), targets=TARGETS)
     return mixed.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("source", "lang", "topic", "tokens", "weight", "probability", "kept")))
 
 

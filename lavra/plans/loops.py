@@ -103,9 +103,9 @@ UNION ALL SELECT 'candidates', batch_id::INTEGER, doc_id, label, evidence FROM s
 UNION ALL SELECT 'rare', batch_id::INTEGER, doc_id, signature, seen || '|' || CASE WHEN seen >= 2 THEN signature ELSE '' END FROM rare
 UNION ALL SELECT 'events', batch_id::INTEGER, doc_id, 'llm_residual', CASE WHEN n = 4 THEN 'error' ELSE 'ok' END FROM said
 UNION ALL SELECT 'events', batch_id::INTEGER, doc_id, 'agente_aprendiz_regex', reason FROM s WHERE reason <> 'ok'
-UNION ALL SELECT 'metrics', batch_id::INTEGER, NULL, 'measures', concat_ws('|', docs, accepted, llm, classified, candidates, rare_news, errors, learned, tokens, sum(docs) OVER o, sum(accepted) OVER o, sum(llm) OVER o) FROM me WINDOW o AS (ORDER BY batch_id)
-UNION ALL SELECT 'bank', NULL, NULL, label, pattern || '|' || uses FROM {_values(BANK)} AS c
-UNION ALL SELECT 'bank', NULL, NULL, label, pattern || '|' || count(*) FROM s WHERE reason = 'ok' GROUP BY label, pattern"""
+UNION ALL SELECT 'metrics', batch_id::INTEGER, -1, 'measures', concat_ws('|', docs, accepted, llm, classified, candidates, rare_news, errors, learned, tokens, sum(docs) OVER o, sum(accepted) OVER o, sum(llm) OVER o) FROM me WINDOW o AS (ORDER BY batch_id)
+UNION ALL SELECT 'bank', -1, -1, label, pattern || '|' || uses FROM {_values(BANK)} AS c
+UNION ALL SELECT 'bank', -1, -1, label, pattern || '|' || count(*) FROM s WHERE reason = 'ok' GROUP BY label, pattern"""
 
 
 @query(LOOP)
@@ -132,7 +132,7 @@ def loop_tables(spark, sf):
     out = None
     for name, (k, v) in told.items():
         rows = ledger.last("bank")[0] if name == "bank" else ledger.read(name)
-        has = lambda c, kind, rows=rows: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c)
+        has = lambda c, kind, rows=rows: (F.col(c) if c in rows.columns else F.lit(-1)).cast(kind).alias(c)
         part = rows.select(F.lit(name).alias("tbl"), has("batch_id", "int"), has("doc_id", "long"), (F.col(k) if isinstance(k, str) else k).alias("k"), v.alias("v"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -207,14 +207,14 @@ def provider_chain(spark, sf):
 @query("""WITH e AS (SELECT event_id, event_type || user_id % 50 AS k, event_id % 3 = 0 AS held FROM events), i AS (SELECT k, count(*) AS n FROM e WHERE held GROUP BY 1),
 r AS (SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY event_id) AS o FROM e WHERE NOT held AND NOT starts_with(k, 'view1'))
 SELECT 'row' AS what, event_id, k, o AS a, coalesce(n, 0) AS b, o <= coalesce(n, 0) AS matched FROM r LEFT JOIN i USING (k)
-UNION ALL SELECT 'key', NULL, k, least(coalesce(n, 0), coalesce(m, 0)), greatest(coalesce(n, 0) - coalesce(m, 0), 0) - greatest(coalesce(m, 0) - coalesce(n, 0), 0), NULL FROM i FULL JOIN (SELECT k, count(*) AS m FROM r GROUP BY 1) USING (k)""")
+UNION ALL SELECT 'key', -1, k, least(coalesce(n, 0), coalesce(m, 0)), greatest(coalesce(n, 0) - coalesce(m, 0), 0) - greatest(coalesce(m, 0) - coalesce(n, 0), 0), false FROM i FULL JOIN (SELECT k, count(*) AS m FROM r GROUP BY 1) USING (k)""")
 def consuming_match(spark, sf):
     """Events matched with an inventory of others of their kind, each item once; and what either side has left."""
     e = table(spark, sf, "events").select("event_id", F.concat("event_type", F.col("user_id") % 50).alias("k"))
     inventory, rows = e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0 and not startswith(k, 'view1')")
     each = sampling.consume(rows, inventory, "k", ["event_id"])
     left = sampling.balance(rows, inventory, "k")
-    keys = left.select(F.lit("key").alias("what"), F.lit(None).cast("long").alias("event_id"), "k", F.col("matched").alias("a"), (F.col("surplus") - F.col("missing")).alias("b"), F.lit(None).cast("boolean").alias("matched"))
+    keys = left.select(F.lit("key").alias("what"), F.lit(-1).cast("long").alias("event_id"), "k", F.col("matched").alias("a"), (F.col("surplus") - F.col("missing")).alias("b"), F.lit(False).alias("matched"))
     return each.select(F.lit("row").alias("what"), "event_id", "k", F.col("occurrence").cast("long").alias("a"), F.col("held").alias("b"), "matched").unionByName(keys)
 
 

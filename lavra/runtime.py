@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +76,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes the tables that `materialise` has written in this session, once no result is to be read any more; how many there were."""
-    written = spark.sparkContext.__dict__.pop("_lavra_written", [])
-    for path in written:
+def discard(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the tables that `materialise` has written in this session but the first `keep`, once no result is to be read any more;
+    how many there were."""
+    written = spark.sparkContext.__dict__.get("_lavra_written", [])
+    gone = written[keep:]
+    del written[keep:]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(written)
+    return len(gone)
+
+
+@contextlib.contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """What is materialised within is deleted at the end: for work whose results are written elsewhere by then."""
+    before = len(spark.sparkContext.__dict__.get("_lavra_written", []))
+    try:
+        yield
+    finally:
+        discard(spark, before)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lavra.functions.text import fold
 from lavra.operators import features, learning, reports, taxonomy, themes
 from lavra.operators import rules as R
-from lavra.runtime import materialise
+from lavra.runtime import materialise, working
 from lavra.streaming.ledger import Ledger
 
 TABLES = ("rows", "candidates", "rare", "events", "metrics", "bank")
@@ -207,9 +207,14 @@ def decide(docs: DataFrame, bank: DataFrame, setup: Setup, reviewer: Reviewer, n
 
 
 def run_batch(docs: DataFrame, batch_id: int, ledger: Ledger, setup: Setup, reviewer: Reviewer, nearest: Nearest | None = None) -> bool:
-    """Decides one batch and commits its six tables; False where it is committed already."""
+    """Decides one batch and commits its six tables; False where it is committed already. What it writes on the way goes."""
     if batch_id in ledger.batches():
         return False
+    with working(docs.sparkSession):
+        return _run(docs, batch_id, ledger, setup, reviewer, nearest)
+
+
+def _run(docs: DataFrame, batch_id: int, ledger: Ledger, setup: Setup, reviewer: Reviewer, nearest: Nearest | None) -> bool:
     bank, folder = ledger.last("bank", batch_id)
     rare_before = ledger.read("rare", batch_id)
     records, reviews, active = decide(docs, bank, setup, reviewer, nearest, rare_before)

@@ -1,4 +1,5 @@
-"""A paged listing as a Python data source: one partition an offset, so that pages are fetched side by side.
+"""A paged listing as a Python data source: partitions are runs of pages, one page each up to `LANES` of them, so that pages are fetched
+side by side and the number of tasks is bounded however long the listing is.
 
 `fetch` is any callable offset -> HTML that can be pickled; the tests give a canned one. A page without items ends the
 listing: rows behind the first empty page don't count. Rows repeat by link across pages; the first one stays."""
@@ -9,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -25,6 +26,7 @@ from lavra.sources.markup import local_record
 PUBLISHED = re.compile(r"publicado\s+(\d{2}/\d{2}/\d{4})\s+(\d{2}h\d{2})\s+(\S+)", re.I)
 ARTICLE_DATES = re.compile(r"Publicado em\s+(\d{2}/\d{2}/\d{4}\s+\d{2}h\d{2})(?:\s+Atualizado em\s+(\d{2}/\d{2}/\d{4}\s+\d{2}h\d{2}))?", re.I)
 PAGER = re.compile(r"b_start:int=(\d+)")
+LANES = 256  # runs of pages that are read side by side at most
 
 
 def _said(node: Node | None) -> str | None:
@@ -60,6 +62,12 @@ def site_count(fetch: Callable[[int], str], step: int = 15) -> int:
     return have if not have or not last else last + sum(1 for _ in parse(last, fetch(last), step))
 
 
+def dealt(pages: range) -> list[range]:
+    """The pages as runs of neighbours, `LANES` at most."""
+    each = max(1, -(-len(pages) // LANES))
+    return [pages[i : i + each] for i in range(0, len(pages), each)]
+
+
 def source(fetch: Callable[[int], str], name: str = "listing") -> type[DataSource]:
     class Reader(DataSourceReader):
         def __init__(self, options):
@@ -68,14 +76,15 @@ def source(fetch: Callable[[int], str], name: str = "listing") -> type[DataSourc
             self.offsets = range(start, start + int(options.get("pages", 1)) * self.step, self.step)
 
         def partitions(self):
-            return [InputPartition(o) for o in self.offsets]
+            return [InputPartition(run) for run in dealt(self.offsets)]
 
         def read(self, partition):
-            yield from parse(partition.value, fetch(partition.value), self.step)
+            for page in partition.value:
+                yield from parse(page, fetch(page), self.step)
 
     class StreamReader(DataSourceStreamReader):
         """A listing that grows at its end: offsets count items, so that a run begins where the last one ended, within a page too.
-        A run reads up to the last item that the listing has when it begins; each page is a partition."""
+        A run reads up to the last item that the listing has when it begins."""
 
         def __init__(self, options):
             self.step, self.start = int(options.get("step", 15)), int(options.get("start", 0))
@@ -88,14 +97,14 @@ def source(fetch: Callable[[int], str], name: str = "listing") -> type[DataSourc
 
         def partitions(self, start, end):
             first, last = start["items"], end["items"]
-            pages = range(first // self.step * self.step, last, self.step)
-            return [InputPartition((page, max(first - page, 0), min(last - page, self.step))) for page in pages]
+            return [InputPartition((run, first, last)) for run in dealt(range(first // self.step * self.step, last, self.step))]
 
         def read(self, partition):
-            page, after, before = partition.value
-            for i, row in enumerate(parse(page, fetch(page), self.step)):
-                if after <= i < before:
-                    yield row
+            pages, first, last = partition.value
+            for page in pages:
+                for i, row in enumerate(parse(page, fetch(page), self.step)):
+                    if first <= page + i < last and i < self.step:
+                        yield row
 
         def commit(self, end):
             pass
@@ -133,10 +142,12 @@ def crawl(spark: SparkSession, fetch: Callable[[int], str], root: str, step: int
 def collect(spark: SparkSession, fetch: Callable[[int], str], pages: int, step: int = 15, start: int = 0) -> DataFrame:
     """The rows of up to `pages` pages before the first empty one, each link once, by offset and place."""
     spark.dataSource.register(source(fetch))
-    rows = spark.read.format("listing").options(pages=pages, step=step, start=start).load().where("trim(link) <> ''")
-    filled = {r[0] for r in rows.select("offset").distinct().collect()}  # a row a page
-    end = next((o for o in range(start, start + pages * step, step) if o not in filled), start + pages * step)
-    return first_by(rows.where(F.col("offset") < end).withColumn("link", F.trim("link")), ["link"], [F.col("offset"), F.col("item_index")]).orderBy("offset", "item_index")
+    rows = spark.read.format("listing").options(pages=pages, step=step, start=start).load().where("trim(link) <> ''").withColumn("link", F.trim("link"))
+    rows = materialise(rows, "listed")  # pages are fetched once
+    filled = rows.select("offset").distinct()
+    behind = filled.select((F.col("offset") + step).cast("long").alias("offset")).union(spark.range(start, start + 1))
+    end = behind.join(filled, "offset", "left_anti").agg(F.min("offset")).first()[0]  # the first page without rows
+    return first_by(rows.where(F.col("offset") < end), ["link"], [F.col("offset"), F.col("item_index")]).orderBy("offset", "item_index")
 
 
 def recent(spark: SparkSession, fetch: Callable[[int], str], pages: int, step: int = 15) -> DataFrame:
@@ -244,9 +255,10 @@ def as_markdown(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, markdown string")
 
 
-def downloaded(rows: DataFrame, get: Callable[[str], str], manifest: DataFrame | None = None) -> DataFrame:
+def downloaded(rows: DataFrame, get: Callable[[str], str], manifest: DataFrame | None = None, near: Column | None = None) -> DataFrame:
     """The manifest of the rows' links: each is fetched and parsed where its row is; a fault gives a row with status `erro` and never ends
-    the run. Rows of an earlier manifest stay unless their link comes anew."""
+    the run. Rows of an earlier manifest stay unless their link comes anew. Links of one `near` (a host, a part of an archive) are
+    fetched one after the other by one task."""
     def run(batches):
         for batch in batches:
             out = []
@@ -261,6 +273,7 @@ def downloaded(rows: DataFrame, get: Callable[[str], str], manifest: DataFrame |
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(8)], ["link", "status", "titulo_extraido", "subtitulo_extraido", "publicado_em_extraido", "atualizado_em_extraido", "tags_extraidas", "erro"])
 
     links = rows.select(F.trim("link").alias("link")).where("link <> ''").distinct()
-    got = links.mapInArrow(run, "link string, status string, titulo_extraido string, subtitulo_extraido string, publicado_em_extraido string, atualizado_em_extraido string, tags_extraidas string, erro string")
+    fetched = links if near is None else links.repartition(near).sortWithinPartitions(near, "link")
+    got = fetched.mapInArrow(run, "link string, status string, titulo_extraido string, subtitulo_extraido string, publicado_em_extraido string, atualizado_em_extraido string, tags_extraidas string, erro string")
     got = with_columns(got.withColumn("markdown_path", markdown_name(F.col("link"))), MANIFEST)
     return got if manifest is None else got.unionByName(with_columns(manifest.join(links, "link", "left_anti"), MANIFEST))

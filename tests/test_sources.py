@@ -126,3 +126,29 @@ def test_chains_of_providers(spark):
     frame = spark.createDataFrame([("x", 1), (None, 2)], "prompt string, model int")
     got = providers.answered(frame, [providers.Provider("q", lambda s, m, p, t: (json.dumps({"n": len(p)}), {}))]).orderBy("answer").collect()
     assert [r["answer"] for r in got] == ['{"n": 0}', '{"n": 1}'] and got[0]["total_tokens"] == 0 and got[0]["model"] == ""
+
+
+def test_pages_are_read_in_bounded_runs():
+    """Tasks don't grow with the listing, and a stored site's parts don't grow with it either."""
+    reader = listing.source(lambda offset: "")({"pages": 50_000, "step": 15, "start": 30}).reader(None)
+    runs = [p.value for p in reader.partitions()]
+    assert len(runs) <= listing.LANES and [o for r in runs for o in r] == list(range(30, 30 + 50_000 * 15, 15))
+    stream = listing.source(lambda offset: "")({"step": 4}).streamReader(None)
+    assert len(stream.partitions({"items": 6}, {"items": 400_000})) <= listing.LANES
+
+
+def test_a_stored_site_is_read_part_by_part(spark, monkeypatch):
+    from lavra.plans import intake
+
+    pages = spark.range(3000).select((F.col("id") * 15).alias("key"), F.concat(F.lit("p"), "id").alias("html"))
+    for site in (intake.Site(*intake.published(pages, 15)), intake.Site(*intake.published(pages))):
+        intake._part.cache_clear()
+        order = sorted(range(3000), key=lambda i: (site.part(i * 15), i))
+        assert all(site(i * 15) == f"p{i}" for i in order)
+        assert max(len(intake._part(site.root, site.part(i * 15))) for i in range(0, 3000, 50)) < 3 * intake.PART
+        with pytest.raises(KeyError):
+            site(3000 * 15)
+    rows = spark.range(400).select(F.concat(F.lit("l"), "id").alias("link"))
+    near = F.crc32(F.col("link").cast("binary")) % 7
+    got = listing.downloaded(rows, lambda link: (_ for _ in ()).throw(KeyError(link)), near=near)
+    assert got.count() == 400 and got.where("status = 'erro'").count() == 400

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lavra.functions.text import delimited_set, fold, phrase_of, plain_slug, slug
+from lavra.functions.text import delimited_set, fold, let, phrase_of, plain_slug, slug
 from lavra.operators.features import centroids, tfidf, top_terms
 from lavra.operators.learning import canonical_labels
 from lavra.runtime import materialise
@@ -28,10 +28,17 @@ def holds(folded: Column, needles: list[str]) -> Column:
 def canonical_themes(terms: Column, rules: Needles, generic: tuple[str, ...] = ()) -> Column:
     """All labels with a needle in the terms, in the order of the rules; else the slug of the first term of five characters or more that
     isn't generic; else a fixed name."""
-    said = fold(F.array_join(terms, " "))
-    labels = F.array_compact(F.array(*(F.when(holds(said, needles), label) for label, needles in rules)))
-    usable = F.filter(F.transform(F.filter(terms, lambda t: F.length(t) >= 5), plain_slug), lambda s: ~s.isin(*generic) if generic else F.lit(True))
-    return F.when(F.size(labels) > 0, labels).when(F.size(usable) > 0, F.slice(usable, 1, 1)).otherwise(F.array(F.lit(NOTHING)))
+    def named(said: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(holds(said, needles), label) for label, needles in rules)))
+
+    def usable(ts: Column) -> Column:
+        return F.filter(F.transform(F.filter(ts, lambda t: F.length(t) >= 5), plain_slug), lambda s: ~s.isin(*generic) if generic else F.lit(True))
+
+    def chosen(ts: Column) -> Column:
+        fallback = let(usable(ts), lambda u: F.when(F.size(u) > 0, F.slice(u, 1, 1)).otherwise(F.array(F.lit(NOTHING))))
+        return let(let(fold(F.array_join(ts, " ")), named), lambda labels: F.when(F.size(labels) > 0, labels).otherwise(fallback))
+
+    return let(terms, chosen)
 
 
 def evidence_of(label: Column, term: Column, rules: Needles, generic: tuple[str, ...] = ()) -> Column:

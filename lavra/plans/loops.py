@@ -152,14 +152,16 @@ SELECT d.b AS batch_id, d.doc_id, r.label, r.pattern, reason = 'ok' AS accepted,
 def checked_rules_sql(spark, sf):
     """The rules that a review of each document brings, by a table function over documents, reviews and negatives in SQL."""
     table_functions.register(spark)
-    docs_of(spark, sf).createOrReplaceTempView("lavra_documents")
+    d = docs_of(spark, sf)
+    d.createOrReplaceTempView("lavra_documents")
     options = json.dumps({k: SETUP[k] for k in ("required", "fixed")})
+    parts = d.count() // 4000 + 1  # of a batch, each with the batch's negatives, so that a task's reviews don't grow with the table
     return spark.sql(f"""
         WITH d AS (SELECT doc_id % {BATCHES} AS batch_id, doc_id, lang, text FROM lavra_documents),
           n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) AS n FROM d) WHERE n <= 40)
-        SELECT r.* FROM checked_rules(TABLE(
-            SELECT batch_id, 'negative' AS side, doc_id, '' AS label, '' AS title, text, '' AS evidence, '' AS summary, '' AS pattern FROM n
-            UNION ALL SELECT batch_id, 'review', doc_id, 'qxzvtema_' || lang, 'T', text, '', '', '' FROM d), r'{options}') AS r""")
+        SELECT r.batch_id div {parts} AS batch_id, r.doc_id, r.label, r.pattern, r.accepted, r.reason FROM checked_rules(TABLE(
+            SELECT batch_id * {parts} + part AS batch_id, 'negative' AS side, doc_id, '' AS label, '' AS title, text, '' AS evidence, '' AS summary, '' AS pattern FROM n, (SELECT explode(sequence(0, {parts - 1})) AS part)
+            UNION ALL SELECT batch_id * {parts} + pmod(hash(doc_id), {parts}), 'review', doc_id, 'qxzvtema_' || lang, 'T', text, '', '', '' FROM d), r'{options}') AS r""")
 
 
 # Providers

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lavra.functions.text import canonical, crime_identity, folded, folded_tags, let, operation_name, slug
+from lavra.runtime import pieces
 
 BANK = "kind string, label string, pattern string, weight double, source string, uses int, examples array<string>, pos int"
 WEIGHT = 1.4
@@ -237,7 +238,7 @@ def matched(docs: DataFrame, rules: list, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         tool = _matcher(held.value)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = [folded(x or "") for x in batch.column(1).to_pylist()]
             labels = [tool.hits(x) if x else [] for x in batch.column(2).to_pylist()]
             columns = [pa.array([x[:1800] for x in texts], pa.string()), pa.array([tool.hits(x) for x in texts], _ARROW), pa.array(labels, _ARROW)]
@@ -263,7 +264,7 @@ def holds_pattern(rows: DataFrame, pattern: str, folded_text: str, name: str) ->
     at = [rows.columns.index(c) for c in (pattern, folded_text)]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, at[1]):
             pairs = zip(*(batch.column(i).to_pylist() for i in at))
             found = [bool(p and compiles(p) and re.search(p, t or "", re.IGNORECASE)) for p, t in pairs]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], [*batch.schema.names, name])

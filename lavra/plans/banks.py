@@ -12,7 +12,7 @@ from lavra.plans.queries import FOLD, STOP, TOKENS, _list, docs_of, query  # iso
 from lavra.operators import learning, rules, taxonomy, themes
 from lavra.plans.loops import CHECKED, SETUP
 from lavra.plans.more import NEEDLES
-from lavra.runtime import shared_dir, table
+from lavra.runtime import materialise, shared_dir, table
 from lavra.sources import files
 
 # A rule of each document's first two words, as they come in: some have one word, some don't compile, kinds and weights vary.
@@ -32,14 +32,16 @@ def _anchored(*words: Column) -> list[Column]:
 
 def raw_bank(spark, sf) -> DataFrame:
     n = F.col("doc_id")
-    d = docs_of(spark, sf).select("doc_id", "lang", "source", tx.tokens(F.col("text")).alias("w")).where("size(w) >= 2")
+    words = F.filter(F.array(F.slice(tx.tokens(F.col("text")), 1, 2)), lambda w: F.size(w) >= 2)
+    d = docs_of(spark, sf).select("doc_id", "lang", "source", F.explode(words).alias("w"))  # a filter on `w` would cut each text twice
     a, b = _anchored(F.get("w", F.lit(0)), F.get("w", F.lit(1)))
-    return d.select(
+    bank = d.select(
         F.when(n % 7 == 0, "other").when(n % 7 < 3, "modus").otherwise("crime").alias("kind"), F.concat(F.lit("tema_"), "lang", F.lit("_"), n % 4).alias("label"),
         F.when(n % 11 == 3, a).when(n % 11 == 5, F.concat(a, F.lit(r"\s+("), b)).otherwise(F.concat(a, F.lit(r"\s+"), b)).alias("pattern"),
         F.when(n % 4 == 0, 0.0).when(n % 4 == 1, 1.0).when(n % 4 == 2, 1.2).otherwise(1.4).alias("weight"), F.when(n % 6 == 0, " ").otherwise(F.col("source")).alias("source"),
         (n % 5).cast("int").alias("uses"), F.array(F.col("lang"), F.concat(F.lit(" "), "source", F.lit(" ")), F.lit(""), F.col("lang")).alias("examples"), n.cast("int").alias("pos"),
     )
+    return materialise(bank, "bank")  # queries take it more than once
 
 
 COMPACT = f"""{RAW},

@@ -1,8 +1,10 @@
 """Every query against its SQL on the smallest tables, and hand cases of the rules."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from lavra import runtime
 from lavra.functions import text as tx
 from lavra.operators import features, rules, sampling, taxonomy
 from lavra.plans.queries import ORACLES, QUERIES
@@ -165,3 +167,23 @@ def test_clusters_and_profiles_are_kept(spark, tmp_path):
     files.save_profiles(got, far, f"file://{tmp_path}/p")
     assert spark.read.parquet(f"file://{tmp_path}/p/profiles").count() == 60
     assert [r[0] for r in spark.createDataFrame([("",), ("31/12/2023",), ("31/12/23",)], "d string").select(records.valid_date(F.col("d"))).collect()] == [True, True, False]
+
+
+@pytest.mark.parametrize(("name", "most"), [("theme_needles", 1), ("theme_fallback_slug", 2), ("learned_pattern", 1), ("phrase_candidates", 1), ("rule_group", 0), ("rule_remap", 0)])
+def test_a_text_is_folded_once(spark, name, most):
+    """Each fold of a text has one `translate`; a fold that stands in a plan once for each use made these queries slow."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= most
+
+
+def test_pieces_of_batches():
+    texts = ["a" * 700, None, "b" * 400, "", "c" * 5000, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    got = list(runtime.pieces(iter([batch, batch.slice(0, 0)]), 1, 1000))
+    assert [p.column(0).to_pylist() for p in got] == [[0, 1], [2, 3], [4], [5]]
+
+
+def test_reviews_of_a_batch_go_to_more_tasks(spark):
+    """10,000 documents in three batches: each is dealt to three parts."""
+    plan = QUERIES["checked_rules_sql"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().analyzed().toString()
+    assert "div cast(3 as bigint)" in plan or "div 3" in plan

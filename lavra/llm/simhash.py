@@ -31,7 +31,7 @@ from lavra.runtime import materialise
 
 ODD = 0x5555555555555555
 BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
-MET = 2_000_000  # rows in pairs to verify that are broadcast (about 60 bytes each), so that texts stay in place; beyond, a shuffle joins them
+MET = 200_000  # rows in pairs to verify that are broadcast (about 60 bytes each), so that texts stay in place; beyond, a shuffle joins them
 FAR = 22  # bits between fingerprints of texts that share 0.8 of their shingles, and four deviations more
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
@@ -199,19 +199,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     cells = links(least.select("fp")).join(least.select(F.col("fp").alias("src"), F.col("least").alias("x")), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("y")), "dst")
     cells = cells.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
     edges = edges.unionByName(same).unionByName(cells).distinct()
-    near = edges.join(a, "src").join(b, "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
+    # Tables that grow with the texts are merged, never sent through the driver, whatever size Spark takes for small.
+    near = edges.hint("merge").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
     near = near.where(f"bit_count(fp_src ^ fp_dst) <= {FAR}")
     near = materialise(near.select("src", "dst"), "near")
     used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
     used = F.broadcast(used) if used.count() <= MET else used
     rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
     sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
-    pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")), "dst")
+    pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
     label = components(_verified(pairs, similarity))
-    named = nodes.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
+    named = nodes.join(label.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = materialise(named.select("sig", "label").join(least, "label").select("sig", "component_id"), "components")
-    return marked.select(F.col("row").alias("doc_id"), "sig").join(known, "sig", "left").select("doc_id", "component_id")
+    known = materialise(named.select("sig", "label").join(least.hint("merge"), "label").select("sig", "component_id"), "components")
+    return marked.select(F.col("row").alias("doc_id"), "sig").join(known.hint("merge"), "sig", "left").select("doc_id", "component_id")
 
 
 def hex_of(fp: str = "fp"):

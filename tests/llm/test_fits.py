@@ -166,3 +166,14 @@ def test_op6_against_plain_raking(spark):
     number = {r["doc_id"]: r["u"] for r in kept.collect()}
     assert all(r["kept"] == (number[r["doc_id"]] < r["probability"]) for r in rows)
     assert mixing.CELLS >= len(tokens)
+
+
+def test_joins_of_the_near_dedup_stage_stay_off_the_driver(spark):
+    """Tables that grow with the texts aren't broadcast, small as they are here; those that are have a low limit."""
+    import corpus_pipeline
+    from lavra.llm import simhash
+
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 3} six seven eight") for i in range(30)], "doc_id long, text string")
+    found = simhash.similar(docs)
+    assert found.count() == 30 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert corpus_pipeline.DROPPED <= 200_000 and simhash.MET <= 200_000

@@ -25,18 +25,20 @@ def holds(folded: Column, needles: list[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, (folded.rlike(p) for p in forms), F.lit(False))
 
 
-def canonical_themes(terms: Column, rules: Needles, generic: tuple[str, ...] = ()) -> Column:
-    """All labels with a needle in the terms, in the order of the rules; else the slug of the first term of five characters or more that
-    isn't generic; else a fixed name."""
-    def named(said: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(holds(said, needles), label) for label, needles in rules)))
+def named_themes(terms: Column, rules: Needles) -> Column:
+    """All labels with a needle in the terms, in the order of the rules; the terms are folded once."""
+    return let(fold(F.array_join(terms, " ")), lambda said: F.array_compact(F.array(*(F.when(holds(said, needles), label) for label, needles in rules))))
+
 
+def canonical_themes(terms: Column, rules: Needles, generic: tuple[str, ...] = ()) -> Column:
+    """`named_themes`; else the slug of the first term of five characters or more that isn't generic, which may read like a label; else
+    a fixed name."""
     def usable(ts: Column) -> Column:
         return F.filter(F.transform(F.filter(ts, lambda t: F.length(t) >= 5), plain_slug), lambda s: ~s.isin(*generic) if generic else F.lit(True))
 
     def chosen(ts: Column) -> Column:
         fallback = let(usable(ts), lambda u: F.when(F.size(u) > 0, F.slice(u, 1, 1)).otherwise(F.array(F.lit(NOTHING))))
-        return let(let(fold(F.array_join(ts, " ")), named), lambda labels: F.when(F.size(labels) > 0, labels).otherwise(fallback))
+        return let(named_themes(ts, rules), lambda labels: F.when(F.size(labels) > 0, labels).otherwise(fallback))
 
     return let(terms, chosen)
 

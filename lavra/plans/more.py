@@ -207,8 +207,7 @@ NEEDLES = [("en", ["the and", "thou"]), ("de", ["und"]), ("es", ["que los"]), ("
 @query(f"""WITH f AS (SELECT doc_id, {FOLD.format("concat_ws(' ', source, text)")} AS t FROM documents) SELECT doc_id, nullif(concat_ws(',', CASE WHEN regexp_matches(t, '\\bthe\\w*\\s+and\\w*\\b|\\bthou\\w*\\b') THEN 'en' END, CASE WHEN regexp_matches(t, '\\bund\\w*\\b') THEN 'de' END, CASE WHEN regexp_matches(t, '\\bque\\w*\\s+los\\w*\\b') THEN 'es' END, CASE WHEN regexp_matches(t, '\\bles\\w*\\b|\\beau\\w*\\b') THEN 'fr' END), '') AS themes FROM f""")
 def theme_needles(spark, sf):
     """The themes whose needles a document has; null for documents that name none."""
-    found = themes.canonical_themes(F.array("source", "text"), NEEDLES)
-    named = F.filter(found, lambda x: x.isin(*(n for n, _ in NEEDLES)))
+    named = themes.named_themes(F.array("source", "text"), NEEDLES)
     return docs_of(spark, sf).select("doc_id", F.nullif(F.array_join(named, ","), F.lit("")).alias("themes"))
 
 

@@ -176,6 +176,17 @@ def test_a_text_is_folded_once(spark, name, most):
     assert plan.count("translate(") <= most
 
 
+def test_a_text_that_reads_like_a_label_names_no_theme(spark, duck, tmp_path):
+    """A short source and a text of one short word: the fallback's slug is no theme that a needle has named."""
+    texts = ["De...", "\n\nfr!\n", "es  .", "thou en", None, "  und  ", "the\nand x les"]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate([(t, s) for t in texts for s in ("src7", "src13", None)])], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["theme_needles"](spark, str(tmp_path)).toPandas()
+    other = duck.cursor()
+    other.sql(f"create temp view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(got) == rows(other.sql(ORACLES["theme_needles"]).df())
+
+
 def test_pieces_of_batches():
     texts = ["a" * 700, None, "b" * 400, "", "c" * 5000, "d"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])

@@ -14,11 +14,14 @@ empty result. Only the id and text columns are read, so others may have any name
 
 `similar` is for texts that are alike rather than almost the same. All pairs of fingerprints within four bits come from the
 same grid range-join. A pair that shares 0.8 of its shingles may differ by ten bits of 64 and more, a radius within which cells
-select little; those pairs meet where a band of min-wise shingles agrees, and the popcount of the XOR is held against a wide
-radius. All pairs are verified by the sets of shingles themselves."""
+select little; most of those pairs meet where a band of min-wise shingles agrees, and the popcount of the XOR is held against a wide
+radius. What these leave apart meets by prefixes of the sets, which lose no pair: under one order of all shingles, sets that share 0.8 share
+one of their first fifth. All pairs are verified by the sets of shingles themselves."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +36,8 @@ ODD = 0x5555555555555555
 BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
 MET = 200_000  # rows in pairs to verify that are broadcast (about 60 bytes each), so that texts stay in place; beyond, a shuffle joins them
 FAR = 22  # bits between fingerprints of texts that share 0.8 of their shingles, and four deviations more
+SAMPLE = 20_000  # texts, or about so many, whose shingles are counted to tell common ones
+COMMON = 200_000  # common shingles that go to the tasks (3 MB)
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
 
@@ -182,10 +187,80 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def _common(docs: DataFrame, text_col: str, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, counts) of the shingles that several of these texts hold, at most `COMMON` of them. They decide which shingles
+    come last in a prefix, so how much work there is, never what is found."""
+
+    def run(batches):
+        for piece in pieces(batches):
+            own, n = np.unique(np.concatenate([np.unique(shingles(x, words, seed)) for x in raw(piece)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    rows = docs.select(F.lit(0).alias("at"), F.col(text_col).alias("text")).mapInArrow(run, "token long, n long")
+    known = rows.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    tokens = np.array([r["token"] for r in known], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["n"] for r in known], np.int64)[order]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set (sorted), common ones last: two sets that share `similarity` of their union share one of these."""
+    if not len(own):
+        return own
+    tokens, counts = common
+    n = np.zeros(len(own), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        n = np.where(tokens[at] == own, counts[at], 0)
+    return own[np.lexsort((own, n))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(first, sig, tokens) for every row."""
+    kind, held = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for piece in pieces(batches):
+            sets = [np.unique(shingles(x, words, seed)) for x in raw(piece)]
+            sig = np.array([xxhash.xxh64_intdigest(x.tobytes(), 0) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            tokens = [prefix(x, held.value, similarity).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sig), pa.array(tokens, pa.list_(pa.int64()))], ["first", "sig", "tokens"])
+
+    return docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).mapInArrow(run, f"first {kind}, sig long, tokens array<long>")
+
+
+def _apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all pairs of (sig, label, n, tokens) of different labels that may share `similarity`. Shingles that one label alone
+    holds go first; of the others, labels meet before their texts do, so that texts of one label never meet."""
+    entries = rows.select("sig", "label", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
+    mixed = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    shared = materialise(entries.join(mixed.hint("merge"), "token"), "shared")
+    held = shared.select("token", "label").distinct()
+    met = held.select("token", F.col("label").alias("label_a")).hint("merge").join(held.select("token", F.col("label").alias("label_b")), "token").where("label_a < label_b")
+    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{e}") for c in ("label", "sig", "n", "pos"))).hint("merge") for e in "ab")
+    pairs = met.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+    # At the first shingle that two sets share, what they may share from there on must be enough.
+    pairs = pairs.where(f"{1 + similarity} * least(n_a - pos_a, n_b - pos_b) >= {similarity} * (n_a + n_b) - 0.000001")
+    return pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct()
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, seed: int, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs `near` that share `similarity`, by the sets of the texts of `nodes` (first, sig)."""
+    used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
+    used = F.broadcast(used) if used.count() <= MET else used
+    rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
+    sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
+    pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
+    return _verified(pairs, similarity)
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) for every row of `docs`, `id_col` being its identity; components of the graph of texts that share
-    `similarity` of their distinct shingles or more. Texts of equal sets are one node and never form pairs. In each band's bucket all
-    texts are held against its least and its greatest one, so that a bucket of any size gives two pairs a text."""
+    `similarity` of their distinct shingles or more. Texts of equal sets are one node and never form pairs.
+
+    First most links are found cheaply: in each band's bucket all texts are held against its least and its greatest one, so that a bucket
+    of any size gives two pairs a text, and fingerprints within four bits meet. Then come all pairs that are left, exactly: texts of
+    different components so far meet wherever the prefixes of their sets share a shingle."""
     marked = materialise(_sketches(docs, id_col, text_col, words, seed), "sketches")
     nodes = materialise(marked.groupBy("sig").agg(F.min("row").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
     entries = marked.select("sig", F.explode("keys").alias("key")).distinct()
@@ -203,13 +278,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     near = edges.hint("merge").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
     near = near.where(f"bit_count(fp_src ^ fp_dst) <= {FAR}")
     near = materialise(near.select("src", "dst"), "near")
-    used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
-    used = F.broadcast(used) if used.count() <= MET else used
-    rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
-    sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
-    pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
-    label = components(_verified(pairs, similarity))
-    named = nodes.join(label.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
+    told = (id_col, text_col, words, seed)
+    label = components(_confirmed(docs, nodes, near, *told, similarity))
+    named = nodes.join(label.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("sig", "first", "n", F.coalesce("label", "sig").alias("label"))
+    named = materialise(named, "labels")
+    # The exact rest: pairs of different labels.
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(nodes.count() // SAMPLE + 1)) == 0)
+    found = _prefixes(docs, *told, _common(some, text_col, words, seed), similarity)
+    rows = found.join(named.hint("merge"), ["first", "sig"]).dropDuplicates(["sig"])
+    more = _confirmed(docs, nodes, materialise(_apart(rows, similarity), "apart"), *told, similarity)
+    own = named.select("sig", F.col("label").alias("own"))
+    joined = more.join(own.withColumnRenamed("sig", "src").withColumnRenamed("own", "a"), "src").join(own.withColumnRenamed("sig", "dst"), "dst")
+    whole = components(joined.select(F.col("a").alias("src"), F.col("own").alias("dst")))
+    named = named.withColumnRenamed("label", "node").join(whole.hint("merge"), "node", "left").select("sig", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     known = materialise(named.select("sig", "label").join(least.hint("merge"), "label").select("sig", "component_id"), "components")
     return marked.select(F.col("row").alias("doc_id"), "sig").join(known.hint("merge"), "sig", "left").select("doc_id", "component_id")

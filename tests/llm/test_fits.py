@@ -177,3 +177,38 @@ def test_joins_of_the_near_dedup_stage_stay_off_the_driver(spark):
     found = simhash.similar(docs)
     assert found.count() == 30 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert corpus_pipeline.DROPPED <= 200_000 and simhash.MET <= 200_000
+
+
+def test_similar_leaves_no_link_out(spark):
+    """Pairs that just meet 0.8 (36 shingles, and 9 more) or just don't (10 more), and a passage that all of some texts share: components
+    are those of all pairs."""
+    import random
+
+    from lavra.llm import simhash
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    sketch = lambda t: simhash.sketch(simhash.shingles(t.encode()))
+    texts = []
+    while len(texts) < 12:  # pairs at 0.8 without a band in common, or far apart by their fingerprints; others just below
+        base = [word() for _ in range(40)]
+        two = [" ".join(base), " ".join([*base, *(word() for _ in range(9 + (len(texts) >= 6)))])]
+        (_, fp, _, keys), (_, other, _, more) = map(sketch, two)
+        if len(texts) >= 6 or not set(keys) & set(more) or ((fp ^ other) & (2**64 - 1)).bit_count() > simhash.FAR:
+            texts += two
+    passage = [word() for _ in range(30)]
+    texts += [" ".join([*passage, *(word() for _ in range(rng.randint(0, 30)))]) for _ in range(60)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    at = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(i)
+    top = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in at[x] if j < i}:
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) and top[i] != top[j]:
+                lo, hi = sorted((top[i], top[j]))
+                top = [lo if t == hi else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == top

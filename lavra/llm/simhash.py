@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lavra.llm.batches import pieces, raw
 from lavra.operators.graph import components
-from lavra.runtime import materialise
+from lavra.runtime import materialise, release
 
 ODD = 0x5555555555555555
 BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
@@ -176,13 +176,13 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) of the pairs (src, dst, a, b) whose sets share `similarity` of their union."""
 
     def run(batches):
-        for batch in batches:
+        for piece in pieces(batches, "a"):
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for a, b in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in piece.columns[:2]], ["src", "dst"])
 
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
@@ -230,7 +230,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int
 
 
 def _apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): all pairs of (sig, label, n, tokens) of different labels that may share `similarity`. Shingles that one label alone
+    """(src, dst): all pairs of (sig, label, n, tokens) of different labels that may share `similarity`, written once. Shingles that one label alone
     holds go first; of the others, labels meet before their texts do, so that texts of one label never meet."""
     entries = rows.select("sig", "label", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
     mixed = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
@@ -241,17 +241,22 @@ def _apart(rows: DataFrame, similarity: float) -> DataFrame:
     pairs = met.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
     # At the first shingle that two sets share, what they may share from there on must be enough.
     pairs = pairs.where(f"{1 + similarity} * least(n_a - pos_a, n_b - pos_b) >= {similarity} * (n_a + n_b) - 0.000001")
-    return pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct()
+    found = materialise(pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct(), "apart")
+    release(shared)
+    return found
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, seed: int, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs `near` that share `similarity`, by the sets of the texts of `nodes` (first, sig)."""
+    """(src, dst) of the pairs `near` that share `similarity`, by the sets of the texts of `nodes` (first, sig). Pairs are written once; their
+    sets, which are larger than the texts, stay only until then."""
     used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
     used = F.broadcast(used) if used.count() <= MET else used
     rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
     sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
     pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
-    return _verified(pairs, similarity)
+    found = materialise(_verified(pairs, similarity), "verified")
+    release(sets)
+    return found
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -286,7 +291,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(nodes.count() // SAMPLE + 1)) == 0)
     found = _prefixes(docs, *told, _common(some, text_col, words, seed), similarity)
     rows = found.join(named.hint("merge"), ["first", "sig"]).dropDuplicates(["sig"])
-    more = _confirmed(docs, nodes, materialise(_apart(rows, similarity), "apart"), *told, similarity)
+    more = _confirmed(docs, nodes, _apart(rows, similarity), *told, similarity)
     own = named.select("sig", F.col("label").alias("own"))
     joined = more.join(own.withColumnRenamed("sig", "src").withColumnRenamed("own", "a"), "src").join(own.withColumnRenamed("sig", "dst"), "dst")
     whole = components(joined.select(F.col("a").alias("src"), F.col("own").alias("dst")))

@@ -212,3 +212,26 @@ def test_similar_leaves_no_link_out(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     assert [got[i] for i in range(len(texts))] == top
+
+
+def test_near_dedup_holds_few_texts_and_sets(spark):
+    """Workers get some megabytes at a time, whatever a row holds, and the sets of shingles go once their pairs are verified."""
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from lavra import runtime
+    from lavra.llm import simhash
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    runtime.ship(spark)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.md5(F.col("id").cast("string")), 500).alias("text"))  # 16 KB each
+    sizes = [r["n"] for r in texts.mapInArrow(run, "n long").collect()]
+    assert sum(sizes) > 40e6 and max(sizes) < 12e6
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("one and the same text of several words, again and again, until "), F.col("id") % 10).alias("text"))
+    simhash.similar(docs).count()
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in spark.sparkContext._lavra_written if Path(p.removeprefix("file://")).exists()]
+    assert "apart" in left and not {"sets", "shared"} & {*left}

@@ -49,3 +49,28 @@ def test_minibatches_find_clusters(spark):
     centres, inertia = reduce.minibatches(df, bad, 8)
     assert inertia < 2000 * 6 * 1.5 and len(centres) == 4
     assert df.where(F.col("vec_id") < 0).count() == 0
+
+
+def test_terms_are_counted_as_numbers(spark):
+    """Bigrams are summed without their words, and the vocabulary and the weights are those of a plain count, ties by the term."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {-1: None, -2: "", -3: "ab Ção ção ção"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    own = {i: re.findall("[a-z0-9_]{3,}", features.folded(t or "")) for i, t in texts.items()}
+    own = {i: Counter([*w, *map(" ".join, zip(w, w[1:]))]) for i, w in own.items()}
+    df, total = Counter(t for c in own.values() for t in c), sum(own.values(), Counter())
+    found = features.term_statistics(docs, min_df=1)
+    assert sorted(r["total"] for r in found.where("word is null").collect()) == sorted(n for t, n in total.items() if " " in t)
+    assert {r["word"]: (r["df"], r["total"]) for r in found.where("word is not null").collect()} == {t: (df[t], n) for t, n in total.items() if " " not in t}
+    for most in (50, 3000, 10**6):
+        best = sorted((t for t in total if 2 <= df[t] <= 0.75 * len(texts)), key=lambda t: (-total[t], t))[:most]
+        idf = {t: math.log((1 + len(texts)) / (1 + df[t])) + 1 for t in best}
+        got = {(r["doc_id"], r["term"]): r["w"] for r in features.tfidf(docs, max_features=most).collect()}
+        raw = {(i, t): n * idf[t] for i, c in own.items() for t, n in c.items() if t in idf}
+        norm = Counter()
+        for (i, _), x in raw.items():
+            norm[i] += x * x
+        assert got.keys() == raw.keys() and all(math.isclose(got[k], x / math.sqrt(norm[k[0]]), rel_tol=1e-9) for k, x in raw.items())

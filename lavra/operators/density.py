@@ -1,8 +1,11 @@
 """Density clusters (HDBSCAN) of a sample of bounded size.
 
-The sample's points go to one task: mutual reachability distances, their minimum spanning tree by Prim's rule, the tree of
-merges, condensed by the least cluster size, and of that the clusters with the greatest excess of mass. All points lie in
-one task by nature of the method, so that a sample beyond `most` is an error, never a cut."""
+Mutual reachability distances, their minimum spanning tree by Prim's rule, the tree of merges, condensed by the least cluster
+size, and of that the clusters with the greatest excess of mass. Up to `ALONE` points all of it is done in one task. Beyond,
+points are dealt to blocks, and a task takes two of them: the nearest points of each, then the spanning tree of both. An edge that is in no
+such tree is the longest of a circle, so that the spanning tree of these trees' edges is that of all points; the work is quadratic
+and spread. What one task gets is the tree itself, from edges that were thinned before, and no vectors. A sample beyond a
+stated `most` is an error, never a cut."""
 
 from __future__ import annotations
 
@@ -12,13 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.operators.features import hdbscan_size, kmeans, unstable
+from lavra.runtime import materialise
+
+ALONE = 20_000  # rows whose distances one task takes
+BLOCK = 2048  # rows of a block, where there are more
 
 
 def spanning_tree(x: np.ndarray, dense: int) -> np.ndarray:
     """(a, b, distance) of the minimum spanning tree under mutual reachability, by distance. Row by row, so that no matrix of all pairs is held."""
     n = len(x)
     far = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
-    core = np.array([np.partition(far(i), min(dense, n) - 1)[min(dense, n) - 1] for i in range(n)])
+    return joined(x, np.array([np.partition(far(i), min(dense, n) - 1)[min(dense, n) - 1] for i in range(n)]))
+
+
+def joined(x: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """`spanning_tree` of points whose distances to their `dense`th neighbour are known."""
+    n = len(x)
+    far = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
     best, from_, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
     out, at = [], 0
     for _ in range(n - 1):
@@ -86,20 +99,24 @@ def condensed(tree: np.ndarray, n: int, least: int) -> list[tuple[int, int, floa
 
 def labels(x: np.ndarray, least: int, dense: int) -> np.ndarray:
     """The cluster of each point from 0, -1 for noise."""
-    n = len(x)
+    return np.full(len(x), -1) if len(x) < max(2, least) else tree_labels(spanning_tree(x, dense), len(x), least)
+
+
+def tree_labels(tree: np.ndarray, n: int, least: int) -> np.ndarray:
+    """`labels` from the spanning tree."""
     out = np.full(n, -1)
-    if n < max(2, least):
-        return out
-    rows = condensed(spanning_tree(x, dense), n, least)
+    rows = condensed(tree, n, least)
     finite = max([r[2] for r in rows if np.isfinite(r[2])], default=1.0)
-    born, mass, below = {n: 0.0}, {}, {}
+    born, mass, below, fallen, above = {n: 0.0}, {}, {}, {}, {}
     for parent, child, level, size in rows:
         level = min(level, finite * 2)
         if child >= n:
             born[child] = level
             below.setdefault(parent, []).append(child)
+            above[child] = parent
+        fallen[parent] = fallen.get(parent, 0) + size
         mass[parent] = mass.get(parent, 0.0) + size * level
-    stable = {c: mass.get(c, 0.0) - born[c] * sum(r[3] for r in rows if r[0] == c) for c in born}
+    stable = {c: mass.get(c, 0.0) - born[c] * fallen.get(c, 0) for c in born}
     chosen = set()
     for c in sorted(born, reverse=True):  # children have larger names
         kids = below.get(c, [])
@@ -110,7 +127,7 @@ def labels(x: np.ndarray, least: int, dense: int) -> np.ndarray:
             stable[c] = inner
     top = {}
     for c in sorted(born):
-        up = next((r[0] for r in rows if r[1] == c), None)
+        up = above.get(c)
         top[c] = top.get(up) if up is not None and top.get(up) is not None else (c if c in chosen else None)
     names = {c: i for i, c in enumerate(sorted({t for t in top.values() if t is not None}))}
     for parent, child, _, _ in rows:
@@ -119,10 +136,88 @@ def labels(x: np.ndarray, least: int, dense: int) -> np.ndarray:
     return out
 
 
-def clusters(vectors: DataFrame, least: int | None = None, dense: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 20_000) -> DataFrame:
-    """(id, cluster) of a sample of up to `most` rows; -1 is noise. `least` and `dense` come from the sample's size unless given."""
+def _thinned(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The places of a spanning forest's edges, shortest first (Kruskal)."""
+    up, out = {}, []
+
+    def find(i: int) -> int:
+        while (top := up.setdefault(i, i)) != i:
+            up[i] = up[top]
+            i = top
+        return i
+
+    order = np.argsort(d, kind="stable")
+    for at, i, j in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        if (i := find(i)) != (j := find(j)):
+            up[i] = j
+            out.append(at)
+    return np.array(out, np.int64)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k least squared distances of each x to the ys, infinite where there are fewer."""
+    out = np.full((len(x), k), np.inf)
+    for at in range(0, len(x), 256):
+        far = np.zeros((len(x[at : at + 256]), len(y)))
+        for i in range(x.shape[1]):
+            far += (x[at : at + 256, i, None] - y[None, :, i]) ** 2
+        out[at : at + 256, : min(k, len(y))] = np.partition(far, min(k, len(y)) - 1, axis=1)[:, :k]
+    return out
+
+
+def _spread(rows: DataFrame, n: int, least: int, dense: int) -> DataFrame:
+    """`clusters` of more points than one task should hold: point p of block b has the number b * 2^20 + p."""
+    count = -(-n // BLOCK)
+    blocks = rows.repartition(count).withColumn("block", F.spark_partition_id()).groupBy("block").agg(F.collect_list(F.struct("id", "x")).alias("p"))
+    blocks = materialise(blocks.select("block", F.col("p.id").alias("ids"), F.flatten("p.x").alias("x")), "blocks")
+    tasks = min(count * count, 8 * rows.sparkSession.sparkContext.defaultParallelism)
+
+    def pairs(each: DataFrame, where: str) -> DataFrame:
+        a, b = (each.select(*(F.col(c).alias(f"{c}_{e}") for c in each.columns)) for e in "ab")
+        return a.join(b, F.expr(where)).repartition(tasks)
+
+    def cores(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                x, y = (np.asarray(v).reshape(m, -1) for v, m in ((r.x_a, r.m_a), (r.x_b, r.m_b)))
+                found = [(r.block_a, _nearest(x, y, dense))] + ([(r.block_b, _nearest(y, x, dense))] if r.block_a != r.block_b else [])
+                yield pd.DataFrame({"block": [b for b, _ in found], "far": [f.tobytes() for _, f in found]})
+
+    def core(frame: pd.DataFrame) -> pd.DataFrame:
+        far = np.concatenate([np.frombuffer(f).reshape(-1, dense) for f in frame["far"]], axis=1)
+        return pd.DataFrame({"block": frame["block"][:1], "core": [np.sqrt(np.partition(far, dense - 1, axis=1)[:, dense - 1])]})
+
+    def trees(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                x = np.concatenate([np.asarray(r.x_a).reshape(r.m_a, -1), np.asarray(r.x_b).reshape(r.m_b, -1)])
+                at = np.concatenate([(r.block_a << 20) + np.arange(r.m_a), (r.block_b << 20) + np.arange(r.m_b)])
+                tree = joined(x, np.concatenate([r.core_a, r.core_b]))
+                yield pd.DataFrame({"first": r.block_a, "a": at[tree[:, 0].astype(int)], "b": at[tree[:, 1].astype(int)], "d": tree[:, 2]})
+
+    def thin(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[_thinned(frame["a"].to_numpy(), frame["b"].to_numpy(), frame["d"].to_numpy())]
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = thin(frame)
+        points, at = np.unique(np.concatenate([frame["a"], frame["b"]]), return_inverse=True)
+        tree = np.column_stack([at[: len(frame)], at[len(frame) :], frame["d"]])
+        return pd.DataFrame({"point": points, "cluster": tree_labels(tree, len(points), least)})
+
+    sized = blocks.select("block", "x", F.size("ids").alias("m"))
+    known = pairs(sized, "block_a <= block_b").mapInPandas(cores, "block int, far binary").groupBy("block").applyInPandas(core, "block int, core array<double>")
+    known = sized.join(materialise(known, "cores"), "block")
+    edges = pairs(known, "block_a < block_b").mapInPandas(trees, "first int, a long, b long, d double")
+    fewer = materialise(edges.groupBy("first").applyInPandas(thin, "first int, a long, b long, d double"), "edges")
+    found = fewer.groupBy(F.lit(0).alias("sample")).applyInPandas(whole, "point long, cluster int")
+    ids = blocks.select("block", F.posexplode("ids").alias("at", "id")).select(F.expr("shiftleft(cast(block as bigint), 20) + at").alias("point"), "id")
+    return ids.join(found, "point").select("id", "cluster")
+
+
+def clusters(vectors: DataFrame, least: int | None = None, dense: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", most: int | None = None) -> DataFrame:
+    """(id, cluster) of a sample, of up to `most` rows if given; -1 is noise. `least` and `dense` come from the sample's size unless given."""
     n = vectors.count()
-    if n > most:
+    if most is not None and n > most:
         raise ValueError(f"a sample of {n} rows is more than {most}")
     auto = hdbscan_size(max(1, n))
     size, near = least or auto[0], dense or auto[1]
@@ -133,6 +228,8 @@ def clusters(vectors: DataFrame, least: int | None = None, dense: int | None = N
         return pd.DataFrame({"id": frame["id"], "cluster": labels(np.array(frame["x"].tolist(), float), size, near)})
 
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    if n > ALONE:
+        return _spread(rows, n, size, near)
     return rows.groupBy(F.lit(0).alias("sample")).applyInPandas(one, f"id {kind}, cluster int")
 
 

@@ -198,3 +198,18 @@ def test_reviews_of_a_batch_go_to_more_tasks(spark):
     """10,000 documents in three batches: each is dealt to three parts."""
     plan = QUERIES["checked_rules_sql"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().analyzed().toString()
     assert "div cast(3 as bigint)" in plan or "div 3" in plan
+
+
+def test_density_clusters_of_more_rows_than_one_task_takes(spark, monkeypatch):
+    """By blocks the clusters and the noise are those of one task, and more than 20,000 rows are no error."""
+    from lavra.operators import density
+
+    rows = [(i, [float(i % 4 * 30) + (i * 7919 % 1000) ** 2 / 7e4, float(i * 104729 % 1013) / 100]) for i in range(700)]
+    far = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    alone = {r["id"]: r["cluster"] for r in density.clusters(far, 8, 4).collect()}
+    monkeypatch.setattr(density, "ALONE", 100)
+    monkeypatch.setattr(density, "BLOCK", 150)
+    spread = {r["id"]: r["cluster"] for r in density.clusters(far, 8, 4).collect()}
+    both = {(alone[i], spread[i]) for i in alone}
+    assert alone.keys() == spread.keys() and len(both) == len({a for a, _ in both}) == len({b for _, b in both}) > 2
+    assert all((a < 0) == (b < 0) for a, b in both)

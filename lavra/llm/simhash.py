@@ -16,7 +16,9 @@ empty result. Only the id and text columns are read, so others may have any name
 same grid range-join. A pair that shares 0.8 of its shingles may differ by ten bits of 64 and more, a radius within which cells
 select little; most of those pairs meet where a band of min-wise shingles agrees, and the popcount of the XOR is held against a wide
 radius. What these leave apart meets by prefixes of the sets, which lose no pair: under one order of all shingles, sets that share 0.8 share
-one of their first fifth. All pairs are verified by the sets of shingles themselves."""
+one of their first fifth. Where many texts hold such a shingle (a family of near copies, a passage), each of them is told by what it
+has and lacks against one of them, and texts meet by the prefixes of these differences, so that copies that went apart in different places
+don't meet at all. All pairs are verified by the sets of shingles themselves."""
 
 from __future__ import annotations
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lavra.llm.batches import pieces, raw
 from lavra.operators.graph import components
@@ -38,6 +41,10 @@ MET = 200_000  # rows in pairs to verify that are broadcast (about 60 bytes each
 FAR = 22  # bits between fingerprints of texts that share 0.8 of their shingles, and four deviations more
 SAMPLE = 20_000  # texts, or about so many, whose shingles are counted to tell common ones
 COMMON = 200_000  # common shingles that go to the tasks (3 MB)
+HOT = 64  # texts that are paired directly where they share a shingle; more go by their differences from one of them
+DEPTH = 2  # times that texts are told by differences, at most; what is still hot then is paired where it meets
+SENT = 8 << 20  # bytes of sets of pivots that are broadcast; beyond, they are joined
+SLACK = 0.000001  # of sums of fractions
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
 
@@ -229,30 +236,119 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int
     return docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).mapInArrow(run, f"first {kind}, sig long, tokens array<long>")
 
 
-def _apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): all pairs of (sig, label, n, tokens) of different labels that may share `similarity`, written once. Shingles that one label alone
-    holds go first; of the others, labels meet before their texts do, so that texts of one label never meet."""
-    entries = rows.select("sig", "label", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token")
-    mixed = entries.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    shared = materialise(entries.join(mixed.hint("merge"), "token"), "shared")
-    held = shared.select("token", "label").distinct()
-    met = held.select("token", F.col("label").alias("label_a")).hint("merge").join(held.select("token", F.col("label").alias("label_b")), "token").where("label_a < label_b")
-    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{e}") for c in ("label", "sig", "n", "pos"))).hint("merge") for e in "ab")
-    pairs = met.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    # At the first shingle that two sets share, what they may share from there on must be enough.
-    pairs = pairs.where(f"{1 + similarity} * least(n_a - pos_a, n_b - pos_b) >= {similarity} * (n_a + n_b) - 0.000001")
-    found = materialise(pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct(), "apart")
-    release(shared)
-    return found
+def _meeting(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries (keys, sig, label, weight, reach), dealt by `keys`, that may be part of a pair. Two entries of one key make a pair where
+    labels differ and neither's weight is above the other's reach."""
+    # All columns are counted from, so that both sides read one shuffle.
+    of = (F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("weight").alias("least"), F.max("reach").alias("most"), F.count("sig").alias("f"))
+    held = entries.groupBy(*keys).agg(*of).where("lo < hi").select(*keys, "least", "most")
+    return entries.join(held.hint("merge"), keys).where(f"weight <= most + {SLACK} and reach >= least - {SLACK}").select(*keys, "sig", "label", "weight", "reach")
+
+
+def _meeting_others(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """As `_meeting`, each entry being held against those of other labels alone; f: how many its key had."""
+    entries = entries.select(*keys, "sig", "label", "weight", "reach").repartition(*keys)
+    labels = entries.groupBy(*keys, "label").agg(F.min("weight").alias("least"), F.max("reach").alias("most"), F.count("sig").alias("f"))
+    first = labels.groupBy(*keys).agg(F.min(F.struct("least", "label")).alias("low"), F.max(F.struct("most", "label")).alias("high"), F.sum("f").alias("n"))
+    other = labels.join(first.hint("merge"), keys).groupBy(*keys).agg(
+        F.first("low").alias("low"),
+        F.first("high").alias("high"),
+        F.first("n").alias("f"),
+        F.min(F.expr("if(label <> low.label, least, null)")).alias("low_other"),
+        F.max(F.expr("if(label <> high.label, most, null)")).alias("high_other"),
+    )
+    met = entries.join(other.hint("merge"), keys)
+    met = met.where(f"weight <= if(label <> high.label, high.most, high_other) + {SLACK} and reach >= if(label <> low.label, low.least, low_other) - {SLACK}")
+    return met.select(*keys, "sig", "label", "weight", "reach", "f")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MET else rows.hint("merge")
+
+
+def _around(docs: DataFrame, nodes: DataFrame, hot: DataFrame, keys: list[str], told: tuple, share: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst), and entries (family, token, sig, label, weight, reach) in place of the entries `hot`.
+
+    The pivot of a key is the text that most hot keys have; all texts of keys with one pivot are a family. A text's difference d is what
+    it has and the pivot lacks or the other way round, and sets a and b differ by what their differences differ by. With weight |d| - `share` x |set|,
+    a and b are linked exactly if their differences share half the sum of their weights. Where that sum isn't above zero nothing
+    need be shared: these are linked to the lightest text of the family, and take its label. All others share a token of their
+    differences, and at the first one (rarest first) what is left of either must be enough."""
+    held = hot.groupBy("sig").agg(F.count("*").alias("held"))
+    pivots = hot.join(held.hint("merge"), "sig").groupBy(*keys).agg(F.max(F.struct("held", "sig"))["sig"].alias("pivot"))
+    pivots = materialise(pivots, "pivots")
+    members = materialise(hot.join(_small(pivots), keys).groupBy("pivot", "sig").agg(F.min("label").alias("label")), "members")
+    sets = _held(docs, nodes, members.select("sig"), *told)
+    centres = pivots.select("pivot").distinct().join(sets.select(F.col("sig").alias("pivot"), F.col("shingles").alias("b")).hint("merge"), "pivot")
+    size = centres.agg(F.sum(F.length("b"))).first()[0] or 0
+    pairs = members.join(sets.withColumnRenamed("shingles", "a").hint("merge"), "sig").join(F.broadcast(centres) if size <= SENT else centres.hint("merge"), "pivot")
+
+    def run(batches):
+        for piece in pieces(batches, "a"):
+            at = [np.frombuffer(x, np.uint64) for x in piece.column(3).to_pylist()]
+            tokens = [np.setxor1d(x, np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(at, piece.column(4).to_pylist())]
+            weights = pa.array([len(d) - share * len(x) for d, x in zip(tokens, at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], weights, pa.array(tokens, pa.list_(pa.int64()))], ["family", "sig", "label", "weight", "tokens"])
+
+    apart = pairs.select("pivot", "sig", "label", "a", "b").mapInArrow(run, "family long, sig long, label long, weight double, tokens array<long>")
+    apart = materialise(apart, "differences")
+    release(sets)
+    lightest = materialise(apart.groupBy("family").agg(F.min(F.struct("weight", "sig", "label")).alias("m")).select("family", *(F.col(f"m.{c}").alias(f"m_{c}") for c in ("weight", "sig", "label"))), "lightest")
+    linked = apart.join(_small(lightest), "family").where(f"weight + m_weight <= {SLACK} and label <> m_label")
+    moved = materialise(linked.groupBy("family", "label").agg(F.min("sig").alias("x"), F.min("m_sig").alias("y"), F.min("m_label").alias("m_label")), "moved")
+    named = apart.join(_small(moved.select("family", "label", "m_label")), ["family", "label"], "left").withColumn("label", F.coalesce("m_label", "label"))
+    keys = ["family", "token"]
+    entries = named.select("family", "sig", "label", "weight", F.explode("tokens").alias("token")).repartition(*keys)
+    mixed = entries.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("sig").alias("f")).where("lo < hi").select(*keys, "f")
+    text = Window.partitionBy("family", "sig")
+    left = F.count("*").over(text) - F.row_number().over(text.orderBy("f", "token")) + 1
+    entries = entries.join(mixed.hint("merge"), keys).withColumn("left", left).select(*keys, "sig", "label", "weight", F.expr("2 * left - weight as reach"))
+    return moved.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")), entries.repartition(*keys)
+
+
+def _apart(docs: DataFrame, nodes: DataFrame, rows: DataFrame, told: tuple, similarity: float) -> DataFrame:
+    """(src, dst): pairs of (sig, label, n, tokens) of different labels that may share `similarity`, written once, or of pairs that do share it
+    enough to join the same texts. At the first shingle that two sets share, what they may share from there on must be enough."""
+    share = (1 - similarity) / (1 + similarity)  # of the sum of both sizes is what linked sets may differ by
+    entries = rows.select("sig", "label", F.expr("coalesce(n, 0) as n"), F.posexplode("tokens").alias("pos", "token")).repartition("token")
+    weight = f"{1 - share}D * n"
+    entries = entries.selectExpr("token", "sig", "label", f"{weight} as weight", f"2 * (n - pos) - {weight} as reach")
+    keys, found = ["token"], None
+    for depth in range(DEPTH + 1):
+        shared = materialise(_meeting(entries, keys), "shared")
+        less = materialise(_meeting_others(_meeting_others(shared, keys), keys), "shared")
+        release(shared)
+        hot = less.where(f"f > {HOT}")
+        if depth:  # few hot keys are paired as they are, as long as all keys together make at most `HOT` pairs an entry
+            n, met = less.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("f") > HOT, F.col("f"))), F.lit(0))).first()
+            done = depth == DEPTH or met <= HOT * n
+        else:
+            done = depth == DEPTH or hot.isEmpty()
+        cold = less if done else less.where(f"f <= {HOT}")
+        a, b = (cold.select(*keys, *(F.col(c).alias(f"{c}_{e}") for c in ("sig", "label", "weight", "reach"))).hint("merge") for e in "ab")
+        pairs = a.join(b, keys).where(f"label_a < label_b and weight_a <= reach_b + {SLACK} and weight_b <= reach_a + {SLACK}")
+        pairs = materialise(pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct(), "met")
+        found = pairs if found is None else found.union(pairs)
+        if not done:
+            edges, entries = _around(docs, nodes, hot, keys, told, share)
+            found, keys = found.union(edges), ["family", "token"]
+        release(less)
+        if done:
+            return materialise(found.distinct(), "apart")
+
+
+def _held(docs: DataFrame, nodes: DataFrame, sigs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(sig, shingles) of the texts `sigs`, written once, by `nodes` (first, sig)."""
+    used = materialise(sigs.distinct().join(nodes, "sig").select("first", "sig"), "used")
+    used = F.broadcast(used) if used.count() <= MET else used
+    rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
+    return materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, seed: int, similarity: float) -> DataFrame:
     """(src, dst) of the pairs `near` that share `similarity`, by the sets of the texts of `nodes` (first, sig). Pairs are written once; their
     sets, which are larger than the texts, stay only until then."""
-    used = materialise(near.select(F.col("src").alias("sig")).union(near.select("dst")).distinct().join(nodes, "sig").select("first", "sig"), "used")
-    used = F.broadcast(used) if used.count() <= MET else used
-    rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
-    sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
+    sets = _held(docs, nodes, near.select(F.col("src").alias("sig")).union(near.select("dst")), id_col, text_col, words, seed)
     pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
     found = materialise(_verified(pairs, similarity), "verified")
     release(sets)
@@ -291,7 +387,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(nodes.count() // SAMPLE + 1)) == 0)
     found = _prefixes(docs, *told, _common(some, text_col, words, seed), similarity)
     rows = found.join(named.hint("merge"), ["first", "sig"]).dropDuplicates(["sig"])
-    more = _confirmed(docs, nodes, _apart(rows, similarity), *told, similarity)
+    more = _confirmed(docs, nodes, _apart(docs, nodes, rows, told, similarity), *told, similarity)
     own = named.select("sig", F.col("label").alias("own"))
     joined = more.join(own.withColumnRenamed("sig", "src").withColumnRenamed("own", "a"), "src").join(own.withColumnRenamed("sig", "dst"), "dst")
     whole = components(joined.select(F.col("a").alias("src"), F.col("own").alias("dst")))

@@ -235,3 +235,65 @@ def test_near_dedup_holds_few_texts_and_sets(spark):
     simhash.similar(docs).count()
     left = [p.rsplit("/", 1)[1].split("-")[0] for p in spark.sparkContext._lavra_written if Path(p.removeprefix("file://")).exists()]
     assert "apart" in left and not {"sets", "shared"} & {*left}
+
+
+def family_of(rng, n, words=60, low=2, high=6):
+    """A text and copies of it, each with some words replaced by others of its own."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    base = [word() for _ in range(words)]
+    out = [base]
+    while len(out) < n:
+        own = list(base)
+        for at in rng.sample(range(words), rng.randint(low, high)):
+            own[at] = word()
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+def test_pairs_of_a_family_of_near_copies_grow_with_its_texts(spark, monkeypatch):
+    """Copies that differ from their source by more than similarity allows don't meet each other: four times the texts of a family give about four times
+    the pairs to verify, not sixteen times."""
+    import random
+
+    from lavra.llm import simhash
+
+    met, kept = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda docs, nodes, near, *more: met.append(near.count()) or kept(docs, nodes, near, *more))
+    for n in (150, 600):
+        texts = family_of(random.Random(n), n, low=3, high=6)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        simhash.similar(docs).count()
+    assert len(met) == 4 and met[3] <= 6 * max(met[1], 150)
+
+
+@pytest.mark.parametrize("hot, depth", [(2, 3), (5, 1), (2, 0)])
+def test_similar_leaves_no_link_out_of_hot_shingles(spark, monkeypatch, hot, depth):
+    """Families within families, of several sizes and with passages added, told by differences once, several times and not at all: components are those of all pairs."""
+    import random
+
+    from lavra.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "DEPTH", depth)
+    monkeypatch.setattr(simhash, "sketch", lambda hashes, plain=simhash.sketch: (*plain(hashes)[:3], []))  # no bands, so that the exact part has much to do
+    rng = random.Random(11)
+    texts = family_of(rng, 60, low=1, high=4)
+    for base in texts[1:4]:
+        own = base.split()
+        for _ in range(25):
+            new = list(own)
+            for at in rng.sample(range(len(new)), rng.randint(0, 2)):
+                new[at] = "".join(rng.choices("abcdefghijklmnop", k=8))
+            new = new[rng.randint(0, 4) : len(new) - rng.randint(0, 4)] + ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(rng.randint(0, 5))]
+            texts.append(" ".join(new))
+    texts += family_of(rng, 40, 24, 0, 1) + ["", "one", "one two three four five"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    top = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) and top[i] != top[j]:
+                lo, hi = sorted((top[i], top[j]))
+                top = [lo if t == hi else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == top and 20 < len(set(top)) < len(texts) - 20

@@ -239,8 +239,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int
 def _meeting(entries: DataFrame, keys: list[str]) -> DataFrame:
     """The entries (keys, sig, label, weight, reach), dealt by `keys`, that may be part of a pair. Two entries of one key make a pair where
     labels differ and neither's weight is above the other's reach."""
-    # All columns are counted from, so that both sides read one shuffle.
-    of = (F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("weight").alias("least"), F.max("reach").alias("most"), F.count("sig").alias("f"))
+    of = (F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("weight").alias("least"), F.max("reach").alias("most"))
     held = entries.groupBy(*keys).agg(*of).where("lo < hi").select(*keys, "least", "most")
     return entries.join(held.hint("merge"), keys).where(f"weight <= most + {SLACK} and reach >= least - {SLACK}").select(*keys, "sig", "label", "weight", "reach")
 

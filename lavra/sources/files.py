@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,9 @@ from pyspark.sql import types as T
 INDEX = "offset int, page_number int, item_index int, categoria string, titulo string, subtitulo string, data_publicacao string, hora_publicacao string, publicado_em string, tipo_conteudo string, tags string, total_tags int, link string"
 MANIFEST = "link string, markdown_path string, status string, titulo_extraido string, subtitulo_extraido string, publicado_em_extraido string, atualizado_em_extraido string, tags_extraidas string, erro string"
 
+#: A quote is escaped by a quote, which needs no escape of its own (Spark would take the character 0 for one).
+QUOTED = {"escape": '"', "charToEscapeQuoteEscaping": '"', "lineSep": "\n"}
+
 
 def markdown(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(arquivo, text) of *.md below `path`; `most` keeps the first by name. A folder without any is an error."""
@@ -54,7 +59,10 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").options(multiLine="true", escape='"', lineSep="\n").csv(path)
+    """What `write_csv` wrote. Spark reads an empty text in quotes as null, so it is read as a mark that no text is equal to, and put back."""
+    mark = f"empty-{uuid.uuid4().hex}"
+    rows = spark.read.schema(schema).option("header", "true").options(multiLine="true", emptyValue=mark, **QUOTED).csv(path)
+    return rows.select(*(F.when(F.col(f.name) != mark, F.col(f.name)).when(F.col(f.name) == mark, "").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema))
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -75,7 +83,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     """Nested columns go as JSON text."""
     plain = df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) else F.col(f.name) for f in df.schema))
-    writer = plain.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", emptyValue='""')
+    writer = plain.write.mode("overwrite").options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", emptyValue='""', **QUOTED)
     (writer.partitionBy(by) if by else writer).csv(path)
 
 

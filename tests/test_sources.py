@@ -152,3 +152,21 @@ def test_a_stored_site_is_read_part_by_part(spark, monkeypatch):
     near = F.crc32(F.col("link").cast("binary")) % 7
     got = listing.downloaded(rows, lambda link: (_ for _ in ()).throw(KeyError(link)), near=near)
     assert got.count() == 400 and got.where("status = 'erro'").count() == 400
+
+
+def test_texts_of_a_csv_come_back(spark, tmp_path):
+    """Null, empty and blank texts are told apart; quotes, line ends and the character 0 stay."""
+    texts = [None, "", " ", '"', '""', '\x00"', '"\x00', "a,b", "a\r\nb\n", "\\", "\\N", "null", ' "x" ', 'a"b,\n' * 500_000]
+    rows = [(i, t, [t] if i % 2 else None) for i, t in enumerate(texts[:-1])] + [(len(texts) - 1, texts[-1], None)]
+    files.write_csv(spark.createDataFrame(rows, "i int, text string, tags array<string>"), f"file://{tmp_path}/t")
+    got = {r["i"]: (r["text"], r["tags"]) for r in files.csv(spark, f"file://{tmp_path}/t", "i int, text string, tags string").collect()}
+    assert got == {i: (t, tags and json.dumps(tags, separators=(",", ":"))) for i, t, tags in rows}
+
+
+def test_csv_roundtrip_of_nulls_is_that_of_its_sql(spark, tmp_path):
+    from lavra.plans.queries import QUERIES
+
+    docs = [(1, "", "en", "a"), (2, None, None, "a"), (3, "x", "en", None), (4, '\x00"', "", "")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["k"] is None, r["tags"]) for r in QUERIES["csv_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {1: (False, '["a","en"]'), 2: (True, None), 3: (False, None), 4: (False, '["",""]')}

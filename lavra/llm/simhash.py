@@ -106,7 +106,8 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
         close = F.expr(f"bit_count(a.fp ^ b.fp) <= {max_bits}")
         # Points of one home share all cells around it; they count where both are at home.
         once = F.expr("a.home <> b.home or (a.cell = a.home and b.cell = b.home)")
-        met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & F.expr("a.fp <> b.fp") & once & close)
+        # Spark takes an exploded table for as small as it was before, and would broadcast it.
+        met = a.hint("merge").join(b, (F.col("a.cell") == F.col("b.cell")) & F.expr("a.fp <> b.fp") & once & close)
         found.append(met.select(F.expr("least(a.fp, b.fp) as src"), F.expr("greatest(a.fp, b.fp) as dst")))
     out = found[0]
     for more in found[1:]:
@@ -119,11 +120,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialise(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     label = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = distinct.join(label.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = materialise(named, "labels")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = materialise(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
-    return marked.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    known = materialise(named.select("fp", "label").join(least.hint("merge"), "label").select("fp", "component_id"), "components")
+    return marked.join(known.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:

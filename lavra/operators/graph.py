@@ -17,7 +17,7 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges
     least = both.groupBy("src").agg(F.min("dst").alias("least"))
     least = least.select("src", F.least("src", "least").alias("least"))
-    tied = both.join(least, "src")
+    tied = both.join(least.hint("merge"), "src")
     if large:
         out = tied.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     else:

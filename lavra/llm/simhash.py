@@ -22,6 +22,7 @@ don't meet at all. All pairs are verified by the sets of shingles themselves."""
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 
 from lavra.llm.batches import pieces, raw
 from lavra.operators.graph import components
-from lavra.runtime import materialise, release
+from lavra.runtime import materialise, release, settle
 
 ODD = 0x5555555555555555
 BANDS, ROWS = 10, 4  # min-wise bands of a text, and shingles of each: 0.995 of pairs at 0.8 agree in one, 0.08 of pairs at 0.3
@@ -44,6 +45,8 @@ COMMON = 200_000  # common shingles that go to the tasks (3 MB)
 HOT = 64  # texts that are paired directly where they share a shingle; more go by their differences from one of them
 DEPTH = 2  # times that texts are told by differences, at most; what is still hot then is paired where it meets
 SENT = 8 << 20  # bytes of sets of pivots that are broadcast; beyond, they are joined
+SLICE = 6_000_000  # shingles of prefixes that are shuffled at a time, up to `SLICES` slices of them
+SLICES = 8
 SLACK = 0.000001  # of sums of fractions
 SPLIT = 17  # segments of the first part
 STEP = 1 << 16  # shingles counted at a time
@@ -310,14 +313,26 @@ def _apart(docs: DataFrame, nodes: DataFrame, rows: DataFrame, told: tuple, simi
     """(src, dst): pairs of (sig, label, n, tokens) of different labels that may share `similarity`, written once, or of pairs that do share it
     enough to join the same texts. At the first shingle that two sets share, what they may share from there on must be enough."""
     share = (1 - similarity) / (1 + similarity)  # of the sum of both sizes is what linked sets may differ by
-    entries = rows.select("sig", "label", F.expr("coalesce(n, 0) as n"), F.posexplode("tokens").alias("pos", "token")).repartition("token")
     weight = f"{1 - share}D * n"
-    entries = entries.selectExpr("token", "sig", "label", f"{weight} as weight", f"2 * (n - pos) - {weight} as reach")
-    keys, found = ["token"], None
+    total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    slices = min(SLICES, total // SLICE + 1)
+
+    def part(k: int) -> DataFrame:
+        """The entries of a slice of the shingles: those of one shingle are together, and slices are shuffled one after the other."""
+        some = rows.select("sig", "label", F.expr("coalesce(n, 0) as n"), F.posexplode("tokens").alias("pos", "token"))
+        some = some.where(F.pmod(F.xxhash64("token", F.lit(0)), F.lit(slices)) == k) if slices > 1 else some
+        return some.repartition("token").selectExpr("token", "sig", "label", f"{weight} as weight", f"2 * (n - pos) - {weight} as reach")
+
+    keys, found, entries = ["token"], None, [part(k) for k in range(slices)]
     for depth in range(DEPTH + 1):
-        shared = materialise(_meeting(entries, keys), "shared")
+        parts = []
+        for some in entries:
+            parts.append(materialise(_meeting(some, keys), "shared"))
+            settle(docs.sparkSession)
+        shared = functools.reduce(DataFrame.union, parts)
         less = materialise(_meeting_others(_meeting_others(shared, keys), keys), "shared")
-        release(shared)
+        release(*parts)
+        settle(docs.sparkSession)
         hot = less.where(f"f > {HOT}")
         if depth:  # few hot keys are paired as they are, as long as all keys together make at most `HOT` pairs an entry
             n, met = less.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("f") > HOT, F.col("f"))), F.lit(0))).first()
@@ -330,8 +345,8 @@ def _apart(docs: DataFrame, nodes: DataFrame, rows: DataFrame, told: tuple, simi
         pairs = materialise(pairs.select(F.least("sig_a", "sig_b").alias("src"), F.greatest("sig_a", "sig_b").alias("dst")).distinct(), "met")
         found = pairs if found is None else found.union(pairs)
         if not done:
-            edges, entries = _around(docs, nodes, hot, keys, told, share)
-            found, keys = found.union(edges), ["family", "token"]
+            edges, more = _around(docs, nodes, hot, keys, told, share)
+            found, keys, entries = found.union(edges), ["family", "token"], [more]
         release(less)
         if done:
             return materialise(found.distinct(), "apart")
@@ -342,7 +357,9 @@ def _held(docs: DataFrame, nodes: DataFrame, sigs: DataFrame, id_col: str, text_
     used = materialise(sigs.distinct().join(nodes, "sig").select("first", "sig"), "used")
     used = F.broadcast(used) if used.count() <= MET else used
     rows = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text")).join(used, "first").select("sig", "text")
-    return materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
+    sets = materialise(_sets(rows, words, seed).dropDuplicates(["sig"]), "sets")
+    settle(docs.sparkSession)
+    return sets
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str, text_col: str, words: int, seed: int, similarity: float) -> DataFrame:
@@ -352,6 +369,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, near: DataFrame, id_col: str,
     pairs = near.join(sets.select(F.col("sig").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("sig").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
     found = materialise(_verified(pairs, similarity), "verified")
     release(sets)
+    settle(docs.sparkSession)
     return found
 
 
@@ -372,13 +390,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # Of texts with one fingerprint each meets the least; of fingerprints within four bits the least texts meet.
     least = nodes.groupBy("fp").agg(F.min("sig").alias("least"))
     same = nodes.join(least, "fp").where("sig <> least").select(F.col("least").alias("src"), F.col("sig").alias("dst"))
-    cells = links(least.select("fp")).join(least.select(F.col("fp").alias("src"), F.col("least").alias("x")), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("y")), "dst")
+    cells = links(least.select("fp")).join(least.select(F.col("fp").alias("src"), F.col("least").alias("x")).hint("merge"), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("y")).hint("merge"), "dst")
     cells = cells.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
     edges = edges.unionByName(same).unionByName(cells).distinct()
     # Tables that grow with the texts are merged, never sent through the driver, whatever size Spark takes for small.
     near = edges.hint("merge").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(f"least(n_src, n_dst) >= {similarity} * greatest(n_src, n_dst)")
     near = near.where(f"bit_count(fp_src ^ fp_dst) <= {FAR}")
     near = materialise(near.select("src", "dst"), "near")
+    settle(docs.sparkSession)
     told = (id_col, text_col, words, seed)
     label = components(_confirmed(docs, nodes, near, *told, similarity))
     named = nodes.join(label.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").select("sig", "first", "n", F.coalesce("label", "sig").alias("label"))
@@ -386,10 +405,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # The exact rest: pairs of different labels.
     some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(nodes.count() // SAMPLE + 1)) == 0)
     found = _prefixes(docs, *told, _common(some, text_col, words, seed), similarity)
-    rows = found.join(named.hint("merge"), ["first", "sig"]).dropDuplicates(["sig"])
-    more = _confirmed(docs, nodes, _apart(docs, nodes, rows, told, similarity), *told, similarity)
+    rows = materialise(found.join(named.hint("merge"), ["first", "sig"]).dropDuplicates(["sig"]), "prefixes")
+    settle(docs.sparkSession)
+    apart = _apart(docs, nodes, rows, told, similarity)
+    release(rows)
+    more = _confirmed(docs, nodes, apart, *told, similarity)
     own = named.select("sig", F.col("label").alias("own"))
-    joined = more.join(own.withColumnRenamed("sig", "src").withColumnRenamed("own", "a"), "src").join(own.withColumnRenamed("sig", "dst"), "dst")
+    joined = more.join(own.withColumnRenamed("sig", "src").withColumnRenamed("own", "a").hint("merge"), "src").join(own.withColumnRenamed("sig", "dst").hint("merge"), "dst")
     whole = components(joined.select(F.col("a").alias("src"), F.col("own").alias("dst")))
     named = named.withColumnRenamed("label", "node").join(whole.hint("merge"), "node", "left").select("sig", "first", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

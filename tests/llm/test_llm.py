@@ -69,13 +69,31 @@ def test_tables_that_grow_are_not_broadcast(spark):
     """An exploded table looks as small as what it was exploded from: at 0.5 GB of texts 537 MB went through the driver."""
     from lavra.operators.graph import _round
 
-    few = spark.createDataFrame([(i,) for i in range(50)], "fp long")
+    few = spark.range(50).select(F.col("id").alias("fp"))  # of known size
     found = simhash.links(few)
     for each in (found, _round(found, True)):
         plan = each._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_prefixes_are_shuffled_by_slices(spark, docs, monkeypatch):
+    """The entries of all shingles together took most of the disk: slices of them have no shingle in common, and give the same components."""
+    some = docs.where("doc_id % 2 = 0")
+    whole = {tuple(r) for r in simhash.similar(some).collect()}
+    seen, write = [], simhash.materialise
+
+    def recorded(df, name):
+        out = write(df, name)
+        if name == "shared" and "token" in df.columns and "f" not in df.columns and "family" not in df.columns:
+            seen.append({r["token"] for r in out.select("token").collect()})
+        return out
+
+    monkeypatch.setattr(simhash, "SLICE", 2000)
+    monkeypatch.setattr(simhash, "materialise", recorded)
+    assert {tuple(r) for r in simhash.similar(some).collect()} == whole
+    assert len(seen) == simhash.SLICES and sum(map(len, seen)) == len(set.union(*seen)) > 0
+
+
 def components_of(items, links):
     """Smallest item reachable, by plain search."""
     near, out = {i: set() for i in items}, {}

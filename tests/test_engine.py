@@ -213,3 +213,27 @@ def test_density_clusters_of_more_rows_than_one_task_takes(spark, monkeypatch):
     both = {(alone[i], spread[i]) for i in alone}
     assert alone.keys() == spread.keys() and len(both) == len({a for a, _ in both}) == len({b for _, b in both}) > 2
     assert all((a < 0) == (b < 0) for a, b in both)
+
+
+def test_density_clusters_leave_far_blocks_out(spark, monkeypatch):
+    """The last task's edges grow with the rows, not with their square: blocks that are far apart have none between them; equal points are one cluster."""
+    from lavra.operators import density
+
+    rows = [(i, [float(i % 8 * 90), float(i * 7919 % 1000) / 50, float(i * 104729 % 1013) / 50]) for i in range(1600)]
+    rows += [(i, [-500.0, 0.0, 0.0]) for i in range(1600, 2000)]
+    far = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    edges, write = [], density.materialise
+
+    def recorded(df, name):
+        out = write(df, name)
+        edges.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(density, "materialise", recorded)
+    alone = {r["id"]: r["cluster"] for r in density.clusters(far, 8, 4).collect()}
+    monkeypatch.setattr(density, "ALONE", 100)
+    monkeypatch.setattr(density, "BLOCK", 64)
+    spread = {r["id"]: r["cluster"] for r in density.clusters(far, 8, 4).collect()}
+    assert edges[0] < 4 * len(rows)
+    both = {(alone[i], spread[i]) for i in alone}
+    assert alone.keys() == spread.keys() and len(both) == len({a for a, _ in both}) == len({b for _, b in both}) >= 9
